@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .runtime import read
+from .token_store import token_store
+from .tokens import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,5 +25,14 @@ FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) O
       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
 """
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup}
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_token_store": op2_token_store, "op8_best_fit_packing": op8_best_fit_packing}
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}

@@ -40,7 +40,11 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, as a URI."""
+    folder = shared_folder(spark).rstrip("/")
+    if "://" not in folder:
+        folder = f"file://{folder.removeprefix('file:')}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Both vocabularies split a text into words before any merge, and every change from a non-space to a space or line feed is
 such a split, so the ids of a text are those of its pieces one after another. A piece is encoded by the library once and
-then looked up, which is several times faster than encoding whole texts.
+then looked up. A piece of letters only, or of letters and one stop or comma, needs no splitting pattern: the library's
+BPE model gets its words directly; any other piece goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -16,18 +17,35 @@ from tokenizers import Tokenizer
 CACHE_ENTRIES = 400_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Where letters end before one of these, both vocabularies' patterns split too.
-_FINE = re.compile(r"[ \n]*[^ \n.,]+|[ \n]*[^ \n]+|[ \n]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: printable Latin-1 stands for itself."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class _Pieces(dict):
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        self.encode = tokenizer.encode
+    """Ids of pieces. ``lower``: the vocabulary lower-cases and drops white space."""
+
+    _letters = _byte_letters()
+
+    def __init__(self, tokenizer: Tokenizer, lower: bool) -> None:
+        self.encode, self.model, self.lower = tokenizer.encode, tokenizer.model.tokenize, lower
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
-        self[piece] = ids
-        return ids
+        body = piece[1:] if piece[0] == " " else piece
+        stop = body[-1:] in (".", ",")
+        letters = body[:-1] if stop else body
+        if letters.isalpha() and (letters.isascii() or max(letters) <= "ÿ"):
+            words = [letters.lower()] if self.lower else [piece[:-1] if stop else piece]
+            words += [body[-1]] * stop
+            ids = [t.id for word in words for t in self.model(word.encode().decode("latin-1").translate(self._letters))]
+        else:
+            ids = self.encode(piece, add_special_tokens=False).ids
+        out = self[piece] = array("I", ids).tobytes()
+        return out
 
 
 class Encoder:
@@ -41,7 +59,7 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         self._tokenizer = tokenizer
-        self._pieces = _Pieces(tokenizer)
+        self._pieces = _Pieces(tokenizer, lower=tokenizer.normalizer is not None)
 
     def encode(self, text: str) -> bytes:
         if _OTHER_SPACE.search(text):
