@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import toxicity
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .runtime import read
@@ -34,5 +36,35 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {"op1_exact_dedup": op1_exact_dedup, "op2_token_store": op2_token_store, "op8_best_fit_packing": op8_best_fit_packing}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL)),
+bk AS (SELECT item_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS k FROM b WHERE n > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM bk),
+dk AS (SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM bw)),
+hits AS (SELECT r, k, dw.n, item_id FROM (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM dk) dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+hw AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS p FROM (SELECT DISTINCT r, k, n FROM hits)) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS named FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_store": op2_token_store,
+    "op6_decontamination": op6_decontamination,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL}
