@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import toxicity, url_filters
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
@@ -55,6 +55,31 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filters.filter_captures(url_filters.sample_captures(pages), url_filters.sample_entries(pages))
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, url, TIMESTAMP '2024-01-01' + to_hours((('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 8784)) AS fetched_at,
+       nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+       regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+seen AS (SELECT host, min(regexp_extract(path, '^(/[^/]+)', 1)) AS path FROM p WHERE host IS NOT NULL GROUP BY host),
+n AS (SELECT host, path, k, md5(host || ':' || k) AS m FROM seen, (SELECT unnest([0, 1, 2, 3]) AS k)),
+entries AS (SELECT CASE WHEN k < 2 THEN host WHEN k = 2 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host || path END AS pattern,
+       ['block', 'allow', 'remove'][1 + ('0x' || substr(m, 5, 4))::BIGINT % 3] AS action, DATE '2024-01-01' + (('0x' || substr(m, 9, 4))::BIGINT % 366)::INTEGER AS listed_on
+       FROM n WHERE ('0x' || substr(m, 1, 4))::BIGINT % 3 > 0),
+daily AS (SELECT pattern, listed_on, max_by(action, CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT * FROM (SELECT pattern, action, listed_on AS valid_from, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS valid_to FROM daily) WHERE action <> 'remove'),
+c AS (SELECT r, fetched_at, host AS asked FROM p WHERE host IS NOT NULL
+      UNION ALL SELECT r, fetched_at, array_to_string(l[i:len(l)], '.') FROM (SELECT r, fetched_at, l, unnest(generate_series(2, len(l) - 1)) AS i FROM (SELECT r, fetched_at, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL))
+      UNION ALL SELECT r, fetched_at, host || '/' || array_to_string(s[1:i], '/') FROM (SELECT r, fetched_at, host, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT r, fetched_at, host, list_filter(string_split(path, '/'), x -> x <> '') AS s FROM p WHERE host IS NOT NULL))),
+best AS (SELECT r, arg_max({'pattern': pattern, 'action': action}, {'n': length(pattern), 'pattern': pattern}) AS b
+         FROM c JOIN spans ON asked = pattern AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY r)
+SELECT page_id, url, fetched_at, b.pattern AS pattern, b.action AS action, coalesce(b.action = 'block', false) AS blocked FROM p LEFT JOIN best USING (r)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -64,7 +89,8 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
     "op6_decontamination": op6_decontamination,
+    "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_url_filters": OP7_SQL}

@@ -158,7 +158,7 @@ class Boosted:
         return tree
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.base + sum(t.predict(x, self.depth) for t in self.trees)
+        return np.full(len(x), self.base) + sum(t.predict(x, self.depth) for t in self.trees)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
