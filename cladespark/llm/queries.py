@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import toxicity, url_filters
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .html_region import extract
 from .packing import pack
 from .runtime import read
 from .token_store import token_store
@@ -36,6 +37,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -88,6 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
+    "op3_html_extraction": op3_html_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
