@@ -10,6 +10,7 @@ from . import toxicity, url_filters
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .html_region import extract
+from .jaccard_join import jaccard_components
 from .packing import pack
 from .runtime import read
 from .token_store import token_store
@@ -78,13 +79,31 @@ daily AS (SELECT pattern, listed_on, max_by(action, CASE action WHEN 'block' THE
 spans AS (SELECT * FROM (SELECT pattern, action, listed_on AS valid_from, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS valid_to FROM daily) WHERE action <> 'remove'),
 c AS (SELECT r, fetched_at, host AS asked FROM p WHERE host IS NOT NULL
       UNION ALL SELECT r, fetched_at, array_to_string(l[i:len(l)], '.') FROM (SELECT r, fetched_at, l, unnest(generate_series(2, len(l) - 1)) AS i FROM (SELECT r, fetched_at, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL))
-      UNION ALL SELECT r, fetched_at, host || '/' || array_to_string(s[1:i], '/') FROM (SELECT r, fetched_at, host, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT r, fetched_at, host, list_filter(string_split(path, '/'), x -> x <> '') AS s FROM p WHERE host IS NOT NULL))),
+      UNION ALL SELECT r, fetched_at, host || '/' || array_to_string(s[1:i], '/') FROM (SELECT r, fetched_at, host, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT r, fetched_at, host, [x FOR x IN string_split(path, '/') IF x <> ''] AS s FROM p WHERE host IS NOT NULL))),
 best AS (SELECT r, arg_max({'pattern': pattern, 'action': action}, {'n': length(pattern), 'pattern': pattern}) AS b
          FROM c JOIN spans ON asked = pattern AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY r)
 SELECT page_id, url, fetched_at, b.pattern AS pattern, b.action AS action, coalesce(b.action = 'block', false) AS blocked FROM p LEFT JOIN best USING (r)
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS sh FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.doc = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc AS doc_id, min(root) AS component_id FROM r GROUP BY doc) c USING (doc_id)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -97,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_url_filters": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_url_filters": OP7_SQL, "op9_jaccard_join": OP9_SQL}

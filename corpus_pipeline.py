@@ -4,26 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cladespark.llm import toxicity
+from cladespark.llm.decontaminate import decontaminate
 from cladespark.llm.exact_dedup import exact_groups
+from cladespark.llm.jaccard_join import jaccard_components
+from cladespark.llm.packing import pack
 from cladespark.llm.runtime import new_path, read
+from cladespark.llm.tokens import vocabulary
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose ids are listed, with their own columns."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go. The model is fitted to labelled documents of this stage's input."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    kept = exact_groups(docs).select("keep_id")
-    return docs.join(kept.withColumnRenamed("keep_id", "doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return _only(docs, exact_groups(docs).withColumnRenamed("keep_id", "doc_id"))
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that five-word shingles link, directly or through others, the one with the smallest id stays."""
+    return _only(docs, jaccard_components(docs).where("doc_id = component_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of ten words of a benchmark item, or with the whole of a shorter item, go."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 ids with their sequence and place."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("jaccard_join", jaccard_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
+#: SQL cannot fit the toxicity model.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``; each but the last is written as Parquet to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
