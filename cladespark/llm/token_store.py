@@ -125,7 +125,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     """Encode every whole text (null: empty), add the end id 0, and write the files in ascending id order.
 
     One range-partitioned sort moves the texts; each task writes one file. Returns the manifest in id order, with
-    ``first`` (ids in the files before); it has a row for each file, not for each document. A task that runs again
+    ``first`` (ids in the files before); it has a row, and a partition, for each file, not for each document. A task that runs again
     writes a new file, and only files in the manifest count.
     """
     spark = docs.sparkSession
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     for row in made:
         out.append((*row, first))
         first += row.n_tokens
-    return spark.createDataFrame(out, f"{MANIFEST}, first long")
+    return spark.createDataFrame(out, f"{MANIFEST}, first long").repartition(max(1, len(out)))
 
 
 def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
@@ -184,8 +184,7 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
                     if rows:
                         yield _rows(rows)
 
-    files = manifest.select("path", "first").repartition("path")
-    return files.mapInArrow(load, "doc_id long, start long, ids binary")
+    return manifest.select("path", "first").mapInArrow(load, "doc_id long, start long, ids binary")
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

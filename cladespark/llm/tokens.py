@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
@@ -27,14 +27,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces. ``lower``: the vocabulary lower-cases and drops white space."""
+    """Ids of pieces. ``lower``: the vocabulary lower-cases and drops white space.
+
+    When full, the cache becomes the older generation, from which pieces in use come back.
+    """
 
     _letters = _byte_letters()
 
     def __init__(self, tokenizer: Tokenizer, lower: bool) -> None:
         self.encode, self.model, self.lower = tokenizer.encode, tokenizer.model.tokenize, lower
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = self.older.get(piece) or self._ids(piece)
+        return out
+
+    def _ids(self, piece: str) -> bytes:
         body = piece[1:] if piece[0] == " " else piece
         stop = body[-1:] in (".", ",")
         letters = body[:-1] if stop else body
@@ -44,8 +56,7 @@ class _Pieces(dict):
             ids = [t.id for word in words for t in self.model(word.encode().decode("latin-1").translate(self._letters))]
         else:
             ids = self.encode(piece, add_special_tokens=False).ids
-        out = self[piece] = array("I", ids).tobytes()
-        return out
+        return array("I", ids).tobytes()
 
 
 class Encoder:
@@ -65,8 +76,9 @@ class Encoder:
         if _OTHER_SPACE.search(text):
             return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self._pieces) > CACHE_ENTRIES:
-            self._pieces.clear()
-        return b"".join(map(self._pieces.__getitem__, _PIECE.findall(text)))
+            self._pieces.age()
+        found = text.split() if self._pieces.lower else _PIECE.findall(text)
+        return b"".join(map(self._pieces.__getitem__, found))
 
 
 _encoders: dict[str, Encoder] = {}
