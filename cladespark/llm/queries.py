@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import toxicity, url_filters
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .html_region import extract
 from .jaccard_join import jaccard_components
+from .line_dedup import line_dedup
 from .packing import pack
 from .runtime import read
+from .substring_dedup import passages
 from .token_store import token_store
 from .tokens import vocabulary
 
@@ -42,6 +45,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(read(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -113,6 +125,8 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
     "op3_html_extraction": op3_html_extraction,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
