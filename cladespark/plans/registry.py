@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("sequence", "trees")
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    """Register a query and, where SQL can express it, its DuckDB text."""
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+for _module in MODULES:
+    import_module(f"{__package__}.{_module}")
