@@ -1,10 +1,11 @@
 import pytest
-from test_kernels import DNA5
 
 from cladespark.functions.newick import explode_trees
 from cladespark.operators import distances as D
 from cladespark.sources import formats as S
 
+from .test_kernels import DNA5
+
 FASTA = "# note\n" + "".join(f">{n} more words\n{s[:5]} {s[5:]}\n\n" for n, s in DNA5.items())
 
 
