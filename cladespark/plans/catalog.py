@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import encode as E
-from .registry import add
+from .book import add
 
 
 def _pages(s, d):

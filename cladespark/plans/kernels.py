@@ -13,7 +13,7 @@ from ..functions import parsimony as M
 from ..functions.newick import split_sets, write
 from ..operators import distances as D
 from ..operators import resampling as R
-from .registry import add
+from .book import add
 from .sequence import region_sites
 
 

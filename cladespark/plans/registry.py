@@ -1,24 +1,6 @@
 """All queries by name, with their DuckDB texts."""
 
-from __future__ import annotations
+from . import catalog, kernels, models, sequence, trees  # noqa: F401  (they enter their queries)
+from .book import ORACLES, QUERIES
 
-from collections.abc import Callable
-from importlib import import_module
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-MODULES = ("sequence", "trees", "catalog", "kernels")
-
-
-def add(name: str, query: Query, sql: str | None = None) -> None:
-    """Register a query and, where SQL can express it, its DuckDB text."""
-    QUERIES[name] = query
-    if sql:
-        ORACLES[name] = sql
-
-
-for _module in MODULES:
-    import_module(f"{__package__}.{_module}")
+__all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import encode as E
 from ..operators import distances as D
 from ..operators import sitewise as S
-from .registry import add
+from .book import add
 
 PAIRS_SQL = f"""{E.SITES_SQL},
 pairs AS (SELECT x.taxon AS i, y.taxon AS j, {", ".join(f"count(*) FILTER (x.state = {a} AND y.state = {b}) AS c{a}{b}" for a in range(4) for b in range(4))}, count(*)::DOUBLE AS n

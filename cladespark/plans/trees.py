@@ -9,7 +9,7 @@ from ..operators import folds as T
 from ..operators import resampling as R
 from ..operators import splits as P
 from ..operators.genetic_code import AMINO, steps, steps_sql
-from .registry import add
+from .book import add
 
 TAXA = 25
 HEIGHT = 2
