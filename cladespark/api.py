@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import clustering, likelihood, newick, parsimony
 from .operators import distances as D
 from .operators import sitewise
+from .session import workers_see_package
 from .sources.formats import MASKS, to_sites
 
 
@@ -45,6 +46,7 @@ def maximum_likelihood(sequences: DataFrame, model: str = "f84", ratio: float =
         tree, value = likelihood.ml_search(sorted(masks), likelihood.Data.of(masks), _model(masks, model, ratio, gamma))
         return pd.DataFrame({"aln_id": [key[0]], "newick": [newick.write(tree)], "lnl": [value]})
 
+    workers_see_package(sequences.sparkSession)
     return sequences.groupBy("aln_id").applyInPandas(run, "aln_id string, newick string, lnl double")
 
 
@@ -60,6 +62,7 @@ def most_parsimonious(sequences: DataFrame, exact: bool = False) -> DataFrame:
             tree, steps = parsimony.search(sorted(masks), masks)
         return pd.DataFrame({"aln_id": [key[0]], "newick": [newick.write(tree)], "steps": [steps]})
 
+    workers_see_package(sequences.sparkSession)
     return sequences.groupBy("aln_id").applyInPandas(run, "aln_id string, newick string, steps long")
 
 
@@ -80,6 +83,7 @@ def bootstrap(sequences: DataFrame, reps: int = 100, seed: int = 42, model: str
         splits = newick.split_sets(clustering.neighbor_joining(names, d))
         return pd.DataFrame({"aln_id": key[0], "split": [",".join(sorted(s)) for s in splits]})
 
+    workers_see_package(sequences.sparkSession)
     found = spread.groupBy("aln_id", "rep").applyInPandas(run, "aln_id string, split string")
     return found.groupBy("aln_id", "split").agg((F.count("*") / F.lit(float(reps))).alias("support"))
 
@@ -93,6 +97,7 @@ def evaluate(sequences: DataFrame, tree: str, model: str = "jc69", ratio: float
         value = likelihood.optimize_lengths(root, data, own) if optimize else likelihood.lnl(root, data, own)
         return pd.DataFrame({"aln_id": [key[0]], "newick": [newick.write(root)], "lnl": [value]})
 
+    workers_see_package(sequences.sparkSession)
     return sequences.groupBy("aln_id").applyInPandas(run, "aln_id string, newick string, lnl double")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import workers_see_package
 from .newick import Node, write
 
 
@@ -149,6 +150,7 @@ def matrix(pairs: pd.DataFrame) -> tuple[list[str], np.ndarray]:
 def trees(distances: DataFrame, method: str = "nj", group: str = "aln") -> DataFrame:
     """``aln, newick``: a tree for each group of rows ``aln, i, j, d``. One task holds one group's matrix, which is what a
     kernel works on; groups (alignments, replicates) go to as many tasks as there are."""
+    workers_see_package(distances.sparkSession)
     build = METHODS[method]
 
     def run(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:

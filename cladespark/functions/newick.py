@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workers_see_package
+
 _TOKEN = re.compile(r"\s*(?:([(),;])|:\s*([^\s(),:;\[]+)|'((?:[^']|'')*)'|([^\s(),:;\[']+))")
 
 
@@ -148,5 +150,6 @@ def newick_nodes(text: str | None) -> list[tuple] | None:
 
 def explode_trees(trees: DataFrame, id_col: str = "tree", text_col: str = "newick") -> DataFrame:
     """``tree, id, parent, ord, name, bl, level``: the nodes of every readable tree."""
+    workers_see_package(trees.sparkSession)
     nodes = F.udf(newick_nodes, NODES)
     return trees.select(id_col, F.explode(nodes(text_col)).alias("n")).select(id_col, "n.*")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import workers_see_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -13,6 +15,11 @@ ORACLES: dict[str, str] = {}
 
 def add(name: str, query: Query, sql: str | None = None) -> None:
     """Register a query and, where SQL can express it, its DuckDB text."""
-    QUERIES[name] = query
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        workers_see_package(spark)
+        return query(spark, sf_dir)
+
+    QUERIES[name] = run
     if sql:
         ORACLES[name] = sql

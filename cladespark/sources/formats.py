@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import workers_see_package
+
 IUPAC = "ACGTUNXOMRWSYKVHDB?-."
 #: Bits of A, C, G, T for each letter; a gap has none known.
 MASKS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "M": 3, "R": 5, "W": 9, "S": 6, "Y": 10, "K": 12, "V": 7, "H": 11, "D": 13, "B": 14, "N": 15, "X": 15, "O": 15, "?": 15, "-": 15, ".": 15}
@@ -137,6 +139,7 @@ PARSERS: dict[str, tuple[str, Callable]] = {
 
 def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     """Rows of all files at a path that Spark can list, one task per file or more files."""
+    workers_see_package(spark)
     schema, parser = PARSERS[kind]
 
     def rows(batches: Iterator) -> Iterator:
