@@ -28,7 +28,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 FREQUENT = 48  #: regions of more members are joined by pivots
 FREQUENT_LISTED = 1 << 19
 LOCAL = 3
-PIVOTS = 16
+PIVOTS = 64
 BROADCAST_IDS = 1 << 22
 
 PARTS = "doc_id long, n long, rep long, rare array<long>, frequent array<long>"
@@ -123,39 +123,52 @@ def _parts(rows: DataFrame, listed: dict[int, int]) -> DataFrame:
 
 
 def _region_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """Pairs of the regions of rare shingles, of sizes that can link; of a region of over ``limit`` members only ``large``: its shingle and least member."""
+    """Pairs in the regions of rare shingles that may link: ``a, b``; of a region of over ``limit`` members only ``large``, its shingle, and its least member.
+
+    A pair is counted once for each first shingle that it shares. Beyond those, two sets can share no more than the frequent ones among
+    their first shingles and what follows in the longer rest, which bounds the intersection from above. ``members``: ``shingle, meta,
+    doc_id`` with the set's size and number of frequent first shingles in ``meta``.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64)] * 3
         for batch in _with_end(batches):
             columns = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)] if batch is not None else rest
-            shingle, n, doc = columns
+            shingle = columns[0]
             end = len(shingle) if batch is None else int(np.searchsorted(shingle, shingle[-1])) if len(shingle) else 0
             rest = [c[end:] for c in columns]
-            shingle, n, doc = shingle[:end], n[:end], doc[:end]
+            shingle, meta, doc = (c[:end] for c in columns)
             if not len(shingle):
                 continue
+            n = meta >> 32
             first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             many = np.diff(np.append(first, len(shingle)))
             big = np.repeat(many > limit, many)
             at = np.flatnonzero(many > limit)
             if len(at):
                 low = np.minimum.reduceat(doc, first)[at]
-                yield _pair_rows(low, low, shingle[first[at]])
+                yield _pair_rows(low, low, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), shingle[first[at]])
             step = 1
             live = np.flatnonzero(~big[:-1] & (shingle[1:] == shingle[:-1]))
             while len(live):
-                fits = DENOMINATOR * n[live] >= NUMERATOR * n[live + step]
-                a, b = doc[live[fits]], doc[live[fits] + step]
-                keep = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-                keep = keep[:, keep[0] != keep[1]]
-                yield _pair_rows(keep[0], keep[1], None)
+                fits = live[(DENOMINATOR * n[live] >= NUMERATOR * n[live + step]) & (DENOMINATOR * n[live + step] >= NUMERATOR * n[live]) & (doc[live] != doc[live + step])]
+                if len(fits):
+                    swap = doc[fits] > doc[fits + step]
+                    x, y = np.where(swap, fits + step, fits), np.where(swap, fits, fits + step)
+                    rows, k = np.unique(np.stack([doc[x], doc[y], meta[x], meta[y]]), axis=1, return_counts=True)
+                    yield _pair_rows(rows[0], rows[1], rows[2], rows[3], k, None)
                 step += 1
                 live = live[live + step < len(shingle)]
                 live = live[shingle[live] == shingle[live + step]]
 
-    placed = members.repartition("shingle").sortWithinPartitions("shingle", F.desc("n"), "doc_id")
-    return placed.mapInArrow(pairs, "a long, b long, large long")
+    placed = members.repartition("shingle").sortWithinPartitions("shingle", F.desc("meta"), "doc_id")
+    met = placed.mapInArrow(pairs, "a long, b long, ma long, mb long, k long, large long").groupBy("a", "b", "ma", "mb", "large").agg(F.sum("k").alias("k"))
+    n = [F.shiftright(F.col(m), 32) for m in ("ma", "mb")]
+    frequent = [F.col(m).bitwiseAND(F.lit((1 << 32) - 1)) for m in ("ma", "mb")]
+    after = [F.ceil(F.lit(NUMERATOR) * x / F.lit(DENOMINATOR)) - 1 for x in n]
+    most = F.col("k") + F.least(*frequent) + F.greatest(*after)
+    may = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[0] + n[1])
+    return met.where(F.col("large").isNotNull() | may).select("a", "b", "large")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -163,9 +176,9 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray, large: np.ndarray | None) -> pa.RecordBatch:
-    third = pa.array(large, pa.int64()) if large is not None else pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), third], names=["a", "b", "large"])
+def _pair_rows(a, b, ma, mb, k, large: np.ndarray | None) -> pa.RecordBatch:
+    last = pa.array(large, pa.int64()) if large is not None else pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (a, b, ma, mb, k)), last], names=["a", "b", "ma", "mb", "k", "large"])
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -223,9 +236,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         path = new_path(spark, "jaccard-parts")
         _parts(known, listed).write.parquet(path)
         parts = spark.read.parquet(path)
-        members = parts.select(F.explode("rare").alias("shingle"), "n", "doc_id")
-        limit = frequent if len(listed) < FREQUENT_LISTED else 1 << 60
-        found = cut(_region_pairs(members, limit).distinct())
+        meta = F.shiftleft(F.col("n"), 32) + F.size("frequent")
+        members = parts.select(F.explode("rare").alias("shingle"), meta.alias("meta"), "doc_id")
+        limit = 2 * frequent if len(listed) < FREQUENT_LISTED else 1 << 60
+        found = cut(_region_pairs(members, limit))
         more = {r.large: r.a for r in found.where("large is not null").limit(FREQUENT_LISTED).collect()}
         if not more:
             break
@@ -255,11 +269,13 @@ def _close_regions(regions: DataFrame, compared: DataFrame, edges: DataFrame, ro
     placed = cut(placed.select("shingle", "doc_id", "n", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("d")))
     spark = rows.sparkSession
     done = spark.createDataFrame([], "shingle long, doc_id long")
+    state = None
     while True:
-        found = components(edges).withColumnsRenamed({"node": "doc_id", "component": "c"})
-        state = placed.join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-        sizes = state.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        state = cut(state.join(sizes, "shingle"))
+        if state is None:
+            found = components(edges).withColumnsRenamed({"node": "doc_id", "component": "c"})
+            state = placed.join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+            sizes = state.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+            state = cut(state.join(sizes, "shingle"))
         outside = state.where("c <> main").join(done, ["shingle", "doc_id"], "left_anti")
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))
         chosen = cut(outside.groupBy("shingle", bucket.alias("bucket")).agg(F.min(F.struct("doc_id", "n", "d", "c")).alias("p")).select("shingle", "p.*"))
@@ -270,5 +286,6 @@ def _close_regions(regions: DataFrame, compared: DataFrame, edges: DataFrame, ro
         sized = (DENOMINATOR * F.least("n", "pivot_n") >= NUMERATOR * F.greatest("n", "pivot_n")) & (F.abs(F.col("d") - F.col("pivot_d")) <= near)
         asked = state.join(p, (F.col("shingle") == F.col("s")) & (F.col("c") != F.col("pivot_c")) & sized)
         pairs = cut(asked.select(*_ordered(F.col("doc_id"), F.col("pivot"))).distinct())
-        if pairs.limit(1).count():
-            edges = cut(edges.unionByName(verified(pairs, rows).where("linked").select("a", "b")))
+        more = cut(verified(pairs, rows).where("linked").select("a", "b"))
+        if more.limit(1).count():
+            edges, state = cut(edges.unionByName(more)), None
