@@ -83,9 +83,9 @@ def _frequent(rows: DataFrame, limit: int) -> dict[int, int]:
                     seen.add(mark)
                     kept.append((own.copy(), ids[row]))
                     size += len(own)
-                    if size > 1 << 21:
+                    if size > 1 << 19:
                         keys, n, low = fold(kept, totals)
-                        if len(keys) > 1 << 23:  # keep what has been seen twice; the rest starts again
+                        if len(keys) > 1 << 21:  # keep what has been seen twice; the rest starts again
                             keys, n, low = keys[n > 1], n[n > 1], low[n > 1]
                         kept, totals, size = [], (keys, n, low), 0
         keys, n, low = fold(kept, totals)
