@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, new_path, workers_see_package
+from .runtime import cut, new_path, smaller_batches, workers_see_package
 from .words import NON_SPACE, mix, shingle_sets, words
 
 SHINGLE = 5
@@ -30,6 +30,7 @@ FREQUENT_LISTED = 1 << 19
 LOCAL = 3
 PIVOTS = 64
 BROADCAST_IDS = 1 << 22
+BATCH_ROWS = 1000  #: rows of whole texts or sets in a batch
 
 PARTS = "doc_id long, n long, rep long, rare array<long>, frequent array<long>"
 
@@ -85,7 +86,7 @@ def _frequent(rows: DataFrame, limit: int) -> dict[int, int]:
                     size += len(own)
                     if size > 1 << 19:
                         keys, n, low = fold(kept, totals)
-                        if len(keys) > 1 << 21:  # keep what has been seen twice; the rest starts again
+                        if len(keys) > 1 << 19:  # keep what has been seen twice; the rest starts again
                             keys, n, low = keys[n > 1], n[n > 1], low[n > 1]
                         kept, totals, size = [], (keys, n, low), 0
         keys, n, low = fold(kept, totals)
@@ -113,8 +114,8 @@ def _parts(rows: DataFrame, listed: dict[int, int]) -> DataFrame:
                 if len(own) and rep == ids[row]:
                     at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
                     known = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
-                    rare = own[~known][: prefix_length(len(own))]
-                    often = own[known][: prefix_length(len(own)) - len(rare)]
+                    rare = own[~known][: prefix_length(len(own))].copy()
+                    often = own[known][: prefix_length(len(own)) - len(rare)].copy()
                 out.append((ids[row], len(own), rep, rare.view(np.int64), often.view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n", "rep", "rare", "frequent"])
@@ -212,7 +213,8 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             distance = [1 - k / (m + n - k) if m + n > k else 0.0 for (m, n), k in zip(sizes, shared, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
 
-    return both.mapInArrow(compare, "a long, b long, distance double, linked boolean")
+    with smaller_batches(rows.sparkSession, BATCH_ROWS):
+        return cut(both.mapInArrow(compare, "a long, b long, distance double, linked boolean"))
 
 
 def _ordered(a, b):
@@ -231,10 +233,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     workers_see_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
-    listed = _frequent(known, frequent)
+    with smaller_batches(spark, BATCH_ROWS):
+        listed = _frequent(known, frequent)
     while True:
         path = new_path(spark, "jaccard-parts")
-        _parts(known, listed).write.parquet(path)
+        with smaller_batches(spark, BATCH_ROWS):
+            _parts(known, listed).write.parquet(path)
         parts = spark.read.parquet(path)
         meta = F.shiftleft(F.col("n"), 32) + F.size("frequent")
         members = parts.select(F.explode("rare").alias("shingle"), meta.alias("meta"), "doc_id")
@@ -249,7 +253,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivots = spark.createDataFrame(list(listed.items()), "shingle long, pivot long")
     regions = cut(parts.select(F.explode("frequent").alias("shingle"), "n", "doc_id").join(F.broadcast(pivots), "shingle"))
     around = regions.where("doc_id <> pivot").select(*_ordered(F.col("doc_id"), F.col("pivot")))
-    compared = cut(verified(pairs.unionByName(around).distinct(), known))
+    compared = verified(cut(pairs.unionByName(around).distinct()), known)
     edges = compared.where("linked").select("a", "b")
     if listed:
         edges = _close_regions(regions, compared, edges, known)
@@ -286,6 +290,6 @@ def _close_regions(regions: DataFrame, compared: DataFrame, edges: DataFrame, ro
         sized = (DENOMINATOR * F.least("n", "pivot_n") >= NUMERATOR * F.greatest("n", "pivot_n")) & (F.abs(F.col("d") - F.col("pivot_d")) <= near)
         asked = state.join(p, (F.col("shingle") == F.col("s")) & (F.col("c") != F.col("pivot_c")) & sized)
         pairs = cut(asked.select(*_ordered(F.col("doc_id"), F.col("pivot"))).distinct())
-        more = cut(verified(pairs, rows).where("linked").select("a", "b"))
+        more = verified(pairs, rows).where("linked").select("a", "b")
         if more.limit(1).count():
             edges, state = cut(edges.unionByName(more)), None
