@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines that are equal after trimming and lower-casing are one; an input partition passes each on once. A line's set of
-character shingles gets a one-permutation MinHash signature, densified by rotation, whose bands propose pairs: inside a band's bucket,
-in order, each line with its predecessor and with the first, so a bucket of any size proposes about twice as many pairs as it has lines. Pairs are verified by
-the exact Jaccard similarity of their shingle sets, connected components are found on the distributed edges, and of
-each component the occurrence with the least document id and line number stays.
+character shingles gets a one-permutation MinHash signature, densified by rotation, whose bands propose pairs: all pairs of a band's bucket of at
+most ``SMALL`` lines; in a larger one first each line with its predecessor and with the first. Pairs are verified by
+the exact Jaccard similarity of their shingle sets. Lines of large buckets outside the bucket's main component then become pivots, and are
+compared with all lines of other components, until none is left unchecked, so no link between components is missed. Connected components are found
+on the distributed edges, and of each component the occurrence with the least document id and line number stays.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .words import mix
 SHINGLE = 8
 THRESHOLD = 0.75
 BANDS, ROWS = 16, 4
+SMALL = 32  #: buckets of more lines are joined by pivots
+PIVOTS = 64  #: pivots of a large bucket in the first round; each round has twice as many
 BROADCAST_KEYS = 1 << 22
 _BINS = BANDS * ROWS
 _VALUE_BITS = 40
@@ -156,37 +159,54 @@ def _bands(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(bands: DataFrame) -> DataFrame:
-    """Pairs of a bucket's neighbours and of each with the first."""
+    """``a, b, large``: pairs of lines, ``large`` null; and each line of a bucket of over ``SMALL``, with the bucket as ``large`` and its line as ``a`` and ``b``."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = first = previous = None
-        for batch in batches:
-            bands, keys = (c.to_numpy() for c in batch.columns)
-            if not len(keys):
+        rest = [np.empty(0, np.int64)] * 2
+        for batch in _with_end(batches):
+            bands, keys = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)] if batch is not None else rest
+            end = len(bands) if batch is None or not len(bands) else int(np.searchsorted(bands, bands[-1]))
+            rest = [bands[end:], keys[end:]]
+            bands, keys = bands[:end], keys[:end]
+            if not end:
                 continue
-            fresh = np.concatenate(([bands[0] != band], bands[1:] != bands[:-1]))
-            group = np.cumsum(fresh)
-            heads = np.concatenate(([keys[0] if first is None else first], keys[fresh]))[group]
-            before = np.concatenate(([keys[0] if previous is None else previous], keys[:-1]))
-            a, b = np.concatenate([heads[~fresh], before[~fresh]]), np.concatenate([keys[~fresh], keys[~fresh]])
-            band, first, previous = bands[-1], heads[-1], keys[-1]
-            keep = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            keep = keep[:, keep[0] != keep[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["a", "b"])
+            first = np.flatnonzero(np.concatenate(([True], bands[1:] != bands[:-1])))
+            many = np.diff(np.append(first, end))
+            big = np.repeat(many > SMALL, many)
+            head = np.repeat(first, many)
+            after = np.flatnonzero(big & (head != np.arange(end)))
+            near = [(keys[head[after]], keys[after]), (keys[after - 1], keys[after])]
+            live, step = np.flatnonzero(~big), 1
+            while len(live := live[live + step < end]) and len(live := live[bands[live] == bands[live + step]]):
+                near.append((keys[live], keys[live + step]))
+                step += 1
+            x, y = (np.concatenate(side) for side in zip(*near, strict=True))
+            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.nulls(found.shape[1], pa.int64())], names=["a", "b", "large"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(keys[big]), pa.array(bands[big])], names=["a", "b", "large"])
+
+    return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(pairs, "a long, b long, large long").distinct()
 
-    return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(pairs, "a long, b long").distinct()
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs whose shingle sets have the threshold's Jaccard similarity; only lines in a pair leave their partition."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+
+def _texts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, text`` of the wanted lines; only these leave their partition."""
+    wanted = cut(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _distinct_lines(batches):
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=["key", "text"])
 
     texts = rows.mapInArrow(make, "key long, text string")
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi").dropDuplicates(["key"])
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs whose shingle sets have the threshold's Jaccard similarity."""
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -200,11 +220,64 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def _sizes(texts: DataFrame) -> DataFrame:
+    """``key, n``: how many shingles a line has."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            n = np.zeros(len(lines), np.int64)
+            for part in _portions(lines, [""] * len(lines)):
+                hashes, row = shingle_hashes(lines[part])
+                own = np.unique((row.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
+                n[part] = np.bincount((own >> np.uint64(44)).astype(np.int64), minlength=part.stop - part.start)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["key", "n"])
+
+    return texts.select("key", "text").mapInArrow(make, "key long, n long")
+
+
+def _closed(members: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """All edges, with those that large buckets still need. ``members``: ``band, key``.
+
+    A pivot is compared with every line of its buckets that is in another component and could be as like it by its size, but for
+    earlier pivots, which have met it already; pairs in one component are not enumerated.
+    """
+    if not members.limit(1).count():
+        return edges
+    texts = cut(_texts(members.select("key").distinct(), rows))
+    members = cut(members.join(_sizes(texts), "key"))
+    done = rows.sparkSession.createDataFrame([], "key long")
+    state, pivots = None, PIVOTS
+    while True:
+        if state is None:
+            found = components(edges).withColumnsRenamed({"node": "key", "component": "c"})
+            named = members.join(found, "key", "left").withColumn("c", F.coalesce("c", "key"))
+            main = named.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+            state = cut(named.join(main, "band"))
+        left = state.join(done, "key", "left_anti")
+        bucket = F.pmod(F.xxhash64("key"), F.lit(pivots))
+        chosen = cut(left.where("c <> main").groupBy("band", bucket.alias("bucket")).agg(F.min("key").alias("key")).select("key").distinct())
+        if not chosen.limit(1).count():
+            return edges
+        p = state.join(chosen, "key", "left_semi").select("band", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+        sized = F.least("n", "pivot_n") >= F.lit(THRESHOLD) * F.greatest("n", "pivot_n")
+        asked = left.join(p, "band").where((F.col("c") != F.col("pivot_c")) & sized)
+        pairs = asked.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        more = cut(_linked(pairs, texts))
+        done, pivots = cut(done.unionByName(chosen)), 2 * pivots
+        if more.limit(1).count():
+            edges, state = cut(edges.unionByName(more)), None
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line, group, kept`` of every line that occurs more than once or is near another."""
     workers_see_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = components(_linked(cut(_candidates(_bands(rows))), rows)).withColumnsRenamed({"node": "key", "component": "c"})
+    met = cut(_candidates(_bands(rows)))
+    pairs = met.where("large is null").select("a", "b")
+    edges = cut(_linked(pairs, _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), rows)))
+    edges = _closed(met.where("large is not null").select(F.col("large").alias("band"), F.col("a").alias("key")), edges, rows)
+    found = components(edges).withColumnsRenamed({"node": "key", "component": "c"})
     occurrences = _occurrences(rows)
     firsts = occurrences.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     groups = firsts.join(found, "key", "left").where("n > 1 or c is not null").select("key", F.coalesce("c", "key").alias("group"), "first")

@@ -69,3 +69,17 @@ def test_similarity_and_recall():
             x, y = band_keys([a, b])
             near, found = near + 1, found + bool(np.any(x == y))
     assert near > 100 and found >= 0.99 * near
+
+
+def test_large_family_of_templates(spark):
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, foot, lines = some(50), some(57), []
+    for _ in range(150):
+        field = some(11)
+        lines += [head + field + foot, head + field[:7] + some(4) + foot]
+    a, b, c = lines[:3]
+    assert similarity(a, b) > 0.75 > similarity(a, c) > 0.7
+    rng.shuffle(lines)
+    docs = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(100)]
+    assert sorted(map(tuple, line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())) == brute(docs)
