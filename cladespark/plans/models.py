@@ -195,7 +195,7 @@ add("continuous_lnl", continuous_lnl)
 
 
 def protein_search(s, d):
-    """A shortest tree by unordered steps of the nations' residues, by stepwise addition: masks of twenty states."""
+    """A tree of the nations' residues by stepwise addition and unordered steps on masks of twenty states: greedy, not always a shortest one."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.assign(mask=np.left_shift(1, rows["state"].to_numpy())).pivot(index="taxon", columns="site", values="mask").fillna((1 << 20) - 1).astype(int)
