@@ -1,13 +1,18 @@
-"""Exact Jaccard join of documents' shingle sets, up to connectivity: a metric-space join with pivots.
-
-Distances of unrelated texts are all 1, so pivots alone cannot separate them. A necessary condition forms the first
-regions: two sets that link share a shingle among the first ``n - ceil(0.75 n) + 1`` of each in one common order, in which
-shingles that many documents have come last. Regions of frequent shingles, which hold groups of near copies of any size, then
-join in the metric space: each has a pivot, every member's distance to it is computed, members within the threshold are
-connected by it, and members outside the region's main component become pivots in turn. The triangle inequality gives the window of members
-that may link to a new pivot: those whose distance to the first pivot differs by at most the threshold. That repeats until
-no member is left outside unchecked, so no link between components is missed. Other regions are small and compare all pairs.
-Equal texts inside an input partition are one member.
+"""Exact Jaccard join of documents' shingle sets, up to connectivity: a metric-space join around pivots.
+
+Distance is one minus Jaccard similarity. Sets with no common shingle are all at distance 1, where no pivot tells them apart, so the
+first regions come from a necessary condition: two sets that link share one of the first ``n - ceil(0.75 n) + 1`` shingles of each in one
+common order, in which shingles of many documents come last. Each such shingle makes a region.
+
+1. The pivot of a region is its most central set, the one with the least share of rare shingles. The exact distance of every set to the pivots of
+   its regions is computed; the nearest ones within the threshold make its Voronoi cell, and cells that share a set merge.
+2. Sets outside the main cell of a large region form a region again, with a pivot of their own, and so on until no cell changes (recursion).
+3. What may still link lies in different cells of one region. Windows say which sets a cell must see: distances to
+   the region's pivot that differ by at most the threshold (triangle inequality), sizes, and an upper bound of the intersection
+   from the rare shingles that can't be shared. Only these replicas are compared, exactly. In regions of rare shingles the pairs of different cells
+   are counted over all shingles they meet in, which bounds their intersection as well.
+
+Pairs inside a cell are never listed: only connectivity is returned. Sets that are equal throughout the table are one member.
 """
 
 from __future__ import annotations
@@ -16,28 +21,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, new_path, smaller_batches, workers_see_package
+from .runtime import cut, forget, keyed, new_path, small_side, smaller_batches, stored, workers_see_package
 from .words import NON_SPACE, mix, shingle_sets, words
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-FREQUENT = 48  #: regions of more members are joined by pivots
-FREQUENT_LISTED = 1 << 19
+FREQUENT = 48  #: shingles of more documents come last in the order, and their regions join by windows
+FREQUENT_LISTED = 1 << 19  #: at most so many of them; the regions of others are found by their size
 LOCAL = 3
-PIVOTS = 64
-BROADCAST_IDS = 1 << 22
-BATCH_ROWS = 1000  #: rows of whole texts or sets in a batch
+BLOCK = 256  #: pairs of one set that a task compares with one copy of it
+BATCH_ROWS = 1000  #: rows of whole texts in a batch
+SET_ROWS = 200  #: rows of whole sets in a batch
 
-PARTS = "doc_id long, n long, rep long, rare array<long>, frequent array<long>"
+PARTS = "key long, n long, rep long, f1 long, f2 long, r long, rare array<long>, frequent array<long>"
+REGION = "shingle long, key long, n long, r long, many long, pivot long, pivot_n long"
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     """How many first shingles of a set of ``n`` any set that links must meet."""
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
+    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
 def links(size_a, size_b, shared):
@@ -53,11 +59,15 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _fingerprint(own: np.ndarray) -> tuple[int, int, int]:
-    return len(own), int(np.bitwise_xor.reduce(own, initial=np.uint64(0))), int(mix(own ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64))
+    """Size and two 64-bit sums of a set. Sets with equal ones count as equal, as shingles with equal hashes do."""
+    if not len(own):
+        return 0, 0, 0
+    folded = np.array([np.bitwise_xor.reduce(own), mix(own ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)]).view(np.int64)
+    return len(own), int(folded[0]), int(folded[1])
 
 
-def _frequent(rows: DataFrame, limit: int) -> dict[int, int]:
-    """Shingles in more than ``limit`` documents, at most ``FREQUENT_LISTED`` of them, with their least document as pivot.
+def _frequent(rows: DataFrame, limit: int) -> np.ndarray:
+    """Sorted shingles in more than ``limit`` documents, at most ``FREQUENT_LISTED`` of them.
 
     Counts start in the input partitions, over distinct sets; a shingle that is rarer than ``LOCAL`` in each of them is
     not found here but when its region shows. Which shingles are listed changes the order, never the result.
@@ -65,231 +75,291 @@ def _frequent(rows: DataFrame, limit: int) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        kept, totals = [], (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        kept, totals = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
         size = 0
 
         def fold(kept, totals):
-            keys = np.concatenate([totals[0], *(k for k, _ in kept)])
+            keys = np.concatenate([totals[0], *kept])
             n = np.concatenate([totals[1], np.ones(len(keys) - len(totals[0]), np.int64)])
-            low = np.concatenate([totals[2], *(np.full(len(k), d, np.int64) for k, d in kept)])
             order = np.argsort(keys, kind="stable")
-            keys, n, low = keys[order], n[order], low[order]
+            keys, n = keys[order], n[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-            return (keys[first], np.add.reduceat(n, first), np.minimum.reduceat(low, first)) if len(first) else totals
+            return (keys[first], np.add.reduceat(n, first)) if len(first) else totals
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for row, own in _sets(batch.column(1)):
+            for _, own in _sets(batch.column(1)):
                 if len(own) and (mark := _fingerprint(own)) not in seen:
                     seen.add(mark)
-                    kept.append((own.copy(), ids[row]))
+                    kept.append(own.copy())
                     size += len(own)
                     if size > 1 << 19:
-                        keys, n, low = fold(kept, totals)
+                        keys, n = fold(kept, totals)
                         if len(keys) > 1 << 19:  # keep what has been seen twice; the rest starts again
-                            keys, n, low = keys[n > 1], n[n > 1], low[n > 1]
-                        kept, totals, size = [], (keys, n, low), 0
-        keys, n, low = fold(kept, totals)
+                            keys, n = keys[n > 1], n[n > 1]
+                        kept, totals, size = [], (keys, n), 0
+        keys, n = fold(kept, totals)
         often = n >= LOCAL
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often]), pa.array(low[often])], names=["shingle", "n", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
 
-    counted = rows.mapInArrow(count, "shingle long, n long, low long").groupBy("shingle").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
-    top = counted.where(F.col("n") > limit).orderBy(F.desc("n"), "shingle").limit(FREQUENT_LISTED).collect()
-    return {r.shingle: r.low for r in top}
+    counted = rows.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") > limit).orderBy(F.desc("n"), "shingle").limit(FREQUENT_LISTED).select("shingle").collect()
+    return np.sort(np.array([r.shingle for r in top], np.int64).view(np.uint64))
 
 
-def _parts(rows: DataFrame, listed: dict[int, int]) -> DataFrame:
+def _parts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Each document's set size and first shingles, rare and frequent ones apart. Of equal sets in a partition only the first
     one met (``rep``) has shingles."""
-    frequent = np.sort(np.array(list(listed), np.int64).view(np.uint64))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
+            keys, out = batch.column(0).to_pylist(), []
             for row, own in _sets(batch.column(1)):
-                mark, none = _fingerprint(own), np.empty(0, np.uint64)
-                rep = seen.setdefault(mark, ids[row]) if len(own) else ids[row]
-                rare, often = none, none
-                if len(own) and rep == ids[row]:
+                mark, rare, often, r = _fingerprint(own), own[:0], own[:0], 0
+                rep = seen.setdefault(mark, keys[row]) if len(own) else keys[row]
+                if len(own) and rep == keys[row]:
                     at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
                     known = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
-                    rare = own[~known][: prefix_length(len(own))].copy()
-                    often = own[known][: prefix_length(len(own)) - len(rare)].copy()
-                out.append((ids[row], len(own), rep, rare.view(np.int64), often.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n", "rep", "rare", "frequent"])
+                    r, first = int((~known).sum()), prefix_length(len(own))
+                    rare, often = own[~known][:first], own[known][: max(0, first - r)]
+                out.append((keys[row], len(own), rep, *mark[1:], r, rare.view(np.int64), often.view(np.int64)))
+            kinds = (*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 2)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in PARTS.split(", ")])
 
     return rows.mapInArrow(make, PARTS)
 
 
-def _region_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """Pairs in the regions of rare shingles that may link: ``a, b``; of a region of over ``limit`` members only ``large``, its shingle, and its least member.
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-    A pair is counted once for each first shingle that it shares. Beyond those, two sets can share no more than the frequent ones among
-    their first shingles and what follows in the longer rest, which bounds the intersection from above. ``members``: ``shingle, meta,
-    doc_id`` with the set's size and number of frequent first shingles in ``meta``.
-    """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 3
-        for batch in _with_end(batches):
-            columns = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)] if batch is not None else rest
-            shingle = columns[0]
-            end = len(shingle) if batch is None else int(np.searchsorted(shingle, shingle[-1])) if len(shingle) else 0
-            rest = [c[end:] for c in columns]
-            shingle, meta, doc = (c[:end] for c in columns)
-            if not len(shingle):
-                continue
-            n = meta >> 32
-            first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
-            many = np.diff(np.append(first, len(shingle)))
-            big = np.repeat(many > limit, many)
-            at = np.flatnonzero(many > limit)
-            if len(at):
-                low = np.minimum.reduceat(doc, first)[at]
-                yield _pair_rows(low, low, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), shingle[first[at]])
-            step = 1
-            live = np.flatnonzero(~big[:-1] & (shingle[1:] == shingle[:-1]))
-            while len(live):
-                fits = live[(DENOMINATOR * n[live] >= NUMERATOR * n[live + step]) & (DENOMINATOR * n[live + step] >= NUMERATOR * n[live]) & (doc[live] != doc[live + step])]
-                if len(fits):
-                    swap = doc[fits] > doc[fits + step]
-                    x, y = np.where(swap, fits + step, fits), np.where(swap, fits, fits + step)
-                    rows, k = np.unique(np.stack([doc[x], doc[y], meta[x], meta[y]]), axis=1, return_counts=True)
-                    yield _pair_rows(rows[0], rows[1], rows[2], rows[3], k, None)
-                step += 1
-                live = live[live + step < len(shingle)]
-                live = live[shingle[live] == shingle[live + step]]
+def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of rows sorted by their first column, in portions that hold whole regions; each region's first row and size."""
+    rest: list[np.ndarray] | None = None
+    for batch in _with_end(batches):
+        own = [c.to_numpy() for c in batch.columns] if batch is not None else None
+        columns = own if rest is None else rest if own is None else [np.concatenate(both) for both in zip(rest, own, strict=True)]
+        if columns is None or not len(columns[0]):
+            continue
+        end = len(columns[0]) if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))
+        rest = [c[end:] for c in columns]
+        if end:
+            columns = [c[:end] for c in columns]
+            first = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
+            yield columns, first, np.diff(np.append(first, end))
 
-    placed = members.repartition("shingle").sortWithinPartitions("shingle", F.desc("meta"), "doc_id")
-    met = placed.mapInArrow(pairs, "a long, b long, ma long, mb long, k long, large long").groupBy("a", "b", "ma", "mb", "large").agg(F.sum("k").alias("k"))
-    n = [F.shiftright(F.col(m), 32) for m in ("ma", "mb")]
-    frequent = [F.col(m).bitwiseAND(F.lit((1 << 32) - 1)) for m in ("ma", "mb")]
-    after = [F.ceil(F.lit(NUMERATOR) * x / F.lit(DENOMINATOR)) - 1 for x in n]
-    most = F.col("k") + F.least(*frequent) + F.greatest(*after)
-    may = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[0] + n[1])
-    return met.where(F.col("large").isNotNull() | may).select("a", "b", "large")
 
+def _rare_regions(members: DataFrame) -> DataFrame:
+    """Members of regions of at least two, with the region's size and pivot. ``members``: ``shingle, key, n, r``."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, _, many in _whole_regions(batches):
+            columns = [c[np.repeat(many > 1, many)] for c in columns]
+            many = many[many > 1]
+            if len(many):
+                shingle, key, n, r = (c[np.lexsort((columns[1], columns[3] / columns[2], columns[0]))] for c in columns)
+                pivot = np.repeat(np.cumsum(many) - many, many)
+                out = (shingle, key, n, r, np.repeat(many, many), key[pivot], n[pivot])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[c.split()[0] for c in REGION.split(", ")])
+
+    return members.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(make, REGION)
+
+
+def _frequent_regions(members: DataFrame) -> DataFrame:
+    """The same for the listed shingles, of which there is a bounded number: members don't move."""
+    central = F.min(F.struct(F.expr("r / n"), "key", "n")).alias("p")
+    pivots = small_side(members.groupBy("shingle").agg(F.count("*").alias("many"), central).select("shingle", "many", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    return members.join(pivots, "shingle").select("shingle", "key", "n", "r", "many", "pivot", "pivot_n")
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
 
+def _near_sizes(n: str, m: str) -> Column:
+    return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
 
-def _pair_rows(a, b, ma, mb, k, large: np.ndarray | None) -> pa.RecordBatch:
-    last = pa.array(large, pa.int64()) if large is not None else pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (a, b, ma, mb, k)), last], names=["a", "b", "ma", "mb", "k", "large"])
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``a, b, distance, linked`` of pairs of documents, by their complete sets.
+    """``a, b, distance, linked`` of distinct pairs of keys, by their complete sets.
 
-    Only documents in a pair are read out of ``rows``: their ids are broadcast while they are few (counted), else joined.
+    Only sets in a pair are made from the texts of ``rows``. Of each pair the set in more pairs is the hub; a block of up to ``BLOCK`` of a
+    hub's pairs gets one copy of it, so a hub of any number of pairs is sent once a block and its blocks are spread.
     """
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = rows.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    pairs = cut(pairs.select("a", "b"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    degrees = small_side(ends.groupBy("id").agg(F.count("*").alias("degree")))
+    chosen = rows.join(degrees, F.col("key") == F.col("id"), "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = [(ids[row], own.tobytes()) for row, own in _sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["doc_id", "own"])
-
-    sets = chosen.mapInArrow(make, "doc_id long, own binary")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
+            keys = batch.column(0).to_pylist()
+            out = [(keys[row], own.tobytes()) for row, own in _sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["id", "own"])
+
+    sets = chosen.select("key", "text").mapInArrow(make, "id long, own binary")
+    both = pairs.join(degrees.withColumnsRenamed({"id": "a", "degree": "da"}), "a").join(degrees.withColumnsRenamed({"id": "b", "degree": "db"}), "b")
+    first = F.col("da") >= F.col("db")
+    placed = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("da", "db").alias("d"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("d") / BLOCK)))
+    hubs = placed.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("id"), F.lit(0).alias("role"))
+    asked = hubs.unionByName(placed.select("hub", "block", "id", F.lit(1).alias("role")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, whole = None, np.empty(0, np.uint64)
         for batch in batches:
-            shared, sizes = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                shared.append(int((y[at] == x).sum()) if len(y) else 0)
-                sizes.append((len(x), len(y)))
-            linked = [links(m, n, k) for (m, n), k in zip(sizes, shared, strict=True)]
-            distance = [1 - k / (m + n - k) if m + n > k else 0.0 for (m, n), k in zip(sizes, shared, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
+            out = []
+            for name, key, role, own in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                if role == 0:
+                    hub, whole = name, own.copy()
+                    continue
+                assert hub == name
+                at = np.minimum(np.searchsorted(whole, own), max(len(whole) - 1, 0))
+                shared = int((whole[at] == own).sum()) if len(whole) else 0
+                union = len(own) + len(whole) - shared
+                out.append((min(key, hub), max(key, hub), 1 - shared / union if union else 0.0, links(len(own), len(whole), shared)))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "distance", "linked"])
 
-    with smaller_batches(rows.sparkSession, BATCH_ROWS):
-        return cut(both.mapInArrow(compare, "a long, b long, distance double, linked boolean"))
+    with smaller_batches(rows.sparkSession, SET_ROWS):
+        blocks = asked.join(sets, "id").select("hub", "id", "role", "own", "block").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
+        return cut(blocks.mapInArrow(compare, "a long, b long, distance double, linked boolean"))
 
 
-def _ordered(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _cells(edges: DataFrame) -> DataFrame:
+    return small_side(components(edges).withColumnsRenamed({"node": "key", "component": "c"}))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document: the least id reachable by links, its own included.
+def _in_cells(members: DataFrame, cells: DataFrame) -> DataFrame:
+    return members.join(cells, "key", "left").withColumn("c", F.coalesce("c", "key"))
 
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased; sets hold distinct runs of five words, a shorter text's
-    whole sequence being one. Texts that are null or without words link with nothing. Rows with a null id have no links and a null
-    component; rows that repeat an id count as one document, of the longest of their texts. Other columns are not read; an
-    empty table gives an empty result. Equality of shingles is that of 64-bit hashes.
+
+def _rare_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different cells in small regions of rare shingles that may link. ``members``: ``shingle, key, n, tail, c``.
+
+    A pair is counted once for each first shingle that it shares. Beyond those, two sets can share no more than the last ones among
+    their first shingles (``tail``: frequent, or of large regions) and what follows in the longer rest.
     """
-    spark = docs.sparkSession
-    workers_see_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.where("doc_id is not null")
-    with smaller_batches(spark, BATCH_ROWS):
-        listed = _frequent(known, frequent)
+    names = ("a", "b", "na", "nb", "ta", "tb", "k")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, first, many in _whole_regions(batches):
+            c = columns[4]
+            mixed = np.repeat(np.minimum.reduceat(c, first) < np.maximum.reduceat(c, first), many)
+            shingle, key, n, tail, c = (x[mixed] for x in columns)
+            live, step = np.arange(len(shingle)), 1
+            while len(live := live[live + step < len(shingle)]) and len(live := live[shingle[live] == shingle[live + step]]):
+                other = live + step
+                fits = (c[live] != c[other]) & (DENOMINATOR * np.minimum(n[live], n[other]) >= NUMERATOR * np.maximum(n[live], n[other]))
+                x, y = live[fits], other[fits]
+                if len(x):
+                    x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
+                    rows, k = np.unique(np.stack([key[x], key[y], n[x], n[y], tail[x], tail[y]]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in (*rows, k)], names=list(names))
+                step += 1
+
+    placed = members.select("shingle", "key", "n", "tail", "c").repartition("shingle").sortWithinPartitions("shingle", "key")
+    met = placed.mapInArrow(pairs, ", ".join(f"{c} long" for c in names)).groupBy(*names[:-1]).agg(F.sum("k").alias("k"))
+    after = [F.ceil(F.lit(NUMERATOR) * F.col(c) / F.lit(DENOMINATOR)) - 1 for c in ("na", "nb")]
+    most = F.col("k") + F.least("ta", "tb") + F.greatest(*after)
+    return met.where((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _close(members: DataFrame, distances: DataFrame, edges: DataFrame, cells: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps 2 and 3 for large regions: the edges found, and the pairs that are still to be compared.
+
+    ``members``: ``shingle, key, n, full, pivot``, where two sets of a region share at most the smaller ``full`` or meet in other regions too.
+    """
+    d = small_side(distances.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance"))
+    placed = members.withColumns({"x": F.least("key", "pivot"), "y": F.greatest("key", "pivot")}).join(d, ["x", "y"], "left")
+    placed = cut(placed.select("shingle", "key", "n", "full", F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("d")))
+    bound = (NUMERATOR + DENOMINATOR) * F.least("full", "o_full") >= NUMERATOR * (F.col("n") + F.col("o_n"))
+    may = (F.col("c") != F.col("o_c")) & _near_sizes("n", "o_n") & bound
+    within = F.coalesce(F.abs(F.col("d") - F.col("o_d")) <= 1 - NUMERATOR / DENOMINATOR + 1e-9, F.lit(True))
+    asked = None
     while True:
-        path = new_path(spark, "jaccard-parts")
-        with smaller_batches(spark, BATCH_ROWS):
-            _parts(known, listed).write.parquet(path)
-        parts = spark.read.parquet(path)
-        meta = F.shiftleft(F.col("n"), 32) + F.size("frequent")
-        members = parts.select(F.explode("rare").alias("shingle"), meta.alias("meta"), "doc_id")
-        limit = 2 * frequent if len(listed) < FREQUENT_LISTED else 1 << 60
-        found = cut(_region_pairs(members, limit))
-        more = {r.large: r.a for r in found.where("large is not null").limit(FREQUENT_LISTED).collect()}
-        if not more:
+        named = _in_cells(placed, cells)
+        sizes = named.groupBy("shingle", "c").count().groupBy("shingle")
+        main = small_side(sizes.agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("cells")).where("cells > 1").drop("cells"))
+        state = cut(named.join(main, "shingle"))
+        outside = state.where("c <> main")
+        pivots = small_side(outside.groupBy("shingle").agg(F.min(F.struct(F.expr("1 - full / n"), F.col("key").alias("o"), F.col("n").alias("o_n"), F.col("full").alias("o_full"), F.col("c").alias("o_c"))).alias("p")).select("shingle", "p.*"))
+        found = outside.join(pivots, "shingle").where(may).select(*_pair("key", "o")).distinct()
+        found = cut(found if asked is None else found.join(asked, ["a", "b"], "left_anti"))
+        if found.isEmpty():
+            break
+        asked = found if asked is None else cut(asked.unionByName(found))
+        linked = verified(found, rows).where("linked").select("a", "b")
+        if linked.isEmpty():
             break
-        listed |= more
-
-    pairs = found.select("a", "b").where("a <> b")
-    pivots = spark.createDataFrame(list(listed.items()), "shingle long, pivot long")
-    regions = cut(parts.select(F.explode("frequent").alias("shingle"), "n", "doc_id").join(F.broadcast(pivots), "shingle"))
-    around = regions.where("doc_id <> pivot").select(*_ordered(F.col("doc_id"), F.col("pivot")))
-    compared = verified(cut(pairs.unionByName(around).distinct()), known)
-    edges = compared.where("linked").select("a", "b")
-    if listed:
-        edges = _close_regions(regions, compared, edges, known)
-    lower = parts.groupBy("rep").agg(F.min("doc_id").alias("low")).where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    found = components(edges.unionByName(lower)).withColumnsRenamed({"node": "rep", "component": "c"})
-    named = parts.select("doc_id", "n", "rep").join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "rep").alias("component_id"))
-    if not rows.where("doc_id is null").limit(1).count():
-        return named
-    return named.unionByName(_parts(rows.where("doc_id is null"), {}).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
-
-
-def _close_regions(regions: DataFrame, compared: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """All edges, with those that regions of frequent shingles still need: see the module's text."""
-    near = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    d = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance")
-    placed = regions.withColumns({"x": F.least("doc_id", "pivot"), "y": F.greatest("doc_id", "pivot")}).join(d, ["x", "y"], "left")
-    placed = cut(placed.select("shingle", "doc_id", "n", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("d")))
+        edges = cut(edges.unionByName(linked))
+        cells = _cells(edges)
+    others = small_side(outside.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("key", "n", "full", "c", "d"))))
+    left = state.join(others, "shingle").where(may & within).select(*_pair("key", "o_key")).distinct()
+    return edges, left if asked is None else left.join(asked, ["a", "b"], "left_anti")
+
+
+def _components(rows: DataFrame, frequent: int) -> DataFrame:
+    """``key, n, c`` of rows with unique keys: set size, and the least key reachable by links."""
     spark = rows.sparkSession
-    done = spark.createDataFrame([], "shingle long, doc_id long")
-    state = None
-    while True:
-        if state is None:
-            found = components(edges).withColumnsRenamed({"node": "doc_id", "component": "c"})
-            state = placed.join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-            sizes = state.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-            state = cut(state.join(sizes, "shingle"))
-        outside = state.where("c <> main").join(done, ["shingle", "doc_id"], "left_anti")
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))
-        chosen = cut(outside.groupBy("shingle", bucket.alias("bucket")).agg(F.min(F.struct("doc_id", "n", "d", "c")).alias("p")).select("shingle", "p.*"))
-        if not chosen.limit(1).count():
-            return edges
-        done = cut(done.unionByName(chosen.select("shingle", "doc_id")))
-        p = chosen.select(F.col("shingle").alias("s"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("d").alias("pivot_d"), F.col("c").alias("pivot_c"))
-        sized = (DENOMINATOR * F.least("n", "pivot_n") >= NUMERATOR * F.greatest("n", "pivot_n")) & (F.abs(F.col("d") - F.col("pivot_d")) <= near)
-        asked = state.join(p, (F.col("shingle") == F.col("s")) & (F.col("c") != F.col("pivot_c")) & sized)
-        pairs = cut(asked.select(*_ordered(F.col("doc_id"), F.col("pivot"))).distinct())
-        more = verified(pairs, rows).where("linked").select("a", "b")
-        if more.limit(1).count():
-            edges, state = cut(edges.unionByName(more)), None
+    paths = [new_path(spark, f"jaccard-{name}") for name in ("parts", "regions")]
+    with smaller_batches(spark, BATCH_ROWS):
+        parts = stored(_parts(rows, _frequent(rows, frequent)), paths[0])
+
+    firsts = parts.where("key = rep and n > 0")
+    equal = firsts.groupBy("n", "f1", "f2").agg(F.min("key").alias("low"), F.count("*").alias("many")).where("many > 1").drop("many")
+    folded = cut(firsts.select("key", "n", "f1", "f2").join(small_side(equal), ["n", "f1", "f2"]).where("low < key").select(F.col("low").alias("a"), F.col("key").alias("b")))
+    members = firsts.join(small_side(folded.select(F.col("b").alias("key"))), "key", "left_anti")
+
+    rare = _rare_regions(members.select(F.explode("rare").alias("shingle"), "key", "n", "r"))
+    often = _frequent_regions(members.select(F.explode("frequent").alias("shingle"), "key", "n", "r"))
+    regions = stored(rare.withColumn("listed", F.lit(False)).unionByName(often.withColumn("listed", F.lit(True))), paths[1])
+
+    around = regions.where((F.col("key") != F.col("pivot")) & _near_sizes("n", "pivot_n")).select(*_pair("key", "pivot")).distinct()
+    distances = verified(around, rows)
+    edges = cut(distances.where("linked").select("a", "b"))
+    cells = _cells(edges)
+
+    small = ~F.col("listed") & (F.col("many") <= 2 * frequent)
+    full = F.when(F.col("listed"), F.col("n") - F.col("r")).otherwise(F.col("n")).alias("full")
+    large = regions.where(~small)
+    if not large.isEmpty():
+        edges, asked = _close(large.select("shingle", "key", "n", full, "pivot"), distances, edges, cells, rows)
+        asked = cut(asked)
+        cells = _cells(edges)
+    else:
+        asked = None
+    unlisted = small_side(large.where(~F.col("listed")).groupBy("key").agg(F.count("*").alias("more")))
+    first = F.col("n") - F.ceil(F.lit(NUMERATOR) * F.col("n") / F.lit(DENOMINATOR)) + 1
+    tail = F.greatest(first - F.col("r"), F.lit(0)) + F.coalesce("more", F.lit(0))
+    rest = _rare_pairs(_in_cells(regions.where(small).join(unlisted, "key", "left").withColumn("tail", tail.cast("long")), cells))
+    rest = rest if asked is None else rest.unionByName(asked).distinct()
+    more = verified(rest.join(distances.select("a", "b"), ["a", "b"], "left_anti"), rows).where("linked").select("a", "b")
+
+    same = cut(parts.select("key", "n", "rep"))
+    within = same.groupBy("rep").agg(F.min("key").alias("low")).where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    found = components(cut(edges.unionByName(more).unionByName(folded).unionByName(within)))
+    for path in paths:
+        forget(spark, path)
+    return same.join(found.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").select("key", "n", F.coalesce("c", "rep").alias("c"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: the least id reachable by links, its own included.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased; sets hold distinct runs of five words, a shorter text's
+    whole sequence being one. Texts that are null or without words link with nothing. Every row is a document of its own, also where
+    rows repeat an id or have none; a component without any id has a null one. Other columns are not read; an
+    empty table gives an empty result. Equality of shingles is that of 64-bit hashes.
+    """
+    workers_see_package(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows, key = keyed(own, "doc_id", nulls_last=True)
+    found = _components(rows.select(F.col(key).alias("key"), "text"), frequent)
+    ids = rows.select(F.col(key).alias("key"), "doc_id")
+    least = ids.select(F.col("key").alias("c"), F.col("doc_id").alias("component_id"))  # keys ascend with ids, nulls last
+    if key == "doc_id":
+        return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    return found.join(ids, "key").join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -1,4 +1,4 @@
-"""What the operators share: where tables and files go, and how Python workers find the package."""
+"""What the operators share: where tables and files go, how Python workers find the package, and keys of rows."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BROADCAST_ROWS = 1 << 20  #: sides of at most so many narrow rows (counted) are broadcast; larger ones are shuffled
 
 
 def workers_see_package(spark: SparkSession) -> None:
@@ -23,7 +25,7 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; set to a temporary one only where the session has none (tests)."""
+    """The folder in ``spark.checkpoint.dir``. In local mode, and only there, an unset one becomes a temporary folder."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -31,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
@@ -42,11 +46,51 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses, as a URI."""
-    folder = shared_folder(spark).rstrip("/")
-    if "://" not in folder:
-        folder = f"file://{folder.removeprefix('file:')}"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses. A folder without a scheme is one of the default file system."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI with scheme, as readers outside Spark need it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return uri if "://" in uri else uri.replace("file:", "file://", 1)
+
+
+def stored(frame: DataFrame, path: str) -> DataFrame:
+    """``frame`` as a Parquet table at ``path``, read again: as ``cut``, but compressed and by columns."""
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_side(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``frame``, cut and counted: marked for a broadcast if it has at most ``most`` rows, else as it is."""
+    made = cut(frame)
+    return F.broadcast(made) if made.count() <= most else made
+
+
+def keyed(docs: DataFrame, id_col: str, nulls_last: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` with a unique key of type long that ascends with the id, and the key's name.
+
+    Ids that are unique and not null are the key (one pass over the ids tells). Otherwise the rows are sorted by id, nulls
+    first or last and rows of one id in any order, numbered, and stored in the shared folder.
+    """
+    own = F.col(id_col).cast("long")
+    bad = docs.groupBy(own.alias("id")).agg(F.count("*").alias("many")).where("id is null or many > 1")
+    if bad.isEmpty():
+        return docs, id_col
+    name = "row_key"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    placed = docs.withColumn(name, F.monotonically_increasing_id())
+    ordered = placed.orderBy(own.asc_nulls_last() if nulls_last else own.asc_nulls_first(), name)
+    return stored(ordered.withColumn(name, F.monotonically_increasing_id()), new_path(docs.sparkSession, "keyed")), name
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

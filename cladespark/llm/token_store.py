@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import new_path, workers_see_package
+from .runtime import new_path, qualified, workers_see_package
 from .tokens import encoder
 
 # Fixed values of the seekable zstandard format.
@@ -115,7 +115,7 @@ class TokenFile:
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return pafs.FileSystem.from_uri(uri)
 
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     """
     spark = docs.sparkSession
     workers_see_package(spark)
-    uri = folder if "://" in folder else f"file://{folder}"
+    uri = qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

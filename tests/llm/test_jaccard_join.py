@@ -60,10 +60,35 @@ def test_against_brute_force(spark, frequent, seed):
 
 def test_null_ids_and_empty_table(spark):
     frame = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (2, "a b c")], "doc_id long, text string")
-    assert sorted(map(tuple, jaccard_components(frame).collect()), key=str) == [(2, 1, 2), (4, 1, 2), (None, 1, None)]
+    assert sorted(map(tuple, jaccard_components(frame).collect()), key=str) == [(2, 1, 2), (4, 1, 2), (None, 1, 2)]
+    frame = spark.createDataFrame([(None, "p q"), (None, "p q"), (None, "x"), (1, "a b c d e f g"), (1, "x y"), (2, "x y"), (3, "a b c d e f g")], "doc_id long, text string")
+    want = [(None, 1, None), (None, 1, None), (None, 1, None), (1, 3, 1), (1, 1, 1), (2, 1, 1), (3, 3, 1)]
+    assert sorted(map(tuple, jaccard_components(frame).collect()), key=str) == sorted(want, key=str)
     assert jaccard_components(frame.limit(0)).count() == 0
 
 
+def test_one_large_group_of_near_copies(spark):
+    """Every copy differs from the template in a few places of its own; some are too far from it to link."""
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(200)]
+    docs = []
+    for k in range(10_000):
+        own = list(template)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 9])):
+            own[rng.randrange(len(own))] = f"v{k}-{rng.random()}"
+        docs.append((k, " ".join(own)))
+    base = shingles(" ".join(template))
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(16)).collect()}
+    sets = {d: shingles(t) for d, t in docs}
+    near = [d for d, s in sets.items() if 100 * len(s & base) >= 75 * len(s | base)]
+    assert {got[d] for d in near} == {min(near)}  # a copy without an edit is the template itself
+    far = [d for d in sets if d not in set(near)]
+    assert len(far) > 500
+    for d in rng.sample(far, 60):
+        linked = [e for e, s in sets.items() if e != d and 100 * len(s & sets[d]) >= 75 * len(s | sets[d])]
+        assert (got[d] != d or min([d, *linked]) == d) and all(got[e] == got[d] for e in linked)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 130)] + [(7, 1000 + k) for k in range(60)] + [(5, 5), (2000, 1005)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
