@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .runtime import workers_see_package
+from .runtime import cut, workers_see_package
 from .words import ALPHANUMERIC, Words, windows, words
 
 SHINGLE = 3
@@ -122,21 +122,19 @@ def _frequencies(docs: DataFrame, text_col: str, shingles: dict[int, np.ndarray]
     return {r.shingle % (1 << 64): r.n for r in counted.collect()}
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, size: int, block_words: int) -> list[Index]:
-    """Indexes of bounded size over all items."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, size: int, block_words: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes of bounded size that together cover all items, one at a time, and whether more follow."""
     spaced = F.regexp_replace(F.col("text"), "[^0-9A-Za-z\\x80-\\x{10FFFF}]+", " ")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split(spaced, " ")))).first()[0] or 0
     count = -(-total // block_words) or 1
-    out = []
     for k in range(count):
         found = item_windows(items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect(), size)
         by_size: dict[int, list[np.ndarray]] = defaultdict(list)
         for window in found:
             by_size[min(SHINGLE, len(window.hashes))].append(window.shingles)
         frequency = _frequencies(docs, text_col, {n: np.unique(np.concatenate(s)) for n, s in by_size.items()}) if found else {}
-        out.append(Index(found, frequency))
-    return out
+        yield Index(found, frequency), k + 1 < count
 
 
 def _scan(batches: Iterator[pa.RecordBatch], column: str, index: Index) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[int]], list[list[str]]]]:
@@ -162,7 +160,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     workers_see_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    indexes = _blocks(docs, benchmark, text_col, size, block_words)
 
     def spans(index: Index, all_rows: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +172,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return rows.mapInArrow(run, "doc_id long, key long, n_words long, places array<int>, items array<string>")
 
-    found = spans(indexes[0], True)
-    for index in indexes[1:]:
+    found = None
+    for index, last in ((i, not more) for i, more in _blocks(docs, benchmark, text_col, size, block_words)):
+        if found is None:
+            found = spans(index, True) if last else cut(spans(index, True))
+            continue
         more = spans(index, False).groupBy("doc_id", "key").agg(F.first("places").alias("p"), F.first("items").alias("i"))
         more = more.withColumnsRenamed({"doc_id": "d", "key": "k"})
         joined = found.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
         found = joined.select("doc_id", "key", "n_words", *(F.array_union(a, F.coalesce(b, F.array().cast(t))).alias(a) for a, b, t in (("places", "p", "array<int>"), ("items", "i", "array<string>"))))
+        found = found if last else cut(found)  # the driver then lets go of this block's index
     n_hit = F.size("places").cast("long")
     named = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -189,13 +190,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
     workers_see_package(docs.sparkSession)
-    for index in _blocks(docs, benchmark, text_col, size, block_words):
+    for index, more in _blocks(docs, benchmark, text_col, size, block_words):
 
         def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch, _, _, owners in _scan(batches, text_col, index):
                 yield batch.filter(pa.array([not o for o in owners], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        docs = cut(docs) if more else docs
     return docs
 
 

@@ -1,9 +1,11 @@
 """Exact deduplication by Grace hashing.
 
-Records are folded twice: first inside each input partition, so that a text with any number of copies leaves at most
+Digests are counted first, as equal texts have equal ones: a text whose digest occurs once is unique, and its content never moves.
+Records of the other texts are folded twice: first inside each input partition, so that a text with any number of copies leaves at most
 one record there, then, after one shuffle on the text's digest, over the whole table. Each fold puts records into an
 open-addressing table that compares complete contents. A fold whose distinct contents outgrow its memory partitions
-them and all later records into spill files by further digest bits, and folds each file in the same way.
+them and all later records into spill files by further digest bits, and folds each file in the same way. Spill files are a task's own: they
+go with it, and a task that runs again makes them anew.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import workers_see_package
+from .runtime import BROADCAST_ROWS, cut, small_side, workers_see_package
 
 FANOUT_BITS = 4
 SLOT_BYTES = 200
@@ -146,15 +148,30 @@ def _fold(memory_bytes: int):
     return fold
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 64 << 20) -> DataFrame:
-    """One row per distinct text: ``text_sha256, keep_id`` (its largest id), ``group_size``."""
-    workers_see_package(docs.sparkSession)
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``digest, id, content`` of all rows, and ``digest, id, n`` of all digests (largest id, number of rows)."""
     content = F.coalesce(F.col(text_col), F.lit(""))
-    records = docs.select(F.sha2(content, 256).alias("digest"), F.encode(content, "UTF-8").alias("content"), F.col(id_col).cast("long").alias("id"), F.lit(1).cast("long").alias("n"))
+    records = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), F.col(id_col).cast("long").alias("id"), F.encode(content, "UTF-8").alias("content"))
+    return records, cut(records.groupBy("digest").agg(F.max("id").alias("id"), F.count("*").alias("n")))
+
+
+def _repeated(records: DataFrame, counted: DataFrame, memory_bytes: int) -> DataFrame:
+    """``digest, id, n`` of texts that occur more than once, by their complete contents."""
+    workers_see_package(records.sparkSession)
+    hashed = F.xxhash64("digest").alias("hashed")  # others that share a hash are only folded for nothing
+    wanted = small_side(counted.where("n > 1").select(hashed).distinct())
+    chosen = records.withColumn("hashed", hashed).join(wanted, "hashed", "left_semi")
     kind = "digest string, content binary, id long, n long"
-    local = records.mapInArrow(_fold(memory_bytes), kind)
+    local = chosen.select(F.lower(F.hex("digest")).alias("digest"), "content", "id", F.lit(1).cast("long").alias("n")).mapInArrow(_fold(memory_bytes), kind)
     groups = local.repartition("digest").mapInArrow(_fold(memory_bytes), kind)
-    return groups.select(F.col("digest").alias("text_sha256"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    return groups.where("n > 1").select(F.unhex("digest").alias("digest"), "id", "n")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 64 << 20) -> DataFrame:
+    """One row per distinct text: ``text_sha256, keep_id`` (its largest id), ``group_size``."""
+    records, counted = _counted(docs, id_col, text_col)
+    groups = counted.where("n = 1").unionByName(_repeated(records, counted, memory_bytes))
+    return groups.select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 64 << 20) -> DataFrame:
@@ -162,10 +179,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty. Of equal texts the row with the largest id stays; rows that repeat both id and text are
     one document and share its verdict; a null id loses to any other, and ``kept`` is null-safe. Other columns are
-    not read. An empty table gives an empty result. The join back is on the digest; a group that holds a large share of the rows is
-    split by adaptive execution, as its other side is one row.
+    not read. An empty table gives an empty result. Repeated texts are joined back by their digest, in a broadcast while they are few (counted);
+    beyond that a group that holds a large share of the rows is split by adaptive execution, as its other side is one row.
     """
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("text_sha256"))
-    joined = rows.join(exact_groups(docs, id_col, text_col, memory_bytes), "text_sha256")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    records, counted = _counted(docs, id_col, text_col)
+    groups = small_side(_repeated(records, counted, memory_bytes).withColumnsRenamed({"id": "keep", "n": "many"}), BROADCAST_ROWS // 4)
+    joined = records.select("digest", "id").join(groups, "digest", "left")
+    keep = F.when(F.col("many").isNull(), F.col("id")).otherwise(F.col("keep"))
+    size = F.coalesce("many", F.lit(1)).cast("long")
+    return joined.select(F.col("id").alias("doc_id"), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

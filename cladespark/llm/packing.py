@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document.
 
     Null text counts as empty (the end id alone); null and repeated ids are kept as they are, each row being a document;
-    other columns are not read; an empty table gives an empty result. Ids are made once and the narrow pieces written to the
+    other columns are not read; an empty table gives an empty result. A row's place, not its values, gives its shard, so equal rows spread. Ids are made once and the narrow pieces written to the
     shared folder; one shuffle of them forms the shards.
     """
     pieces = cut(pieces_of(docs, tokenizer, capacity, id_col, text_col))
@@ -176,5 +176,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
         out = shard.drop_columns(["shard"]).append_column("sequence_id", pa.array((number << 32) + sequence))
         return out.append_column("offset", pa.array(offset)).select(names)
 
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return sharded.groupBy("shard").applyInArrow(place, PACKED)
