@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .runtime import cut, workers_see_package
+from .runtime import cut, prepare
 from .words import ALPHANUMERIC, Words, windows, words
 
 SHINGLE = 3
@@ -158,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words; items with a null id or text have no windows; equal item texts count as separate items under their ids, and rows of one id and text share
     their items. Repeated documents each get a row. Empty tables are allowed on either side. Other columns are not read.
     """
-    workers_see_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     def spans(index: Index, all_rows: bool):
@@ -189,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
-    workers_see_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     for index, more in _blocks(docs, benchmark, text_col, size, block_words):
 
         def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:

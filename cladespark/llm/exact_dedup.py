@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, cut, small_side, workers_see_package
+from .runtime import BROADCAST_ROWS, cut, prepare, small_side
 
 FANOUT_BITS = 4
 SLOT_BYTES = 200
@@ -157,7 +157,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 def _repeated(records: DataFrame, counted: DataFrame, memory_bytes: int) -> DataFrame:
     """``digest, id, n`` of texts that occur more than once, by their complete contents."""
-    workers_see_package(records.sparkSession)
+    prepare(records.sparkSession)
     hashed = F.xxhash64("digest").alias("hashed")  # others that share a hash are only folded for nothing
     wanted = small_side(counted.where("n > 1").select(hashed).distinct())
     chosen = records.withColumn("hashed", hashed).join(wanted, "hashed", "left_semi")
@@ -167,14 +167,14 @@ def _repeated(records: DataFrame, counted: DataFrame, memory_bytes: int) -> Data
     return groups.where("n > 1").select(F.unhex("digest").alias("digest"), "id", "n")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 64 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 32 << 20) -> DataFrame:
     """One row per distinct text: ``text_sha256, keep_id`` (its largest id), ``group_size``."""
     records, counted = _counted(docs, id_col, text_col)
     groups = counted.where("n = 1").unionByName(_repeated(records, counted, memory_bytes))
     return groups.select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 64 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 32 << 20) -> DataFrame:
     """Every row's group of identical texts: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null text counts as empty. Of equal texts the row with the largest id stays; rows that repeat both id and text are

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import workers_see_package
+from .runtime import prepare
 
 SAMPLE_PAGES = 500
 LEAST_WORDS = 20  #: of a kind of element; rarer ones get no weight of their own
@@ -192,7 +192,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES, html_col: str = "html",
     of lying inside, from 0.3 to 3. So is a tag's, from -1 to -0.1, and at least -0.3 for tags that articles are made of. Executors count; a row for each
     kind, block and tag of the sample comes back.
     """
-    workers_see_package(pages.sparkSession)
+    prepare(pages.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -267,7 +267,7 @@ def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "pag
     Null, empty and tag-only pages have an empty text; null ids and urls stay null; repeated pages each get a row; an
     empty table gives an empty result; other columns are not read.
     """
-    workers_see_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     weights = weights or learn(pages, html_col=html_col, id_col=id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

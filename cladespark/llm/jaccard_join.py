@@ -21,20 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import DENOMINATOR, NUMERATOR, cells_of, close, in_cells, links, near_sizes, pair, whole_regions
 from .components import components
-from .runtime import cut, forget, keyed, new_path, small_side, smaller_batches, stored, workers_see_package
+from .runtime import cut, forget, keyed, new_path, prepare, small_side, smaller_batches, stored
 from .words import NON_SPACE, mix, shingle_sets, words
 
 SHINGLE = 5
-NUMERATOR, DENOMINATOR = 75, 100
 FREQUENT = 48  #: shingles of more documents come last in the order, and their regions join by windows
 FREQUENT_LISTED = 1 << 19  #: at most so many of them; the regions of others are found by their size
 LOCAL = 3
 BLOCK = 256  #: pairs of one set that a task compares with one copy of it
-BATCH_ROWS = 1000  #: rows of whole texts in a batch
 SET_ROWS = 200  #: rows of whole sets in a batch
 
 PARTS = "key long, n long, rep long, f1 long, f2 long, r long, rare array<long>, frequent array<long>"
@@ -46,11 +45,6 @@ def prefix_length(n):
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-def links(size_a, size_b, shared):
-    """Whether two sets link, from their sizes and the size of their intersection."""
-    return DENOMINATOR * shared >= NUMERATOR * (size_a + size_b - shared)
-
-
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     for chunk in words(column, NON_SPACE):
         hashes, bounds = shingle_sets(chunk, SHINGLE)
@@ -129,32 +123,11 @@ def _parts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return rows.mapInArrow(make, PARTS)
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Columns of rows sorted by their first column, in portions that hold whole regions; each region's first row and size."""
-    rest: list[np.ndarray] | None = None
-    for batch in _with_end(batches):
-        own = [c.to_numpy() for c in batch.columns] if batch is not None else None
-        columns = own if rest is None else rest if own is None else [np.concatenate(both) for both in zip(rest, own, strict=True)]
-        if columns is None or not len(columns[0]):
-            continue
-        end = len(columns[0]) if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))
-        rest = [c[end:] for c in columns]
-        if end:
-            columns = [c[:end] for c in columns]
-            first = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
-            yield columns, first, np.diff(np.append(first, end))
-
-
 def _rare_regions(members: DataFrame) -> DataFrame:
     """Members of regions of at least two, with the region's size and pivot. ``members``: ``shingle, key, n, r``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, _, many in _whole_regions(batches):
+        for columns, _, many in whole_regions(batches):
             columns = [c[np.repeat(many > 1, many)] for c in columns]
             many = many[many > 1]
             if len(many):
@@ -173,14 +146,6 @@ def _frequent_regions(members: DataFrame) -> DataFrame:
     return members.join(pivots, "shingle").select("shingle", "key", "n", "r", "many", "pivot", "pivot_n")
 
 
-def _near_sizes(n: str, m: str) -> Column:
-    return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
-
-
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """``a, b, distance, linked`` of distinct pairs of keys, by their complete sets.
 
@@ -228,14 +193,6 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         return cut(blocks.mapInArrow(compare, "a long, b long, distance double, linked boolean"))
 
 
-def _cells(edges: DataFrame) -> DataFrame:
-    return small_side(components(edges).withColumnsRenamed({"node": "key", "component": "c"}))
-
-
-def _in_cells(members: DataFrame, cells: DataFrame) -> DataFrame:
-    return members.join(cells, "key", "left").withColumn("c", F.coalesce("c", "key"))
-
-
 def _rare_pairs(members: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of different cells in small regions of rare shingles that may link. ``members``: ``shingle, key, n, tail, c``.
 
@@ -245,7 +202,7 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
     names = ("a", "b", "na", "nb", "ta", "tb", "k")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, first, many in _whole_regions(batches):
+        for columns, first, many in whole_regions(batches):
             c = columns[4]
             mixed = np.repeat(np.minimum.reduceat(c, first) < np.maximum.reduceat(c, first), many)
             shingle, key, n, tail, c = (x[mixed] for x in columns)
@@ -267,46 +224,11 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
     return met.where((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _close(members: DataFrame, distances: DataFrame, edges: DataFrame, cells: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Steps 2 and 3 for large regions: the edges found, and the pairs that are still to be compared.
-
-    ``members``: ``shingle, key, n, full, pivot``, where two sets of a region share at most the smaller ``full`` or meet in other regions too.
-    """
-    d = small_side(distances.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance"))
-    placed = members.withColumns({"x": F.least("key", "pivot"), "y": F.greatest("key", "pivot")}).join(d, ["x", "y"], "left")
-    placed = cut(placed.select("shingle", "key", "n", "full", F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("d")))
-    bound = (NUMERATOR + DENOMINATOR) * F.least("full", "o_full") >= NUMERATOR * (F.col("n") + F.col("o_n"))
-    may = (F.col("c") != F.col("o_c")) & _near_sizes("n", "o_n") & bound
-    within = F.coalesce(F.abs(F.col("d") - F.col("o_d")) <= 1 - NUMERATOR / DENOMINATOR + 1e-9, F.lit(True))
-    asked = None
-    while True:
-        named = _in_cells(placed, cells)
-        sizes = named.groupBy("shingle", "c").count().groupBy("shingle")
-        main = small_side(sizes.agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("cells")).where("cells > 1").drop("cells"))
-        state = cut(named.join(main, "shingle"))
-        outside = state.where("c <> main")
-        pivots = small_side(outside.groupBy("shingle").agg(F.min(F.struct(F.expr("1 - full / n"), F.col("key").alias("o"), F.col("n").alias("o_n"), F.col("full").alias("o_full"), F.col("c").alias("o_c"))).alias("p")).select("shingle", "p.*"))
-        found = outside.join(pivots, "shingle").where(may).select(*_pair("key", "o")).distinct()
-        found = cut(found if asked is None else found.join(asked, ["a", "b"], "left_anti"))
-        if found.isEmpty():
-            break
-        asked = found if asked is None else cut(asked.unionByName(found))
-        linked = verified(found, rows).where("linked").select("a", "b")
-        if linked.isEmpty():
-            break
-        edges = cut(edges.unionByName(linked))
-        cells = _cells(edges)
-    others = small_side(outside.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("key", "n", "full", "c", "d"))))
-    left = state.join(others, "shingle").where(may & within).select(*_pair("key", "o_key")).distinct()
-    return edges, left if asked is None else left.join(asked, ["a", "b"], "left_anti")
-
-
 def _components(rows: DataFrame, frequent: int) -> DataFrame:
     """``key, n, c`` of rows with unique keys: set size, and the least key reachable by links."""
     spark = rows.sparkSession
     paths = [new_path(spark, f"jaccard-{name}") for name in ("parts", "regions")]
-    with smaller_batches(spark, BATCH_ROWS):
-        parts = stored(_parts(rows, _frequent(rows, frequent)), paths[0])
+    parts = stored(_parts(rows, _frequent(rows, frequent)), paths[0])
 
     firsts = parts.where("key = rep and n > 0")
     equal = firsts.groupBy("n", "f1", "f2").agg(F.min("key").alias("low"), F.count("*").alias("many")).where("many > 1").drop("many")
@@ -317,24 +239,26 @@ def _components(rows: DataFrame, frequent: int) -> DataFrame:
     often = _frequent_regions(members.select(F.explode("frequent").alias("shingle"), "key", "n", "r"))
     regions = stored(rare.withColumn("listed", F.lit(False)).unionByName(often.withColumn("listed", F.lit(True))), paths[1])
 
-    around = regions.where((F.col("key") != F.col("pivot")) & _near_sizes("n", "pivot_n")).select(*_pair("key", "pivot")).distinct()
+    around = regions.where((F.col("key") != F.col("pivot")) & near_sizes("n", "pivot_n")).select(*pair("key", "pivot")).distinct()
     distances = verified(around, rows)
     edges = cut(distances.where("linked").select("a", "b"))
-    cells = _cells(edges)
+    cells = cells_of(edges)
 
     small = ~F.col("listed") & (F.col("many") <= 2 * frequent)
     full = F.when(F.col("listed"), F.col("n") - F.col("r")).otherwise(F.col("n")).alias("full")
     large = regions.where(~small)
+    asked = None
     if not large.isEmpty():
-        edges, asked = _close(large.select("shingle", "key", "n", full, "pivot"), distances, edges, cells, rows)
-        asked = cut(asked)
-        cells = _cells(edges)
-    else:
-        asked = None
+        d = small_side(distances.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance"))
+        placed = large.withColumns({"x": F.least("key", "pivot"), "y": F.greatest("key", "pivot")}).join(d, ["x", "y"], "left")
+        apart = F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("d")
+        placed = cut(placed.select(F.col("shingle").alias("region"), "key", "n", full, apart))
+        edges, asked = close(placed, edges, cells, lambda pairs: verified(pairs, rows).where("linked").select("a", "b"))
+        cells = cells_of(edges)
     unlisted = small_side(large.where(~F.col("listed")).groupBy("key").agg(F.count("*").alias("more")))
     first = F.col("n") - F.ceil(F.lit(NUMERATOR) * F.col("n") / F.lit(DENOMINATOR)) + 1
     tail = F.greatest(first - F.col("r"), F.lit(0)) + F.coalesce("more", F.lit(0))
-    rest = _rare_pairs(_in_cells(regions.where(small).join(unlisted, "key", "left").withColumn("tail", tail.cast("long")), cells))
+    rest = _rare_pairs(in_cells(regions.where(small).join(unlisted, "key", "left").withColumn("tail", tail.cast("long")), cells))
     rest = rest if asked is None else rest.unionByName(asked).distinct()
     more = verified(rest.join(distances.select("a", "b"), ["a", "b"], "left_anti"), rows).where("linked").select("a", "b")
 
@@ -354,7 +278,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows repeat an id or have none; a component without any id has a null one. Other columns are not read; an
     empty table gives an empty result. Equality of shingles is that of 64-bit hashes.
     """
-    workers_see_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, key = keyed(own, "doc_id", nulls_last=True)
     found = _components(rows.select(F.col(key).alias("key"), "text"), frequent)

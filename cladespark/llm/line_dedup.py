@@ -1,11 +1,13 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines that are equal after trimming and lower-casing are one; an input partition passes each on once. A line's set of
-character shingles gets a one-permutation MinHash signature, densified by rotation, whose bands propose pairs: all pairs of a band's bucket of at
-most ``SMALL`` lines; in a larger one first each line with its predecessor and with the first. Pairs are verified by
-the exact Jaccard similarity of their shingle sets. Lines of large buckets outside the bucket's main component then become pivots, and are
-compared with all lines of other components, until none is left unchecked, so no link between components is missed. Connected components are found
-on the distributed edges, and of each component the occurrence with the least document id and line number stays.
+Lines that are equal after trimming and lower-casing are one; one pass over the texts writes each partition's different lines with the bands of
+their signatures. A line's set of character shingles gets a one-permutation MinHash signature, densified by rotation, whose bands form buckets.
+Links are pairs of a bucket whose shingle sets have the threshold's Jaccard similarity, computed exactly from the lines. They are looked for up to connectivity:
+first each line is compared with its bucket's first line and with its predecessor. Buckets whose lines are then in different components go
+on as regions (module ``cells``): lines outside the main component, around pivots of their own, and at last every pair of different components
+that windows leave. The window that matters in families of templates counts a line's shingles that no other line of such buckets has: they can't be shared.
+So no link between components is missed, and pairs in one component aren't listed. Connected components are found on the distributed edges,
+and of each component the occurrence with the least document id and line number stays.
 """
 
 from __future__ import annotations
@@ -18,21 +20,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import cells_of, close, in_cells, links, whole_regions
 from .components import components
-from .runtime import cut, workers_see_package
-from .words import mix
+from .runtime import BROADCAST_ROWS, cut, forget, keyed, new_path, prepare, small_side, stored
+from .words import mix, power_tables
 
 SHINGLE = 8
-THRESHOLD = 0.75
-BANDS, ROWS = 16, 4
-SMALL = 32  #: buckets of more lines are joined by pivots
-PIVOTS = 64  #: pivots of a large bucket in the first round; each round has twice as many
-BROADCAST_KEYS = 1 << 22
+BANDS, ROWS = 12, 4
+SEEN_LINES = 1 << 20  #: keys of lines that a task remembers; beyond them it starts again, and lines may be written twice
 _BINS = BANDS * ROWS
 _VALUE_BITS = 40
 _EMPTY = np.uint64(1) << np.uint64(63)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
+SCANNED = "is_line boolean, id long, keys array<long>, line string"
+
 
 def normal(line: str) -> str:
     return " ".join(line.split()).lower()
@@ -46,17 +48,15 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all lines' character shingles, and the line of each; a line of fewer characters is one shingle."""
     lengths = np.array([len(x) for x in lines])
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    row = np.repeat(np.arange(len(lines)), np.maximum(lengths - SHINGLE + 1, 1))
     counts = np.maximum(lengths - SHINGLE + 1, 1)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-    padded = np.concatenate([points + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
-    total, factor = np.zeros(len(at), np.uint64), 1
-    end = np.repeat(starts + lengths, counts)
-    for k in range(SHINGLE):
-        factor = factor * _MULTIPLIER % (1 << 64)
-        total += np.where(at + k < end, padded[at + k], np.uint64(0)) * np.uint64(factor)
-    return mix(total), row
+    row = np.repeat(np.arange(len(lines)), counts)
+    ends = np.cumsum(lengths)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - (ends - lengths), counts)
+    stop = np.minimum(at + SHINGLE, ends[row])
+    power, inverse = power_tables(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix(points + np.uint64(1)) * power[: len(points)], out=total[1:])
+    return mix((total[stop] - total[at]) * inverse[at]), row
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -86,219 +86,188 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return total.view(np.int64)
 
 
-def similarities(a: list[str], b: list[str]) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of each pair of lines, for many pairs at a time (at most 2 ** 20)."""
-    sides = []
-    for lines in (a, b):
-        hashes, row = shingle_hashes(lines)
-        sides.append(np.unique((row.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20))))
-    shared = np.intersect1d(*sides, assume_unique=True)
-    sizes = [np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=len(a)) for x in (*sides, shared)]
-    return sizes[2] / (sizes[0] + sizes[1] - sizes[2])
+def _distinct(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's different shingles, as hashes that hold the line too, sorted, and the line of each."""
+    own = mix(hashes ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(own)
+    own = own[order]
+    fresh = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.empty(0, bool)
+    return own[fresh], row[order[fresh]]
+
+
+def shared_shingles(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the shingle sets of each pair of lines, and of their intersection, for many pairs at a time."""
+    (x, row_x), (y, row_y) = _distinct(*shingle_hashes(a)), _distinct(*shingle_hashes(b))
+    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+    return tuple(np.bincount(r, minlength=len(a)) for r in (row_x, row_y, row_x[y[at] == x]))
 
 
 def similarity(a: str, b: str) -> float:
-    return float(similarities([a], [b])[0])
+    n, m, k = (int(v[0]) for v in shared_shingles([a], [b]))
+    return k / (n + m - k)
 
 
-def _portions(a: list[str], b: list[str], characters: int = 1 << 19) -> Iterator[slice]:
-    """Ranges of pairs with a bounded number of characters, or one pair."""
+def _portions(sizes: list[int], most: int = 1 << 19) -> Iterator[slice]:
+    """Ranges of rows with a bounded number of characters, or one row."""
     first = size = 0
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        if k > first and size + len(x) + len(y) > characters:
+    for k, own in enumerate(sizes):
+        if k > first and size + own > most:
             yield slice(first, k)
             first, size = k, 0
-        size += len(x) + len(y)
-    if first < len(a):
-        yield slice(first, len(a))
+        size += own
+    if first < len(sizes):
+        yield slice(first, len(sizes))
 
 
-def _occurrences(rows: DataFrame) -> DataFrame:
-    """``key, doc_id, line`` of every line that isn't blank."""
+def _scanned(rows: DataFrame) -> DataFrame:
+    """Of each row the keys of its lines (null: blank), and of each line not met before in the task its bands."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        kinds = (pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.string())
+        names = [c.split()[0] for c in SCANNED.split(", ")]
         for batch in batches:
-            keys, docs, places = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for place, line in enumerate(text.split("\n")):
-                    if own := normal(line):
-                        keys.append(key_of(own))
-                        docs.append(doc_id)
-                        places.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], names=["key", "doc_id", "line"])
-
-    return rows.mapInArrow(make, "key long, doc_id long, line int")
-
-
-def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]]:
-    """Lines not met before in this partition, some at a time."""
-    seen: set[int] = set()
-    for batch in batches:
-        found, size = [], 0
-        for text in batch.column(1).to_pylist():
-            for line in text.split("\n"):
-                if (own := normal(line)) and (key := key_of(own)) not in seen:
-                    seen.add(key)
-                    found.append((key, own))
-                    size += len(own)
-                    if size > 1 << 19:
-                        yield found
-                        found, size = [], 0
-        if found:
-            yield found
-
-
-def _bands(rows: DataFrame) -> DataFrame:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _distinct_lines(batches):
-            bands = band_keys([line for _, line in found])
-            keys = np.repeat(np.array([k for k, _ in found], np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(keys)], names=["band", "key"])
-
-    return rows.mapInArrow(make, "band long, key long")
-
-
-def _candidates(bands: DataFrame) -> DataFrame:
-    """``a, b, large``: pairs of lines, ``large`` null; and each line of a bucket of over ``SMALL``, with the bucket as ``large`` and its line as ``a`` and ``b``."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 2
-        for batch in _with_end(batches):
-            bands, keys = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)] if batch is not None else rest
-            end = len(bands) if batch is None or not len(bands) else int(np.searchsorted(bands, bands[-1]))
-            rest = [bands[end:], keys[end:]]
-            bands, keys = bands[:end], keys[:end]
-            if not end:
-                continue
-            first = np.flatnonzero(np.concatenate(([True], bands[1:] != bands[:-1])))
-            many = np.diff(np.append(first, end))
-            big = np.repeat(many > SMALL, many)
-            head = np.repeat(first, many)
-            after = np.flatnonzero(big & (head != np.arange(end)))
-            near = [(keys[head[after]], keys[after]), (keys[after - 1], keys[after])]
-            live, step = np.flatnonzero(~big), 1
-            while len(live := live[live + step < end]) and len(live := live[bands[live] == bands[live + step]]):
-                near.append((keys[live], keys[live + step]))
-                step += 1
-            x, y = (np.concatenate(side) for side in zip(*near, strict=True))
-            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.nulls(found.shape[1], pa.int64())], names=["a", "b", "large"])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(keys[big]), pa.array(bands[big])], names=["a", "b", "large"])
-
-    return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(pairs, "a long, b long, large long").distinct()
-
-
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def _texts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """``key, text`` of the wanted lines; only these leave their partition."""
-    wanted = cut(wanted)
+            docs, found, lines = [], [], []
+            for text in batch.column(1).to_pylist():
+                own = []
+                for line in text.split("\n"):
+                    line = normal(line)
+                    own.append(key := key_of(line) if line else None)
+                    if line and key not in seen:
+                        seen.add(key)
+                        found.append(key)
+                        lines.append(line)
+                docs.append(own)
+            n = len(docs)
+            yield pa.RecordBatch.from_arrays([pa.array([False] * n), batch.column(0), pa.array(docs, kinds[2]), pa.nulls(n, kinds[3])], names=names)
+            for part in _portions([len(x) for x in lines]):
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(lines[part]).ravel()), BANDS).cast(kinds[2])
+                n = part.stop - part.start
+                yield pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(found[part], kinds[1]), bands, pa.array(lines[part], kinds[3])], names=names)
+            if len(seen) > SEEN_LINES:
+                seen.clear()
+
+    return rows.mapInArrow(make, SCANNED)
+
+
+def _buckets(bands: DataFrame) -> DataFrame:
+    """``band, key, first, before`` of buckets with at least two lines: each line's key, the bucket's first and the one before. ``bands``: ``band, key``."""
+    names = ["band", "key", "first", "before"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _distinct_lines(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=["key", "text"])
+        for (band, key), _, _ in whole_regions(batches):
+            fresh = np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
+            band, key = band[fresh], key[fresh]
+            first = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+            many = np.diff(np.append(first, len(band)))
+            head = np.repeat(first, many)
+            keep = np.repeat(many > 1, many)
+            before = key[np.maximum(np.arange(len(key)) - 1, head)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (band, key, key[head], before)], names=names)
 
-    texts = rows.mapInArrow(make, "key long, text string")
-    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key", "left_semi").dropDuplicates(["key"])
+    return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(make, ", ".join(f"{c} long" for c in names))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose shingle sets have the threshold's Jaccard similarity."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, na, nb, linked``: sizes of the shingle sets of pairs of lines, and whether they have the threshold's similarity."""
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
+    both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            near = [similarities(x[part], y[part]) >= THRESHOLD for part in _portions(x, y)]
-            same = pa.array(np.concatenate(near) if near else np.empty(0, bool))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(same)
+            for part in _portions([len(p) + len(q) for p, q in zip(x, y, strict=True)]):
+                n, m, k = shared_shingles(x[part], y[part])
+                own = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(n), pa.array(m), pa.array(links(n, m, k))], names=["a", "b", "na", "nb", "linked"])
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long, na long, nb long, linked boolean")
 
 
-def _sizes(texts: DataFrame) -> DataFrame:
-    """``key, n``: how many shingles a line has."""
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """``key, own``: how many shingles of a line no other line of ``texts`` has (without those it has twice)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = batch.column(1).to_pylist()
-            n = np.zeros(len(lines), np.int64)
-            for part in _portions(lines, [""] * len(lines)):
+            keys, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for part in _portions([len(x) for x in lines]):
                 hashes, row = shingle_hashes(lines[part])
-                own = np.unique((row.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
-                n[part] = np.bincount((own >> np.uint64(44)).astype(np.int64), minlength=part.stop - part.start)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["key", "n"])
-
-    return texts.select("key", "text").mapInArrow(make, "key long, n long")
-
-
-def _closed(members: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """All edges, with those that large buckets still need. ``members``: ``band, key``.
-
-    A pivot is compared with every line of its buckets that is in another component and could be as like it by its size, but for
-    earlier pivots, which have met it already; pairs in one component are not enumerated.
-    """
-    if not members.limit(1).count():
+                hashes, at, many = np.unique(hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys[part][row[at]]), pa.array(many == 1)], names=["shingle", "key", "alone"])
+
+    made = texts.select("key", "line").mapInArrow(make, "shingle long, key long, alone boolean")
+    single = made.groupBy("shingle").agg(F.count("*").alias("many"), F.min("key").alias("key"), F.min("alone").alias("alone")).where("many = 1 and alone")
+    return single.groupBy("key").agg(F.count("*").alias("own"))
+
+
+def line_links(scanned: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between keys of lines whose components are those of all links. ``scanned``: what one pass wrote."""
+    lines = scanned.where("is_line")
+    buckets = cut(_buckets(lines.select(F.explode("keys").alias("band"), F.col("id").alias("key"))))
+    ask = buckets.select("key", F.explode(F.array("first", "before")).alias("other")).where("key <> other")
+    ask = cut(ask.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+    wanted = small_side(buckets.select("key").distinct())
+    texts = cut(lines.select(F.col("id").alias("key"), "line").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    met = cut(_compared(ask, texts))
+    edges = cut(met.where("linked").select("a", "b"))
+    cells = cells_of(edges)
+
+    named = in_cells(buckets.select("band", "key"), cells)
+    mixed = small_side(named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"))
+    members = cut(buckets.select("band", "key").join(mixed, "band", "left_semi"))
+    if members.isEmpty():
         return edges
-    texts = cut(_texts(members.select("key").distinct(), rows))
-    members = cut(members.join(_sizes(texts), "key"))
-    done = rows.sparkSession.createDataFrame([], "key long")
-    state, pivots = None, PIVOTS
-    while True:
-        if state is None:
-            found = components(edges).withColumnsRenamed({"node": "key", "component": "c"})
-            named = members.join(found, "key", "left").withColumn("c", F.coalesce("c", "key"))
-            main = named.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-            state = cut(named.join(main, "band"))
-        left = state.join(done, "key", "left_anti")
-        bucket = F.pmod(F.xxhash64("key"), F.lit(pivots))
-        chosen = cut(left.where("c <> main").groupBy("band", bucket.alias("bucket")).agg(F.min("key").alias("key")).select("key").distinct())
-        if not chosen.limit(1).count():
-            return edges
-        p = state.join(chosen, "key", "left_semi").select("band", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
-        sized = F.least("n", "pivot_n") >= F.lit(THRESHOLD) * F.greatest("n", "pivot_n")
-        asked = left.join(p, "band").where((F.col("c") != F.col("pivot_c")) & sized)
-        pairs = asked.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        more = cut(_linked(pairs, texts))
-        done, pivots = cut(done.unionByName(chosen)), 2 * pivots
-        if more.limit(1).count():
-            edges, state = cut(edges.unionByName(more)), None
-
-
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line, group, kept`` of every line that occurs more than once or is near another."""
-    workers_see_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    met = cut(_candidates(_bands(rows)))
-    pairs = met.where("large is null").select("a", "b")
-    edges = cut(_linked(pairs, _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), rows)))
-    edges = _closed(met.where("large is not null").select(F.col("large").alias("band"), F.col("a").alias("key")), edges, rows)
-    found = components(edges).withColumnsRenamed({"node": "key", "component": "c"})
-    occurrences = _occurrences(rows)
-    firsts = occurrences.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    groups = firsts.join(found, "key", "left").where("n > 1 or c is not null").select("key", F.coalesce("c", "key").alias("group"), "first")
-    groups = cut(groups)
+    sizes = met.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("na").alias("n")), F.struct(F.col("b").alias("key"), F.col("nb").alias("n")))).alias("s")).select("s.*").dropDuplicates(["key"])
+    keys = small_side(members.select("key").distinct())
+    own = _own_shingles(texts.join(keys, "key", "left_semi"))
+    known = small_side(keys.join(sizes, "key").join(own, "key", "left").select("key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("full")))
+    placed = cut(members.join(known, "key").select(F.col("band").alias("region"), "key", "n", "full", F.lit(None).cast("double").alias("d")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _compared(pairs, texts).where("linked").select("a", "b")
+
+    edges, left = close(placed, edges, cells, linked)
+    return cut(edges.unionByName(linked(left.join(met.select("a", "b"), ["a", "b"], "left_anti"))))
+
+
+def dropped_lines(rows: DataFrame, key: str) -> DataFrame:
+    """``doc, line, group`` of every line that goes. ``rows``: ``key`` (unique) and ``text``."""
+    spark = rows.sparkSession
+    prepare(spark)
+    path = new_path(spark, "lines")
+    scanned = stored(_scanned(rows.select(key, "text")), path)
+    found = components(line_links(scanned)).withColumnsRenamed({"node": "key", "component": "c"})
+    occurrences = scanned.where("not is_line").select(F.col("id").alias("doc"), F.posexplode("keys").alias("line", "key")).where("key is not null")
+    firsts = occurrences.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
+    groups = cut(firsts.join(found, "key", "left").where("n > 1 or c is not null").select("key", F.coalesce("c", "key").alias("group"), "first"))
     winners = groups.groupBy("group").agg(F.min("first").alias("winner"))
-    known = groups.join(winners, "group").select("key", "group", "winner")
-    at = F.struct("doc_id", "line")
-    return occurrences.join(known, "key").select("doc_id", "line", "group", at.eqNullSafe(F.col("winner")).alias("kept"))
+    known = small_side(groups.join(winners, "group").select("key", "group", "winner"))
+    out = cut(occurrences.join(known, "key").where(F.struct("doc", "line") != F.col("winner")).select("doc", "line", "group"))
+    forget(spark, path)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept_text`` of every document.
+    """``doc_id, n_lines, n_dropped, kept_text`` of every row.
 
-    Lines end at line feeds. Blank lines stay and aren't compared. Null text counts as empty (one blank line). Rows that
-    repeat an id drop the lines at the same places; a null id is an id of its own, less than all others. An empty table gives an empty result; other columns
-    are not read.
+    Lines end at line feeds. Blank lines stay and aren't compared. Null text counts as empty (one blank line). Every row is a document of its own, also where
+    rows repeat an id or have none; null ids come after all others, so their lines go first. An empty table gives an empty result; other columns
+    are not read. Equality of shingles is that of 64-bit hashes; only links of pairs that share a band of their signatures are found.
     """
-    drops = line_groups(docs, id_col, text_col).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "d")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    lines = F.split("text", "\n")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda _, k: ~F.array_contains(gone, k))
-    return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows, key = keyed(own, "doc_id", nulls_last=True)
+    gone = dropped_lines(rows, key)
+    few = gone.count() <= BROADCAST_ROWS
+    gone = gone.groupBy("doc").agg(F.collect_list("line").alias("gone"))
+    joined = rows.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("doc"), "left").select("doc_id", "text", "gone")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines, places = text.split("\n"), set(places or ())
+                out.append((len(lines), len(places), "\n".join(x for k, x in enumerate(lines) if k not in places) if places else text))
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+    return joined.mapInArrow(keep, "doc_id long, n_lines long, n_dropped long, kept_text string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, workers_see_package
+from .runtime import cut, prepare
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -28,7 +28,7 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole texts as ids with the end id 0; only longer documents are cut, into pieces of ``capacity`` ids."""
-    workers_see_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = encoder(tokenizer), 4 * capacity

@@ -13,15 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 BROADCAST_ROWS = 1 << 20  #: sides of at most so many narrow rows (counted) are broadcast; larger ones are shuffled
 
 
-def workers_see_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a no-op where it is installed)."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a no-op where it is installed), and bound the rows of
+    an Arrow batch: rows here hold whole texts, and a batch is in memory twice, in the JVM and in its worker."""
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+    rows = int(spark.conf.get(BATCH))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -100,10 +106,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @contextlib.contextmanager
 def smaller_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, Arrow batches have at most ``rows`` rows, so wide rows keep the memory of workers bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH, before)

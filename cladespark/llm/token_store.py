@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import new_path, qualified, workers_see_package
+from .runtime import new_path, prepare, qualified
 from .tokens import encoder
 
 # Fixed values of the seekable zstandard format.
@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     writes a new file, and only files in the manifest count.
     """
     spark = docs.sparkSession
-    workers_see_package(spark)
+    prepare(spark)
     uri = qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
 
 def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     """``doc_id, start, ids`` of the files' documents (of all, or of the wanted ids)."""
-    workers_see_package(manifest.sparkSession)
+    prepare(manifest.sparkSession)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import workers_see_package
+from .runtime import prepare
 
 MAX_ROWS = 8000
 LEXICON_TERMS = 4000
@@ -189,7 +189,7 @@ class Model:
 
 
 def _in_tasks(frame: DataFrame, function, schema: str) -> DataFrame:
-    workers_see_package(frame.sparkSession)
+    prepare(frame.sparkSession)
     return frame.mapInArrow(function, schema)
 
 

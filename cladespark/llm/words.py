@@ -29,7 +29,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         size = max(n, 1 << 20)
@@ -104,7 +104,7 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, first: int)
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.concatenate((inside[1:], [False])) if len(data) else inside
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts])

@@ -54,6 +54,22 @@ def test_against_brute_force(spark):
     assert line_dedup(frame.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows that repeat an id hold lines of their own; null ids come last."""
+    docs = [(1, "one line of some length here\nshared line of some length"), (1, "shared line of some length\nanother line of some length"), (None, "another line of some length\none line of some length here"), (None, None)]
+    got = sorted(map(tuple, line_dedup(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()), key=str)
+    assert sum(n for _, n, _, _ in got) == 7 and sum(g for _, _, g, _ in got) == 3
+    kept = [x for *_, text in got for x in text.split("\n") if x]
+    assert sorted(kept) == ["another line of some length", "one line of some length here", "shared line of some length"]
+    assert [(n, g) for d, n, g, _ in got if d is None] == [(1, 0), (2, 2)]
+
+
+def test_many_repeated_lines_in_one_text(spark):
+    docs = [(1, "the very same line of text\n" * 100_000), (2, "the very same line of text")]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (got[1].n_lines, got[1].n_dropped, got[2].kept_text) == (100_001, 99_999, "")
+
+
 def test_similarity_and_recall():
     rng = random.Random(5)
     near = found = 0
