@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+PAIR_BLOCKS = 16
+SPLITS_AT_ONCE = 4096  #: of the most frequent splits that may still fit, for each round of the extended consensus
+
+
 def clade_masks(nodes: DataFrame) -> DataFrame:
     """``tree, mask, bl`` of clades out of rows ``tree, node, bit, bl``, one for each tip under a node."""
     return nodes.groupBy("tree", "node").agg(F.bit_or("bit").alias("mask"), F.max("bl").alias("bl")).select("tree", "mask", "bl")
@@ -35,8 +39,12 @@ def tree_distances(splits: DataFrame, n_taxa: int) -> DataFrame:
     sizes = splits.groupBy("tree").agg(F.count("*").alias("n"), F.sum(F.col("bl") * F.col("bl")).alias("sq"))
     x, y = splits.select(F.col("tree").alias("t1"), "split", F.col("bl").alias("b1")), splits.select(F.col("tree").alias("t2"), "split", F.col("bl").alias("b2"))
     shared = x.join(y, "split").where("t1 < t2").groupBy("t1", "t2").agg(F.count("*").alias("k"), F.sum(F.col("b1") * F.col("b2")).alias("dot"))
-    a, b = sizes.withColumnsRenamed({"tree": "t1", "n": "n1", "sq": "s1"}), sizes.withColumnsRenamed({"tree": "t2", "n": "n2", "sq": "s2"})
-    pairs = a.join(b, F.col("t1") < F.col("t2")).join(shared, ["t1", "t2"], "left")
+    # Every pair is wanted, so they are dealt out in blocks: a tree goes once to each pair of its block with another block.
+    block, other = F.pmod(F.xxhash64("tree"), F.lit(PAIR_BLOCKS)), F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)))
+    dealt = lambda own, far: sizes.withColumn(own, block).withColumn(far, other)
+    a = dealt("x", "y").withColumnsRenamed({"tree": "t1", "n": "n1", "sq": "s1"})
+    b = dealt("y", "x").withColumnsRenamed({"tree": "t2", "n": "n2", "sq": "s2"})
+    pairs = a.join(b, ["x", "y"]).where("t1 < t2").join(shared, ["t1", "t2"], "left")
     rf = F.col("n1") + F.col("n2") - 2 * F.coalesce("k", F.lit(0))
     square = F.col("s1") + F.col("s2") - 2 * F.coalesce("dot", F.lit(0.0))
     most = 2 * (n_taxa - 3)
@@ -50,10 +58,64 @@ def split_support(splits: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(trees)).select("split", "n", F.round(F.col("n") / F.col("trees"), 6).alias("support"), "bl")
 
 
-def consensus(splits: DataFrame, method: str = "majority", threshold: float = 0.5) -> DataFrame:
-    """Splits of the strict, the majority, or a threshold consensus, in order of support; equal ones by mask."""
+def consensus(splits: DataFrame, method: str = "majority", threshold: float = 0.5, n_taxa: int | None = None) -> DataFrame:
+    """Splits of the strict, the majority, a threshold, or the extended majority consensus, which needs ``n_taxa``."""
+    support = split_support(splits)
+    if method == "extended":
+        return extended_majority(support, n_taxa)
     rule = {"strict": F.col("support") >= 1, "majority": F.col("support") > 0.5, "threshold": F.col("support") >= threshold}[method]
-    return split_support(splits).where(rule)
+    return support.where(rule)
+
+
+def fit(a: int, b: int, full: int) -> bool:
+    return not a & b or not a & ~b or not b & ~a or not full & ~(a | b)
+
+
+def extended_majority(support: DataFrame, n_taxa: int) -> DataFrame:
+    """The majority splits, then others by falling support (ties: fewer taxa, then the smaller mask) as long as each fits all taken before.
+
+    A tree has at most ``n_taxa - 3`` splits. Executors leave out what doesn't fit the ones taken so far; the driver sees the
+    ``SPLITS_AT_ONCE`` first of the rest, until there is none.
+    """
+    full = (1 << n_taxa) - 1
+    support = support.cache()
+    taken: list[int] = []
+    size = F.bit_count("split")
+    while len(taken) < max(0, n_taxa - 3):
+        rest = support.where(~F.col("split").isin(taken)) if taken else support
+        for mask in taken:
+            rest = rest.where(compatible(F.col("split"), F.lit(mask), full))
+        found = [r.split for r in rest.orderBy(F.desc("n"), size, "split").select("split").limit(SPLITS_AT_ONCE).collect()]
+        before = len(taken)
+        for split in found:
+            if len(taken) < n_taxa - 3 and all(fit(split, t, full) for t in taken):
+                taken.append(split)
+        if len(taken) == before:
+            break
+    return support.where(F.col("split").isin(taken)) if taken else support.limit(0)
+
+
+def consensus_tree(accepted: DataFrame, n_taxa: int) -> DataFrame:
+    """``node, parent, taxa, support, bl`` of the tree of compatible splits: nodes are masks of the taxa below; the root, all taxa, has no parent.
+
+    A node's parent is the smallest split that holds it. ``accepted`` has at most ``n_taxa - 3`` rows, so it is broadcast.
+    """
+    spark = accepted.sparkSession
+    full = (1 << n_taxa) - 1
+    leaves = spark.range(n_taxa).select(F.expr("shiftleft(1L, cast(id AS int))").alias("node"), F.lit(None).cast("double").alias("support"), F.lit(None).cast("double").alias("bl"))
+    inner = accepted.select(F.col("split").alias("node"), F.col("support").cast("double").alias("support"), "bl")
+    up = inner.select(F.col("node").alias("above")).unionByName(spark.range(1).select(F.lit(full).cast("long").alias("above")))
+    found = leaves.unionByName(inner).join(F.broadcast(up), (F.col("above") != F.col("node")) & (F.col("above").bitwiseAND(F.col("node")) == F.col("node")))
+    parents = found.groupBy("node").agg(F.min_by("above", F.struct(F.bit_count("above"), "above")).alias("parent"), F.first("support").alias("support"), F.first("bl").alias("bl"))
+    root = spark.range(1).select(F.lit(full).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("support"), F.lit(None).cast("double").alias("bl"))
+    return parents.unionByName(root).select("node", "parent", F.bit_count("node").alias("taxa"), "support", "bl")
+
+
+def check_taxa(clades: DataFrame) -> None:
+    """Raise ``ValueError`` where the trees don't all have the same taxa. ``clades``: ``tree, mask`` with each tree's root among its clades."""
+    found = clades.groupBy("tree").agg(F.bit_or("mask").alias("taxa")).select("taxa").distinct().limit(2).count()
+    if found > 1:
+        raise ValueError("the trees have different taxa")
 
 
 def reference_support(reference: DataFrame, replicates: DataFrame) -> DataFrame:

@@ -34,6 +34,25 @@ add(
 add("split_support", lambda s, d: P.split_support(_splits(s, d)), f"WITH {SUPPORT_SQL} SELECT * FROM support")
 for method, rule in (("strict", "support >= 1"), ("majority", "support > 0.5"), ("threshold", "support >= 0.2")):
     add(f"consensus_{method}", lambda s, d, m=method: P.consensus(_splits(s, d), m, 0.2), f"WITH {SUPPORT_SQL} SELECT * FROM support WHERE {rule}")
+EXTENDED_SQL = f"""{SUPPORT_SQL}, o AS (SELECT split, n, support, bl, row_number() OVER (ORDER BY n DESC, bit_count(split), split) AS k FROM support),
+    x AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT o.k, CASE WHEN len(list_filter(x.taken, lambda t: t & o.split > 0 AND t & ~o.split > 0 AND o.split & ~t > 0 AND ({(1 << TAXA) - 1} & ~(t | o.split)) > 0)) = 0 THEN list_append(x.taken, o.split) ELSE x.taken END
+      FROM x JOIN o ON o.k = x.k + 1),
+    accepted AS (SELECT o.split, n, support, bl FROM o WHERE o.split IN (SELECT unnest(taken) FROM x WHERE k = (SELECT max(k) FROM x)))"""
+
+
+def _extended(s, d):
+    return P.consensus(_splits(s, d), "extended", n_taxa=TAXA)
+
+
+add("consensus_extended", _extended, f"WITH RECURSIVE {EXTENDED_SQL} SELECT * FROM accepted")
+add(
+    "consensus_tree",
+    lambda s, d: P.consensus_tree(_extended(s, d), TAXA),
+    f"""WITH RECURSIVE {EXTENDED_SQL}, nodes AS (SELECT (1::BIGINT << k) AS node, NULL::DOUBLE AS support, NULL::DOUBLE AS bl FROM (SELECT unnest(generate_series(0, {TAXA - 1}))::INTEGER AS k) UNION ALL SELECT split, support, bl FROM accepted),
+    above AS (SELECT split AS a FROM accepted UNION ALL SELECT {(1 << TAXA) - 1})
+    SELECT node, arg_min(a, bit_count(a) * {1 << (TAXA + 1)} + a) AS parent, bit_count(node)::INTEGER AS taxa, any_value(support) AS support, any_value(bl) AS bl FROM nodes JOIN above ON a <> node AND a & node = node GROUP BY node
+    UNION ALL SELECT {(1 << TAXA) - 1}, NULL, {TAXA}, NULL, NULL""",
+)
 add(
     "bootstrap_support",
     lambda s, d: P.reference_support(_splits(s, d, by="'all'"), _splits(s, d)),
