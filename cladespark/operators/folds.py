@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 State = dict[str, Column]
 
 
-def fold_up(tree: DataFrame, leaves: DataFrame, combine: Callable[[], State], height: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """States of all nodes. ``leaves``: ``node, site`` and state columns; ``combine`` gives the aggregates, by state column, over
-    the children of a node, which have ``ord`` and ``bl`` beside their states."""
+def fold_up(
+    tree: DataFrame, leaves: DataFrame, combine: Callable[[], State], height: int, carry: tuple[str, ...] = (), after: Callable[[DataFrame], DataFrame] = lambda x: x, root_only: bool = False
+) -> DataFrame:
+    """States of all nodes, or of the root alone, for which each level is computed once. ``leaves``: ``node, site`` and state columns; ``combine`` gives
+    the aggregates, by state column, over the children of a node, which have ``ord`` and ``bl`` beside their states; ``after`` changes the states of a level."""
     edges = F.broadcast(tree.select("node", "parent", "ord", "bl", "level"))
-    done, current = leaves, leaves
+    tips = leaves.join(F.broadcast(tree.select("node", "level")), "node")
+    done, current = leaves, None
     for level in range(height, 0, -1):
+        own = tips.where(F.col("level") == level).drop("level")
+        current = own if current is None else own.unionByName(current)
         joined = current.join(edges.where(F.col("level") == level), "node")
-        current = joined.groupBy(F.col("parent").alias("node"), "site", *carry).agg(*(c.alias(k) for k, c in combine().items()))
+        current = after(joined.groupBy(F.col("parent").alias("node"), "site", *carry).agg(*(c.alias(k) for k, c in combine().items())))
         done = done.unionByName(current)
-    return done
+    return current if root_only else done
 
 
 def ordered(value: Column) -> Column:
@@ -45,9 +50,9 @@ def fitch_combine() -> State:
     return {"mask": found["mask"], "steps": found["steps"] + F.sum("steps")}
 
 
-def fitch(tree: DataFrame, leaves: DataFrame, height: int) -> DataFrame:
-    """``node, site, mask, steps`` of all nodes; ``leaves``: ``node, site, mask``. The root's steps are the site's score."""
-    return fold_up(tree, leaves.withColumn("steps", F.lit(0).cast("long")), fitch_combine, height)
+def fitch(tree: DataFrame, leaves: DataFrame, height: int, root_only: bool = False) -> DataFrame:
+    """``node, site, mask, steps`` of all nodes, or of the root; ``leaves``: ``node, site, mask``. The root's steps are the site's score."""
+    return fold_up(tree, leaves.withColumn("steps", F.lit(0).cast("long")), fitch_combine, height, root_only=root_only)
 
 
 def fitch_ancestors(tree: DataFrame, up: DataFrame, height: int) -> DataFrame:
@@ -64,14 +69,14 @@ def fitch_ancestors(tree: DataFrame, up: DataFrame, height: int) -> DataFrame:
     return done
 
 
-def camin_sokal(tree: DataFrame, leaves: DataFrame, height: int) -> DataFrame:
+def camin_sokal(tree: DataFrame, leaves: DataFrame, height: int, root_only: bool = False) -> DataFrame:
     """Irreversible 0 to 1: ``node, site, state, steps``; ``leaves``: ``node, site, state``. Where children differ, each that is 1 is a gain."""
 
     def combine() -> State:
         low, high = F.min("state"), F.sum("state")
         return {"state": low, "steps": F.sum("steps") + F.when(low == 1, F.lit(0)).otherwise(high)}
 
-    return fold_up(tree, leaves.withColumn("steps", F.lit(0).cast("long")), combine, height)
+    return fold_up(tree, leaves.withColumn("steps", F.lit(0).cast("long")), combine, height, root_only=root_only)
 
 
 def dollo(tree: DataFrame, leaves: DataFrame, height: int) -> DataFrame:
@@ -87,51 +92,64 @@ def dollo(tree: DataFrame, leaves: DataFrame, height: int) -> DataFrame:
         return {"ones": n, "losses": lost.cast("long"), "best": F.coalesce(whole, lost.cast("long"))}
 
     start = leaves.join(total, "site").select("node", "site", "all", F.col("state").cast("long").alias("ones"), F.lit(0).cast("long").alias("losses"), F.lit(0).cast("long").alias("best"))
-    root = tree.where("level = 0").select("node")
-    found = fold_up(tree, start, combine, height, carry=("all",)).join(F.broadcast(root), "node")
+    found = fold_up(tree, start, combine, height, carry=("all",), root_only=True)
     any_one = F.col("all") > 0
     return found.select("site", any_one.cast("long").alias("gains"), F.when(any_one, F.col("best")).otherwise(0).alias("losses"))
 
 
 def sankoff(tree: DataFrame, leaves: DataFrame, costs: DataFrame, height: int) -> DataFrame:
-    """Least costs ``node, site, state, cost``. ``leaves``: ``node, site, state`` observed; ``costs``: ``s, r, step``.
+    """Least cost of each site at the root: ``site, cost``. ``leaves``: ``node, site, state`` observed; ``costs``: ``s, r, step``, every pair of states.
 
-    A min-plus join per level: from each child's costs, the cheapest change out of every state, summed over children.
+    A row holds a node's costs of all states in columns of its own, and a branch is a min-plus product written out over them, so rows are shuffled
+    once a level, without a row for each state. A leaf's costs above it are a row of the matrix of steps, which comes to the driver (states squared).
     """
-    edges = F.broadcast(tree.select("node", "parent", "level"))
-    steps = F.broadcast(costs)
-    states = costs.select(F.col("s").alias("state")).distinct()
-    far = 1 << 20
-    current = leaves.withColumnRenamed("state", "seen").join(F.broadcast(states)).select("node", "site", "state", F.when(F.col("seen") == F.col("state"), 0).otherwise(far).cast("long").alias("cost"))
-    done = current
+    table = {(r.s, r.r): int(r.step) for r in costs.select("s", "r", "step").collect()}
+    states = sorted({a for a, _ in table})
+    names = [f"c{k}" for k in range(len(states))]
+    place = F.array_position(F.array(*map(F.lit, states)), F.col("state")).cast("int")
+    seen = [F.element_at(F.array(*(F.lit(table[a, b]).cast("long") for b in states)), place).alias(n) for a, n in zip(states, names, strict=True)]
+    moved = [F.least(*(F.col(m) + F.lit(table[a, b]) for b, m in zip(states, names, strict=True))) if len(states) > 1 else F.col(names[0]) for a in states]
+    edges = tree.select("node", "parent", "level")
+    tips = leaves.join(F.broadcast(edges), "node").select("parent", "level", "site", *seen)
+    current = None
     for level in range(height, 0, -1):
-        moved = current.join(edges.where(F.col("level") == level), "node").join(steps, F.col("state") == F.col("r"))
-        least = moved.groupBy("parent", "node", "site", "s").agg(F.min(F.col("cost") + F.col("step")).alias("c"))
-        current = least.groupBy(F.col("parent").alias("node"), "site", F.col("s").alias("state")).agg(F.sum("c").alias("cost"))
-        done = done.unionByName(current)
-    return done
+        own = tips.where(F.col("level") == level).select("parent", "site", *names)
+        if current is not None:
+            above = current.join(F.broadcast(edges.where(F.col("level") == level)), "node")
+            own = own.unionByName(above.select("parent", "site", *(c.alias(n) for c, n in zip(moved, names, strict=True))))
+        current = own.groupBy(F.col("parent").alias("node"), "site").agg(*(F.sum(n).alias(n) for n in names))
+    return current.select("site", (F.least(*names) if len(names) > 1 else F.col(names[0])).alias("cost"))
 
 
-def pruning(tree: DataFrame, leaves: DataFrame, height: int, rate: float = 1.0) -> DataFrame:
-    """Conditional likelihoods ``node, site, l0 .. l3`` under JC69; ``leaves``: ``node, site, state``. Nodes without data give no factor."""
-    e = F.exp(-4.0 / 3.0 * rate * F.greatest("bl", F.lit(1e-8)))
+def pruning(tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,), root_only: bool = False) -> DataFrame:
+    """Conditional likelihoods ``node, site, rate, l0 .. l3, scale`` under JC69 with equal frequencies, times ``exp(scale)``. ``leaves``: ``node, site`` and the observed ``state``, or
+    a ``mask`` of the states that it may be. Nodes without data give no factor. All rates go up together, and each level is scaled to a greatest likelihood of 1."""
+    e = F.exp(-4.0 / 3.0 * F.col("rate") * F.greatest("bl", F.lit(1e-8)))
+    names = [f"l{k}" for k in range(4)]
 
     def combine() -> State:
         total = F.col("l0") + F.col("l1") + F.col("l2") + F.col("l3")
-        return {f"l{k}": F.product(0.25 * (1 - e) * total + e * F.col(f"l{k}")) for k in range(4)}
+        return {n: F.product(0.25 * (1 - e) * total + e * F.col(n)) for n in names} | {"scale": F.sum("scale")}
+
+    def scaled(nodes: DataFrame) -> DataFrame:
+        top = F.greatest(*names)
+        fit = F.when(top > 0, top).otherwise(1.0)
+        return nodes.select("node", "site", "rate", *((F.col(n) / fit).alias(n) for n in names), (F.col("scale") + F.log(fit)).alias("scale"))
 
-    start = leaves.select("node", "site", *((F.col("state") == k).cast("double").alias(f"l{k}") for k in range(4)))
-    return fold_up(tree, start, combine, height)
+    known = (lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) > 0) if "mask" in leaves.columns else (lambda k: F.col("state") == k)
+    spread = leaves.withColumn("rate", F.explode(F.array(*map(F.lit, rates))))
+    start = spread.select("node", "site", "rate", *(known(k).cast("double").alias(n) for k, n in enumerate(names)), F.lit(0.0).alias("scale"))
+    return fold_up(tree, start, combine, height, ("rate",), scaled, root_only)
 
 
 def site_likelihoods(tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """``site, lnl``: the mean over equally likely rates of the root's likelihood with equal frequencies."""
-    root = F.broadcast(tree.where("level = 0").select("node"))
-    parts = None
-    for rate in rates:
-        own = pruning(tree, leaves, height, rate).join(root, "node").select("site", (0.25 * (F.col("l0") + F.col("l1") + F.col("l2") + F.col("l3"))).alias("l"))
-        parts = own if parts is None else parts.unionByName(own)
-    return parts.groupBy("site").agg(F.round(F.log(F.sum("l") / len(rates)), 6).alias("lnl"))
+    """``site, lnl``: the log of the mean over equally likely rates of the root's likelihood, summed without leaving the log scale."""
+    root = pruning(tree, leaves, height, rates, root_only=True)
+    own = root.select("site", (F.log(0.25 * (F.col("l0") + F.col("l1") + F.col("l2") + F.col("l3"))) + F.col("scale")).alias("x"))
+    listed = own.groupBy("site").agg(F.collect_list("x").alias("x"))  # one for each rate
+    top = F.array_max("x")
+    total = F.aggregate(F.transform("x", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
+    return listed.select("site", F.round(top + F.log(total / len(rates)), 6).alias("lnl"))
 
 
 def ancestors(tree: DataFrame, height: int) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions import biogeography as B
 from ..functions import clustering as C
 from ..functions import comparative as Y
 from ..functions import likelihood as L
-from ..functions import parsimony as M
 from ..functions import stats
 from ..functions.newick import write
 from ..operators import distances as D
@@ -192,18 +191,3 @@ def continuous_lnl(s, d):
 
 
 add("continuous_lnl", continuous_lnl)
-
-
-def protein_search(s, d):
-    """A tree of the nations' residues by stepwise addition and unordered steps on masks of twenty states: greedy, not always a shortest one."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.assign(mask=np.left_shift(1, rows["state"].to_numpy())).pivot(index="taxon", columns="site", values="mask").fillna((1 << 20) - 1).astype(int)
-        masks = {str(t): wide.loc[t].to_numpy() for t in wide.index}
-        tree = M.stepwise(sorted(masks), masks)
-        return pd.DataFrame({"newick": [write(tree)], "steps": [M.score(tree, masks)]})
-
-    return E.residues(s, d).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "newick string, steps long")
-
-
-add("protein_parsimony_search", protein_search)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import encode as E
+from ..functions.stats import gamma_rates
 from ..operators import folds as T
 from ..operators import resampling as R
 from ..operators import splits as P
@@ -13,8 +14,7 @@ from .book import add
 
 TAXA = 25
 HEIGHT = 2
-#: Mean rates of four equally likely gamma categories with shape 0.5 (published values).
-GAMMA_RATES = (0.0334, 0.2519, 0.8203, 2.8944)
+GAMMA_RATES = tuple(round(float(r), 4) for r in gamma_rates(0.5, 4))
 
 
 def _splits(spark, sf_dir, **by):
@@ -74,7 +74,7 @@ low AS (SELECT region + 100 AS node, site, list_reduce(list((1 << state)::BIGINT
 top AS (SELECT site, list_reduce(list((c & 15)::BIGINT ORDER BY node), lambda a, x: CASE WHEN (a & 15 & x) > 0 THEN a - (a & 15) + (a & 15 & x) ELSE a - (a & 15) + 16 + ((a & 15) | x) END) AS c, sum(c >> 4) AS below FROM low GROUP BY site)"""
 add(
     "fitch_steps",
-    lambda s, d: T.fitch(E.tree(s, d), _masks(s, d), HEIGHT).where("node = -1").select("site", "mask", "steps"),
+    lambda s, d: T.fitch(E.tree(s, d), _masks(s, d), HEIGHT, root_only=True).select("site", "mask", "steps"),
     f"WITH {FITCH_SQL} SELECT site, (c & 15)::INTEGER AS mask, ((c >> 4) + below)::BIGINT AS steps FROM top",
 )
 add(
@@ -93,7 +93,7 @@ def _binary(s, d):
 BINARY_SQL = f"{E.SITES_SQL}, b AS (SELECT taxon, region, site, (state <> site % 4)::INTEGER AS state FROM sites)"
 add(
     "camin_sokal",
-    lambda s, d: T.camin_sokal(E.tree(s, d), _binary(s, d), HEIGHT).where("node = -1").select("site", "state", "steps"),
+    lambda s, d: T.camin_sokal(E.tree(s, d), _binary(s, d), HEIGHT, root_only=True).select("site", "state", "steps"),
     f"""WITH {BINARY_SQL}, r AS (SELECT region, site, min(state) AS state, CASE WHEN min(state) = 1 THEN 0 ELSE sum(state) END AS steps FROM b GROUP BY ALL)
     SELECT site, min(state) AS state, (sum(steps) + CASE WHEN min(state) = 1 THEN 0 ELSE sum(state) END)::BIGINT AS steps FROM r GROUP BY site""",
 )
@@ -118,13 +118,9 @@ def _sankoff_sql(view: str, costs: str) -> str:
     SELECT site, min(cost)::BIGINT AS cost FROM root GROUP BY site"""
 
 
-def _root_cost(found):
-    return found.where("node = -1").groupBy("site").agg(F.min("cost").alias("cost"))
-
-
 add(
     "sankoff_ordered",
-    lambda s, d: _root_cost(T.sankoff(E.tree(s, d), _leaves(s, d), _ordered_costs(s), HEIGHT)),
+    lambda s, d: T.sankoff(E.tree(s, d), _leaves(s, d), _ordered_costs(s), HEIGHT),
     f"WITH {E.SITES_SQL}{_sankoff_sql('sites', 'SELECT a AS s, b AS r, abs(a - b) AS step FROM (SELECT unnest([0, 1, 2, 3]) AS a), (SELECT unnest([0, 1, 2, 3]) AS b)')}",
 )
 add("genetic_code_steps", lambda s, d: steps(s), steps_sql())
@@ -137,7 +133,7 @@ def _protein_costs(s):
 
 add(
     "protein_parsimony",
-    lambda s, d: _root_cost(T.sankoff(E.tree(s, d), E.residues(s, d).select(F.col("taxon").alias("node"), "site", "state"), _protein_costs(s), HEIGHT)),
+    lambda s, d: T.sankoff(E.tree(s, d), E.residues(s, d).select(F.col("taxon").alias("node"), "site", "state"), _protein_costs(s), HEIGHT),
     f"WITH {E.RESIDUES_SQL}{_sankoff_sql('residues', f'''SELECT instr('{AMINO}', a) - 1 AS s, instr('{AMINO}', b) - 1 AS r, step FROM ({steps_sql()})''')}",
 )
 
