@@ -74,6 +74,24 @@ def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("label").alias("taxon"), "char").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
+def label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary tree of the embeddings' n labels, numbered as a heap: the parent of node k is k / 2, the labels in order are the nodes n to 2 n - 1.
+    ``node, parent, ord, bl, level``; ``label``: of leaves."""
+    labels = table(spark, sf_dir, "embeddings").select("label").distinct()
+    listed = labels.agg(F.array_sort(F.collect_list("label")).alias("l"))  # tens of labels
+    n = F.size("l")
+    nodes = listed.select("l", n.alias("n"), F.explode(F.sequence(F.lit(1), 2 * n - 1)).alias("node"))
+    label = F.when(F.col("node") >= F.col("n"), F.try_element_at("l", F.greatest(F.col("node") - F.col("n") + 1, F.lit(1))))
+    parent = F.when(F.col("node") > 1, F.floor(F.col("node") / 2).cast("int"))
+    bl = F.when(F.col("node") > 1, 0.1 + 0.05 * (F.col("node") % 5)).otherwise(0.0)
+    return nodes.select("node", parent.alias("parent"), (F.col("node") % 2).alias("ord"), bl.alias("bl"), F.floor(F.log2("node") + 1e-9).cast("int").alias("level"), label.alias("label"))
+
+
+LABEL_TREE_SQL = """labels AS (SELECT label, row_number() OVER (ORDER BY label) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM embeddings)),
+label_tree AS (SELECT x.node::INTEGER AS node, (CASE WHEN x.node > 1 THEN x.node // 2 END)::INTEGER AS parent, (x.node % 2)::INTEGER AS ord, CASE WHEN x.node > 1 THEN 0.1e0 + 0.05e0 * (x.node % 5) ELSE 0e0 END AS bl, floor(log2(x.node) + 1e-9)::INTEGER AS level, label
+  FROM (SELECT unnest(generate_series(1, 2 * max(n) - 1)) AS node FROM labels) x LEFT JOIN labels ON x.node = n + k - 1)"""
+
+
 #: The same views for DuckDB.
 SALES_SQL = """sales AS (SELECT *, sum(q) OVER (PARTITION BY region, site)::BIGINT AS rq FROM (SELECT n_nationkey AS taxon, n_regionkey AS region, l_partkey AS site, sum(l_quantity)::BIGINT AS q
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL))"""

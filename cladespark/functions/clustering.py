@@ -133,6 +133,14 @@ def kitsch(names: list[str], d: np.ndarray, rounds: int = 200, tolerance: float
     return root, float(sum((((across[n] - 2 * height[n]) / across[n]) ** 2).sum() for n in inner))
 
 
+def weighted_squares(root: Node, names: list[str], d: np.ndarray) -> float:
+    """What a tree with its lengths leaves of a matrix: the sum of ((d - path) / d)^2 over pairs."""
+    x, branches = _paths(root, names)
+    goal = np.asarray(d)[np.triu_indices(len(names), 1)]
+    rest = goal - x @ np.array([b.length or 0.0 for b in branches])
+    return float((np.where(goal > 0, rest / np.where(goal > 0, goal, 1), 0) ** 2).sum())
+
+
 METHODS = {"nj": neighbor_joining, "upgma": upgma, "fm": lambda n, d: fitch_margoliash(n, d)[0], "kitsch": lambda n, d: kitsch(n, d)[0]}
 
 

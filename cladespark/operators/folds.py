@@ -6,6 +6,7 @@ number of joins is the tree's height and all sites and nodes of a level go at on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -186,23 +187,31 @@ def heights(tree: DataFrame, height: int) -> DataFrame:
     return down.join(root, "node")
 
 
-def ladder_contrasts(traits: DataFrame) -> DataFrame:
-    """Independent contrasts of characters on the ladder (((1,2),3),...) of taxa in order, all branches of length 1:
-    ``char, k, contrast``. The state is the inverse-variance mean so far and its variance."""
-    values = F.array_sort(F.collect_list(F.struct("taxon", "value")))
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(-1.0).alias("v"), F.array().cast("array<double>").alias("out"))
+def tree_contrasts(tree: DataFrame, traits: DataFrame, height: int) -> DataFrame:
+    """Independent contrasts on any binary tree: ``char, k, contrast, variance`` of each inner node ``k``. ``traits``: ``node, char, value`` of the tips.
 
-    def step(a: Column, t: Column) -> Column:
-        first, v = a["v"] < 0, a["v"]
-        contrast = (a["x"] - t["value"]) / F.sqrt(v + 1)
-        return F.struct(
-            F.when(first, t["value"]).otherwise((a["x"] / v + t["value"]) / (1 / v + 1)).alias("x"),
-            F.when(first, F.lit(1.0)).otherwise(1 + v / (v + 1)).alias("v"),
-            F.when(first, a["out"]).otherwise(F.concat(a["out"], F.array(contrast))).alias("out"),
-        )
+    A node's state is the inverse-variance mean of what its two branches bring, and the variance it adds to its own branch; the first child by
+    ``ord`` comes first. Standardised contrasts are divided by the root of their variance.
+    """
 
-    found = traits.groupBy("char").agg(F.aggregate(values, start, step)["out"].alias("out"))
-    return found.select("char", F.posexplode("out").alias("k", "contrast"))
+    def combine() -> State:
+        side = lambda c, k: F.max(F.when(F.col("ord") == k, F.col(c)))
+        x, y = side("x", 0), side("x", 1)
+        v, w = (F.max(F.when(F.col("ord") == k, F.col("bl") + F.col("extra"))) for k in (0, 1))
+        return {"x": (x / v + y / w) / (1 / v + 1 / w), "extra": v * w / (v + w), "contrast": (x - y) / F.sqrt(v + w), "variance": v + w}
+
+    none = F.lit(None).cast("double")
+    start = traits.select("node", F.col("char").alias("site"), F.col("value").alias("x"), F.lit(0.0).alias("extra"), none.alias("contrast"), none.alias("variance"))
+    found = fold_up(tree, start, combine, height)
+    return found.where("contrast is not null").select(F.col("site").alias("char"), F.col("node").alias("k"), "contrast", "variance")
+
+
+def brownian_lnl(contrasts: DataFrame) -> DataFrame:
+    """``char, rate, lnl``: the most likely rate of Brownian motion and the restricted log-likelihood there, of each character."""
+    n = F.count("*")
+    rate = F.sum(F.col("contrast") * F.col("contrast")) / n
+    lnl = -0.5 * (n * F.log(F.lit(2 * math.pi)) + F.sum(F.log("variance")) + n * F.log(rate) + n)
+    return contrasts.groupBy("char").agg(F.round(rate, 8).alias("rate"), F.round(F.when(rate > 0, lnl), 6).alias("lnl"))
 
 
 def contrast_correlations(contrasts: DataFrame) -> DataFrame:

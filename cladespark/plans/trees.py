@@ -168,19 +168,39 @@ add(
     "SELECT a.n_nationkey AS i, b.n_nationkey AS j, CASE WHEN a.n_regionkey = b.n_regionkey THEN a.n_regionkey + 100 ELSE -1 END AS lca FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
 )
 
-CONTRASTS_SQL = f"""WITH RECURSIVE {E.TRAITS_SQL}, t AS (SELECT char, value, row_number() OVER (PARTITION BY char ORDER BY taxon) AS k FROM traits),
-rec AS (SELECT char, k, value AS x, 1e0 AS v, NULL::DOUBLE AS contrast FROM t WHERE k = 1 UNION ALL SELECT t.char, t.k, (r.x / r.v + t.value) / (1 / r.v + 1), 1 + r.v / (r.v + 1), (r.x - t.value) / sqrt(r.v + 1) FROM rec r JOIN t ON t.char = r.char AND t.k = r.k + 1),
-c AS (SELECT char, (k - 2)::INTEGER AS k, contrast FROM rec WHERE k > 1)"""
-add("contrasts", lambda s, d: T.ladder_contrasts(E.traits(s, d)).select("char", "k", F.round("contrast", 6).alias("contrast")), f"{CONTRASTS_SQL} SELECT char::INTEGER AS char, k, round(contrast, 6) AS contrast FROM c")
+LABEL_HEIGHT = 8  # in SQL: of a heap of up to 255 labels; levels that a smaller tree lacks are empty
+
+
+def _contrasts_sql() -> str:
+    """Levels from the tips up, each a common table expression."""
+    out = [f"{E.TRAITS_SQL}, {E.LABEL_TREE_SQL}, up_{LABEL_HEIGHT + 1} AS (SELECT NULL::INTEGER AS node, NULL::INTEGER AS char, NULL::DOUBLE AS x, NULL::DOUBLE AS extra, NULL::DOUBLE AS contrast, NULL::DOUBLE AS variance WHERE false)"]
+    for level in range(LABEL_HEIGHT, -1, -1):
+        below = f"""SELECT parent AS node, char, max(x) FILTER (ord = 0) AS x0, max(x) FILTER (ord = 1) AS x1, max(bl + extra) FILTER (ord = 0) AS v, max(bl + extra) FILTER (ord = 1) AS w
+          FROM up_{level + 1} u JOIN label_tree t ON u.node = t.node GROUP BY ALL"""
+        out.append(f"""up_{level} AS (SELECT t.node, char::INTEGER AS char, value AS x, 0e0 AS extra, NULL::DOUBLE AS contrast, NULL::DOUBLE AS variance FROM label_tree t JOIN traits ON t.label = taxon WHERE level = {level}
+          UNION ALL SELECT node, char, (x0 / v + x1 / w) / (1 / v + 1 / w), v * w / (v + w), (x0 - x1) / sqrt(v + w), v + w FROM ({below}))""")
+    every = " UNION ALL ".join(f"SELECT char, node AS k, contrast, variance FROM up_{level} WHERE contrast IS NOT NULL" for level in range(LABEL_HEIGHT + 1))
+    return ", ".join(out) + f", c AS ({every})"
+
+
+def _contrasts(s, d):
+    tree = E.label_tree(s, d)
+    traits = E.traits(s, d).join(F.broadcast(tree.where("label is not null").select("node", F.col("label").alias("taxon"))), "taxon")
+    return T.tree_contrasts(tree, traits, tree.agg(F.max("level")).first()[0])  # the tree has a node for each label and no more
+
+
+CONTRASTS_SQL = f"WITH {_contrasts_sql()}"
+add("contrasts", lambda s, d: _contrasts(s, d).select("char", "k", F.round("contrast", 6).alias("contrast")), f"{CONTRASTS_SQL} SELECT char, k, round(contrast, 6) AS contrast FROM c")
 add(
     "contrast_correlations",
-    lambda s, d: T.contrast_correlations(T.ladder_contrasts(E.traits(s, d))),
-    f"{CONTRASTS_SQL} SELECT x.char::INTEGER AS a, y.char::INTEGER AS b, round(sum(x.contrast * y.contrast) / sqrt(sum(x.contrast * x.contrast) * sum(y.contrast * y.contrast)), 6) AS r FROM c x JOIN c y ON x.k = y.k AND x.char < y.char GROUP BY ALL",
+    lambda s, d: T.contrast_correlations(_contrasts(s, d)),
+    f"{CONTRASTS_SQL} SELECT x.char AS a, y.char AS b, round(sum(x.contrast * y.contrast) / sqrt(sum(x.contrast * x.contrast) * sum(y.contrast * y.contrast)), 6) AS r FROM c x JOIN c y ON x.k = y.k AND x.char < y.char GROUP BY ALL",
 )
 add(
     "brownian_rates",
-    lambda s, d: T.ladder_contrasts(E.traits(s, d)).groupBy("char").agg(F.round(F.sum(F.col("contrast") * F.col("contrast")) / F.count("*"), 8).alias("rate")),
-    f"{CONTRASTS_SQL} SELECT char::INTEGER AS char, round(sum(contrast * contrast) / count(*), 8) AS rate FROM c GROUP BY char",
+    lambda s, d: T.brownian_lnl(_contrasts(s, d)),
+    f"""{CONTRASTS_SQL} SELECT char, round(sum(contrast * contrast) / count(*), 8) AS rate,
+    round(-0.5e0 * (count(*) * ln(2 * pi()) + sum(ln(variance)) + count(*) * ln(sum(contrast * contrast) / count(*)) + count(*)), 6) AS lnl FROM c GROUP BY char""",
 )
 
 
