@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import clustering, likelihood, newick, parsimony
+from .functions import clustering, likelihood, newick, parsimony, searches
 from .operators import distances as D
 from .operators import sitewise
 from .session import workers_see_package
@@ -66,6 +66,46 @@ def most_parsimonious(sequences: DataFrame, exact: bool = False) -> DataFrame:
     return sequences.groupBy("aln_id").applyInPandas(run, "aln_id string, newick string, steps long")
 
 
+def most_parsimonious_binary(sequences: DataFrame, score: str = "dollo") -> DataFrame:
+    """A tree per alignment of 0/1 characters with fewest steps: ``aln_id, newick, steps``. ``score``: ``dollo`` or ``camin_sokal``; other signs count as 0."""
+    steps = {"dollo": searches.dollo_steps, "camin_sokal": searches.camin_sokal_steps}[score]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        states = {r.taxon: np.array([int(c == "1") for c in r.seq]) for r in rows.itertuples()}
+        tree, value = searches.hill_climb(sorted(states), lambda t: int(steps(t, states).sum()), rooted=True)
+        return pd.DataFrame({"aln_id": [key[0]], "newick": [newick.write(tree)], "steps": [value]})
+
+    workers_see_package(sequences.sparkSession)
+    return sequences.groupBy("aln_id").applyInPandas(run, "aln_id string, newick string, steps long")
+
+
+def ml_bootstrap(sequences: DataFrame, reps: int = 100, seed: int = 42, model: str = "jc69") -> DataFrame:
+    """The best likelihood tree's splits and their support by likelihood searches on resampled sites: ``aln_id, split, support`` in percent."""
+    spread = sequences.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        masks, rep = _masks(rows), int(key[1])
+        data = likelihood.Data.of(masks)
+        if rep:
+            n = len(data.pattern_of_site)
+            drawn = np.random.default_rng([seed, rep]).integers(0, n, n)
+            data.weights = np.bincount(data.pattern_of_site[drawn], minlength=len(data.weights)).astype(float)
+        tree, _ = likelihood.ml_search(sorted(masks), data, _model(masks, model, 2.0, None), likelihood.nni)
+        splits = newick.split_sets(tree)
+        return pd.DataFrame({"aln_id": key[0], "rep": rep, "split": [",".join(sorted(s)) for s in splits]})
+
+    workers_see_package(sequences.sparkSession)
+    found = spread.groupBy("aln_id", "rep").applyInPandas(run, "aln_id string, rep int, split string")
+    counts = found.where("rep > 0").groupBy("aln_id", "split").agg(F.count("*").alias("n"))
+    best = found.where("rep = 0").select("aln_id", "split")
+    return best.join(counts, ["aln_id", "split"], "left").select("aln_id", "split", (100 * F.coalesce("n", F.lit(0)) / F.lit(float(reps))).alias("support"))
+
+
+def au_confidence_set(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The trees that the approximately unbiased test does not reject. ``tests``: rows with ``au``."""
+    return tests.where(F.col("au") > alpha)
+
+
 def bootstrap(sequences: DataFrame, reps: int = 100, seed: int = 42, model: str = "jc69") -> DataFrame:
     """Support of splits by neighbour joining of resampled sites: ``aln_id, split, support``. Each replicate is a group of its own."""
     spread = sequences.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))

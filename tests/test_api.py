@@ -27,6 +27,17 @@ def test_support_and_evaluation(sequences):
     assert api.tree_distance(tree, tree) == {"rf": 0, "nrf": 0.0, "bsd": 0.0}
 
 
+def test_other_searches(spark, sequences):
+    binary = spark.createDataFrame([("x", n, b) for n, b in (("A", "110100"), ("B", "110000"), ("C", "001011"), ("D", "001001"), ("E", "000000"))], "aln_id string, taxon string, seq string")
+    for score, steps in (("dollo", 6), ("camin_sokal", 6)):
+        row = api.most_parsimonious_binary(binary, score).first()
+        assert row.steps == steps and {n.name for n in newick.parse(row.newick).leaves()} == set("ABCDE")
+    support = api.ml_bootstrap(sequences.where("aln_id = 'x'"), reps=3).collect()
+    assert len(support) == 2 and all(0 <= r.support <= 100 for r in support)
+    tests = spark.createDataFrame([("a", 0.5), ("b", 0.01)], "tree string, au double")
+    assert [r.tree for r in api.au_confidence_set(tests).collect()] == ["a"]
+
+
 def test_quartets_and_pairs(sequences):
     one = sequences.where("aln_id = 'x'")
     lake, cavender = api.invariants(one)

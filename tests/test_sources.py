@@ -3,6 +3,7 @@ import pytest
 from cladespark.functions.newick import explode_trees
 from cladespark.operators import distances as D
 from cladespark.sources import formats as S
+from cladespark.sources import reports as R
 
 from .test_kernels import DNA5
 
@@ -55,3 +56,18 @@ def test_trees_as_rows(spark):
     trees = spark.createDataFrame([(1, "((A:1,B:2):0.5,C);"), (2, "(A,"), (3, None)], "tree int, newick string")
     got = sorted(map(tuple, explode_trees(trees).collect()))
     assert [r[1:] for r in got] == [(0, None, 0, None, None, 0), (1, 0, 0, None, 0.5, 1), (2, 1, 0, "A", 1.0, 2), (3, 1, 1, "B", 2.0, 2), (4, 0, 1, "C", None, 1)]
+
+
+def test_reports(spark, tmp_path):
+    distances = spark.createDataFrame([("x", "A", "B", 1.5), ("x", "A", "Long name of it", 2.0), ("x", "B", "Long name of it", 0.25)], "aln_id string, i string, j string, d double")
+    text = R.distance_text(distances).first().text
+    assert S.distance_matrix(text) == [("A", "B", 1.5), ("A", "Long name", 2.0), ("B", "Long name", 0.25)]
+    trees = spark.createDataFrame([("x", "((A:1,B:2):0.5,C,D);", -7.5), ("y", "(", None)], "aln_id string, newick string, lnl double")
+    found = {r.aln_id: r.text for r in R.tree_text(trees, value="lnl").collect()}
+    assert found["x"].splitlines()[:2] == ["tree: ((A:1,B:2):0.5,C,D);", "lnl: -7.5"] and len(found["x"].splitlines()) == 7
+    assert [tuple(r) for r in R.clades(trees).collect()] == [("x", "A,B", 0.5)]
+    lnl = spark.createDataFrame([("t", -1.0), ("t", -3.0)], "tree string, lnl double")
+    assert tuple(R.site_summary(lnl).first()) == ("t", 2, -4.0, -3.0, -2.0, -1.0)
+    assert [r.value for r in R.as_json(lnl).collect()] == ['{"tree":"t","lnl":-1.0}', '{"tree":"t","lnl":-3.0}']
+    R.save_text(R.distance_text(distances), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 4
