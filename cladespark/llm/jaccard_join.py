@@ -17,7 +17,7 @@ Pairs inside a cell are never listed: only connectivity is returned. Sets that a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,11 @@ def prefix_length(n):
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+Sets = Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]
+
+
+def document_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers and sorted shingles of whole texts."""
     for chunk in words(column, NON_SPACE):
         hashes, bounds = shingle_sets(chunk, SHINGLE)
         for row in range(chunk.rows):
@@ -60,7 +64,7 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int, int]:
     return len(own), int(folded[0]), int(folded[1])
 
 
-def _frequent(rows: DataFrame, limit: int) -> np.ndarray:
+def _frequent(rows: DataFrame, limit: int, sets: Sets) -> np.ndarray:
     """Sorted shingles in more than ``limit`` documents, at most ``FREQUENT_LISTED`` of them.
 
     Counts start in the input partitions, over distinct sets; a shingle that is rarer than ``LOCAL`` in each of them is
@@ -81,7 +85,7 @@ def _frequent(rows: DataFrame, limit: int) -> np.ndarray:
             return (keys[first], np.add.reduceat(n, first)) if len(first) else totals
 
         for batch in batches:
-            for _, own in _sets(batch.column(1)):
+            for _, own in sets(batch.column(1)):
                 if len(own) and (mark := _fingerprint(own)) not in seen:
                     seen.add(mark)
                     kept.append(own.copy())
@@ -100,7 +104,7 @@ def _frequent(rows: DataFrame, limit: int) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in top], np.int64).view(np.uint64))
 
 
-def _parts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _parts(rows: DataFrame, frequent: np.ndarray, sets: Sets) -> DataFrame:
     """Each document's set size and first shingles, rare and frequent ones apart. Of equal sets in a partition only the first
     one met (``rep``) has shingles."""
 
@@ -108,7 +112,7 @@ def _parts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
         seen: dict[tuple, int] = {}
         for batch in batches:
             keys, out = batch.column(0).to_pylist(), []
-            for row, own in _sets(batch.column(1)):
+            for row, own in sets(batch.column(1)):
                 mark, rare, often, r = _fingerprint(own), own[:0], own[:0], 0
                 rep = seen.setdefault(mark, keys[row]) if len(own) else keys[row]
                 if len(own) and rep == keys[row]:
@@ -146,7 +150,7 @@ def _frequent_regions(members: DataFrame) -> DataFrame:
     return members.join(pivots, "shingle").select("shingle", "key", "n", "r", "many", "pivot", "pivot_n")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, sets: Sets = document_sets) -> DataFrame:
     """``a, b, distance, linked`` of distinct pairs of keys, by their complete sets.
 
     Only sets in a pair are made from the texts of ``rows``. Of each pair the set in more pairs is the hub; a block of up to ``BLOCK`` of a
@@ -160,10 +164,10 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            out = [(keys[row], own.tobytes()) for row, own in _sets(batch.column(1))]
+            out = [(keys[row], own.tobytes()) for row, own in sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["id", "own"])
 
-    sets = chosen.select("key", "text").mapInArrow(make, "id long, own binary")
+    made = chosen.select("key", "text").mapInArrow(make, "id long, own binary")
     both = pairs.join(degrees.withColumnsRenamed({"id": "a", "degree": "da"}), "a").join(degrees.withColumnsRenamed({"id": "b", "degree": "db"}), "b")
     first = F.col("da") >= F.col("db")
     placed = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("da", "db").alias("d"))
@@ -189,7 +193,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "distance", "linked"])
 
     with smaller_batches(rows.sparkSession, SET_ROWS):
-        blocks = asked.join(sets, "id").select("hub", "id", "role", "own", "block").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
+        blocks = asked.join(made, "id").select("hub", "id", "role", "own", "block").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
         return cut(blocks.mapInArrow(compare, "a long, b long, distance double, linked boolean"))
 
 
@@ -224,11 +228,11 @@ def _rare_pairs(members: DataFrame) -> DataFrame:
     return met.where((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _components(rows: DataFrame, frequent: int) -> DataFrame:
-    """``key, n, c`` of rows with unique keys: set size, and the least key reachable by links."""
+def set_components(rows: DataFrame, frequent: int = FREQUENT, sets: Sets = document_sets) -> DataFrame:
+    """``key, n, c`` of rows ``key, text`` with unique keys: set size, and the least key reachable by links. ``sets`` makes the sets of texts."""
     spark = rows.sparkSession
     paths = [new_path(spark, f"jaccard-{name}") for name in ("parts", "regions")]
-    parts = stored(_parts(rows, _frequent(rows, frequent)), paths[0])
+    parts = stored(_parts(rows, _frequent(rows, frequent, sets), sets), paths[0])
 
     firsts = parts.where("key = rep and n > 0")
     equal = firsts.groupBy("n", "f1", "f2").agg(F.min("key").alias("low"), F.count("*").alias("many")).where("many > 1").drop("many")
@@ -240,7 +244,7 @@ def _components(rows: DataFrame, frequent: int) -> DataFrame:
     regions = stored(rare.withColumn("listed", F.lit(False)).unionByName(often.withColumn("listed", F.lit(True))), paths[1])
 
     around = regions.where((F.col("key") != F.col("pivot")) & near_sizes("n", "pivot_n")).select(*pair("key", "pivot")).distinct()
-    distances = verified(around, rows)
+    distances = verified(around, rows, sets)
     edges = cut(distances.where("linked").select("a", "b"))
     cells = cells_of(edges)
 
@@ -253,14 +257,14 @@ def _components(rows: DataFrame, frequent: int) -> DataFrame:
         placed = large.withColumns({"x": F.least("key", "pivot"), "y": F.greatest("key", "pivot")}).join(d, ["x", "y"], "left")
         apart = F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("d")
         placed = cut(placed.select(F.col("shingle").alias("region"), "key", "n", full, apart))
-        edges, asked = close(placed, edges, cells, lambda pairs: verified(pairs, rows).where("linked").select("a", "b"))
+        edges, asked = close(placed, edges, cells, lambda pairs: verified(pairs, rows, sets).where("linked").select("a", "b"))
         cells = cells_of(edges)
     unlisted = small_side(large.where(~F.col("listed")).groupBy("key").agg(F.count("*").alias("more")))
     first = F.col("n") - F.ceil(F.lit(NUMERATOR) * F.col("n") / F.lit(DENOMINATOR)) + 1
     tail = F.greatest(first - F.col("r"), F.lit(0)) + F.coalesce("more", F.lit(0))
     rest = _rare_pairs(in_cells(regions.where(small).join(unlisted, "key", "left").withColumn("tail", tail.cast("long")), cells))
     rest = rest if asked is None else rest.unionByName(asked).distinct()
-    more = verified(rest.join(distances.select("a", "b"), ["a", "b"], "left_anti"), rows).where("linked").select("a", "b")
+    more = verified(rest.join(distances.select("a", "b"), ["a", "b"], "left_anti"), rows, sets).where("linked").select("a", "b")
 
     same = cut(parts.select("key", "n", "rep"))
     within = same.groupBy("rep").agg(F.min("key").alias("low")).where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
@@ -281,7 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, key = keyed(own, "doc_id", nulls_last=True)
-    found = _components(rows.select(F.col(key).alias("key"), "text"), frequent)
+    found = set_components(rows.select(F.col(key).alias("key"), "text"), frequent)
     ids = rows.select(F.col(key).alias("key"), "doc_id")
     least = ids.select(F.col("key").alias("c"), F.col("doc_id").alias("component_id"))  # keys ascend with ids, nulls last
     if key == "doc_id":

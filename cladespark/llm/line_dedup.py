@@ -3,10 +3,9 @@
 Lines that are equal after trimming and lower-casing are one; one pass over the texts writes each partition's different lines with the bands of
 their signatures. A line's set of character shingles gets a one-permutation MinHash signature, densified by rotation, whose bands form buckets.
 Links are pairs of a bucket whose shingle sets have the threshold's Jaccard similarity, computed exactly from the lines. They are looked for up to connectivity:
-first each line is compared with its bucket's first line and with its predecessor. Buckets whose lines are then in different components go
-on as regions (module ``cells``): lines outside the main component, around pivots of their own, and at last every pair of different components
-that windows leave. The window that matters in families of templates counts a line's shingles that no other line of such buckets has: they can't be shared.
-So no link between components is missed, and pairs in one component aren't listed. Connected components are found on the distributed edges,
+first each line is compared with its bucket's first line and with its predecessor. The lines of buckets that are then in different components,
+such as families of templates just below the threshold, go through the exact join of sets (``jaccard_join``) over their character shingles, which lists
+no pairs inside a component. So no link of a bucket is missed, and some that share no band are found too. Connected components are found on the distributed edges,
 and of each component the occurrence with the least document id and line number stays.
 """
 
@@ -20,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import cells_of, close, in_cells, links, whole_regions
+from .cells import cells_of, in_cells, links, whole_regions
 from .components import components
+from .jaccard_join import set_components
 from .runtime import BROADCAST_ROWS, cut, forget, keyed, new_path, prepare, small_side, stored
 from .words import mix, power_tables
 
@@ -44,25 +44,43 @@ def key_of(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
+_CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """A hash of each code point."""
+    if len(points) and int(points.max()) >= len(_CODES):
+        return mix(points.astype(np.uint64) + np.uint64(1))
+    return _CODES[points]
+
+
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all lines' character shingles, and the line of each; a line of fewer characters is one shingle."""
     lengths = np.array([len(x) for x in lines])
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    counts = np.maximum(lengths - SHINGLE + 1, 1)
-    row = np.repeat(np.arange(len(lines)), counts)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(lengths)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - (ends - lengths), counts)
-    stop = np.minimum(at + SHINGLE, ends[row])
     power, inverse = power_tables(len(points) + 1)
     total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points + np.uint64(1)) * power[: len(points)], out=total[1:])
-    return mix((total[stop] - total[at]) * inverse[at]), row
+    np.cumsum(_codes(points) * power[: len(points)], out=total[1:])
+    n = max(0, len(points) - SHINGLE + 1)
+    whole = np.ones(n, bool)  # windows that don't reach over a line's end
+    for k in range(1, SHINGLE):
+        over = ends[:-1] - k
+        whole[over[(over >= 0) & (over < n)]] = False
+    hashes = ((total[SHINGLE : SHINGLE + n] - total[:n]) * inverse[:n])[whole]
+    row = np.repeat(np.arange(len(lines)), np.maximum(lengths - SHINGLE + 1, 0))
+    short = np.flatnonzero(lengths < SHINGLE)
+    if len(short):
+        first = ends[short] - lengths[short]
+        hashes = np.concatenate([hashes, (total[ends[short]] - total[first]) * inverse[first]])
+        row = np.concatenate([row, short])
+    return mix(hashes), row
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """One row of ``BANDS * ROWS`` values for each line."""
     hashes, row = shingle_hashes(lines)
-    cell = row.astype(np.uint64) * np.uint64(_BINS) + (hashes >> np.uint64(32)) % np.uint64(_BINS)
+    cell = row.astype(np.uint64) * np.uint64(_BINS) + ((hashes >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32))
     ordered = np.sort((cell << np.uint64(_VALUE_BITS)) | (mix(hashes) >> np.uint64(64 - _VALUE_BITS)))
     cells = ordered >> np.uint64(_VALUE_BITS)
     first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
@@ -168,8 +186,8 @@ def _buckets(bands: DataFrame) -> DataFrame:
     return bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(make, ", ".join(f"{c} long" for c in names))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, na, nb, linked``: sizes of the shingle sets of pairs of lines, and whether they have the threshold's similarity."""
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs of lines whose shingle sets have the threshold's similarity."""
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -178,26 +196,24 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for part in _portions([len(p) + len(q) for p, q in zip(x, y, strict=True)]):
                 n, m, k = shared_shingles(x[part], y[part])
-                own = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(n), pa.array(m), pa.array(links(n, m, k))], names=["a", "b", "na", "nb", "linked"])
+                own = batch.slice(part.start, part.stop - part.start).select(["a", "b"])
+                yield own.filter(pa.array(links(n, m, k)))
 
-    return both.mapInArrow(compare, "a long, b long, na long, nb long, linked boolean")
+    return both.mapInArrow(compare, "a long, b long")
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """``key, own``: how many shingles of a line no other line of ``texts`` has (without those it has twice)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for part in _portions([len(x) for x in lines]):
-                hashes, row = shingle_hashes(lines[part])
-                hashes, at, many = np.unique(hashes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys[part][row[at]]), pa.array(many == 1)], names=["shingle", "key", "alone"])
-
-    made = texts.select("key", "line").mapInArrow(make, "shingle long, key long, alone boolean")
-    single = made.groupBy("shingle").agg(F.count("*").alias("many"), F.min("key").alias("key"), F.min("alone").alias("alone")).where("many = 1 and alone")
-    return single.groupBy("key").agg(F.count("*").alias("own"))
+def line_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers and sorted shingles of lines."""
+    lines = column.to_pylist()
+    for part in _portions([len(x) for x in lines]):
+        hashes, row = shingle_hashes(lines[part])
+        order = np.lexsort((hashes, row))
+        hashes, row = hashes[order], row[order]
+        fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])))
+        hashes, row = hashes[fresh], row[fresh]
+        bounds = np.searchsorted(row, np.arange(part.stop - part.start + 1))
+        for k in range(part.stop - part.start):
+            yield part.start + k, hashes[bounds[k] : bounds[k + 1]]
 
 
 def line_links(scanned: DataFrame) -> DataFrame:
@@ -208,26 +224,17 @@ def line_links(scanned: DataFrame) -> DataFrame:
     ask = cut(ask.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
     wanted = small_side(buckets.select("key").distinct())
     texts = cut(lines.select(F.col("id").alias("key"), "line").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    met = cut(_compared(ask, texts))
-    edges = cut(met.where("linked").select("a", "b"))
+    edges = cut(_linked(ask, texts))
     cells = cells_of(edges)
 
     named = in_cells(buckets.select("band", "key"), cells)
     mixed = small_side(named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"))
-    members = cut(buckets.select("band", "key").join(mixed, "band", "left_semi"))
-    if members.isEmpty():
+    open_ = small_side(buckets.join(mixed, "band", "left_semi").select("key").distinct())
+    rest = cut(texts.join(open_, "key", "left_semi").select("key", F.col("line").alias("text")))
+    if rest.isEmpty():
         return edges
-    sizes = met.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("na").alias("n")), F.struct(F.col("b").alias("key"), F.col("nb").alias("n")))).alias("s")).select("s.*").dropDuplicates(["key"])
-    keys = small_side(members.select("key").distinct())
-    own = _own_shingles(texts.join(keys, "key", "left_semi"))
-    known = small_side(keys.join(sizes, "key").join(own, "key", "left").select("key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("full")))
-    placed = cut(members.join(known, "key").select(F.col("band").alias("region"), "key", "n", "full", F.lit(None).cast("double").alias("d")))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return _compared(pairs, texts).where("linked").select("a", "b")
-
-    edges, left = close(placed, edges, cells, linked)
-    return cut(edges.unionByName(linked(left.join(met.select("a", "b"), ["a", "b"], "left_anti"))))
+    joined = set_components(rest, sets=line_sets)
+    return cut(edges.unionByName(joined.where("key <> c").select(F.col("c").alias("a"), F.col("key").alias("b"))))
 
 
 def dropped_lines(rows: DataFrame, key: str) -> DataFrame:
@@ -252,7 +259,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Lines end at line feeds. Blank lines stay and aren't compared. Null text counts as empty (one blank line). Every row is a document of its own, also where
     rows repeat an id or have none; null ids come after all others, so their lines go first. An empty table gives an empty result; other columns
-    are not read. Equality of shingles is that of 64-bit hashes; only links of pairs that share a band of their signatures are found.
+    are not read. Equality of shingles is that of 64-bit hashes; all links of pairs that share a band of their signatures are found.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, key = keyed(own, "doc_id", nulls_last=True)

@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 import contextlib
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import workers_see_package
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 BROADCAST_ROWS = 1 << 20  #: sides of at most so many narrow rows (counted) are broadcast; larger ones are shuffled
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a no-op where it is installed), and bound the rows of
-    an Arrow batch: rows here hold whole texts, and a batch is in memory twice, in the JVM and in its worker."""
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in known:
-        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+    """Let Python workers import this package, and bound the rows of an Arrow batch: rows here hold whole texts, and a batch is in memory twice, in the JVM and in its worker."""
+    workers_see_package(spark)
     rows = int(spark.conf.get(BATCH))
     if not 0 < rows <= BATCH_ROWS:
         spark.conf.set(BATCH, str(BATCH_ROWS))
