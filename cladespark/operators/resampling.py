@@ -33,10 +33,18 @@ def block_weights(sites: DataFrame, reps: int, size: int) -> DataFrame:
 
 
 def jackknife_weights(sites: DataFrame, reps: int, fraction: float = 0.5) -> DataFrame:
-    """The sites kept when ``fraction`` of them stays, drawn without replacement."""
-    keyed = _draws(sites, reps, "jack")
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.md5("key"), "pos"))
-    return keyed.withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") * fraction + 0.5)).select("rep", "pos", F.lit(1).cast("long").alias("w"))
+    """The sites kept when ``fraction`` of them stays, drawn without replacement: those with the least hashes.
+
+    Hashes are counted by their first digits, so only the sites in the one bucket of a replicate that is cut are ranked.
+    """
+    keyed = _draws(sites, reps, "jack").withColumn("h", F.md5("key")).withColumn("bucket", F.substring("h", 1, 3))
+    counts = keyed.groupBy("rep", "bucket").agg(F.count("*").alias("here"), F.first("n").alias("n"))
+    upto = F.sum("here").over(Window.partitionBy("rep").orderBy("bucket"))  # at most 4096 rows a replicate
+    bounds = counts.select("rep", "bucket", (F.floor(F.col("n") * fraction + 0.5) - upto + F.col("here")).alias("left"), "here").where("left > 0")
+    met = keyed.select("rep", "pos", "h", "bucket").join(F.broadcast(bounds), ["rep", "bucket"])
+    rank = F.row_number().over(Window.partitionBy("rep", "bucket").orderBy("h", "pos"))
+    cut = met.where("left < here").withColumn("rank", rank).where("rank <= left")
+    return met.where("left >= here").select("rep", "pos").unionByName(cut.select("rep", "pos")).select("rep", "pos", F.lit(1).cast("long").alias("w"))
 
 
 def sliding_windows(lnl: DataFrame, size: int, step: int, threshold: float) -> DataFrame:

@@ -142,7 +142,7 @@ def _frequency_matrix(s, d, method: str):
 
 
 def area_histories(s, d):
-    """Least-cost area histories on the average-linkage tree of populations; areas are regions of nations and of their suppliers."""
+    """Least-cost area histories on the average-linkage tree of populations. A nation lives in its region, and in the area that its key modulo 5 names."""
     nation = E.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("i"), F.col("n_regionkey").alias("r"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -11,13 +13,24 @@ ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def workers_see_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a no-op where it is installed)."""
+    """Let Python workers import this package: on one machine from where the driver has it, on a cluster from a copy that Spark ships."""
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
+        return
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
 
 
+def ship(spark: SparkSession) -> None:
+    """Add the package to the session's Python files, once."""
+    context = spark.sparkContext
+    if not any(f.startswith("cladespark-") for f in context._python_includes):
+        folder = tempfile.mkdtemp(prefix="cladespark-")
+        context.addPyFile(shutil.make_archive(f"{folder}/cladespark-package", "zip", ROOT, "cladespark"))
+
+
 def session(name: str = "cladespark", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Adaptive execution with skew splitting, UTC times, Arrow; on a cluster leave ``master`` and partitions to it."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")

@@ -5,6 +5,7 @@ import pytest
 
 from cladespark.functions import biogeography, clustering, comparative, likelihood, newick, parsimony, stats
 
+# Published example data of five taxa (PHYLIP documentation, Felsenstein), sequences and 0/1 characters.
 DNA5 = {"Alpha": "AACGTGGCCACAT", "Beta": "AAGGTCGCCACAC", "Gamma": "CAGTTCGCCACAA", "Delta": "GAGATTTCCGCCT", "Epsilon": "GAGATCTCCGCCC"}
 MASKS = {n: np.array([1 << "ACGT".index(b) for b in s]) for n, s in DNA5.items()}
 BINARY5 = {"Alpha": "01101001", "Beta": "01101010", "Gamma": "10011001", "Delta": "10011010", "Epsilon": "01110100"}
