@@ -224,10 +224,10 @@ def _matrix(frame: DataFrame, lexicon: dict[str, float]) -> tuple[np.ndarray, np
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``text, toxic, part`` of at most ``max_rows`` labelled documents that aren't held out."""
-    usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("part"))
+    """``text, toxic, part`` of at most ``max_rows`` labelled documents that aren't held out; of rows that share an id the least text counts."""
+    usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("part", F.xxhash64("doc_id"))
     chosen = usable.orderBy("part", "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")).select("text", "toxic", "part")
 
 
 def held_out(column: str):

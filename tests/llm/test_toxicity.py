@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cladespark.llm import toxicity as T
 
@@ -42,6 +43,23 @@ def test_held_out_accuracy(spark, fitted):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def test_held_out_labels_of_the_test_data(spark):
+    """They never reach the fit, and the score tells them apart."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("toxic", F.when(T.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    found = [{r.doc_id: r.score for r in T.score(docs, T.fit(docs, own)).where("held_out").collect()} for own in (labels, turned)]
+    assert found[0] == found[1]
+    held = [(r.toxic, found[0][r.doc_id]) for r in labels.where("toxic is not null").collect() if r.doc_id in found[0]]
+    bad, fine = ([x for toxic, x in held if toxic == k] for k in (1, 0))
+    assert len(bad) > 3 and len(fine) > 30
+    assert np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in fine]) >= 0.85
+
+
+def test_rows_that_share_a_labelled_id(spark):
+    rows = T.training_rows(spark.createDataFrame([(1, "b")] * 50 + [(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, 0, 1), (1, 0, 1)], "doc_id long, quality int, toxic int"))
+    assert [r.text for r in rows.collect()] in (["a"], [])  # or the id is held out
+
+
 def test_odd_texts(spark, fitted):
     _, model = fitted
     rows = [(1, None), (None, ""), (2, " \n"), (3, "!!!"), (4, "w0rthless p*athetic id10t you!"), (4, "river " * 50000), (5, "İ" * 9)]
