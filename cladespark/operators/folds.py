@@ -32,6 +32,15 @@ def fold_up(
     return current if root_only else done
 
 
+def check_tips(tree: DataFrame, rows: DataFrame) -> None:
+    """Raise ``ValueError`` where the tips of a tree and the nodes of ``rows`` (``node``) aren't the same."""
+    tips = tree.select("node").join(tree.select(F.col("parent").alias("node")), "node", "left_anti")
+    known = rows.select("node").distinct()
+    for a, b, what in ((tips, known, "tips without data"), (known, tips, "data without a tip")):
+        if missing := [str(r.node) for r in a.join(b, "node", "left_anti").orderBy("node").limit(5).collect()]:
+            raise ValueError(f"{what}: {', '.join(missing)}")
+
+
 def ordered(value: Column) -> Column:
     return F.array_sort(F.collect_list(F.struct("ord", value.alias("x"))))
 
@@ -122,31 +131,36 @@ def sankoff(tree: DataFrame, leaves: DataFrame, costs: DataFrame, height: int) -
     return current.select("site", (F.least(*names) if len(names) > 1 else F.col(names[0])).alias("cost"))
 
 
-def pruning(tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,), root_only: bool = False) -> DataFrame:
-    """Conditional likelihoods ``node, site, rate, l0 .. l3, scale`` under JC69 with equal frequencies, times ``exp(scale)``. ``leaves``: ``node, site`` and the observed ``state``, or
-    a ``mask`` of the states that it may be. Nodes without data give no factor. All rates go up together, and each level is scaled to a greatest likelihood of 1."""
-    e = F.exp(-4.0 / 3.0 * F.col("rate") * F.greatest("bl", F.lit(1e-8)))
-    names = [f"l{k}" for k in range(4)]
+def pruning(
+    tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,), root_only: bool = False, frequencies: tuple[float, ...] = (0.25,) * 4, speed: float = 4 / 3
+) -> DataFrame:
+    """Conditional likelihoods ``node, site, rate, l0 .. , scale``, times ``exp(scale)``, where a state stays with probability ``exp(-speed rate t)`` and is drawn anew by its frequency
+    otherwise: JC69 by default, the Poisson model of proteins with twenty frequencies and speed 1. ``leaves``: ``node, site`` and the observed ``state``, or a ``mask`` of
+    the states that it may be. Nodes without data give no factor. All rates go up together, and each level is scaled to a greatest likelihood of 1."""
+    e = F.exp(-speed * F.col("rate") * F.greatest("bl", F.lit(1e-8)))
+    names = [f"l{k}" for k in range(len(frequencies))]
 
     def combine() -> State:
-        total = F.col("l0") + F.col("l1") + F.col("l2") + F.col("l3")
-        return {n: F.product(0.25 * (1 - e) * total + e * F.col(n)) for n in names} | {"scale": F.sum("scale")}
+        return {n: F.product((1 - e) * F.col("mean") + e * F.col(n)) for n in names} | {"scale": F.sum("scale")}
 
     def scaled(nodes: DataFrame) -> DataFrame:
         top = F.greatest(*names)
         fit = F.when(top > 0, top).otherwise(1.0)
-        return nodes.select("node", "site", "rate", *((F.col(n) / fit).alias(n) for n in names), (F.col("scale") + F.log(fit)).alias("scale"))
+        return averaged(nodes.select("node", "site", "rate", *((F.col(n) / fit).alias(n) for n in names), (F.col("scale") + F.log(fit)).alias("scale")))
+
+    def averaged(nodes: DataFrame) -> DataFrame:
+        return nodes.withColumn("mean", sum((f * F.col(n) for f, n in zip(frequencies[1:], names[1:], strict=True)), frequencies[0] * F.col(names[0])))
 
     known = (lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) > 0) if "mask" in leaves.columns else (lambda k: F.col("state") == k)
     spread = leaves.withColumn("rate", F.explode(F.array(*map(F.lit, rates))))
     start = spread.select("node", "site", "rate", *(known(k).cast("double").alias(n) for k, n in enumerate(names)), F.lit(0.0).alias("scale"))
-    return fold_up(tree, start, combine, height, ("rate",), scaled, root_only)
+    return fold_up(tree, averaged(start), combine, height, ("rate",), scaled, root_only)
 
 
-def site_likelihoods(tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """``site, lnl``: the log of the mean over equally likely rates of the root's likelihood, summed without leaving the log scale."""
-    root = pruning(tree, leaves, height, rates, root_only=True)
-    own = root.select("site", (F.log(0.25 * (F.col("l0") + F.col("l1") + F.col("l2") + F.col("l3"))) + F.col("scale")).alias("x"))
+def site_likelihoods(tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,), **model) -> DataFrame:
+    """``site, lnl``: the log of the mean over equally likely rates of the root's likelihood, summed without leaving the log scale. ``model``: as for :func:`pruning`."""
+    root = pruning(tree, leaves, height, rates, root_only=True, **model)
+    own = root.select("site", (F.log("mean") + F.col("scale")).alias("x"))
     listed = own.groupBy("site").agg(F.collect_list("x").alias("x"))  # one for each rate
     top = F.array_max("x")
     total = F.aggregate(F.transform("x", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)

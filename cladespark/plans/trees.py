@@ -150,6 +150,28 @@ def _likelihood_sql(name: str, rates: tuple[float, ...]) -> str:
 ONE_SQL, GAMMA_SQL = _likelihood_sql("one", (1.0,)), _likelihood_sql("four", GAMMA_RATES)
 add("pruning_lnl", lambda s, d: T.site_likelihoods(E.tree(s, d), _leaves(s, d), HEIGHT), f"WITH {E.SITES_SQL}, {ONE_SQL} SELECT * FROM one")
 add("gamma_lnl", lambda s, d: T.site_likelihoods(E.tree(s, d), _leaves(s, d), HEIGHT, GAMMA_RATES), f"WITH {E.SITES_SQL}, {GAMMA_SQL} SELECT * FROM four")
+# Published amino-acid frequencies of the WAG model, in the order of WAG_ORDER.
+WAG_ORDER = "ARNDCQEGHILKMFPSTWYV"
+WAG = (0.0866279, 0.043972, 0.0390894, 0.0570451, 0.0193078, 0.0367281, 0.0580589, 0.0832518, 0.0244313, 0.048466, 0.086209, 0.0620286, 0.0195027, 0.0384319, 0.0457631, 0.0695179, 0.0610127, 0.0143859, 0.0352742, 0.0708956)
+POISSON = (0.05,) * 20
+
+
+def _protein_sql(frequencies: tuple[float, ...]) -> str:
+    pi = f"([{', '.join(f'{f!r}e0' for f in frequencies)}])[x + 1]"
+    e = "exp(-(0.05e0 + 0.01e0 * ({} % 7)))"
+    return f"""WITH {E.RESIDUES_SQL}, x AS (SELECT unnest(generate_series(0, 19))::INTEGER AS x), seen AS (SELECT taxon, region, site, state, ([{", ".join(f"{f!r}e0" for f in frequencies)}])[state + 1] AS f FROM residues),
+    low AS (SELECT region, site, x, product((1 - {e.format("taxon")}) * f + CASE WHEN state = x THEN {e.format("taxon")} ELSE 0 END) AS l FROM seen, x GROUP BY ALL),
+    top AS (SELECT site, x, product((1 - {e.format("region")}) * m + {e.format("region")} * l) AS l FROM (SELECT *, sum(l * {pi}) OVER (PARTITION BY region, site) AS m FROM low) GROUP BY ALL)
+    SELECT site, round(ln(sum(l * {pi})), 6) AS lnl FROM top GROUP BY site"""
+
+
+for name, frequencies in (("poisson", POISSON), ("wag", tuple(f / sum(WAG) for f in WAG))):
+    add(
+        f"protein_{name}_lnl",
+        lambda s, d, f=frequencies: T.site_likelihoods(E.tree(s, d), E.residues(s, d).select(F.col("taxon").alias("node"), "site", "state"), HEIGHT, frequencies=f, speed=1.0),
+        _protein_sql(frequencies),
+    )
+
 add(
     "patristic",
     lambda s, d: T.patristic(E.tree(s, d), HEIGHT),
