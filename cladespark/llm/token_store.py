@@ -1,7 +1,7 @@
 """Token-id files of independent zstandard frames with a trailing seek table.
 
 Layout of a file: data frames, each with the ids of some whole documents as little-endian unsigned 32-bit integers; a
-skippable frame with the document index (zstandard-compressed: doc ids, token counts and frame numbers); a skippable frame with the seek
+skippable frame with the document index (zstandard-compressed: doc ids, token counts and frame numbers, of a null id the number's complement); a skippable frame with the seek
 table of the public seekable zstandard format: compressed size, decompressed size and checksum (low 32 bits of XXH64 of
 the ids) of each data frame, then the footer. Any zstandard decoder reads the whole; :class:`TokenFile` reads only the frames of the documents
 that are asked for.
@@ -47,10 +47,11 @@ class TokenFileWriter:
         self.frames: list[tuple[int, int, int]] = []
         self.index: list[tuple[int, int, int]] = []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.size and self.size + len(ids) > self.frame_bytes:
             self._flush()
-        self.index.append((doc_id, len(ids) // 4, len(self.frames)))
+        frame = len(self.frames)
+        self.index.append((0, len(ids) // 4, ~frame) if doc_id is None else (doc_id, len(ids) // 4, frame))
         self.pending.append(ids)
         self.size += len(ids)
         self.tokens += len(ids) // 4
@@ -92,7 +93,13 @@ class TokenFile:
         if magic != SKIPPABLE_INDEX:
             raise ValueError("no document index before the seek table")
         index = np.frombuffer(self.decompressor.decompress(source.read(size)), "<i8").reshape(3, -1)
-        self.doc_ids, self.counts, self.frame_of = index
+        self.doc_ids, self.counts, frame = index
+        self.null = frame < 0
+        self.frame_of = np.where(self.null, ~frame, frame)
+
+    def rows(self, wanted: Iterable[int] | None) -> np.ndarray:
+        """Numbers of the wanted documents (all: None)."""
+        return np.arange(len(self.doc_ids)) if wanted is None else np.flatnonzero(np.isin(self.doc_ids, list(wanted)) & ~self.null)
 
     def frame(self, k: int) -> bytes:
         self.source.seek(int(self.offsets[k]))
@@ -101,17 +108,16 @@ class TokenFile:
             raise ValueError(f"frame {k} doesn't match its checksum")
         return data
 
-    def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
         """Ids of the wanted documents (all: None), in file order; other documents' frames are not read."""
-        rows = range(len(self.doc_ids)) if wanted is None else np.flatnonzero(np.isin(self.doc_ids, list(wanted)))
         open_frame, data, starts = -1, b"", {}
-        for row in rows:
+        for row in self.rows(wanted).tolist():
             k = int(self.frame_of[row])
             if k != open_frame:
                 open_frame, data = k, self.frame(k)
                 own = np.flatnonzero(self.frame_of == k) if wanted is not None else np.arange(np.searchsorted(self.frame_of, k), np.searchsorted(self.frame_of, k, "right"))
                 starts = dict(zip(own.tolist(), np.concatenate(([0], np.cumsum(self.counts[own])[:-1])).tolist(), strict=True))
-            yield int(self.doc_ids[row]), np.frombuffer(data, "<u4", int(self.counts[row]), 4 * starts[int(row)])
+            yield None if self.null[row] else int(self.doc_ids[row]), np.frombuffer(data, "<u4", int(self.counts[row]), 4 * starts[int(row)])
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -152,7 +158,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{uri}/{path.rsplit('/', 1)[1]}"], "n_docs": [len(writer.index)], "n_tokens": [writer.tokens], "n_bytes": [size]})
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     made = sorted(placed.mapInArrow(write, MANIFEST).collect(), key=lambda r: r.part)
     first, out = 0, []
@@ -173,7 +179,7 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
                 with filesystem.open_input_file(name) as source:
                     file = TokenFile(source)
                     begin = dict(zip(range(len(file.counts)), (first + np.concatenate(([0], np.cumsum(file.counts)[:-1]))).tolist(), strict=True))
-                    keep = range(len(file.counts)) if wanted is None else np.flatnonzero(np.isin(file.doc_ids, wanted)).tolist()
+                    keep = file.rows(wanted).tolist()
                     rows, size = [], 0
                     for row, (doc_id, ids) in zip(keep, file.documents(wanted), strict=True):
                         rows.append((doc_id, begin[row], ids.tobytes()))
@@ -201,7 +207,7 @@ def token_digests(documents: DataFrame) -> DataFrame:
 def token_store(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
     """Write all documents' ids, read the files back, and return ``doc_id, start, n_tokens, ids_crc32`` per document.
 
-    Null text counts as empty (one id, the end id). A null id is written as -1; rows with equal ids follow one another in text order; other
+    Null text counts as empty (one id, the end id). Null ids come first and stay null; rows with equal ids follow one another in text order; other
     columns are not read; an empty table writes no file and gives an empty result.
     """
     spark: SparkSession = docs.sparkSession

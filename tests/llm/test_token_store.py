@@ -31,17 +31,17 @@ def test_file_round_trip_and_seek():
         list(TokenFile(io.BytesIO(damaged)).documents())
 
 
-@pytest.mark.parametrize("rows", [[], [(5, "b c", "x"), (1, None, "y"), (2, "", None), (2, "", None), (4, "Hello,  world.\n\nà\t!" * 3000, "z")]])
+@pytest.mark.parametrize("rows", [[], [(5, "b c", "x"), (1, None, "y"), (2, "", None), (2, "", None), (-1, "minus one", None), (None, "no id", None), (None, "also none", None), (4, "Hello,  world.\n\nà\t!" * 3000, "z")]])
 def test_query_against_whole_text_encoding(spark, rows):
     path = tokens.vocabulary("byte_bpe_50k.json")
     got = token_store(spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3), path)
     encode = tokens.Encoder(path)._tokenizer.encode
     want, start = [], 0
-    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
