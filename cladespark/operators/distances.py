@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +9,30 @@ BASES = range(4)
 TRANSITIONS = ((0, 2), (2, 0), (1, 3), (3, 1))
 
 
+def site_masks(sites: DataFrame, n_states: int) -> DataFrame:
+    """``taxon, block, m0 ..``: of each block of 64 sites, which ones have each state, as bits."""
+    bit = F.expr("shiftleft(1L, cast(pmod(site, 64) AS int))")
+    masks = (F.bit_or(F.when(F.col("state") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(n_states))
+    return sites.groupBy("taxon", F.floor(F.col("site") / 64).alias("block")).agg(*masks)
+
+
+def _paired(sites: DataFrame, n_states: int) -> DataFrame:
+    """Masks of every two taxa of a block: ``i < j`` with ``x0 ..`` and ``y0 ..``."""
+    masks = site_masks(sites, n_states)
+    x = masks.select(F.col("taxon").alias("i"), "block", *(F.col(f"m{k}").alias(f"x{k}") for k in range(n_states)))
+    y = masks.select(F.col("taxon").alias("j"), "block", *(F.col(f"m{k}").alias(f"y{k}") for k in range(n_states)))
+    return x.join(y, "block").where("i < j")
+
+
 def pair_counts(sites: DataFrame) -> DataFrame:
-    """``i, j`` (i < j) and the counts ``c<a><b>`` of sites where i has state a and j has b; sites that either lacks don't count.
+    """``i, j`` (i < j) and the counts ``c<a><b>`` of sites where i has state a and j has b; sites that either lacks don't count. ``sites``: a row for each taxon and site.
 
-    Taxa meet by an equi-join on the site. The counts are summed before the shuffle, which then has a row per pair and task.
+    Taxa meet by an equi-join on a block of 64 sites, and a count is the number of common bits of two masks, so pairs are made once for 64 sites.
+    The counts are summed before the shuffle, which then has a row per pair and task.
     """
-    x = sites.select(F.col("taxon").alias("i"), "site", F.col("state").alias("a"))
-    y = sites.select(F.col("taxon").alias("j"), "site", F.col("state").alias("b"))
-    both = x.join(y, "site").where("i < j")
-    return both.groupBy("i", "j").agg(*(F.sum(((F.col("a") == a) & (F.col("b") == b)).cast("long")).alias(f"c{a}{b}") for a in BASES for b in BASES))
+    common = lambda a, b: F.sum(F.bit_count(F.col(f"x{a}").bitwiseAND(F.col(f"y{b}"))).cast("long")).alias(f"c{a}{b}")
+    counted = _paired(sites, len(BASES)).groupBy("i", "j").agg(*(common(a, b) for a in BASES for b in BASES))
+    return counted.where(total() > 0)
 
 
 def _sum(pairs) -> Column:
@@ -126,11 +140,18 @@ def transition_ratio(counts: DataFrame) -> DataFrame:
     return sums.select("ts", "tv", F.round(ratio, 6).alias("ratio"))
 
 
-def state_pairs(sites: DataFrame) -> DataFrame:
-    """``i, j, same, total`` for any number of states."""
-    x = sites.select(F.col("taxon").alias("i"), "site", F.col("state").alias("a"))
-    y = sites.select(F.col("taxon").alias("j"), "site", F.col("state").alias("b"))
-    return x.join(y, "site").where("i < j").groupBy("i", "j").agg(F.sum((F.col("a") == F.col("b")).cast("long")).alias("same"), F.count("*").alias("total"))
+def state_pairs(sites: DataFrame, n_states: int = 20) -> DataFrame:
+    """``i, j, same, total`` for states below ``n_states``."""
+    same = sum((F.bit_count(F.col(f"x{k}").bitwiseAND(F.col(f"y{k}"))) for k in range(n_states)), F.lit(0))
+    both = F.bit_count(_union([F.col(f"x{k}") for k in range(n_states)]).bitwiseAND(_union([F.col(f"y{k}") for k in range(n_states)])))
+    return _paired(sites, n_states).groupBy("i", "j").agg(F.sum(same.cast("long")).alias("same"), F.sum(both.cast("long")).alias("total")).where("total > 0")
+
+
+def _union(masks: list[Column]) -> Column:
+    out = masks[0]
+    for m in masks[1:]:
+        out = out.bitwiseOR(m)
+    return out
 
 
 def protein(method: str) -> Column:
