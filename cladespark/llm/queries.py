@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from . import toxicity, url_filters
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .html_region import extract
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
+from .odd_sketches import near_duplicates
 from .packing import pack
 from .runtime import read
 from .substring_dedup import passages
 from .token_store import token_store
 from .tokens import vocabulary
+from .vector_codes import ENTRIES, PARTS, ROUNDS, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +124,77 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """Rounds unrolled: parts, entries and assignments as rows ``(p, k, vector)``."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        near = f"SELECT vec_id, x.p, min({{'d': list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'k': c.k}}) AS b FROM parts x JOIN c{r} c ON x.p = c.p GROUP BY vec_id, x.p"
+        steps.append(f"a{r} AS MATERIALIZED ({near})")
+        if r < ROUNDS:
+            sums = f"SELECT p, b.k AS k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r} JOIN parts USING (vec_id, p), (SELECT unnest(generate_series(1, (SELECT max(len(v)) FROM parts))) AS i) GROUP BY ALL"
+            mean = f"SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM ({sums}) GROUP BY p, k"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN ({mean}) m ON c.p = m.p AND c.k = m.k)")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {PARTS} + 1:(p + 1) * len(v) // {PARTS}] AS v FROM kept, (SELECT unnest(generate_series(0, {PARTS - 1})) AS p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {ENTRIES})),
+{', '.join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', b.k), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM a{ROUNDS} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS digest FROM c{ROUNDS})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM coded JOIN kept USING (vec_id), book
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS sh FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.doc = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc AS doc_id, min(root) AS component_id FROM r GROUP BY doc) c USING (doc_id)
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+      regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+      FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) a, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) b, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) c,
+           (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, [position(substr(filter_order, i, 1) IN 'ABCDE') FOR i IN generate_series(1, step - 1)] AS before, position(substr(filter_order, step, 1) IN 'ABCDE') AS k
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+g AS (SELECT part, filter_order, step, k, n, good, bad, fails[k] AS fail, len(list_filter(before, lambda j: fails[j])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS one FROM s, m),
+c AS (SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (gone AND fail), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND one), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (NOT gone AND fail), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (NOT gone AND fail), 0)::BIGINT AS toxic_lost FROM g GROUP BY ALL)
+SELECT * EXCLUDE (k), sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley FROM c
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
@@ -132,5 +206,16 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_odd_sketches": op12_odd_sketches,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op7_url_filters": OP7_SQL,
+    "op9_jaccard_join": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_odd_sketches": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_url_filters": OP7_SQL, "op9_jaccard_join": OP9_SQL}
