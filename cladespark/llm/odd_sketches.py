@@ -10,7 +10,9 @@ Equal sets are one member. Members meet in buckets (band and hash) of any size,
 
 1. The most central member of a bucket, the one that meets the most others over all its buckets, is compared with the rest. Linked members make cells.
 2. In buckets with more than one cell, the most central member outside the largest cell is compared with other cells, until that links nothing.
-3. What is left, members outside the largest cell against all others, is compared in blocks by bitmaps; only pairs that pass leave a task.
+3. What is left, members outside the largest cell against all others, is compared in blocks; only pairs that pass leave a task. Shingles that no other
+   document in such a bucket has can't be shared, so they bound every similarity from above: a member with too many of them links with nothing
+   and goes, and pairs must pass the bound before their bitmaps are compared.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .cells import in_cells, pair
 from .components import components
-from .jaccard_join import verified
+from .jaccard_join import Sets, verified
 from .runtime import cut, forget, keyed, new_path, prepare, small_side, stored
 from .words import NON_SPACE, mix, shingle_sets, words
 
@@ -152,28 +154,43 @@ def similar_bitmaps(pairs: DataFrame, odd: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").where(differ <= MOST_BITS).select("a", "b")
 
 
+def alone_sizes(rows: DataFrame, sets: Sets = document_sets) -> DataFrame:
+    """``key, alone``: how many shingles of each set no other one of ``rows`` (``key, text``, unique keys) has."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for row, own in sets(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), keys[row])), pa.array(own.view(np.int64))], names=["key", "shingle"])
+
+    met = rows.select("key", "text").mapInArrow(make, "key long, shingle long").groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("other"))
+    alone = met.where("key = other").groupBy("key").agg(F.count("*").alias("alone"))
+    sizes = rows.select("key").join(small_side(alone), "key", "left")
+    return sizes.select("key", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def _left_pairs(state: DataFrame, odd: DataFrame) -> DataFrame:
-    """Pairs of different cells in a bucket, one of them outside its largest cell, that sizes and bitmaps don't exclude.
+    """Pairs of different cells in a bucket, one of them outside its largest cell, that sizes, shared shingles and bitmaps don't exclude.
 
-    ``state``: ``bucket, key, n, c, main``. Both sides of a bucket are dealt into blocks by their keys; a group is one block of each.
+    ``state``: ``bucket, key, n, full, c, main``; two sets share at most the smaller ``full``. Both sides of a bucket are dealt into blocks by their keys; a group is one block of each.
     """
     outside = (F.col("c") != F.col("main")).alias("outside")
     sizes = state.groupBy("bucket").agg(F.count_if(F.col("c") != F.col("main")).alias("few"), F.count("*").alias("many"))
     blocks = [F.ceil(F.col(c) / BLOCK).cast("long").alias(b) for c, b in (("few", "left_blocks"), ("many", "right_blocks"))]
-    rows = state.join(sizes.select("bucket", *blocks), "bucket").select("bucket", "key", "n", "c", outside, "left_blocks", "right_blocks")
+    rows = state.join(sizes.where("few > 0").select("bucket", *blocks), "bucket").select("bucket", "key", "n", "full", "c", outside, "left_blocks", "right_blocks")
     dealt = [F.pmod(F.xxhash64("key", F.lit(k)), F.col(c)) for k, c in enumerate(("left_blocks", "right_blocks"))]
     each = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("left_blocks", "right_blocks")]
-    left = rows.where("outside").select("bucket", dealt[0].alias("i"), each[1].alias("j"), F.lit(0).alias("side"), "key", "n", "c", "outside")
-    right = rows.select("bucket", each[0].alias("i"), dealt[1].alias("j"), F.lit(1).alias("side"), "key", "n", "c", "outside")
-    placed = left.unionByName(right).join(odd, "key").select("bucket", "i", "j", "side", "key", "n", "c", "outside", "odd")
+    left = rows.where("outside").select("bucket", dealt[0].alias("i"), each[1].alias("j"), F.lit(0).alias("side"), "key", "n", "full", "c", "outside")
+    right = rows.select("bucket", each[0].alias("i"), dealt[1].alias("j"), F.lit(1).alias("side"), "key", "n", "full", "c", "outside")
+    placed = left.unionByName(right).join(odd, "key").select("bucket", "i", "j", "side", "key", "n", "full", "c", "outside", "odd")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            side, key, n, c, outer, bits = group
+            side, key, n, full, c, outer, bits = group
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             for a in x:
                 fits = (c[a] != c[y]) & (DENOMINATOR * np.minimum(n[a], n[y]) >= NUMERATOR * np.maximum(n[a], n[y])) & (~outer[y] | (key[a] < key[y]))
-                b = y[fits]
+                b = y[fits & ((NUMERATOR + DENOMINATOR) * np.minimum(full[a], full[y]) >= NUMERATOR * (n[a] + n[y]))]
                 b = b[np.bitwise_count(bits[b] ^ bits[a]).sum(1) <= MOST_BITS]
                 if len(b):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[b], key[a])), pa.array(np.maximum(key[b], key[a]))], names=["a", "b"])
@@ -182,12 +199,12 @@ def _left_pairs(state: DataFrame, odd: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """``side, key, n, c, outside, odd`` of each run of rows with equal first three columns."""
+    """``side, key, n, full, c, outside, odd`` of each run of rows with equal first three columns."""
     name, waiting = None, []
     for batch in batches:
         names = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 8)]
-        columns.append(batch.column(8).flatten().to_numpy().view(np.uint64).reshape(len(names), -1))
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 9)]
+        columns.append(batch.column(9).flatten().to_numpy().view(np.uint64).reshape(len(names), -1))
         edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a == b:
@@ -239,7 +256,11 @@ def near_components(rows: DataFrame) -> DataFrame:
         if done:
             break
         cells = small_side(components(edges).withColumnsRenamed({"node": "key", "component": "c"}))
-    left = cut(_left_pairs(state.drop("central"), odd).join(asked, ["a", "b"], "left_anti"))
+    mixed = small_side(state.select("key").distinct())
+    alone = small_side(alone_sizes(rows.join(mixed, "key", "left_semi")))
+    full = (F.col("n") - F.col("alone")).alias("full")
+    able = state.join(alone, "key").select("bucket", "key", "n", full, "c", "main").where(DENOMINATOR * F.col("full") >= NUMERATOR * F.col("n"))
+    left = cut(_left_pairs(able, odd).join(asked, ["a", "b"], "left_anti"))
     found = components(cut(edges.unionByName(confirmed(left)).unionByName(folded)))
     same = cut(table.select("key", "n"))
     for path in paths:

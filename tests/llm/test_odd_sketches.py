@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cladespark.llm import odd_sketches
-from cladespark.llm.odd_sketches import BAND, BANDS, BITS, MOST_BITS, SAMPLES, bands, bitmaps, differing_bits, near_duplicates, samples
+from cladespark.llm.odd_sketches import BAND, BANDS, BITS, MOST_BITS, SAMPLES, alone_sizes, bands, bitmaps, differing_bits, near_duplicates, samples
 
 
 def shingles(text):
@@ -117,3 +117,14 @@ def test_bitmaps_exclude_sets_far_below_the_threshold():
     assert np.bitwise_count(bitmaps(value[::2]) ^ bitmaps(value[1::2])).sum(1).min() > MOST_BITS
     assert differing_bits(0.8, 0) < MOST_BITS < differing_bits(0.6, 0)
     assert (1 - 0.8**BAND) ** BANDS < 1e-7 and BITS == 2 * SAMPLES
+
+
+def test_shingles_that_no_other_document_has(spark):
+    docs = corpus(7)
+    sets = {d: shingles(t) for d, t in docs}
+    counts = {}
+    for s in sets.values():
+        for x in s:
+            counts[x] = counts.get(x, 0) + 1
+    got = {r.key: r.alone for r in alone_sizes(spark.createDataFrame([(d, t or "") for d, t in docs], "key long, text string").repartition(5)).collect()}
+    assert got == {d: sum(counts[x] == 1 for x in s) for d, s in sets.items()}
