@@ -10,9 +10,9 @@ Equal sets are one member. Members meet in buckets (band and hash) of any size,
 
 1. The most central member of a bucket, the one that meets the most others over all its buckets, is compared with the rest. Linked members make cells.
 2. In buckets with more than one cell, the most central member outside the largest cell is compared with other cells, until that links nothing.
-3. What is left, members outside the largest cell against all others, is compared in blocks; only pairs that pass leave a task. Shingles that no other
-   document in such a bucket has can't be shared, so they bound every similarity from above: a member with too many of them links with nothing
-   and goes, and pairs must pass the bound before their bitmaps are compared.
+3. What is left, members outside the largest cell against all others, is compared in regions, the buckets that have one largest cell, block by block with complete
+   sets; only links leave a task. Shingles that no other document there has can't be shared, so they bound every similarity from above: a member with too
+   many of them links with nothing and goes, and pairs must pass the bound, then their bitmaps, before their sets are compared.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .cells import in_cells, pair
 from .components import components
 from .jaccard_join import Sets, verified
-from .runtime import cut, forget, keyed, new_path, prepare, small_side, stored
+from .runtime import cut, forget, keyed, new_path, prepare, small_side, smaller_batches, stored
 from .words import NON_SPACE, mix, shingle_sets, words
 
 SHINGLE = 4
@@ -37,7 +37,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 SAMPLES, BITS = 1024, 2048
 BANDS, BAND = 32, 4  #: sets at similarity 0.8 share no band with a probability of 5e-8
 DEVIATIONS = 6
-BLOCK = 1024  #: members of a bucket, on either side, that a task compares at a time
+BLOCK = 256  #: members of a region, on either side, that a task compares at a time
+SET_ROWS = 200  #: rows of whole sets in a batch
 
 SKETCH = "key long, n long, f1 long, f2 long, bands array<long>, odd array<long>"
 
@@ -143,6 +144,18 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(make, SKETCH)
 
 
+def whole_sets(rows: DataFrame) -> DataFrame:
+    """``key, own`` of rows ``key, text``: the sorted shingles as bytes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            out = [(keys[row], own.tobytes()) for row, own in document_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["key", "own"])
+
+    return rows.select("key", "text").mapInArrow(make, "key long, own binary")
+
+
 def near_sizes(n: str, m: str) -> Column:
     return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
 
@@ -169,42 +182,49 @@ def alone_sizes(rows: DataFrame, sets: Sets = document_sets) -> DataFrame:
     return sizes.select("key", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
-def _left_pairs(state: DataFrame, odd: DataFrame) -> DataFrame:
-    """Pairs of different cells in a bucket, one of them outside its largest cell, that sizes, shared shingles and bitmaps don't exclude.
+def _left_links(regions: DataFrame, odd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` of different cells in a region, one of them outside its largest cell, between members that sizes, shared shingles and bitmaps don't exclude.
 
-    ``state``: ``bucket, key, n, full, c, main``; two sets share at most the smaller ``full``. Both sides of a bucket are dealt into blocks by their keys; a group is one block of each.
+    ``regions``: ``main, key, n, full, c``, distinct; two sets share at most the smaller ``full``. ``odd``: ``key, odd``; ``sets``: ``key, own``, sorted shingles as bytes. Both
+    sides of a region are dealt into blocks by their keys; a group is one block of each, and compares complete sets, so only links leave it.
     """
     outside = (F.col("c") != F.col("main")).alias("outside")
-    sizes = state.groupBy("bucket").agg(F.count_if(F.col("c") != F.col("main")).alias("few"), F.count("*").alias("many"))
+    sizes = regions.groupBy("main").agg(F.count_if(F.col("c") != F.col("main")).alias("few"), F.count("*").alias("many")).where("few > 0")
     blocks = [F.ceil(F.col(c) / BLOCK).cast("long").alias(b) for c, b in (("few", "left_blocks"), ("many", "right_blocks"))]
-    rows = state.join(sizes.where("few > 0").select("bucket", *blocks), "bucket").select("bucket", "key", "n", "full", "c", outside, "left_blocks", "right_blocks")
+    rows = regions.join(sizes.select("main", *blocks), "main").select("main", "key", "n", "full", "c", outside, "left_blocks", "right_blocks")
     dealt = [F.pmod(F.xxhash64("key", F.lit(k)), F.col(c)) for k, c in enumerate(("left_blocks", "right_blocks"))]
     each = [F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("left_blocks", "right_blocks")]
-    left = rows.where("outside").select("bucket", dealt[0].alias("i"), each[1].alias("j"), F.lit(0).alias("side"), "key", "n", "full", "c", "outside")
-    right = rows.select("bucket", each[0].alias("i"), dealt[1].alias("j"), F.lit(1).alias("side"), "key", "n", "full", "c", "outside")
-    placed = left.unionByName(right).join(odd, "key").select("bucket", "i", "j", "side", "key", "n", "full", "c", "outside", "odd")
+    left = rows.where("outside").select("main", dealt[0].alias("i"), each[1].alias("j"), F.lit(0).alias("side"), "key", "n", "full", "c", "outside")
+    right = rows.select("main", each[0].alias("i"), dealt[1].alias("j"), F.lit(1).alias("side"), "key", "n", "full", "c", "outside")
+    placed = left.unionByName(right).join(odd, "key").join(sets, "key").select("main", "i", "j", "side", "key", "n", "full", "c", "outside", "odd", "own")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            side, key, n, full, c, outer, bits = group
+        for side, key, n, full, c, outer, bits, own in _groups(batches):
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             for a in x:
                 fits = (c[a] != c[y]) & (DENOMINATOR * np.minimum(n[a], n[y]) >= NUMERATOR * np.maximum(n[a], n[y])) & (~outer[y] | (key[a] < key[y]))
                 b = y[fits & ((NUMERATOR + DENOMINATOR) * np.minimum(full[a], full[y]) >= NUMERATOR * (n[a] + n[y]))]
                 b = b[np.bitwise_count(bits[b] ^ bits[a]).sum(1) <= MOST_BITS]
+                if not len(b):
+                    continue
+                mine, others = np.frombuffer(own[a], np.uint64), np.concatenate([np.frombuffer(own[k], np.uint64) for k in b])
+                met = mine[np.minimum(np.searchsorted(mine, others), len(mine) - 1)] == others
+                shared = np.add.reduceat(met.astype(np.int64), np.cumsum(n[b]) - n[b])
+                b = b[DENOMINATOR * shared >= NUMERATOR * (n[a] + n[b] - shared)]
                 if len(b):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[b], key[a])), pa.array(np.maximum(key[b], key[a]))], names=["a", "b"])
 
-    return placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return placed.repartition("main", "i", "j").sortWithinPartitions("main", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """``side, key, n, full, c, outside, odd`` of each run of rows with equal first three columns."""
+    """``side, key, n, full, c, outside, odd, own`` of each run of rows with equal first three columns."""
     name, waiting = None, []
     for batch in batches:
         names = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3, 9)]
         columns.append(batch.column(9).flatten().to_numpy().view(np.uint64).reshape(len(names), -1))
+        columns.append(np.array(batch.column(10).to_pylist(), object))
         edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a == b:
@@ -259,9 +279,13 @@ def near_components(rows: DataFrame) -> DataFrame:
     mixed = small_side(state.select("key").distinct())
     alone = small_side(alone_sizes(rows.join(mixed, "key", "left_semi")))
     full = (F.col("n") - F.col("alone")).alias("full")
-    able = state.join(alone, "key").select("bucket", "key", "n", full, "c", "main").where(DENOMINATOR * F.col("full") >= NUMERATOR * F.col("n"))
-    left = cut(_left_pairs(able, odd).join(asked, ["a", "b"], "left_anti"))
-    found = components(cut(edges.unionByName(confirmed(left)).unionByName(folded)))
+    able = state.join(alone, "key").select("main", "key", "n", full, "c").where(DENOMINATOR * F.col("full") >= NUMERATOR * F.col("n"))
+    regions = cut(able.distinct())
+    busy = small_side(regions.where("c <> main").select("main").distinct())
+    wanted = small_side(regions.join(busy, "main").select("key").distinct())
+    with smaller_batches(spark, SET_ROWS):
+        left = cut(_left_links(regions, odd, whole_sets(rows.join(wanted, "key", "left_semi"))))
+    found = components(cut(edges.unionByName(left).unionByName(folded)))
     same = cut(table.select("key", "n"))
     for path in paths:
         forget(spark, path)

@@ -51,7 +51,7 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize(("block", "seed"), [(1024, 1), (4, 2)])
+@pytest.mark.parametrize(("block", "seed"), [(256, 1), (4, 2)])
 def test_against_brute_force(spark, monkeypatch, block, seed):
     monkeypatch.setattr(odd_sketches, "BLOCK", block)
     docs = corpus(seed)
