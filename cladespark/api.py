@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import clustering, likelihood, newick, parsimony, searches
+from .functions.stats import gamma_rates
 from .operators import distances as D
-from .operators import sitewise
+from .operators import folds, sitewise, splits
+from .operators.ml_distances import ml_distances
+from .operators.newick_text import newick_texts
 from .session import workers_see_package
-from .sources.formats import MASKS, to_sites
+from .sources.formats import MASKS, to_masks, to_sites
 
 
 def _masks(rows: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -26,16 +31,31 @@ def _model(sequences: dict[str, np.ndarray], model: str, ratio: float, gamma: li
     counts = np.array([(known == 1 << k).sum() for k in range(4)], float)
     share = counts / counts.sum() if counts.sum() else np.full(4, 0.25)
     share = np.maximum(share, 1e-6)
-    return likelihood.Model(tuple((share / share.sum()).tolist()), max(0.0, ratio - 1), rates)
+    return likelihood.Model(tuple((share / share.sum()).tolist()), float(likelihood.excess(share / share.sum(), ratio)), rates)
 
 
-def distance(sequences: DataFrame, model: str = "jc69", method: str = "nj", alpha: float | None = None) -> DataFrame:
-    """A tree per alignment from pairwise distances: ``aln_id, newick``."""
-    sites = to_sites(sequences)
-    x = sites.select("aln_id", F.col("taxon").alias("i"), "site", F.col("state").alias("a"))
-    y = sites.select("aln_id", F.col("taxon").alias("j"), "site", F.col("state").alias("b"))
-    counted = x.join(y, ["aln_id", "site"]).where("i < j").groupBy("aln_id", "i", "j").agg(*(F.sum(((F.col("a") == a) & (F.col("b") == b)).cast("long")).alias(f"c{a}{b}") for a in range(4) for b in range(4)))
-    return clustering.trees(counted.select("aln_id", "i", "j", D.MODELS[model](alpha).alias("d")), method, "aln_id")
+def distances(
+    sequences: DataFrame, model: str = "jc69", alpha: float | None = None, frequencies: Sequence[float] | None = None, ratio: float = 2.0, fit: str = "likelihood", categories: int = 4
+) -> DataFrame:
+    """``aln_id, i, j, d`` of all pairs of taxa that share a known site.
+
+    ``fit``: ``likelihood`` maximises it for each pair; ``closed`` takes the model's formula, null where it has no finite value. ``model``: ``jc69``, ``k2p``, ``f81``,
+    ``f84`` or, always closed, ``logdet``. ``frequencies`` of A, C, G, T: the pair's own unless given. ``ratio``: of transitions to transversions, for likelihood.
+    ``alpha``: shape of gamma-distributed rates (``categories`` of them for likelihood).
+    """
+    counts = D.pair_counts(to_sites(sequences), ["aln_id"])
+    if model == "logdet":
+        return counts.select("aln_id", "i", "j", D.logdet().alias("d"))
+    if fit == "closed":
+        fixed = {"frequencies": frequencies} if model in ("f81", "f84") else {}
+        return counts.select("aln_id", "i", "j", D.MODELS[model](alpha, **fixed).alias("d"))
+    rates = (1.0,) if alpha is None else tuple(float(r) for r in gamma_rates(alpha, categories))
+    return ml_distances(counts, model, frequencies, ratio, rates, ("aln_id", "i", "j"))
+
+
+def distance(sequences: DataFrame, model: str = "jc69", method: str = "nj", alpha: float | None = None, **options) -> DataFrame:
+    """A tree per alignment from pairwise distances: ``aln_id, newick``. ``options``: as for :func:`distances`, which are most likely ones by default."""
+    return clustering.trees(distances(sequences, model, alpha, **options), method, "aln_id")
 
 
 def maximum_likelihood(sequences: DataFrame, model: str = "f84", ratio: float = 2.0, gamma: list[float] | None = None) -> DataFrame:
@@ -133,6 +153,8 @@ def evaluate(sequences: DataFrame, tree: str, model: str = "jc69", ratio: float
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         masks, root = _masks(rows), newick.parse(tree)
+        if odd := sorted({n.name or "" for n in root.leaves()} ^ set(masks)):
+            raise ValueError(f"only in the tree or only in the alignment: {', '.join(odd[:5])}")
         data, own = likelihood.Data.of(masks), _model(masks, model, ratio, None)
         value = likelihood.optimize_lengths(root, data, own) if optimize else likelihood.lnl(root, data, own)
         return pd.DataFrame({"aln_id": [key[0]], "newick": [newick.write(root)], "lnl": [value]})
@@ -141,6 +163,52 @@ def evaluate(sequences: DataFrame, tree: str, model: str = "jc69", ratio: float
     return sequences.groupBy("aln_id").applyInPandas(run, "aln_id string, newick string, lnl double")
 
 
+def _named(trees: DataFrame) -> DataFrame:
+    """``tree, node, parent, ord, bl, level, name`` of readable trees ``tree, newick``: tips are named by their taxa, other nodes by a sign and their number."""
+    nodes = newick.explode_trees(trees)
+    inner = nodes.select("tree", F.col("parent").alias("id")).where("id is not null").distinct().withColumn("inner", F.lit(True))
+    label = lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
+    own = F.when(F.col("inner"), label("id")).otherwise(F.coalesce("name", F.lit("")))
+    return nodes.join(inner, ["tree", "id"], "left").select("tree", own.alias("node"), label("parent").alias("parent"), "ord", F.coalesce("bl", F.lit(0.1)).alias("bl"), "level", "name")
+
+
+def score_trees(sequences: DataFrame, trees: DataFrame, score: str = "parsimony", rates: Sequence[float] = (1.0,)) -> DataFrame:
+    """All ``trees`` (``tree, newick``) over one alignment's sequences in one job: ``tree, steps, sites``, or ``tree, lnl, sites`` by JC69 for ``likelihood``.
+
+    Ambiguous bases count as what they may be. A missing branch length is 0.1. A tree whose tips aren't the alignment's taxa is a ``ValueError``, as are unreadable trees.
+    """
+    bad = trees.join(newick.explode_trees(trees).select("tree").distinct(), "tree", "left_anti").limit(5).collect()
+    if bad:
+        raise ValueError(f"unreadable trees: {', '.join(str(r.tree) for r in bad)}")
+    forest = _named(trees).drop("name")
+    folds.check_tips(forest, sequences.select(F.col("taxon").alias("node")))
+    leaves = to_masks(sequences).select(F.col("taxon").alias("node"), "site", "mask")
+    if score == "parsimony":
+        return folds.fitch_scores(forest, leaves)
+    return folds.site_likelihoods(forest, leaves, tuple(rates)).groupBy("tree").agg(F.sum("lnl").alias("lnl"), F.count("*").alias("sites"))
+
+
+def consensus(trees: DataFrame, method: str = "majority", threshold: float = 0.5) -> DataFrame:
+    """One row ``newick``: the consensus of trees ``tree, newick`` of the same taxa (at most 63), with support as labels and mean lengths of inner branches.
+
+    ``method``: ``strict``, ``majority``, ``threshold`` or ``extended``. Trees of different taxa are a ``ValueError``.
+    """
+    nodes = _named(trees)
+    tips = folds.tips_of(nodes)
+    names = sorted(r.node for r in tips.select("node").distinct().limit(64).collect())  # a bit each
+    if len(names) > 63:
+        raise ValueError("splits hold up to 63 taxa")
+    bits = trees.sparkSession.createDataFrame([(n, 1 << k) for k, n in enumerate(names)], "node string, mask long")
+    leaves = tips.join(F.broadcast(bits), "node").select("tree", "node", F.lit(0).alias("site"), "mask")
+    masks = folds.fold_up(nodes, leaves, lambda: {"mask": F.bit_or("mask")}).join(nodes.select("tree", "node", "bl", "level"), ["tree", "node"])
+    splits.check_taxa(masks)
+    found = splits.consensus(splits.canonical(masks.where("level > 0").select("tree", "mask", "bl"), len(names)), method, threshold, len(names))
+    made = splits.consensus_tree(found, len(names))
+    labelled = made.join(F.broadcast(bits.select(F.col("mask").alias("node"), F.col("node").alias("name"))), "node", "left")
+    label = F.coalesce("name", F.when(F.col("support").isNotNull(), F.format_string("%.2f", "support")))
+    return newick_texts(labelled.select("node", "parent", F.col("node").alias("ord"), F.when(F.col("parent").isNotNull(), label).alias("name"), "bl"))
+
+
 def tree_distance(a: str, b: str) -> dict[str, float]:
     """Robinson-Foulds distance, the same over its maximum, and the branch-score distance over inner branches."""
     x, y = (newick.split_sets(newick.parse(t)) for t in (a, b))

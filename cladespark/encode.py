@@ -23,7 +23,8 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = who.select("c_custkey", F.col("n_nationkey").alias("taxon"), F.col("n_regionkey").alias("region"))
     joined = line.join(order.join(who, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     q = joined.groupBy("taxon", "region", F.col("l_partkey").alias("site")).agg(F.sum("l_quantity").cast("long").alias("q"))
-    return q.withColumn("rq", F.sum("q").over(Window.partitionBy("site", "region")))
+    by_site = q.repartition("site")  # at most a row for a nation and site: what follows, site by site, needs no other shuffle
+    return by_site.withColumn("rq", F.sum("q").over(Window.partitionBy("site", "region")))
 
 
 def _states(frame: DataFrame, n: int) -> DataFrame:
@@ -131,3 +132,32 @@ def splits_sql(name: str, by: str = "o_orderpriority || ':' || o_orderstatus", n
     SELECT tree, size, slot // size AS node, bit_or(1::BIGINT << taxon)::BIGINT AS mask, 0.01e0 * size AS bl FROM (SELECT tree, taxon, row_number() OVER (PARTITION BY tree ORDER BY v DESC, taxon) - 1 AS slot
       FROM (SELECT {by} AS tree, c_nationkey::BIGINT AS taxon, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)), (SELECT unnest([2, 4, 8, 16]) AS size) GROUP BY ALL))
   WHERE bit_count(split) > 1 AND bit_count(split) < {n_taxa - 1} GROUP BY ALL)"""
+
+
+def ranked(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    """``tree, taxon, slot, n``: for each group of orders the nations in order of their orders' value, and how many there are."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.expr(by).alias("tree"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    value = joined.groupBy("tree", F.col("c_nationkey").alias("taxon")).agg(F.sum("o_totalprice").alias("v"))
+    slot = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("v"), "taxon")) - 1
+    return value.select("tree", "taxon", slot.alias("slot"), F.count("*").over(Window.partitionBy("tree")).alias("n"))
+
+
+def forest(spark: SparkSession, sf_dir: str, by: str = "concat_ws(':', o_orderpriority, o_orderstatus)") -> DataFrame:
+    """The trees of :func:`clades` as ``tree, node, parent, ord, bl``: nations are the tips, and the node of height k over the slots from i 2^k has
+    the number k 2^32 + i."""
+    tips = ranked(spark, sf_dir, by)
+    node = lambda k, at: (k.cast("long") * (1 << 32) + at).cast("long")
+    up = F.floor(F.col("slot") / 2)
+    leaf = tips.select("tree", F.col("taxon").cast("long").alias("node"), node(F.lit(1), up).alias("parent"), (F.col("slot") % 2).cast("int").alias("ord"), F.lit(0.01).alias("bl"))
+    top = F.ceil(F.log2("n") - 1e-9).cast("int")
+    sized = tips.select("tree", "slot", top.alias("top"), F.explode(F.sequence(F.lit(1), top)).alias("k"))
+    inner = sized.select("tree", "top", "k", F.floor(F.col("slot") / F.pow(F.lit(2), F.col("k"))).alias("i")).distinct()
+    above = F.when(F.col("k") < F.col("top"), node(F.col("k") + 1, F.floor(F.col("i") / 2)))
+    length = F.when(F.col("k") < F.col("top"), 0.01 * F.pow(F.lit(2), F.col("k"))).otherwise(0.0)
+    return leaf.unionByName(inner.select("tree", node(F.col("k"), F.col("i")).alias("node"), above.alias("parent"), (F.col("i") % 2).cast("int").alias("ord"), length.alias("bl")))
+
+
+SLOTS_SQL = """slots AS (SELECT tree, taxon, row_number() OVER (PARTITION BY tree ORDER BY v DESC, taxon) - 1 AS slot FROM (
+  SELECT o_orderpriority || ':' || o_orderstatus AS tree, c_nationkey AS taxon, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))"""

@@ -6,8 +6,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..session import workers_see_package
 
@@ -153,3 +154,23 @@ def explode_trees(trees: DataFrame, id_col: str = "tree", text_col: str = "newic
     workers_see_package(trees.sparkSession)
     nodes = F.udf(newick_nodes, NODES)
     return trees.select(id_col, F.explode(nodes(text_col)).alias("n")).select(id_col, "n.*")
+
+
+@udtf(returnType="id int, parent int, ord int, name string, bl double, level int")
+class NewickNodes:
+    """The nodes of a tree in preorder, for ``LATERAL``; none for a null or malformed text."""
+
+    def eval(self, text: str):
+        yield from newick_nodes(text) or []
+
+
+def register(spark: SparkSession) -> None:
+    """Add the table function ``newick_nodes(text)`` to SQL."""
+    workers_see_package(spark)
+    spark.udtf.register("newick_nodes", NewickNodes)
+
+
+def lateral_trees(trees: DataFrame, id_col: str = "tree", text_col: str = "newick") -> DataFrame:
+    """As :func:`explode_trees`, by a lateral join in SQL."""
+    register(trees.sparkSession)
+    return trees.sparkSession.sql(f"SELECT t.`{id_col}`, n.* FROM {{trees}} t, LATERAL newick_nodes(t.`{text_col}`) n", trees=trees)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +11,29 @@ BASES = range(4)
 TRANSITIONS = ((0, 2), (2, 0), (1, 3), (3, 1))
 
 
-def site_masks(sites: DataFrame, n_states: int) -> DataFrame:
-    """``taxon, block, m0 ..``: of each block of 64 sites, which ones have each state, as bits."""
+def site_masks(sites: DataFrame, n_states: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, taxon, block, m0 ..``: of each block of 64 sites, which ones have each state, as bits. ``keys``: columns that tell alignments apart."""
     bit = F.expr("shiftleft(1L, cast(pmod(site, 64) AS int))")
     masks = (F.bit_or(F.when(F.col("state") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(n_states))
-    return sites.groupBy("taxon", F.floor(F.col("site") / 64).alias("block")).agg(*masks)
+    return sites.groupBy(*keys, "taxon", F.floor(F.col("site") / 64).alias("block")).agg(*masks)
 
 
-def _paired(sites: DataFrame, n_states: int) -> DataFrame:
+def _paired(sites: DataFrame, n_states: int, keys: Sequence[str] = ()) -> DataFrame:
     """Masks of every two taxa of a block: ``i < j`` with ``x0 ..`` and ``y0 ..``."""
-    masks = site_masks(sites, n_states)
-    x = masks.select(F.col("taxon").alias("i"), "block", *(F.col(f"m{k}").alias(f"x{k}") for k in range(n_states)))
-    y = masks.select(F.col("taxon").alias("j"), "block", *(F.col(f"m{k}").alias(f"y{k}") for k in range(n_states)))
-    return x.join(y, "block").where("i < j")
+    masks = site_masks(sites, n_states, keys)
+    x = masks.select(*keys, F.col("taxon").alias("i"), "block", *(F.col(f"m{k}").alias(f"x{k}") for k in range(n_states)))
+    y = masks.select(*keys, F.col("taxon").alias("j"), "block", *(F.col(f"m{k}").alias(f"y{k}") for k in range(n_states)))
+    return x.join(y, [*keys, "block"]).where("i < j")
 
 
-def pair_counts(sites: DataFrame) -> DataFrame:
-    """``i, j`` (i < j) and the counts ``c<a><b>`` of sites where i has state a and j has b; sites that either lacks don't count. ``sites``: a row for each taxon and site.
+def pair_counts(sites: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, i, j`` (i < j) and the counts ``c<a><b>`` of sites where i has state a and j has b; sites that either lacks don't count. ``sites``: a row for each taxon and site.
 
     Taxa meet by an equi-join on a block of 64 sites, and a count is the number of common bits of two masks, so pairs are made once for 64 sites.
     The counts are summed before the shuffle, which then has a row per pair and task.
     """
     common = lambda a, b: F.sum(F.bit_count(F.col(f"x{a}").bitwiseAND(F.col(f"y{b}"))).cast("long")).alias(f"c{a}{b}")
-    counted = _paired(sites, len(BASES)).groupBy("i", "j").agg(*(common(a, b) for a in BASES for b in BASES))
+    counted = _paired(sites, len(BASES), keys).groupBy(*keys, "i", "j").agg(*(common(a, b) for a in BASES for b in BASES))
     return counted.where(total() > 0)
 
 
@@ -82,19 +84,27 @@ def pair_frequencies() -> list[Column]:
     return [(_sum((k, b) for b in BASES) + _sum((a, k) for a in BASES)) / (2 * total()) for k in BASES]
 
 
-def f81(alpha: float | None = None) -> Column:
-    rest = 1 - sum((p * p for p in pair_frequencies()), F.lit(0.0))
+def _frequencies(fixed: Sequence[float] | None) -> list[Column]:
+    """Given frequencies, at least 1e-6 each, as shares of their sum; or the pair's own."""
+    if fixed is None:
+        return pair_frequencies()
+    held = [max(float(p), 1e-6) for p in fixed]
+    return [F.lit(p / sum(held)) for p in held]
+
+
+def f81(alpha: float | None = None, frequencies: Sequence[float] | None = None) -> Column:
+    rest = 1 - sum((p * p for p in _frequencies(frequencies)), F.lit(0.0))
     return rest * _minus_log(1 - F.try_divide(1 - same() / total(), rest), alpha)
 
 
-def _f84_parts() -> tuple[Column, Column, Column]:
-    pa, pc, pg, pt = pair_frequencies()
+def _f84_parts(frequencies: Sequence[float] | None = None) -> tuple[Column, Column, Column]:
+    pa, pc, pg, pt = _frequencies(frequencies)
     purine, pyrimidine = pa + pg, pc + pt
     return F.try_divide(pc * pt, pyrimidine) + F.try_divide(pa * pg, purine), pc * pt + pa * pg, purine * pyrimidine
 
 
-def f84(alpha: float | None = None) -> Column:
-    a, b, c = _f84_parts()
+def f84(alpha: float | None = None, frequencies: Sequence[float] | None = None) -> Column:
+    a, b, c = _f84_parts(frequencies)
     p, q = ts() / total(), tv() / total()
     return 2 * a * _minus_log(1 - F.try_divide(p, 2 * a) - F.try_divide((a - b) * q, 2 * a * c), alpha) - 2 * (a - b - c) * _minus_log(1 - F.try_divide(q, 2 * c), alpha)
 

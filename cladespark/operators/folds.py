@@ -1,7 +1,11 @@
 """Folds over trees, site by site. A tree is a relation ``node, parent, ord, bl, level`` with levels counted from the root.
 
 A fold goes up level by level: states of a level's nodes join their parents and are combined there by an aggregation, so the
-number of joins is the tree's height and all sites and nodes of a level go at once.
+number of joins is the tree's height and all sites and nodes of a level go at once. With a column ``tree`` the relation is a forest, whose trees may
+differ in shape and height and share the nodes of their tips: every fold then goes over all trees in one job and its results carry ``tree``.
+
+Folds of likelihoods and step matrices work on *repeats*: below a node, sites that have the same states at all tips are one class, whose
+states are computed once. Classes are hashes that go up with the sites, which costs a narrow row for a node and site; what is wide or slow runs over distinct classes.
 """
 
 from __future__ import annotations
@@ -12,84 +16,215 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .sides import MOST_ROWS, counted
+
 State = dict[str, Column]
+CLASS = ("c", "d")  #: a class of sites below a node: the state of a tip, or two hashes
+BLOCK = 64  #: sites whose sets go up together as bits of longs
+
+
+def keys(tree: DataFrame) -> list[str]:
+    """The columns that tell trees apart."""
+    return ["tree"] if "tree" in tree.columns else []
+
+
+def shape_of(tree: DataFrame) -> tuple[int, Callable[[DataFrame], DataFrame]]:
+    """The height of a tree or forest, and what marks parts of it for a broadcast if it has few enough nodes: one pass tells both."""
+    height, nodes = tree.agg(F.max("level"), F.count("*")).first()
+    return height or 0, F.broadcast if nodes <= MOST_ROWS else lambda part: part
+
+
+def height_of(tree: DataFrame) -> int:
+    return shape_of(tree)[0]
+
+
+def with_levels(edges: DataFrame) -> DataFrame:
+    """``edges`` (``[tree,] node, parent, ...``) with the ``level`` of each node, a join for each level. Nodes that no root reaches are an error.
+
+    Edges and result are written to the checkpoint folder, as every fold reads them level by level.
+    """
+    key = keys(edges)
+    edges = cut(edges)
+    links = counted(edges.select(*key, "node", "parent"))
+    current = cut(edges.where("parent is null").select(*key, "node"))
+    found, level, reached = current.withColumn("level", F.lit(0)), 0, current.count()
+    while True:
+        current = cut(links.join(current.select(*key, F.col("node").alias("parent")), [*key, "parent"]).select(*key, "node"))
+        level += 1
+        if not (more := current.count()):
+            break
+        reached += more
+        found = found.unionByName(current.withColumn("level", F.lit(level)))
+    if reached != edges.count():
+        raise ValueError("some nodes hang from no root")
+    return cut(edges.join(counted(found), [*key, "node"]))
 
 
 def fold_up(
-    tree: DataFrame, leaves: DataFrame, combine: Callable[[], State], height: int, carry: tuple[str, ...] = (), after: Callable[[DataFrame], DataFrame] = lambda x: x, root_only: bool = False
+    tree: DataFrame, leaves: DataFrame, combine: Callable[[], State], carry: tuple[str, ...] = (), after: Callable[[DataFrame], DataFrame] = lambda x: x, root_only: bool = False
 ) -> DataFrame:
-    """States of all nodes, or of the root alone, for which each level is computed once. ``leaves``: ``node, site`` and state columns; ``combine`` gives
-    the aggregates, by state column, over the children of a node, which have ``ord`` and ``bl`` beside their states; ``after`` changes the states of a level."""
-    edges = F.broadcast(tree.select("node", "parent", "ord", "bl", "level"))
-    tips = leaves.join(F.broadcast(tree.select("node", "level")), "node")
-    done, current = leaves, None
+    """States of all nodes, or of the roots alone, for which each level is computed once. ``leaves``: ``node, site`` and state columns; ``combine`` gives
+    the aggregates, by state column, over the children of a node, which have ``ord`` and ``bl`` beside their states; ``after`` changes the states of a level.
+    In a forest ``leaves`` may have ``tree`` as well, where tips aren't shared."""
+    key, (height, side) = keys(tree), shape_of(tree)
+    edges = side(tree.select(*key, "node", "parent", "ord", "bl", "level"))
+    tips = leaves.join(side(tree.select(*key, "node", "level")), [*(k for k in key if k in leaves.columns), "node"])
+    done, current = tips.drop("level"), None
     for level in range(height, 0, -1):
         own = tips.where(F.col("level") == level).drop("level")
         current = own if current is None else own.unionByName(current)
-        joined = current.join(edges.where(F.col("level") == level), "node")
-        current = after(joined.groupBy(F.col("parent").alias("node"), "site", *carry).agg(*(c.alias(k) for k, c in combine().items())))
+        joined = current.join(edges.where(F.col("level") == level), [*key, "node"])
+        current = after(joined.groupBy(*key, F.col("parent").alias("node"), "site", *carry).agg(*(c.alias(k) for k, c in combine().items())))
         done = done.unionByName(current)
-    return current if root_only else done
+    return current if root_only and current is not None else done
+
+
+def repeats(tree: DataFrame, leaves: DataFrame) -> tuple[dict[int, DataFrame], DataFrame]:
+    """Classes of sites. By the level of the children: ``[tree,] parent, pc, pd, node, ord, bl, c, d``, for each distinct class of a parent its children with their classes;
+    and ``[tree,] site, c, d``, the class of each site at the root. ``leaves``: ``node, site, state``, a row for each tip with data."""
+    key, (height, side) = keys(tree), shape_of(tree)
+    edges = side(tree.select(*key, "node", "parent", "ord", "bl", "level"))
+    own = leaves.select("node", "site", F.col("state").cast("long").alias("c"), F.lit(0).cast("long").alias("d"))
+    tips = own.join(side(tree.select(*key, "node", "level")), "node")
+    links, current = {}, None
+    for level in range(height, 0, -1):
+        mine = tips.where(F.col("level") == level).drop("level")
+        current = mine if current is None else mine.unionByName(current)
+        joined = current.join(edges.where(F.col("level") == level), [*key, "node"])
+        hashes = (F.bit_xor(F.xxhash64(F.lit(k), "node", "c", "d")).alias(c) for k, c in enumerate(CLASS))
+        children = F.collect_list(F.struct("node", "ord", "bl", "c", "d")).alias("children")
+        current = joined.groupBy(*key, F.col("parent").alias("node"), "site").agg(*hashes, children)
+        distinct = current.groupBy(*key, F.col("node").alias("parent"), F.col("c").alias("pc"), F.col("d").alias("pd")).agg(F.first("children").alias("children"))
+        links[level] = distinct.select(*key, "parent", "pc", "pd", F.inline("children"))
+        current = current.drop("children")
+    return links, current.drop("node")
+
+
+def fold_repeats(
+    tree: DataFrame,
+    leaves: DataFrame,
+    tips: DataFrame,
+    combine: Callable[[], State],
+    carry: tuple[str, ...] = (),
+    after: Callable[[DataFrame], DataFrame] = lambda x: x,
+) -> DataFrame:
+    """``[tree,] site`` and the states at the root. ``tips``: states of a tip by its ``state``, and ``carry``; ``combine`` and ``after`` as for :func:`fold_up`.
+
+    A node with children has no state of its own in ``leaves``.
+    """
+    key = keys(tree)
+    links, roots = repeats(tree, leaves)
+    inner = None
+    start = tips.select(F.col("state").cast("long").alias("c"), F.lit(0).cast("long").alias("d"), *(c for c in tips.columns if c != "state"))
+    for level, mine in links.items():
+        # the class of a tip is its state and no hash, so nodes of either kind find their states by their class
+        joined = mine.join(start, list(CLASS))
+        if inner is not None:
+            joined = joined.unionByName(mine.join(inner, [*key, "node", *CLASS]).select(joined.columns))
+        made = joined.groupBy(*key, F.col("parent").alias("node"), F.col("pc").alias("c"), F.col("pd").alias("d"), *carry)
+        inner = after(made.agg(*(c.alias(k) for k, c in combine().items())))
+    return roots.join(inner.drop("node"), [*key, *CLASS]).drop(*CLASS)
+
+
+def tips_of(tree: DataFrame) -> DataFrame:
+    """``[tree,] node`` of the nodes without children."""
+    on = [*keys(tree), "node"]
+    return tree.select(*on).join(tree.select(*keys(tree), F.col("parent").alias("node")), on, "left_anti")
 
 
 def check_tips(tree: DataFrame, rows: DataFrame) -> None:
-    """Raise ``ValueError`` where the tips of a tree and the nodes of ``rows`` (``node``) aren't the same."""
-    tips = tree.select("node").join(tree.select(F.col("parent").alias("node")), "node", "left_anti")
-    known = rows.select("node").distinct()
-    for a, b, what in ((tips, known, "tips without data"), (known, tips, "data without a tip")):
-        if missing := [str(r.node) for r in a.join(b, "node", "left_anti").orderBy("node").limit(5).collect()]:
-            raise ValueError(f"{what}: {', '.join(missing)}")
+    """Raise ``ValueError`` where the tips of a tree, or of any tree of a forest, and the nodes of ``rows`` (``node``) aren't the same."""
+    key = keys(tree)
+    tips, known = tips_of(tree), rows.select("node").distinct()
+    said = lambda r: " of ".join(str(r[k]) for k in ("node", *key))
+    if missing := [said(r) for r in tips.join(known, "node", "left_anti").orderBy(*key, "node").limit(5).collect()]:
+        raise ValueError(f"tips without data: {', '.join(missing)}")
+    if missing := [str(r.node) for r in known.join(tips.select("node").distinct(), "node", "left_anti").orderBy("node").limit(5).collect()]:
+        raise ValueError(f"data without a tip: {', '.join(missing)}")
+    if key:
+        short = tips.groupBy(*key).agg(F.countDistinct("node").alias("n")).where(F.col("n") < known.count())
+        if trees := [str(r.tree) for r in short.orderBy("tree").limit(5).collect()]:
+            raise ValueError(f"trees without a tip for all data: {', '.join(trees)}")
+
+
+def site_sets(leaves: DataFrame, n_states: int = 4) -> DataFrame:
+    """``node, block, m0 .., seen``: of each block of sites which ones may have each state, and which are known, as bits; an unknown site may have any."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(site, {BLOCK}) AS int))")
+    bits = lambda kept: F.bit_or(F.when(kept, bit).otherwise(F.lit(0).cast("long")))
+    sets = (bits(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0).alias(f"m{k}") for k in range(n_states))
+    found = leaves.groupBy("node", F.floor(F.col("site") / BLOCK).alias("block")).agg(*sets, bits(F.col("mask") != 0).alias("seen"))
+    return found.select("node", "block", *(F.col(f"m{k}").bitwiseOR(F.bitwise_not("seen")).alias(f"m{k}") for k in range(n_states)), "seen")
+
+
+def _fitch_node(n_states: int) -> State:
+    """Left fold in child order: the intersection where there is one, else the union and a step more, for all sites of a block at once."""
+    names = [f"m{k}" for k in range(n_states)]
+    children = F.array_sort(F.collect_list(F.struct("ord", F.array(*names).alias("m"))))
+    every = F.array(*(F.lit(-1).cast("long") for _ in names))
+    start = F.struct(every.alias("m"), F.array().cast("array<bigint>").alias("steps"))
 
+    def merge(a: Column, x: Column) -> Column:
+        both = F.zip_with(a["m"], x["m"], lambda p, q: p.bitwiseAND(q))
+        apart = F.bitwise_not(F.aggregate(both, F.lit(0).cast("long"), lambda p, q: p.bitwiseOR(q)))
+        either = F.zip_with(a["m"], x["m"], lambda p, q: p.bitwiseOR(q).bitwiseAND(apart))
+        return F.struct(F.zip_with(both, either, lambda p, q: p.bitwiseOR(q)).alias("m"), F.array_append(a["steps"], apart).alias("steps"))
 
-def ordered(value: Column) -> Column:
-    return F.array_sort(F.collect_list(F.struct("ord", value.alias("x"))))
+    found = F.aggregate(children, start, merge)
+    own = F.filter(found["steps"], lambda u: u != 0)
+    below = F.flatten(F.collect_list("steps"))
+    return {n: found["m"][k] for k, n in enumerate(names)} | {"seen": F.bit_or("seen"), "steps": F.concat(below, own)}
 
 
-def fitch_combine() -> State:
-    """Left fold in child order: the intersection if there is one, else the union and a step more."""
-    start = F.struct(F.lit(0).alias("mask"), F.lit(0).cast("long").alias("steps"))
+def fitch_blocks(tree: DataFrame, leaves: DataFrame, n_states: int = 4, root_only: bool = False) -> DataFrame:
+    """Fitch's fold over blocks of 64 sites: ``[tree,] node, site`` (the block), ``m0 .., seen``, and ``steps``, one long of bits for each step below."""
+    start = site_sets(leaves, n_states).withColumnRenamed("block", "site").withColumn("steps", F.array().cast("array<bigint>"))
+    return fold_up(tree, start, lambda: _fitch_node(n_states), root_only=root_only)
 
-    def merge(a: Column, x: Column) -> Column:
-        both = a["mask"].bitwiseAND(x["x"])
-        return F.struct(
-            F.when(a["mask"] == 0, x["x"]).when(both != 0, both).otherwise(a["mask"].bitwiseOR(x["x"])).alias("mask"),
-            F.when((a["mask"] == 0) | (both != 0), a["steps"]).otherwise(a["steps"] + 1).alias("steps"),
-        )
 
-    found = F.aggregate(ordered(F.col("mask")), start, merge)
-    return {"mask": found["mask"], "steps": found["steps"] + F.sum("steps")}
+def fitch(tree: DataFrame, leaves: DataFrame, root_only: bool = False, n_states: int = 4) -> DataFrame:
+    """``[tree,] node, site, mask, steps`` of all nodes, or of the root, at the sites that a tip below has; ``leaves``: ``node, site, mask``. The root's steps are the site's score."""
+    blocks = fitch_blocks(tree, leaves, n_states, root_only)
+    at = blocks.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).where("getbit(seen, bit) = 1")
+    mask = sum((F.getbit(f"m{k}", F.col("bit")).cast("int") * (1 << k) for k in range(n_states)), F.lit(0))
+    steps = F.aggregate("steps", F.lit(0).cast("long"), lambda n, u: n + F.getbit(u, F.col("bit")))
+    site = (F.col("site") * BLOCK + F.col("bit")).cast(leaves.schema["site"].dataType)
+    return at.select(*keys(tree), "node", site.alias("site"), mask.alias("mask"), steps.alias("steps"))
 
 
-def fitch(tree: DataFrame, leaves: DataFrame, height: int, root_only: bool = False) -> DataFrame:
-    """``node, site, mask, steps`` of all nodes, or of the root; ``leaves``: ``node, site, mask``. The root's steps are the site's score."""
-    return fold_up(tree, leaves.withColumn("steps", F.lit(0).cast("long")), fitch_combine, height, root_only=root_only)
+def fitch_scores(tree: DataFrame, leaves: DataFrame, n_states: int = 4) -> DataFrame:
+    """``[tree,] steps, sites`` summed over all sites of each tree, without a row for a site."""
+    roots = fitch_blocks(tree, leaves, n_states, root_only=True)
+    steps = F.aggregate("steps", F.lit(0).cast("long"), lambda n, u: n + F.bit_count(u))
+    return roots.groupBy(*keys(tree)).agg(F.sum(steps).alias("steps"), F.sum(F.bit_count("seen")).alias("sites"))
 
 
-def fitch_ancestors(tree: DataFrame, up: DataFrame, height: int) -> DataFrame:
+def fitch_ancestors(tree: DataFrame, up: DataFrame) -> DataFrame:
     """Second pass, from the root: a node's set within its parent's, or its own if they share nothing."""
-    edges = F.broadcast(tree.select("node", "parent", "level"))
-    current = up.join(edges.where("level = 0"), "node").select("node", "site", F.col("mask").alias("final"))
+    key, (height, side) = keys(tree), shape_of(tree)
+    edges = side(tree.select(*key, "node", "parent", "level"))
+    current = up.join(edges.where("level = 0"), [*key, "node"]).select(*key, "node", "site", F.col("mask").alias("final"))
     done = current
     for level in range(1, height + 1):
-        above = current.select(F.col("node").alias("parent"), "site", F.col("final").alias("p"))
-        joined = up.join(edges.where(F.col("level") == level), "node").join(above, ["parent", "site"])
+        above = current.select(*key, F.col("node").alias("parent"), "site", F.col("final").alias("p"))
+        joined = up.join(edges.where(F.col("level") == level), [*key, "node"]).join(above, [*key, "parent", "site"])
         both = F.col("mask").bitwiseAND(F.col("p"))
-        current = joined.select("node", "site", F.when(both != 0, both).otherwise(F.col("mask")).alias("final"))
+        current = joined.select(*key, "node", "site", F.when(both != 0, both).otherwise(F.col("mask")).alias("final"))
         done = done.unionByName(current)
     return done
 
 
-def camin_sokal(tree: DataFrame, leaves: DataFrame, height: int, root_only: bool = False) -> DataFrame:
+def camin_sokal(tree: DataFrame, leaves: DataFrame, root_only: bool = False) -> DataFrame:
     """Irreversible 0 to 1: ``node, site, state, steps``; ``leaves``: ``node, site, state``. Where children differ, each that is 1 is a gain."""
 
     def combine() -> State:
         low, high = F.min("state"), F.sum("state")
         return {"state": low, "steps": F.sum("steps") + F.when(low == 1, F.lit(0)).otherwise(high)}
 
-    return fold_up(tree, leaves.withColumn("steps", F.lit(0).cast("long")), combine, height, root_only=root_only)
+    return fold_up(tree, leaves.withColumn("steps", F.lit(0).cast("long")), combine, root_only=root_only)
 
 
-def dollo(tree: DataFrame, leaves: DataFrame, height: int) -> DataFrame:
+def dollo(tree: DataFrame, leaves: DataFrame) -> DataFrame:
     """One gain, at the least common ancestor of all tips with state 1, and the fewest losses: ``site, gains, losses``.
 
     Carried up: the tips with 1 below, the losses if the node is 1, and the losses in the clade if the gain lies in it.
@@ -102,39 +237,35 @@ def dollo(tree: DataFrame, leaves: DataFrame, height: int) -> DataFrame:
         return {"ones": n, "losses": lost.cast("long"), "best": F.coalesce(whole, lost.cast("long"))}
 
     start = leaves.join(total, "site").select("node", "site", "all", F.col("state").cast("long").alias("ones"), F.lit(0).cast("long").alias("losses"), F.lit(0).cast("long").alias("best"))
-    found = fold_up(tree, start, combine, height, carry=("all",), root_only=True)
+    found = fold_up(tree, start, combine, carry=("all",), root_only=True)
     any_one = F.col("all") > 0
-    return found.select("site", any_one.cast("long").alias("gains"), F.when(any_one, F.col("best")).otherwise(0).alias("losses"))
+    return found.select(*keys(tree), "site", any_one.cast("long").alias("gains"), F.when(any_one, F.col("best")).otherwise(0).alias("losses"))
 
 
-def sankoff(tree: DataFrame, leaves: DataFrame, costs: DataFrame, height: int) -> DataFrame:
-    """Least cost of each site at the root: ``site, cost``. ``leaves``: ``node, site, state`` observed; ``costs``: ``s, r, step``, every pair of states.
+def sankoff(tree: DataFrame, leaves: DataFrame, costs: DataFrame) -> DataFrame:
+    """Least cost of each site at the root: ``[tree,] site, cost``. ``leaves``: ``node, site, state`` observed; ``costs``: ``s, r, step``, every pair of states.
 
-    A row holds a node's costs of all states in columns of its own, and a branch is a min-plus product written out over them, so rows are shuffled
-    once a level, without a row for each state. A leaf's costs above it are a row of the matrix of steps, which comes to the driver (states squared).
+    A row holds the costs of all states above a node's branch in columns of its own, once for each class of sites; a branch is a
+    min-plus product with the matrix of steps, which comes to the driver (states squared).
     """
     table = {(r.s, r.r): int(r.step) for r in costs.select("s", "r", "step").collect()}
     states = sorted({a for a, _ in table})
     names = [f"c{k}" for k in range(len(states))]
-    place = F.array_position(F.array(*map(F.lit, states)), F.col("state")).cast("int")
-    seen = [F.element_at(F.array(*(F.lit(table[a, b]).cast("long") for b in states)), place).alias(n) for a, n in zip(states, names, strict=True)]
-    moved = [F.least(*(F.col(m) + F.lit(table[a, b]) for b, m in zip(states, names, strict=True))) if len(states) > 1 else F.col(names[0]) for a in states]
-    edges = tree.select("node", "parent", "level")
-    tips = leaves.join(F.broadcast(edges), "node").select("parent", "level", "site", *seen)
-    current = None
-    for level in range(height, 0, -1):
-        own = tips.where(F.col("level") == level).select("parent", "site", *names)
-        if current is not None:
-            above = current.join(F.broadcast(edges.where(F.col("level") == level)), "node")
-            own = own.unionByName(above.select("parent", "site", *(c.alias(n) for c, n in zip(moved, names, strict=True))))
-        current = own.groupBy(F.col("parent").alias("node"), "site").agg(*(F.sum(n).alias(n) for n in names))
-    return current.select("site", (F.least(*names) if len(names) > 1 else F.col(names[0])).alias("cost"))
+    matrix = F.array(*(F.array(*(F.lit(table[a, b]).cast("long") for b in states)) for a in states))
+    tips = tree.sparkSession.createDataFrame([(b, 0, *(table[a, b] for a in states)) for b in states], ", ".join(["state long", "low long", *(f"{n} long" for n in names)]))
 
+    def moved(nodes: DataFrame) -> DataFrame:
+        across = F.transform(matrix, lambda row: F.array_min(F.zip_with(row, F.col("own"), lambda step, cost: step + cost)))
+        kept = [c for c in nodes.columns if c not in names]
+        listed = nodes.withColumn("own", F.array(*names)).select(*kept, F.array_min("own").alias("low"), across.alias("across"))
+        return listed.select(*kept, "low", *(F.col("across")[k].alias(n) for k, n in enumerate(names)))
 
-def pruning(
-    tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,), root_only: bool = False, frequencies: tuple[float, ...] = (0.25,) * 4, speed: float = 4 / 3
-) -> DataFrame:
-    """Conditional likelihoods ``node, site, rate, l0 .. , scale``, times ``exp(scale)``, where a state stays with probability ``exp(-speed rate t)`` and is drawn anew by its frequency
+    found = fold_repeats(tree, leaves, tips, lambda: {n: F.sum(n) for n in names}, after=moved)
+    return found.select(*keys(tree), "site", F.col("low").alias("cost"))
+
+
+def root_likelihoods(tree: DataFrame, leaves: DataFrame, rates: tuple[float, ...] = (1.0,), frequencies: tuple[float, ...] = (0.25,) * 4, speed: float = 4 / 3) -> DataFrame:
+    """Likelihoods at the root: ``[tree,] site, rate, mean, scale``, ``mean`` times ``exp(scale)``, where a state stays with probability ``exp(-speed rate t)`` and is drawn anew by its frequency
     otherwise: JC69 by default, the Poisson model of proteins with twenty frequencies and speed 1. ``leaves``: ``node, site`` and the observed ``state``, or a ``mask`` of
     the states that it may be. Nodes without data give no factor. All rates go up together, and each level is scaled to a greatest likelihood of 1."""
     e = F.exp(-speed * F.col("rate") * F.greatest("bl", F.lit(1e-8)))
@@ -143,33 +274,44 @@ def pruning(
     def combine() -> State:
         return {n: F.product((1 - e) * F.col("mean") + e * F.col(n)) for n in names} | {"scale": F.sum("scale")}
 
-    def scaled(nodes: DataFrame) -> DataFrame:
-        top = F.greatest(*names)
-        fit = F.when(top > 0, top).otherwise(1.0)
-        return averaged(nodes.select("node", "site", "rate", *((F.col(n) / fit).alias(n) for n in names), (F.col("scale") + F.log(fit)).alias("scale")))
-
     def averaged(nodes: DataFrame) -> DataFrame:
         return nodes.withColumn("mean", sum((f * F.col(n) for f, n in zip(frequencies[1:], names[1:], strict=True)), frequencies[0] * F.col(names[0])))
 
-    known = (lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) > 0) if "mask" in leaves.columns else (lambda k: F.col("state") == k)
-    spread = leaves.withColumn("rate", F.explode(F.array(*map(F.lit, rates))))
-    start = spread.select("node", "site", "rate", *(known(k).cast("double").alias(n) for k, n in enumerate(names)), F.lit(0.0).alias("scale"))
-    return fold_up(tree, averaged(start), combine, height, ("rate",), scaled, root_only)
-
-
-def site_likelihoods(tree: DataFrame, leaves: DataFrame, height: int, rates: tuple[float, ...] = (1.0,), **model) -> DataFrame:
-    """``site, lnl``: the log of the mean over equally likely rates of the root's likelihood, summed without leaving the log scale. ``model``: as for :func:`pruning`."""
-    root = pruning(tree, leaves, height, rates, root_only=True, **model)
-    own = root.select("site", (F.log("mean") + F.col("scale")).alias("x"))
-    listed = own.groupBy("site").agg(F.collect_list("x").alias("x"))  # one for each rate
+    def scaled(nodes: DataFrame) -> DataFrame:
+        top = F.greatest(*names)
+        fit = F.when(top > 0, top).otherwise(1.0)
+        kept = [c for c in nodes.columns if c not in (*names, "scale")]
+        return averaged(nodes.select(*kept, *((F.col(n) / fit).alias(n) for n in names), (F.col("scale") + F.log(fit)).alias("scale")))
+
+    own = "mask" if "mask" in leaves.columns else "state"
+    known = (lambda k: F.col("state").bitwiseAND(F.lit(1 << k)) > 0) if own == "mask" else (lambda k: F.col("state") == k)
+    if own == "mask" and len(names) > 10:
+        seen = leaves.select(F.col(own).cast("long").alias("state")).distinct()
+    else:  # every state, or every set of a few states
+        seen = tree.sparkSession.range(1, 1 << len(names)) if own == "mask" else tree.sparkSession.range(len(names))
+        seen = F.broadcast(seen.withColumnRenamed("id", "state"))
+    spread = seen.withColumn("rate", F.explode(F.array(*map(F.lit, rates))))
+    tips = averaged(spread.select("state", "rate", *(known(k).cast("double").alias(n) for k, n in enumerate(names)), F.lit(0.0).alias("scale")))
+    found = fold_repeats(tree, leaves.select("node", "site", F.col(own).alias("state")), tips, combine, ("rate",), scaled)
+    return found.select(*keys(tree), "site", "rate", "mean", "scale")
+
+
+def site_likelihoods(tree: DataFrame, leaves: DataFrame, rates: tuple[float, ...] = (1.0,), **model) -> DataFrame:
+    """``[tree,] site, lnl``: the log of the mean over equally likely rates of the root's likelihood, summed without leaving the log scale. ``model``: as for :func:`root_likelihoods`."""
+    root = root_likelihoods(tree, leaves, rates, **model)
+    own = root.select(*keys(tree), "site", (F.log("mean") + F.col("scale")).alias("x"))
+    if len(rates) == 1:
+        return own.select(*keys(tree), "site", F.round("x", 6).alias("lnl"))
+    listed = own.groupBy(*keys(tree), "site").agg(F.collect_list("x").alias("x"))  # one for each rate
     top = F.array_max("x")
     total = F.aggregate(F.transform("x", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
-    return listed.select("site", F.round(top + F.log(total / len(rates)), 6).alias("lnl"))
+    return listed.select(*keys(tree), "site", F.round(top + F.log(total / len(rates)), 6).alias("lnl"))
 
 
-def ancestors(tree: DataFrame, height: int) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
     """``node, above, dist, depth`` for each node and itself or an ancestor; ``dist``: the branch lengths between."""
-    edges = F.broadcast(tree.select(F.col("node").alias("above"), F.col("parent").alias("up"), F.col("bl").alias("step")))
+    height, side = shape_of(tree)
+    edges = side(tree.select(F.col("node").alias("above"), F.col("parent").alias("up"), F.col("bl").alias("step")))
     current = tree.select("node", F.col("node").alias("above"), F.lit(0.0).alias("dist"), F.lit(0).alias("depth"))
     done = current
     for _ in range(height):
@@ -178,30 +320,30 @@ def ancestors(tree: DataFrame, height: int) -> DataFrame:
     return done
 
 
-def patristic(tree: DataFrame, height: int) -> DataFrame:
+def patristic(tree: DataFrame) -> DataFrame:
     """``i < j, d`` of all pairs of leaves: the least sum of distances to a common ancestor."""
     leaves = tree.select("node").join(tree.select(F.col("parent").alias("node")), "node", "left_anti")
-    paths = ancestors(tree, height).join(leaves, "node", "left_semi")
+    paths = ancestors(tree).join(leaves, "node", "left_semi")
     x, y = paths.select(F.col("node").alias("i"), "above", F.col("dist").alias("a")), paths.select(F.col("node").alias("j"), "above", F.col("dist").alias("b"))
     return x.join(y, "above").where("i < j").groupBy("i", "j").agg(F.round(F.min(F.col("a") + F.col("b")), 6).alias("d"))
 
 
-def lca(tree: DataFrame, pairs: DataFrame, height: int) -> DataFrame:
+def lca(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """``i, j, lca`` for pairs of nodes: the deepest common ancestor."""
-    up = ancestors(tree, height).select("node", "above", "depth")
+    up = ancestors(tree).select("node", "above", "depth")
     x, y = up.select(F.col("node").alias("i"), "above", F.col("depth").alias("di")), up.select(F.col("node").alias("j"), "above")
     return pairs.join(x, "i").join(y, ["j", "above"]).groupBy("i", "j").agg(F.min_by("above", "di").alias("lca"))
 
 
-def heights(tree: DataFrame, height: int) -> DataFrame:
+def heights(tree: DataFrame) -> DataFrame:
     """``node, height``: the longest way down to a leaf; and ``to_root``."""
-    up = ancestors(tree, height)
+    up = ancestors(tree)
     down = up.groupBy(F.col("above").alias("node")).agg(F.round(F.max("dist"), 6).alias("height"))
     root = up.groupBy("node").agg(F.round(F.max("dist"), 6).alias("to_root"))
     return down.join(root, "node")
 
 
-def tree_contrasts(tree: DataFrame, traits: DataFrame, height: int) -> DataFrame:
+def tree_contrasts(tree: DataFrame, traits: DataFrame) -> DataFrame:
     """Independent contrasts on any binary tree: ``char, k, contrast, variance`` of each inner node ``k``. ``traits``: ``node, char, value`` of the tips.
 
     A node's state is the inverse-variance mean of what its two branches bring, and the variance it adds to its own branch; the first child by
@@ -216,7 +358,7 @@ def tree_contrasts(tree: DataFrame, traits: DataFrame, height: int) -> DataFrame
 
     none = F.lit(None).cast("double")
     start = traits.select("node", F.col("char").alias("site"), F.col("value").alias("x"), F.lit(0.0).alias("extra"), none.alias("contrast"), none.alias("variance"))
-    found = fold_up(tree, start, combine, height)
+    found = fold_up(tree, start, combine)
     return found.where("contrast is not null").select(F.col("site").alias("char"), F.col("node").alias("k"), "contrast", "variance")
 
 

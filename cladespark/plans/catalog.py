@@ -178,3 +178,34 @@ add(
     lambda s, d: E.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.median("value"), 6).alias("median")),
     "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(median(value), 6) AS median FROM events GROUP BY event_type",
 )
+
+
+def _notices(s, d):
+    """Entries as catalogues print them, out of the suppliers and their nations: ``entry, text``."""
+    k, where = F.col("s_suppkey"), F.initcap("n_name")
+    kinds = (
+        F.concat(F.lit("Ana "), where, F.lit(" and Bo Lee of the Department of Genetics, University of "), where, F.lit(" (ana@example.org) has written it in C++ 11 and Perl.")),
+        F.concat(F.lit("Bo Lee, at the University of "), where, F.lit(", has released a JavaScript tool and an R library.")),
+        F.lit("Cy Diaz & (cy@example.org) in Java Script and GNU C"),
+        F.lit("the group of nobody"),
+        F.concat(F.lit("Dr. Eve "), where, F.lit(" of Paris made a Ruby and Visual Basic program at the Museum of "), where, F.lit(" History Museum. It needs Matlab.")),
+        F.concat(where, F.lit(" of the Institute for Trees, "), where, F.lit(" College has Delphi and Java code.")),
+    )
+    said = F.element_at(F.array(*kinds), (k % len(kinds) + 1).cast("int"))
+    joined = E.table(s, d, "supplier").join(F.broadcast(E.table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.select(k.alias("entry"), said.alias("text"))
+
+
+NOTICES_SQL = """notices AS (SELECT entry, [
+  'Ana ' || w || ' and Bo Lee of the Department of Genetics, University of ' || w || ' (ana@example.org) has written it in C++ 11 and Perl.',
+  'Bo Lee, at the University of ' || w || ', has released a JavaScript tool and an R library.',
+  'Cy Diaz & (cy@example.org) in Java Script and GNU C',
+  'the group of nobody',
+  'Dr. Eve ' || w || ' of Paris made a Ruby and Visual Basic program at the Museum of ' || w || ' History Museum. It needs Matlab.',
+  w || ' of the Institute for Trees, ' || w || ' College has Delphi and Java code.'][1 + entry % 6] AS text
+  FROM (SELECT s_suppkey AS entry, list_aggregate(list_transform(string_split(n_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey))"""
+add(
+    "entry_people",
+    lambda s, d: _notices(s, d).select("entry", Q.authors(F.col("text")).alias("authors"), Q.institution(F.col("text")).alias("institution"), F.array_join(Q.languages(F.col("text")), ",").alias("langs")),
+    f"""WITH {NOTICES_SQL} SELECT entry, {Q.authors_sql("text")} AS authors, {Q.institution_sql("text")} AS institution, array_to_string({Q.languages_sql("text")}, ',') AS langs FROM notices""",
+)

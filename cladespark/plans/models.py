@@ -14,6 +14,7 @@ from ..functions import likelihood as L
 from ..functions import stats
 from ..functions.newick import write
 from ..operators import distances as D
+from ..operators.ml_distances import ml_distances
 from .kernels import _patterns, _sequences, _weights
 from .book import add
 from .sequence import region_sites
@@ -42,23 +43,24 @@ def _grouped(run, schema: str):
     return lambda s, d: _patterns(s, d, region_sites(s, d)).groupBy("aln").applyInPandas(run, schema)
 
 
-def _distances(rows: pd.DataFrame) -> pd.DataFrame:
-    names, data = _data(rows)
-    _, d = _start(names, data)
-    return pd.DataFrame([(names[j], names[i], round(d[i, j], 4)) for i in range(len(names)) for j in range(i)], columns=["i", "j", "d"])
-
-
 ML_DISTANCE_SQL = f"""WITH {E.SALES_SQL}, regions AS (SELECT DISTINCT region AS taxon, site, ((site + CASE WHEN rq % 4 = 0 THEN 1 + (rq // 4) % 3 ELSE 0 END) % 4)::INTEGER AS state FROM sales),
 p AS (SELECT x.taxon AS i, y.taxon AS j, avg((x.state <> y.state)::INTEGER) AS p FROM regions x JOIN regions y ON x.site = y.site AND x.taxon < y.taxon GROUP BY ALL)
 SELECT i::VARCHAR AS i, j::VARCHAR AS j, round(-0.75e0 * ln(1 - 4 * p / 3), 4) AS d FROM p"""
-add("ml_distance", _grouped(_distances, "i string, j string, d double"), ML_DISTANCE_SQL)
+
+
+def ml_distance(s, d):
+    found = ml_distances(D.pair_counts(region_sites(s, d)))
+    return found.select(F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), F.round("d", 4).alias("d"))
+
+
+add("ml_distance", ml_distance, ML_DISTANCE_SQL)
 
 
 def _select(rows: pd.DataFrame) -> pd.DataFrame:
     names, data = _data(rows)
     pi = sum((data.tips[n] * data.weights[:, None]).sum(0) for n in names)
     pi = tuple((pi / pi.sum()).tolist())
-    models = {"jc69": (L.Model(), 0)} | {f"f84-{r}": (L.Model(pi, r - 1.0), 4) for r in (1, 2, 4)}
+    models = {"jc69": (L.Model(), 0)} | {f"f84-{r}": (L.Model(pi, float(L.excess(pi, r))), 4) for r in (1, 2, 4)}
     return pd.DataFrame(L.select_model(_start(names, data)[0], data, models)).round(4)
 
 

@@ -1,6 +1,6 @@
 """All queries by name, with their DuckDB texts."""
 
-from . import catalog, kernels, models, scenarios, searches, sequence, trees  # noqa: F401  (they enter their queries)
+from . import catalog, kernels, lattice, models, scenarios, searches, sequence, trees, words  # noqa: F401  (they enter their queries)
 from .book import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

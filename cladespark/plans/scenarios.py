@@ -20,7 +20,7 @@ from .book import add
 from .kernels import _matrix
 from .searches import random_tree
 from .sequence import FREQUENCY_SQL, REGIONS_SQL, region_sites
-from .trees import BINARY_SQL, HEIGHT, _binary
+from .trees import BINARY_SQL, _binary
 
 # Published polar requirements of amino acids, in the order of POLAR_ORDER.
 POLAR_ORDER = "ACDEFGHIKLMNPQRSTVWY"
@@ -40,8 +40,8 @@ add("tree_space", tree_space, "SELECT taxa::INTEGER AS taxa, round((SELECT sum(l
 def dollo_and_fitch(s, d) -> DataFrame:
     """Steps of each binary site on the nations' tree if states change freely, and if each is gained once: ``site, fitch, dollo``."""
     binary = _binary(s, d)
-    free = T.fitch(E.tree(s, d), binary.select("node", "site", (F.col("state") + 1).alias("mask")), HEIGHT, root_only=True)
-    once = T.dollo(E.tree(s, d), binary, HEIGHT).select("site", (F.col("gains") + F.col("losses")).alias("dollo"))
+    free = T.fitch(E.tree(s, d), binary.select("node", "site", (F.col("state") + 1).alias("mask")), root_only=True)
+    once = T.dollo(E.tree(s, d), binary).select("site", (F.col("gains") + F.col("losses")).alias("dollo"))
     return free.select("site", F.col("steps").alias("fitch")).join(once, "site")
 
 
@@ -64,14 +64,15 @@ def chord_angles(s, d) -> DataFrame:
 
 add("chord_angles", chord_angles, f"SELECT i, j, d AS chord, round(degrees(2 * asin(least(d / 2, 1e0))), 3) AS angle FROM ({FREQUENCY_SQL.format('sqrt(greatest(0, 2 / loci * (loci - root)))')})")
 
-CUTS = (50, 100, 200)
+EIGHTHS = (1, 2, 4, 8)
 
 
 def lake_by_sites(s, d) -> DataFrame:
-    """Transversion support of each quartet of regions from more and more sites: ``sites, t1 .. t4, best, chi_square``."""
-    out = None
-    for n in CUTS:
-        own = S.lake_support(region_sites(s, d).where(F.col("site") < n)).select(F.lit(n).alias("sites"), "t1", "t2", "t3", "t4", "best", "chi_square")
+    """Transversion support of each quartet of regions from more and more sites, up to all: ``sites, t1 .. t4, best, chi_square``."""
+    out, every = None, E.table(s, d, "part").count()
+    for k in EIGHTHS:
+        n = every * k // 8
+        own = S.lake_support(region_sites(s, d).where(F.col("site") < n)).select(F.lit(n).cast("long").alias("sites"), "t1", "t2", "t3", "t4", "best", "chi_square")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -79,8 +80,8 @@ def lake_by_sites(s, d) -> DataFrame:
 add(
     "lake_by_sites",
     lake_by_sites,
-    f"""WITH {REGIONS_SQL.replace("d.state AS s4 FROM", "d.state AS s4, a.site AS site FROM")}, n AS (SELECT k::INTEGER AS sites, t1, t2, t3, t4, count(*) FILTER (s1 = s2 AND s3 = s4 AND s1 % 2 <> s3 % 2) AS n1,
-    count(*) FILTER (s1 = s3 AND s2 = s4 AND s1 % 2 <> s2 % 2) AS n2, count(*) FILTER (s1 = s4 AND s2 = s3 AND s1 % 2 <> s2 % 2) AS n3 FROM quartets JOIN (SELECT unnest({list(CUTS)}) AS k) ON site < k GROUP BY ALL)
+    f"""WITH {REGIONS_SQL.replace("d.state AS s4 FROM", "d.state AS s4, a.site AS site FROM")}, n AS (SELECT k::BIGINT AS sites, t1, t2, t3, t4, count(*) FILTER (s1 = s2 AND s3 = s4 AND s1 % 2 <> s3 % 2) AS n1,
+    count(*) FILTER (s1 = s3 AND s2 = s4 AND s1 % 2 <> s2 % 2) AS n2, count(*) FILTER (s1 = s4 AND s2 = s3 AND s1 % 2 <> s2 % 2) AS n3 FROM quartets JOIN (SELECT (SELECT count(*) FROM part) * unnest({list(EIGHTHS)}) // 8 AS k) ON site < k GROUP BY ALL)
     SELECT sites, t1, t2, t3, t4, (CASE WHEN n1 >= n2 AND n1 >= n3 THEN 1 WHEN n2 >= n3 THEN 2 ELSE 3 END)::INTEGER AS best,
     CASE WHEN n1 + n2 + n3 > 0 THEN round(3e0 * (n1 * n1 + n2 * n2 + n3 * n3) / (n1 + n2 + n3) - (n1 + n2 + n3), 6) END AS chi_square FROM n""",
 )

@@ -27,7 +27,7 @@ from .book import add
 from .kernels import _patterns
 from .models import _data, _start
 from .sequence import region_sites
-from .trees import FITCH_SQL, HEIGHT, _masks, _protein_costs
+from .trees import FITCH_SQL, _masks, _protein_costs
 
 STARTS = 2
 
@@ -122,7 +122,7 @@ top AS (SELECT char, list_reduce(list((c & 31)::BIGINT ORDER BY node), lambda a,
 def multistate_steps(s, d):
     """Unordered steps of each multistate character on the nations' tree; unknown states are left out, which is as good as any state."""
     leaves = multistate(s, d).select(F.col("taxon").alias("node"), F.col("char").alias("site"), F.pow(F.lit(2.0), F.col("state")).cast("int").alias("mask"))
-    return T.fitch(E.tree(s, d), leaves, HEIGHT, root_only=True).select(F.col("site").alias("char"), "mask", "steps")
+    return T.fitch(E.tree(s, d), leaves, root_only=True, n_states=5).select(F.col("site").alias("char"), "mask", "steps")
 
 
 add("multistate_steps", multistate_steps, f"WITH {MULTI_SQL} SELECT char, (c & 31)::INTEGER AS mask, ((c >> 5) + below)::BIGINT AS steps FROM top")
@@ -131,7 +131,7 @@ add("multistate_steps", multistate_steps, f"WITH {MULTI_SQL} SELECT char, (c & 3
 def compatible_sites(s, d):
     """Sites of the nations that need on their tree one step less than they have states: ``site, n_states, steps, compatible``."""
     states = E.sites(s, d).groupBy("site").agg(F.countDistinct("state").alias("n_states"))
-    found = T.fitch(E.tree(s, d), _masks(s, d), HEIGHT, root_only=True).select("site", "steps").join(states, "site")
+    found = T.fitch(E.tree(s, d), _masks(s, d), root_only=True).select("site", "steps").join(states, "site")
     return found.select("site", "n_states", "steps", (F.col("steps") == F.col("n_states") - 1).alias("compatible"))
 
 
@@ -183,7 +183,7 @@ def _ratio(rows: pd.DataFrame) -> pd.DataFrame:
     pi = tuple((pi / pi.sum()).tolist())
     tree, _ = _start(names, data)
     L.optimize_lengths(tree, data, L.Model(pi, 1.0))
-    ratio, value = L.golden(lambda r: L.lnl(tree, data, L.Model(pi, max(0.0, r - 0.5))), 0.5, 20.0, 1e-4, 50)
+    ratio, value = L.golden(lambda r: L.lnl(tree, data, L.Model(pi, float(L.excess(pi, r)))), 0.5, 20.0, 1e-4, 50)
     return pd.DataFrame({"ratio": [round(ratio, 4)], "lnl": [round(value, 4)]})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import encode as E
 from ..operators import distances as D
+from ..operators.ml_distances import ml_distances
 from ..operators import sitewise as S
 from .book import add
 
@@ -58,6 +59,30 @@ for name, expression, sql in (
 ):
     add(name, lambda spark, sf_dir, e=expression: D.distances(_counts(spark, sf_dir), e()), _distance_sql(sql))
 
+FIXED = (0.3, 0.2, 0.15, 0.35)
+_A, _C, _G, _T = (f"{p}e0" for p in FIXED)
+_FIXED_SQL = f"""WITH {PAIRS_SQL}, g AS (SELECT *, {_C} * {_T} / ({_C} + {_T}) + {_A} * {_G} / ({_A} + {_G}) AS ga, {_C} * {_T} + {_A} * {_G} AS gb,
+  ({_A} + {_G}) * ({_C} + {_T}) AS gc, 1 - {_A} * {_A} - {_C} * {_C} - {_G} * {_G} - {_T} * {_T} AS gr FROM f)
+SELECT i, j, round({{}}, 6) AS d FROM g"""
+add("f81_fixed_distance", lambda spark, sf_dir: D.distances(_counts(spark, sf_dir), D.f81(frequencies=FIXED)), _FIXED_SQL.format(f"-gr * ({_ln('(1 - (1 - same) / gr)')})"))
+add(
+    "f84_fixed_distance",
+    lambda spark, sf_dir: D.distances(_counts(spark, sf_dir), D.f84(frequencies=FIXED)),
+    _FIXED_SQL.format(f"-2 * ga * ({_ln('(1 - p / (2 * ga) - (ga - gb) * q / (2 * ga * gc))')}) + 2 * (ga - gb - gc) * ({_ln('(1 - q / (2 * gc))')})"),
+)
+
+
+def _rounded(found):
+    return found.select("i", "j", F.round("d", 4).alias("d"))
+
+
+add(
+    "ml_jc69_distance",
+    lambda spark, sf_dir: _rounded(ml_distances(_counts(spark, sf_dir))),
+    f"WITH {PAIRS_SQL} SELECT i, j, round(CASE WHEN same = 1 THEN 0 WHEN {X} > 0 THEN least(10, -0.75e0 * ln({X})) ELSE 10 END, 4) AS d FROM f",
+)
+add("ml_f81_distance", lambda spark, sf_dir: _rounded(ml_distances(_counts(spark, sf_dir), "f81", FIXED)))
+add("ml_f84_distance", lambda spark, sf_dir: _rounded(ml_distances(_counts(spark, sf_dir), "f84", ratio=2.0)))
 add(
     "transition_ratio",
     lambda spark, sf_dir: D.transition_ratio(_counts(spark, sf_dir)),
@@ -124,6 +149,11 @@ def region_sites(spark, sf_dir):
     return E._states(sold, 4).select("taxon", "site", "state").distinct()
 
 
+add(
+    "quartet_patterns",
+    lambda spark, sf_dir: S.quartet_patterns(region_sites(spark, sf_dir)),
+    f"WITH {REGIONS_SQL} SELECT t1, t2, t3, t4, (((s1 * 4 + s2) * 4 + s3) * 4 + s4)::INTEGER AS pattern, count(*) AS n FROM quartets GROUP BY ALL",
+)
 add(
     "lake_support",
     lambda spark, sf_dir: S.lake_support(region_sites(spark, sf_dir)),

@@ -13,7 +13,6 @@ from ..operators.genetic_code import AMINO, steps, steps_sql
 from .book import add
 
 TAXA = 25
-HEIGHT = 2
 GAMMA_RATES = tuple(round(float(r), 4) for r in gamma_rates(0.5, 4))
 
 
@@ -74,18 +73,53 @@ low AS (SELECT region + 100 AS node, site, list_reduce(list((1 << state)::BIGINT
 top AS (SELECT site, list_reduce(list((c & 15)::BIGINT ORDER BY node), lambda a, x: CASE WHEN (a & 15 & x) > 0 THEN a - (a & 15) + (a & 15 & x) ELSE a - (a & 15) + 16 + ((a & 15) | x) END) AS c, sum(c >> 4) AS below FROM low GROUP BY site)"""
 add(
     "fitch_steps",
-    lambda s, d: T.fitch(E.tree(s, d), _masks(s, d), HEIGHT, root_only=True).select("site", "mask", "steps"),
+    lambda s, d: T.fitch(E.tree(s, d), _masks(s, d), root_only=True).select("site", "mask", "steps"),
     f"WITH {FITCH_SQL} SELECT site, (c & 15)::INTEGER AS mask, ((c >> 4) + below)::BIGINT AS steps FROM top",
 )
 add(
     "fitch_ancestors",
-    lambda s, d: T.fitch_ancestors(E.tree(s, d), T.fitch(E.tree(s, d), _masks(s, d), HEIGHT), HEIGHT),
+    lambda s, d: T.fitch_ancestors(E.tree(s, d), T.fitch(E.tree(s, d), _masks(s, d))),
     f"""WITH {FITCH_SQL}, r AS (SELECT site, (c & 15)::INTEGER AS f FROM top), m AS (SELECT node, low.site, CASE WHEN (c & 15 & f) > 0 THEN c & 15 & f ELSE c & 15 END::INTEGER AS f FROM low JOIN r ON low.site = r.site),
     l AS (SELECT taxon, sites.site, CASE WHEN ((1 << state) & f) > 0 THEN (1 << state) & f ELSE 1 << state END::INTEGER AS f FROM sites JOIN m ON m.site = sites.site AND m.node = region + 100)
     SELECT -1 AS node, site, f AS final FROM r UNION ALL SELECT node, site, f FROM m UNION ALL SELECT taxon, site, f FROM l""",
 )
 
 
+def _forest(s, d):
+    return T.with_levels(E.forest(s, d))
+
+
+FOREST_HEIGHT = 5  # in SQL: of trees of 17 to 32 nations
+
+
+def _forest_fitch_sql() -> str:
+    merge = "lambda a, x: CASE WHEN (a & 15 & x) > 0 THEN a - (a & 15) + (a & 15 & x) ELSE a - (a & 15) + 16 + ((a & 15) | x) END"
+    out = [f"WITH {E.SITES_SQL}, {E.SLOTS_SQL}, f0 AS (SELECT tree, site, slot AS i, (1 << state)::BIGINT AS m, 0 AS steps FROM slots JOIN sites USING (taxon))"]
+    for k in range(1, FOREST_HEIGHT + 1):
+        both = f"SELECT tree, site, i // 2 AS i, list_reduce(list(m ORDER BY i), {merge}) AS c, sum(steps) AS below FROM f{k - 1} GROUP BY tree, site, i // 2"
+        out.append(f"f{k} AS (SELECT tree, site, i, c & 15 AS m, (c >> 4) + below AS steps FROM ({both}))")
+    return ",\n".join(out) + f"\nSELECT tree, sum(steps)::BIGINT AS steps, count(*) AS sites FROM f{FOREST_HEIGHT} GROUP BY tree"
+
+
+def _forest_lnl_sql() -> str:
+    start = "l0 AS (SELECT tree, site, slot AS i, x, (state = x)::INTEGER::DOUBLE AS l FROM slots JOIN sites USING (taxon), (SELECT unnest([0, 1, 2, 3]) AS x))"
+    out = [f"WITH {E.SITES_SQL}, {E.SLOTS_SQL}, {start}"]
+    for k in range(1, FOREST_HEIGHT + 1):
+        e = f"exp(-4e0 / 3 * 0.01e0 * {1 << (k - 1)})"
+        below = f"SELECT *, sum(l) OVER (PARTITION BY tree, site, i) AS total FROM l{k - 1}"
+        out.append(f"l{k} AS (SELECT tree, site, i // 2 AS i, x, product(0.25e0 * (1 - {e}) * total + {e} * l) AS l FROM ({below}) GROUP BY tree, site, i // 2, x)")
+    sites = f"SELECT tree, site, round(ln(sum(0.25e0 * l)), 6) AS lnl FROM l{FOREST_HEIGHT} GROUP BY tree, site"
+    return ",\n".join(out) + f"\nSELECT tree, round(sum(lnl), 3) AS lnl, count(*) AS sites FROM ({sites}) GROUP BY tree"
+
+
+def _forest_lnl(s, d):
+    return T.site_likelihoods(_forest(s, d), _leaves(s, d)).groupBy("tree").agg(F.round(F.sum("lnl"), 3).alias("lnl"), F.count("*").alias("sites"))
+
+
+add("forest_fitch", lambda s, d: T.fitch_scores(_forest(s, d), _masks(s, d)), _forest_fitch_sql())
+add("forest_lnl", _forest_lnl, _forest_lnl_sql())
+
+
 def _binary(s, d):
     return E.sites(s, d).select(F.col("taxon").alias("node"), "site", (F.col("state") != F.col("site") % 4).cast("int").alias("state"))
 
@@ -93,13 +127,13 @@ def _binary(s, d):
 BINARY_SQL = f"{E.SITES_SQL}, b AS (SELECT taxon, region, site, (state <> site % 4)::INTEGER AS state FROM sites)"
 add(
     "camin_sokal",
-    lambda s, d: T.camin_sokal(E.tree(s, d), _binary(s, d), HEIGHT, root_only=True).select("site", "state", "steps"),
+    lambda s, d: T.camin_sokal(E.tree(s, d), _binary(s, d), root_only=True).select("site", "state", "steps"),
     f"""WITH {BINARY_SQL}, r AS (SELECT region, site, min(state) AS state, CASE WHEN min(state) = 1 THEN 0 ELSE sum(state) END AS steps FROM b GROUP BY ALL)
     SELECT site, min(state) AS state, (sum(steps) + CASE WHEN min(state) = 1 THEN 0 ELSE sum(state) END)::BIGINT AS steps FROM r GROUP BY site""",
 )
 add(
     "dollo",
-    lambda s, d: T.dollo(E.tree(s, d), _binary(s, d), HEIGHT),
+    lambda s, d: T.dollo(E.tree(s, d), _binary(s, d)),
     f"""WITH {BINARY_SQL}, r AS (SELECT region, site, sum(state) AS ones, count(*) FILTER (state = 0) AS zeros FROM b GROUP BY ALL), t AS (SELECT site, sum(ones) AS total, count(*) FILTER (ones > 0) AS with_ones, count(*) FILTER (ones = 0) AS without,
     sum(CASE WHEN ones > 0 THEN zeros ELSE 0 END) AS inner_losses FROM r GROUP BY site)
     SELECT site, (total > 0)::INTEGER::BIGINT AS gains, CASE WHEN total <= 1 THEN 0 WHEN with_ones = 1 THEN inner_losses ELSE inner_losses + without END::BIGINT AS losses FROM t""",
@@ -120,7 +154,7 @@ def _sankoff_sql(view: str, costs: str) -> str:
 
 add(
     "sankoff_ordered",
-    lambda s, d: T.sankoff(E.tree(s, d), _leaves(s, d), _ordered_costs(s), HEIGHT),
+    lambda s, d: T.sankoff(E.tree(s, d), _leaves(s, d), _ordered_costs(s)),
     f"WITH {E.SITES_SQL}{_sankoff_sql('sites', 'SELECT a AS s, b AS r, abs(a - b) AS step FROM (SELECT unnest([0, 1, 2, 3]) AS a), (SELECT unnest([0, 1, 2, 3]) AS b)')}",
 )
 add("genetic_code_steps", lambda s, d: steps(s), steps_sql())
@@ -133,7 +167,7 @@ def _protein_costs(s):
 
 add(
     "protein_parsimony",
-    lambda s, d: T.sankoff(E.tree(s, d), E.residues(s, d).select(F.col("taxon").alias("node"), "site", "state"), _protein_costs(s), HEIGHT),
+    lambda s, d: T.sankoff(E.tree(s, d), E.residues(s, d).select(F.col("taxon").alias("node"), "site", "state"), _protein_costs(s)),
     f"WITH {E.RESIDUES_SQL}{_sankoff_sql('residues', f'''SELECT instr('{AMINO}', a) - 1 AS s, instr('{AMINO}', b) - 1 AS r, step FROM ({steps_sql()})''')}",
 )
 
@@ -148,8 +182,8 @@ def _likelihood_sql(name: str, rates: tuple[float, ...]) -> str:
 
 
 ONE_SQL, GAMMA_SQL = _likelihood_sql("one", (1.0,)), _likelihood_sql("four", GAMMA_RATES)
-add("pruning_lnl", lambda s, d: T.site_likelihoods(E.tree(s, d), _leaves(s, d), HEIGHT), f"WITH {E.SITES_SQL}, {ONE_SQL} SELECT * FROM one")
-add("gamma_lnl", lambda s, d: T.site_likelihoods(E.tree(s, d), _leaves(s, d), HEIGHT, GAMMA_RATES), f"WITH {E.SITES_SQL}, {GAMMA_SQL} SELECT * FROM four")
+add("pruning_lnl", lambda s, d: T.site_likelihoods(E.tree(s, d), _leaves(s, d)), f"WITH {E.SITES_SQL}, {ONE_SQL} SELECT * FROM one")
+add("gamma_lnl", lambda s, d: T.site_likelihoods(E.tree(s, d), _leaves(s, d), GAMMA_RATES), f"WITH {E.SITES_SQL}, {GAMMA_SQL} SELECT * FROM four")
 # Published amino-acid frequencies of the WAG model, in the order of WAG_ORDER.
 WAG_ORDER = "ARNDCQEGHILKMFPSTWYV"
 WAG = (0.0866279, 0.043972, 0.0390894, 0.0570451, 0.0193078, 0.0367281, 0.0580589, 0.0832518, 0.0244313, 0.048466, 0.086209, 0.0620286, 0.0195027, 0.0384319, 0.0457631, 0.0695179, 0.0610127, 0.0143859, 0.0352742, 0.0708956)
@@ -168,25 +202,25 @@ def _protein_sql(frequencies: tuple[float, ...]) -> str:
 for name, frequencies in (("poisson", POISSON), ("wag", tuple(f / sum(WAG) for f in WAG))):
     add(
         f"protein_{name}_lnl",
-        lambda s, d, f=frequencies: T.site_likelihoods(E.tree(s, d), E.residues(s, d).select(F.col("taxon").alias("node"), "site", "state"), HEIGHT, frequencies=f, speed=1.0),
+        lambda s, d, f=frequencies: T.site_likelihoods(E.tree(s, d), E.residues(s, d).select(F.col("taxon").alias("node"), "site", "state"), frequencies=f, speed=1.0),
         _protein_sql(frequencies),
     )
 
 add(
     "patristic",
-    lambda s, d: T.patristic(E.tree(s, d), HEIGHT),
+    lambda s, d: T.patristic(E.tree(s, d)),
     """WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, 0.05e0 + 0.01e0 * (n_nationkey % 7) AS bl, 0.05e0 + 0.01e0 * (n_regionkey % 7) AS rb FROM nation)
     SELECT a.k AS i, b.k AS j, round(a.bl + b.bl + CASE WHEN a.r = b.r THEN 0 ELSE a.rb + b.rb END, 6) AS d FROM n a JOIN n b ON a.k < b.k""",
 )
 add(
     "tree_heights",
-    lambda s, d: T.heights(E.tree(s, d), HEIGHT),
+    lambda s, d: T.heights(E.tree(s, d)),
     f"""WITH {E.TREE_SQL}, n AS (SELECT t.node, t.parent, t.bl, p.bl AS pb FROM tree t JOIN tree p ON t.parent = p.node WHERE t.level = 2), r AS (SELECT parent AS node, max(bl) AS h, max(pb) AS pb FROM n GROUP BY parent)
     SELECT node, 0e0 AS height, round(bl + pb, 6) AS to_root FROM n UNION ALL SELECT node, round(h, 6), round(pb, 6) FROM r UNION ALL SELECT -1, round(max(h + pb), 6), 0e0 FROM r""",
 )
 add(
     "lowest_common_ancestor",
-    lambda s, d: T.lca(E.tree(s, d), E.tree(s, d).where("level = 2").select(F.col("node").alias("i")).join(F.broadcast(E.tree(s, d).where("level = 2").select(F.col("node").alias("j"))), F.expr("i < j")), HEIGHT),
+    lambda s, d: T.lca(E.tree(s, d), E.tree(s, d).where("level = 2").select(F.col("node").alias("i")).join(F.broadcast(E.tree(s, d).where("level = 2").select(F.col("node").alias("j"))), F.expr("i < j"))),
     "SELECT a.n_nationkey AS i, b.n_nationkey AS j, CASE WHEN a.n_regionkey = b.n_regionkey THEN a.n_regionkey + 100 ELSE -1 END AS lca FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
 )
 
@@ -208,7 +242,7 @@ def _contrasts_sql() -> str:
 def _contrasts(s, d):
     tree = E.label_tree(s, d)
     traits = E.traits(s, d).join(F.broadcast(tree.where("label is not null").select("node", F.col("label").alias("taxon"))), "taxon")
-    return T.tree_contrasts(tree, traits, tree.agg(F.max("level")).first()[0])  # the tree has a node for each label and no more
+    return T.tree_contrasts(tree, traits)
 
 
 CONTRASTS_SQL = f"WITH {_contrasts_sql()}"
@@ -252,8 +286,8 @@ def _by_tree(s, d):
     tree = E.tree(s, d)
     star = tree.where("level = 2").select("node", F.lit(-1).alias("parent"), "ord", "bl", F.lit(1).alias("level")).unionByName(tree.where("level = 0"))
     leaves = _leaves(s, d)
-    own = T.site_likelihoods(tree, leaves, HEIGHT).withColumn("tree", F.lit("regions"))
-    return own.unionByName(T.site_likelihoods(star, leaves, 1).withColumn("tree", F.lit("star"))).select("tree", F.col("site").alias("pos"), "lnl")
+    own = T.site_likelihoods(tree, leaves).withColumn("tree", F.lit("regions"))
+    return own.unionByName(T.site_likelihoods(star, leaves).withColumn("tree", F.lit("star"))).select("tree", F.col("site").alias("pos"), "lnl")
 
 
 STAR_SQL = """star_x AS (SELECT unnest([0, 1, 2, 3]) AS x), star_l AS (SELECT site, x, product(0.25e0 * (1 - exp(-4e0 / 3 * (0.05e0 + 0.01e0 * (taxon % 7)))) + CASE WHEN state = x THEN exp(-4e0 / 3 * (0.05e0 + 0.01e0 * (taxon % 7))) ELSE 0 END) AS l FROM sites, star_x GROUP BY ALL),
@@ -273,7 +307,7 @@ add(
 )
 add(
     "plato_windows",
-    lambda s, d: R.sliding_windows(T.site_likelihoods(E.tree(s, d), _leaves(s, d), HEIGHT).select(F.col("site").alias("pos"), "lnl"), 50, 10, 2.0),
+    lambda s, d: R.sliding_windows(T.site_likelihoods(E.tree(s, d), _leaves(s, d)).select(F.col("site").alias("pos"), "lnl"), 50, 10, 2.0),
     f"""WITH {E.SITES_SQL}, {ONE_SQL}, a AS (SELECT sum(lnl) AS total, count(*) AS n, max(site) AS e FROM one), k AS (SELECT unnest(generate_series(0, (SELECT e + 1 - 50 FROM a), 10)) AS start),
     w AS (SELECT start, count(*) AS n, sum(lnl) AS total, sum(lnl) - count(*) / (SELECT n FROM a)::DOUBLE * (SELECT total FROM a) AS delta FROM k JOIN one ON site >= start AND site < start + 50 GROUP BY start),
     z AS (SELECT *, round((delta - avg(delta) OVER ()) / stddev_samp(delta) OVER (), 4) AS z FROM w) SELECT start, n, round(total, 4) AS total, round(delta, 4) AS delta, z, abs(z) > 2 AS anomaly FROM z""",
@@ -282,8 +316,8 @@ add(
 
 def _models(s, d):
     tree, leaves = E.tree(s, d), _leaves(s, d)
-    one = T.site_likelihoods(tree, leaves, HEIGHT).select(F.lit("jc69").alias("model"), F.lit(30).cast("long").alias("k"), "lnl")
-    four = T.site_likelihoods(tree, leaves, HEIGHT, GAMMA_RATES).select(F.lit("jc69+gamma").alias("model"), F.lit(31).cast("long").alias("k"), "lnl")
+    one = T.site_likelihoods(tree, leaves).select(F.lit("jc69").alias("model"), F.lit(30).cast("long").alias("k"), "lnl")
+    four = T.site_likelihoods(tree, leaves, GAMMA_RATES).select(F.lit("jc69+gamma").alias("model"), F.lit(31).cast("long").alias("k"), "lnl")
     return one.unionByName(four).groupBy("model", "k").agg(F.sum("lnl").alias("lnl"), F.count("*").alias("n"))
 
 
@@ -299,7 +333,7 @@ add(
 def _tips(s, d):
     customer = E.table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("node"))
     first = E.table(s, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("node").agg((F.avg(F.unix_timestamp("o_orderdate").cast("double")) / 86400).alias("date"))
-    return first.join(T.heights(E.tree(s, d), HEIGHT), "node")
+    return first.join(T.heights(E.tree(s, d)), "node")
 
 
 add(

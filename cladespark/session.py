@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -31,6 +31,20 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(f"{folder}/cladespark-package", "zip", ROOT, "cladespark"))
 
 
+def cut(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` to the folder in ``spark.checkpoint.dir`` and go on from there. In local mode, and only there, an unset one becomes a temporary folder."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()
+
+
 def session(name: str = "cladespark", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Adaptive execution with skew splitting, UTC times, Arrow; on a cluster leave ``master`` and partitions to it."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")

@@ -1,8 +1,9 @@
 """Readers and writers of alignment, distance and character files.
 
-``register(spark)`` adds the formats ``fasta``, ``phylip``, ``distmat`` and ``binarymat`` to ``spark.read.format``. One file is one
-alignment, so files are read in parallel, each by one task. Files are reached by Spark itself (``binaryFiles`` through :func:`read`),
-so any store that Spark reads will do; the registered formats read local and mounted paths.
+``register(spark)`` adds the formats ``fasta``, ``phylip``, ``distmat`` and ``binarymat`` to ``spark.read.format`` and ``write.format``. One file is one
+alignment. Files are read in parallel, and large FASTA files, and PHYLIP files with a line for each taxon, by several tasks, each from the first record that begins in its
+range of bytes. Files are reached by Spark itself (``binaryFiles`` through :func:`read`, a file a row), so any store that Spark reads will do; the registered formats
+read and write local and mounted paths, which all executors must share.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from __future__ import annotations
 import glob
 import os
 import re
+import shutil
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..session import workers_see_package
 
@@ -22,6 +27,7 @@ IUPAC = "ACGTUNXOMRWSYKVHDB?-."
 #: Bits of A, C, G, T for each letter; a gap has none known.
 MASKS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "M": 3, "R": 5, "W": 9, "S": 6, "Y": 10, "K": 12, "V": 7, "H": 11, "D": 13, "B": 14, "N": 15, "X": 15, "O": 15, "?": 15, "-": 15, ".": 15}
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
+SLICE_BYTES = 64 << 20  #: larger files of records are read by several tasks (option ``maxPartitionBytes``)
 
 
 class FormatError(ValueError):
@@ -129,6 +135,21 @@ def binary_matrix(text: str) -> list[tuple[str, str]]:
     return rows
 
 
+def write_fasta(rows: list[tuple[str, str]]) -> str:
+    """A name and lines of 60 residues for each sequence."""
+    _equal(rows)
+    return "".join(f">{n}\n" + "".join(f"{s[k : k + 60]}\n" for k in range(0, len(s), 60)) for n, s in rows)
+
+
+def write_phylip(rows: list[tuple[str, str]]) -> str:
+    """The number of taxa and sites, and a line for each taxon with its name in ten characters."""
+    _equal(rows)
+    if len({n[:10] for n, _ in rows}) < len(rows):
+        raise FormatError("names that don't differ in their first ten characters")
+    return f"{len(rows)} {len(rows[0][1])}\n" + "".join(f"{n[:10]:<10}{s}\n" for n, s in rows)
+
+
+TEXTS: dict[str, Callable] = {"fasta": write_fasta, "phylip": write_phylip, "binarymat": write_phylip, "distmat": write_distances}
 PARSERS: dict[str, tuple[str, Callable]] = {
     "fasta": ("aln_id string, taxon string, seq string", fasta),
     "phylip": ("aln_id string, taxon string, seq string", phylip),
@@ -162,21 +183,184 @@ def to_sites(sequences: DataFrame) -> DataFrame:
     return letters.select("aln_id", "taxon", "site", base.cast("int").alias("state")).where("state >= 0")
 
 
+def to_masks(sequences: DataFrame) -> DataFrame:
+    """``aln_id, taxon, site, mask``: the bases that each site may have, as bits of A, C, G, T; unknown sites and gaps, which may have any, have no row.
+
+    Letters that stand for no base are unknown.
+    """
+    letters = F.create_map(*(F.lit(x) for pair in MASKS.items() for x in pair))
+    at = sequences.select("aln_id", "taxon", F.posexplode(F.split(F.upper("seq"), "")).alias("site", "base")).where("base <> ''")
+    return at.select("aln_id", "taxon", "site", F.try_element_at(letters, F.col("base")).cast("int").alias("mask")).where("mask < 15")
+
+
+@dataclass
+class Slice(InputPartition):
+    """Those records of a file that begin in ``start:end``; all of it if ``end`` is negative."""
+
+    path: str
+    start: int = 0
+    end: int = -1
+
+
+def _split(path: str, kind: str, size: int, most: int) -> list[Slice]:
+    if size <= most or kind not in ("fasta", "phylip") or (kind == "phylip" and not _lines_are_records(path)):
+        return [Slice(path)]
+    return [Slice(path, k, min(k + most, size)) for k in range(0, size, most)]
+
+
+def _lines_are_records(path: str) -> bool:
+    """Whether a PHYLIP file has each taxon on a line of its own: the first one holds as many sites as the header announces."""
+    with open(path, "rb") as file:
+        head, first = file.readline().split()[:2], file.readline()
+    return len(head) == 2 and head[1].isdigit() and len(re.sub(rb"[\s\d]", b"", first[10:])) == int(head[1])
+
+
+def _records(file: BinaryIO, start: int, end: int, begins: Callable[[bytes], bool]) -> Iterator[list[bytes]]:
+    """Lines of each record whose first line begins in ``start:end``. A line that begins before ``start`` belongs to the slice before."""
+    if start:
+        file.seek(start - 1)
+        file.readline()  # to the end of the line that holds the byte before
+    record: list[bytes] = []
+    while True:
+        at, line = file.tell(), file.readline()
+        if not line:
+            break
+        if begins(line):
+            if record:
+                yield record
+            if at >= end:
+                return
+            record = [line]
+        elif record:
+            record.append(line)
+        elif at >= end:
+            return
+        elif not start and line.strip() and line.lstrip()[:1] != b"#":
+            raise FormatError("line 1: a sequence before any name")
+    if record:
+        yield record
+
+
+def fasta_slice(file: BinaryIO, start: int, end: int, protein: bool = False) -> Iterator[tuple[str, str]]:
+    """The sequences of a FASTA file whose names begin in ``start:end``. Each is as long as the file's first, which every slice reads."""
+    named = lambda line: line.lstrip()[:1] == b">"
+    first = next(_records(file, 0, 1 << 62, named), None)
+    if first is None:
+        raise FormatError("no sequences")
+    length = len(fasta(b"".join(first).decode(), protein)[0][1])
+    file.seek(0)
+    for record in _records(file, start, end, named):
+        name, own = fasta(b"".join(record).decode(), protein)[0]
+        if len(own) != length:
+            raise FormatError(f"sequences of unequal lengths: {name}")
+        yield name, own
+
+
+def phylip_slice(file: BinaryIO, start: int, end: int) -> Iterator[tuple[str, str]]:
+    """The lines of a PHYLIP file, one for each taxon, that begin in ``start:end``; the slice with the header checks that as many follow as it announces."""
+    n, length = map(int, file.readline().split()[:2])
+    if not start:
+        body = file.tell()
+        if sum(1 for line in file if line.strip()) != n:
+            raise FormatError(f"{n} sequences of {length} sites were announced")
+        start = body
+        file.seek(body)
+    else:
+        file.seek(start - 1)
+        file.readline()
+    while (at := file.tell()) < end and (line := file.readline()):
+        if line.strip():
+            own = re.sub(r"[\s\d]", "", line[10:].decode()).upper()
+            if len(own) != length:
+                raise FormatError(f"{n} sequences of {length} sites were announced; byte {at} has {len(own)}")
+            yield line[:10].decode().strip(), own
+
+
 class _Reader(DataSourceReader):
     def __init__(self, kind: str, options: dict) -> None:
         self.kind, self.path = kind, options["path"]
         self.protein = options.get("alphabet") == "protein"
+        self.most = int(options.get("maxpartitionbytes") or options.get("maxPartitionBytes") or SLICE_BYTES)
 
     def partitions(self) -> list[InputPartition]:
         found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [InputPartition(p) for p in found]
+        return [s for p in found if os.path.isfile(p) and os.path.basename(p)[0] not in "._" for s in _split(p, self.kind, os.path.getsize(p), self.most)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value) as file:
-            text = file.read()
+    def read(self, partition: Slice) -> Iterator[tuple]:
         options = {"protein": True} if self.kind == "fasta" and self.protein else {}
-        for row in PARSERS[self.kind][1](text, **options):
-            yield (os.path.basename(partition.value), *row)
+        name = os.path.basename(partition.path)
+        with open(partition.path, "rb") as file:
+            if partition.end < 0:
+                rows = iter(PARSERS[self.kind][1](file.read().decode(), **options))
+            elif self.kind == "fasta":
+                rows = fasta_slice(file, partition.start, partition.end, **options)
+            else:
+                rows = phylip_slice(file, partition.start, partition.end)
+            for row in rows:
+                yield (name, *row)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Files that a task has finished, as their names when they are in place and where they are now."""
+
+    files: list[tuple[str, str]]
+
+
+class _Writer(DataSourceWriter):
+    """A file for each alignment. Tasks write into a folder of their own kind; the commit moves all files, and a failed write leaves none.
+
+    The rows of an alignment must be in one partition (see :func:`save`): an alignment that two tasks have is an error, and so is a file that exists, unless overwritten.
+    """
+
+    def __init__(self, kind: str, options: dict, columns: list[str], overwrite: bool) -> None:
+        wanted = [c.split()[0] for c in PARSERS[kind][0].split(", ")]
+        if sorted(columns) != sorted(wanted):
+            raise FormatError(f"columns {', '.join(wanted)} are needed")
+        self.kind, self.path, self.overwrite = kind, options["path"], overwrite
+        self.order = [columns.index(c) for c in wanted]
+        self.made = os.path.join(self.path, f"_temporary-{uuid.uuid4().hex}")
+
+    def write(self, iterator: Iterator) -> Written:
+        os.makedirs(self.made, exist_ok=True)
+        found: dict[str, list[tuple]] = {}
+        for row in iterator:
+            own = tuple(row[k] for k in self.order)
+            if not own[0] or os.path.basename(own[0]) != own[0] or own[0][0] in "._":
+                raise FormatError(f"no name for a file: {own[0]!r}")
+            found.setdefault(own[0], []).append(own[1:])
+        files = []
+        for name, rows in found.items():
+            at = os.path.join(self.made, uuid.uuid4().hex)
+            with open(at, "w") as file:
+                file.write(TEXTS[self.kind](rows))
+            files.append((name, at))
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files = [f for m in messages if m is not None for f in m.files]
+        twice = sorted({n for n, _ in files if sum(n == o for o, _ in files) > 1}) if len({n for n, _ in files}) < len(files) else []
+        known = [] if self.overwrite else [n for n, _ in files if os.path.exists(os.path.join(self.path, n))]
+        if twice or known:
+            self.abort(messages)
+            raise FormatError(f"more than one task has {twice[0]}" if twice else f"{known[0]} exists")
+        os.makedirs(self.path, exist_ok=True)
+        if self.overwrite:
+            for name in set(os.listdir(self.path)) - {n for n, _ in files}:
+                if os.path.isfile(at := os.path.join(self.path, name)):
+                    os.remove(at)
+        for name, at in files:
+            os.replace(at, os.path.join(self.path, name))
+        shutil.rmtree(self.made, ignore_errors=True)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        shutil.rmtree(self.made, ignore_errors=True)
+
+
+def save(rows: DataFrame, kind: str, path: str, mode: str = "append") -> None:
+    """Write a file for each ``aln_id`` in a registered format: its rows go to one partition first, in the order of their names."""
+    order = ["aln_id", *(c for c in ("taxon", "i", "j") if c in rows.columns)]
+    rows.repartition("aln_id").sortWithinPartitions(*order).write.format(kind).mode(mode).save(path)
 
 
 def _source(kind: str) -> type[DataSource]:
@@ -191,6 +375,9 @@ def _source(kind: str) -> type[DataSource]:
         def reader(self, schema) -> DataSourceReader:
             return _Reader(kind, self.options)
 
+        def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+            return _Writer(kind, self.options, schema.names, overwrite)
+
     return Source
 
 

@@ -71,3 +71,59 @@ def test_reports(spark, tmp_path):
     assert [r.value for r in R.as_json(lnl).collect()] == ['{"tree":"t","lnl":-1.0}', '{"tree":"t","lnl":-3.0}']
     R.save_text(R.distance_text(distances), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 4
+
+
+def test_writers(spark, tmp_path):
+    S.register(spark)
+    sequences = spark.createDataFrame([(a, n, s) for a in ("x", "y") for n, s in DNA5.items()], "aln_id string, taxon string, seq string").repartition(4)
+    for kind in ("phylip", "fasta"):
+        out = str(tmp_path / kind)
+        S.save(sequences, kind, out)
+        assert sorted(map(tuple, spark.read.format(kind).load(out).collect())) == sorted(map(tuple, sequences.collect()))
+        with pytest.raises(Exception, match="exists"):
+            S.save(sequences, kind, out)
+        S.save(sequences.where("aln_id = 'x'"), kind, out, mode="overwrite")
+        assert {p.name for p in (tmp_path / kind).iterdir()} == {"x"}
+    distances = spark.createDataFrame([("m", "A", "B", 1.5), ("m", "A", "C", 2.0), ("m", "B", "C", 0.25)], "aln_id string, i string, j string, d double")
+    S.save(distances, "distmat", str(tmp_path / "d"))
+    assert sorted(map(tuple, spark.read.format("distmat").load(str(tmp_path / "d")).collect())) == sorted(map(tuple, distances.collect()))
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    S.register(spark)
+    out = tmp_path / "out"
+    unequal = spark.createDataFrame([("a", "A", "ACGT"), ("a", "B", "ACGT"), ("b", "A", "ACG"), ("b", "B", "A")], "aln_id string, taxon string, seq string")
+    with pytest.raises(Exception, match="unequal"):
+        S.save(unequal, "fasta", str(out))
+    spread = spark.createDataFrame([("a", n, "ACGT") for n in "ABCDEFGH"], "aln_id string, taxon string, seq string").repartition(4, "taxon")
+    with pytest.raises(Exception, match="more than one task"):
+        spread.write.format("phylip").mode("append").save(str(out))
+    with pytest.raises(Exception, match="columns"):
+        spread.drop("seq").write.format("phylip").mode("append").save(str(out))
+    assert not out.exists() or not list(out.iterdir())
+
+
+def test_large_files_are_read_by_several_tasks(spark, tmp_path):
+    S.register(spark)
+    text = "# note\n" + "".join(f">name{k} more\n{'ACGT' * 5}\n\n{'TTGCA' * 4}\n" for k in range(40))
+    (tmp_path / "big.fasta").write_text(text)
+    want = [("big.fasta", *r) for r in S.fasta(text)]
+    for size in (1, 7, 50, 333, 100_000):
+        rows = spark.read.format("fasta").option("maxPartitionBytes", size if size > 1 else 29).load(str(tmp_path / "big.fasta"))
+        assert sorted(map(tuple, rows.collect())) == sorted(want)
+    assert rows.rdd.getNumPartitions() == 1
+    assert spark.read.format("fasta").option("maxPartitionBytes", 333).load(str(tmp_path / "big.fasta")).rdd.getNumPartitions() > 5
+    lines = "30 8\n" + "".join(f"{f'taxon{k}':<10}ACGT ACG{'ACGT'[k % 4]}\n" for k in range(30))
+    (tmp_path / "big.phy").write_text(lines)
+    for size in (20, 64, 500):
+        rows = spark.read.format("phylip").option("maxPartitionBytes", size).load(str(tmp_path / "big.phy"))
+        assert sorted(map(tuple, rows.collect())) == sorted(("big.phy", *r) for r in S.phylip(lines))
+    (tmp_path / "odd.fasta").write_text(text + ">last\nAC\n")
+    with pytest.raises(Exception, match="unequal"):
+        spark.read.format("fasta").option("maxPartitionBytes", 333).load(str(tmp_path / "odd.fasta")).count()
+
+
+def test_ambiguous_bases_from_a_file(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">x\nARN-u\n>y\nacgtb\n")
+    found = {(r.taxon, r.site): r["mask"] for r in S.to_masks(S.read(spark, "fasta", str(tmp_path))).collect()}
+    assert found == {("x", 0): 1, ("x", 1): 5, ("x", 4): 8, ("y", 0): 1, ("y", 1): 2, ("y", 2): 4, ("y", 3): 8, ("y", 4): 14}
