@@ -226,3 +226,36 @@ def invariants(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
 def compatibility(sequences: DataFrame) -> DataFrame:
     """Pairs of an alignment's sites, as binary characters, and whether they fit one tree."""
     return sitewise.compatible_pairs(sitewise.majority_characters(to_sites(sequences)))
+
+
+def _json(found: DataFrame, name: str) -> DataFrame:
+    """``aln_id, json`` of results with one row for each alignment, or the rows of each as a list under ``name``."""
+    rest = [c for c in found.columns if c != "aln_id"]
+    if name:
+        found = found.groupBy("aln_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+        rest = [name]
+    return found.select("aln_id", F.to_json(F.struct(*rest)).alias("json"))
+
+
+def json_call(call: str, sequences: DataFrame, **options) -> DataFrame:
+    """``aln_id, json``: the answer to a call for every alignment, as a service gives it.
+
+    ``call``: ``neighbor_joining`` (options of :func:`distance`) and ``parsimony`` give ``newick`` (and ``steps``), ``likelihood`` (of a ``tree``) ``newick`` and ``lnl``,
+    ``bootstrap`` the list ``splits`` with their support, and ``quartets`` how many sites of each four taxa support which tree, as for :func:`invariants`, where long branches
+    mislead parsimony.
+    """
+    if call == "quartets":
+        each = sequences.select("aln_id").distinct().limit(2).collect()
+        if len(each) > 1:
+            raise ValueError("quartets are of one alignment")
+        support = invariants(sequences)[0].withColumn("aln_id", F.lit(each[0].aln_id if each else None).cast("string"))
+        return _json(support, "quartets")
+    calls = {
+        "neighbor_joining": lambda: _json(distance(sequences, method="nj", **options), ""),
+        "parsimony": lambda: _json(most_parsimonious(sequences, **options), ""),
+        "likelihood": lambda: _json(evaluate(sequences, **options), ""),
+        "bootstrap": lambda: _json(bootstrap(sequences, **options), "splits"),
+    }
+    if call not in calls:
+        raise ValueError(f"no call: {call}")
+    return calls[call]()

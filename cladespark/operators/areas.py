@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .folds import keys, shape_of
+from .folds import Shape, keys
 from .sides import counted
 
 MOST_AREAS = 20
@@ -82,14 +82,14 @@ def area_histories(tree: DataFrame, tips: DataFrame, n_areas: int, dispersal: fl
     at most two children a node; ``tips``: ``node, mask`` observed. ``most``: the largest set of an inner node. Level by level, each branch is a min-plus product with
     ``changes`` and each node one with ``bipartitions``.
     """
-    key, (height, side), spark = keys(tree), shape_of(tree), tree.sparkSession
+    key, shape, spark = keys(tree), Shape(tree), tree.sparkSession
     if not tree.where("parent is not null").groupBy(*key, "parent").count().where("count > 2").isEmpty():
         raise ValueError("area histories need a binary tree")
     steps, parts = counted(changes(spark, n_areas, dispersal, extinction)), counted(bipartitions(spark, n_areas, most))
-    edges = side(tree.select(*key, "node", "parent", "ord", "level"))
-    leaves = tips.select("node", F.col("mask").cast("long").alias("mask"), F.lit(0.0).alias("cost")).join(side(tree.select(*key, "node", "level")), "node")
+    edges = shape.side(tree.select(*key, "node", "parent", "ord", "level"))
+    leaves = tips.select("node", F.col("mask").cast("long").alias("mask"), F.lit(0.0).alias("cost")).join(shape.side(tree.select(*key, "node", "level")), "node")
     done = current = None
-    for level in range(height, 0, -1):
+    for level in range(shape.height, 0, -1):
         own = leaves.where(F.col("level") == level).drop("level")
         current = own if current is None else own.unionByName(current)
         current = cut(current)

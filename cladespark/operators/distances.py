@@ -190,7 +190,7 @@ def frequency_sums(freqs: DataFrame) -> DataFrame:
     both = x.join(y, ["locus", "allele"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.sqrt(F.col("x") * F.col("y"))).alias("root"))
     own = freqs.groupBy("pop").agg(F.sum(F.col("f") * F.col("f")).alias("ff"), F.countDistinct("locus").cast("double").alias("loci"))
     a, b = own.withColumnsRenamed({"pop": "i", "ff": "xx"}), own.select(F.col("pop").alias("j"), F.col("ff").alias("yy"))
-    return both.join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+    return both.join(a, "i").join(b, "j")
 
 
 def nei() -> Column:

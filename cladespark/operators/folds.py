@@ -4,8 +4,7 @@ A fold goes up level by level: states of a level's nodes join their parents and
 number of joins is the tree's height and all sites and nodes of a level go at once. With a column ``tree`` the relation is a forest, whose trees may
 differ in shape and height and share the nodes of their tips: every fold then goes over all trees in one job and its results carry ``tree``.
 
-Folds of likelihoods and step matrices work on *repeats*: below a node, sites that have the same states at all tips are one class, whose
-states are computed once. Classes are hashes that go up with the sites, which costs a narrow row for a node and site; what is wide or slow runs over distinct classes.
+A fold whose leaves are dealt out by site needs no other shuffle. Where columns repeat, :func:`over_patterns` folds one of each kind.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from ..session import cut
 from .sides import MOST_ROWS, counted
 
 State = dict[str, Column]
-CLASS = ("c", "d")  #: a class of sites below a node: the state of a tip, or two hashes
 BLOCK = 64  #: sites whose sets go up together as bits of longs
 
 
@@ -29,14 +27,19 @@ def keys(tree: DataFrame) -> list[str]:
     return ["tree"] if "tree" in tree.columns else []
 
 
-def shape_of(tree: DataFrame) -> tuple[int, Callable[[DataFrame], DataFrame]]:
-    """The height of a tree or forest, and what marks parts of it for a broadcast if it has few enough nodes: one pass tells both."""
-    height, nodes = tree.agg(F.max("level"), F.count("*")).first()
-    return height or 0, F.broadcast if nodes <= MOST_ROWS else lambda part: part
+class Shape:
+    """The height of a tree or forest, and whether its parts are small enough for a broadcast: one pass over its nodes tells both."""
+
+    def __init__(self, tree: DataFrame):
+        height, nodes = tree.agg(F.max("level"), F.count("*")).first()
+        self.height, self.small = height or 0, nodes <= MOST_ROWS
+
+    def side(self, part: DataFrame) -> DataFrame:
+        return F.broadcast(part) if self.small else part
 
 
 def height_of(tree: DataFrame) -> int:
-    return shape_of(tree)[0]
+    return tree.agg(F.max("level")).first()[0] or 0
 
 
 def with_levels(edges: DataFrame) -> DataFrame:
@@ -66,12 +69,12 @@ def fold_up(
 ) -> DataFrame:
     """States of all nodes, or of the roots alone, for which each level is computed once. ``leaves``: ``node, site`` and state columns; ``combine`` gives
     the aggregates, by state column, over the children of a node, which have ``ord`` and ``bl`` beside their states; ``after`` changes the states of a level.
-    In a forest ``leaves`` may have ``tree`` as well, where tips aren't shared."""
-    key, (height, side) = keys(tree), shape_of(tree)
-    edges = side(tree.select(*key, "node", "parent", "ord", "bl", "level"))
-    tips = leaves.join(side(tree.select(*key, "node", "level")), [*(k for k in key if k in leaves.columns), "node"])
+    In a forest ``leaves`` may have ``tree`` as well, where tips aren't shared. Only tips have states of their own."""
+    key, shape = keys(tree), Shape(tree)
+    edges = shape.side(tree.select(*key, "node", "parent", "ord", "bl", "level"))
+    tips = leaves.join(shape.side(tree.select(*key, "node", "level")), [*(k for k in key if k in leaves.columns), "node"])
     done, current = tips.drop("level"), None
-    for level in range(height, 0, -1):
+    for level in range(shape.height, 0, -1):
         own = tips.where(F.col("level") == level).drop("level")
         current = own if current is None else own.unionByName(current)
         joined = current.join(edges.where(F.col("level") == level), [*key, "node"])
@@ -80,51 +83,25 @@ def fold_up(
     return current if root_only and current is not None else done
 
 
-def repeats(tree: DataFrame, leaves: DataFrame) -> tuple[dict[int, DataFrame], DataFrame]:
-    """Classes of sites. By the level of the children: ``[tree,] parent, pc, pd, node, ord, bl, c, d``, for each distinct class of a parent its children with their classes;
-    and ``[tree,] site, c, d``, the class of each site at the root. ``leaves``: ``node, site, state``, a row for each tip with data."""
-    key, (height, side) = keys(tree), shape_of(tree)
-    edges = side(tree.select(*key, "node", "parent", "ord", "bl", "level"))
-    own = leaves.select("node", "site", F.col("state").cast("long").alias("c"), F.lit(0).cast("long").alias("d"))
-    tips = own.join(side(tree.select(*key, "node", "level")), "node")
-    links, current = {}, None
-    for level in range(height, 0, -1):
-        mine = tips.where(F.col("level") == level).drop("level")
-        current = mine if current is None else mine.unionByName(current)
-        joined = current.join(edges.where(F.col("level") == level), [*key, "node"])
-        hashes = (F.bit_xor(F.xxhash64(F.lit(k), "node", "c", "d")).alias(c) for k, c in enumerate(CLASS))
-        children = F.collect_list(F.struct("node", "ord", "bl", "c", "d")).alias("children")
-        current = joined.groupBy(*key, F.col("parent").alias("node"), "site").agg(*hashes, children)
-        distinct = current.groupBy(*key, F.col("node").alias("parent"), F.col("c").alias("pc"), F.col("d").alias("pd")).agg(F.first("children").alias("children"))
-        links[level] = distinct.select(*key, "parent", "pc", "pd", F.inline("children"))
-        current = current.drop("children")
-    return links, current.drop("node")
-
-
-def fold_repeats(
-    tree: DataFrame,
-    leaves: DataFrame,
-    tips: DataFrame,
-    combine: Callable[[], State],
-    carry: tuple[str, ...] = (),
-    after: Callable[[DataFrame], DataFrame] = lambda x: x,
-) -> DataFrame:
-    """``[tree,] site`` and the states at the root. ``tips``: states of a tip by its ``state``, and ``carry``; ``combine`` and ``after`` as for :func:`fold_up`.
+def patterns(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A dictionary of columns: ``site, pattern`` of each site, ``pattern`` being the least site with the same states at the same tips; and ``pattern, weight``.
 
-    A node with children has no state of its own in ``leaves``.
+    ``leaves``: ``node, site, state`` (or ``mask``). A column is told by two hashes that are summed up before the shuffle, so no task holds a column's taxa together.
     """
-    key = keys(tree)
-    links, roots = repeats(tree, leaves)
-    inner = None
-    start = tips.select(F.col("state").cast("long").alias("c"), F.lit(0).cast("long").alias("d"), *(c for c in tips.columns if c != "state"))
-    for level, mine in links.items():
-        # the class of a tip is its state and no hash, so nodes of either kind find their states by their class
-        joined = mine.join(start, list(CLASS))
-        if inner is not None:
-            joined = joined.unionByName(mine.join(inner, [*key, "node", *CLASS]).select(joined.columns))
-        made = joined.groupBy(*key, F.col("parent").alias("node"), F.col("pc").alias("c"), F.col("pd").alias("d"), *carry)
-        inner = after(made.agg(*(c.alias(k) for k, c in combine().items())))
-    return roots.join(inner.drop("node"), [*key, *CLASS]).drop(*CLASS)
+    state = "mask" if "mask" in leaves.columns else "state"
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k), "node", state)).alias(f"h{k}") for k in (0, 1)]
+    columns = leaves.groupBy("site").agg(*hashes, F.count("*").alias("tips"))
+    known = columns.groupBy("h0", "h1", "tips").agg(F.min("site").alias("pattern"), F.count("*").alias("weight"))
+    return columns.join(known, ["h0", "h1", "tips"]).select("site", "pattern"), known.select("pattern", "weight")
+
+
+def over_patterns(leaves: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``fold`` gives for every site of ``leaves``, from one site of each pattern and a join back. It pays where columns repeat."""
+    leaves = cut(leaves)  # read for the dictionary and for the fold
+    sites, known = patterns(leaves)
+    sites = cut(sites)
+    chosen = leaves.join(known.select(F.col("pattern").alias("site")), "site", "left_semi")
+    return sites.join(fold(chosen).withColumnRenamed("site", "pattern"), "pattern").drop("pattern")
 
 
 def tips_of(tree: DataFrame) -> DataFrame:
@@ -201,8 +178,8 @@ def fitch_scores(tree: DataFrame, leaves: DataFrame, n_states: int = 4) -> DataF
 
 def fitch_ancestors(tree: DataFrame, up: DataFrame) -> DataFrame:
     """Second pass, from the root: a node's set within its parent's, or its own if they share nothing."""
-    key, (height, side) = keys(tree), shape_of(tree)
-    edges = side(tree.select(*key, "node", "parent", "level"))
+    key, height = keys(tree), height_of(tree)
+    edges = counted(tree.select(*key, "node", "parent", "level"))
     current = up.join(edges.where("level = 0"), [*key, "node"]).select(*key, "node", "site", F.col("mask").alias("final"))
     done = current
     for level in range(1, height + 1):
@@ -245,23 +222,26 @@ def dollo(tree: DataFrame, leaves: DataFrame) -> DataFrame:
 def sankoff(tree: DataFrame, leaves: DataFrame, costs: DataFrame) -> DataFrame:
     """Least cost of each site at the root: ``[tree,] site, cost``. ``leaves``: ``node, site, state`` observed; ``costs``: ``s, r, step``, every pair of states.
 
-    A row holds the costs of all states above a node's branch in columns of its own, once for each class of sites; a branch is a
-    min-plus product with the matrix of steps, which comes to the driver (states squared).
+    A row holds the costs of all states above a node's branch in columns of its own, so there is no row for each state; a branch is a
+    min-plus product with the matrix of steps, which comes to the driver (states squared). A leaf's costs above it are a row of that matrix.
     """
+    key, shape = keys(tree), Shape(tree)
     table = {(r.s, r.r): int(r.step) for r in costs.select("s", "r", "step").collect()}
     states = sorted({a for a, _ in table})
     names = [f"c{k}" for k in range(len(states))]
-    matrix = F.array(*(F.array(*(F.lit(table[a, b]).cast("long") for b in states)) for a in states))
-    tips = tree.sparkSession.createDataFrame([(b, 0, *(table[a, b] for a in states)) for b in states], ", ".join(["state long", "low long", *(f"{n} long" for n in names)]))
-
-    def moved(nodes: DataFrame) -> DataFrame:
-        across = F.transform(matrix, lambda row: F.array_min(F.zip_with(row, F.col("own"), lambda step, cost: step + cost)))
-        kept = [c for c in nodes.columns if c not in names]
-        listed = nodes.withColumn("own", F.array(*names)).select(*kept, F.array_min("own").alias("low"), across.alias("across"))
-        return listed.select(*kept, "low", *(F.col("across")[k].alias(n) for k, n in enumerate(names)))
-
-    found = fold_repeats(tree, leaves, tips, lambda: {n: F.sum(n) for n in names}, after=moved)
-    return found.select(*keys(tree), "site", F.col("low").alias("cost"))
+    place = F.array_position(F.array(*map(F.lit, states)), F.col("state")).cast("int")
+    seen = [F.element_at(F.array(*(F.lit(table[a, b]).cast("long") for b in states)), place).alias(n) for a, n in zip(states, names, strict=True)]
+    moved = [F.least(*(F.col(m) + F.lit(table[a, b]) for b, m in zip(states, names, strict=True))) if len(states) > 1 else F.col(names[0]) for a in states]
+    edges = tree.select(*key, "node", "parent", "level")
+    tips = leaves.join(shape.side(edges), "node").select(*key, "parent", "level", "site", *seen)
+    current = None
+    for level in range(shape.height, 0, -1):
+        own = tips.where(F.col("level") == level).drop("level")
+        if current is not None:
+            above = current.join(shape.side(edges.where(F.col("level") == level)), [*key, "node"])
+            own = own.unionByName(above.select(*key, "parent", "site", *(c.alias(n) for c, n in zip(moved, names, strict=True))))
+        current = own.groupBy(*key, F.col("parent").alias("node"), "site").agg(*(F.sum(n).alias(n) for n in names))
+    return current.select(*key, "site", (F.least(*names) if len(names) > 1 else F.col(names[0])).alias("cost"))
 
 
 def root_likelihoods(tree: DataFrame, leaves: DataFrame, rates: tuple[float, ...] = (1.0,), frequencies: tuple[float, ...] = (0.25,) * 4, speed: float = 4 / 3) -> DataFrame:
@@ -283,16 +263,10 @@ def root_likelihoods(tree: DataFrame, leaves: DataFrame, rates: tuple[float, ...
         kept = [c for c in nodes.columns if c not in (*names, "scale")]
         return averaged(nodes.select(*kept, *((F.col(n) / fit).alias(n) for n in names), (F.col("scale") + F.log(fit)).alias("scale")))
 
-    own = "mask" if "mask" in leaves.columns else "state"
-    known = (lambda k: F.col("state").bitwiseAND(F.lit(1 << k)) > 0) if own == "mask" else (lambda k: F.col("state") == k)
-    if own == "mask" and len(names) > 10:
-        seen = leaves.select(F.col(own).cast("long").alias("state")).distinct()
-    else:  # every state, or every set of a few states
-        seen = tree.sparkSession.range(1, 1 << len(names)) if own == "mask" else tree.sparkSession.range(len(names))
-        seen = F.broadcast(seen.withColumnRenamed("id", "state"))
-    spread = seen.withColumn("rate", F.explode(F.array(*map(F.lit, rates))))
-    tips = averaged(spread.select("state", "rate", *(known(k).cast("double").alias(n) for k, n in enumerate(names)), F.lit(0.0).alias("scale")))
-    found = fold_repeats(tree, leaves.select("node", "site", F.col(own).alias("state")), tips, combine, ("rate",), scaled)
+    known = (lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) > 0) if "mask" in leaves.columns else (lambda k: F.col("state") == k)
+    spread = leaves.withColumn("rate", F.explode(F.array(*map(F.lit, rates)))) if len(rates) > 1 else leaves.withColumn("rate", F.lit(rates[0]))
+    start = spread.select("node", "site", "rate", *(known(k).cast("double").alias(n) for k, n in enumerate(names)), F.lit(0.0).alias("scale"))
+    found = fold_up(tree, averaged(start), combine, ("rate",), scaled, root_only=True)
     return found.select(*keys(tree), "site", "rate", "mean", "scale")
 
 
@@ -310,8 +284,8 @@ def site_likelihoods(tree: DataFrame, leaves: DataFrame, rates: tuple[float, ...
 
 def ancestors(tree: DataFrame) -> DataFrame:
     """``node, above, dist, depth`` for each node and itself or an ancestor; ``dist``: the branch lengths between."""
-    height, side = shape_of(tree)
-    edges = side(tree.select(F.col("node").alias("above"), F.col("parent").alias("up"), F.col("bl").alias("step")))
+    height = height_of(tree)
+    edges = counted(tree.select(F.col("node").alias("above"), F.col("parent").alias("up"), F.col("bl").alias("step")))
     current = tree.select("node", F.col("node").alias("above"), F.lit(0.0).alias("dist"), F.lit(0).alias("depth"))
     done = current
     for _ in range(height):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .sides import MOST_ROWS, counted
 
 RANGE = 4096  #: positions of a range, which one task sorts
@@ -17,7 +18,7 @@ def running_sum(rows: DataFrame, value: str, order: str = "pos", keys: tuple[str
     more than ``at_once``; only then one task (for each key) sorts them. Null values count as 0; the sum of no rows is none.
     """
     ranged = rows.withColumn("_range", F.floor(F.col(order) / width).cast("long"))
-    sums = ranged.groupBy(*keys, "_range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    sums = cut(ranged.groupBy(*keys, "_range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum")))
     if sums.count() > at_once and width > 1:
         renamed = sums.withColumnsRenamed({"_range": "_place", "_sum": "_part"})
         summed = running_sum(renamed, "_part", "_place", keys, width, at_once).withColumnsRenamed({"_place": "_range", "_part": "_sum", "total": "_upto"})

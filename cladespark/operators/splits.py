@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 
-PAIR_BLOCKS = 16
+BLOCK_TREES = 512  #: trees on either side of a block of pairs, about
 SPLITS_AT_ONCE = 4096  #: of the most frequent splits that may still fit, for each round of the extended consensus
 
 
@@ -40,8 +41,9 @@ def tree_distances(splits: DataFrame, n_taxa: int) -> DataFrame:
     x, y = splits.select(F.col("tree").alias("t1"), "split", F.col("bl").alias("b1")), splits.select(F.col("tree").alias("t2"), "split", F.col("bl").alias("b2"))
     shared = x.join(y, "split").where("t1 < t2").groupBy("t1", "t2").agg(F.count("*").alias("k"), F.sum(F.col("b1") * F.col("b2")).alias("dot"))
     # Every pair is wanted, so they are dealt out in blocks: a tree goes once to each pair of its block with another block.
-    block, other = F.pmod(F.xxhash64("tree"), F.lit(PAIR_BLOCKS)), F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)))
-    dealt = lambda own, far: sizes.withColumn(own, block).withColumn(far, other)
+    blocks = sizes.agg(F.ceil(F.count("*") / BLOCK_TREES).alias("blocks"))  # one row
+    block, other = F.pmod(F.xxhash64("tree"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = lambda own, far: sizes.join(F.broadcast(blocks)).withColumn(own, block).withColumn(far, other).drop("blocks")
     a = dealt("x", "y").withColumnsRenamed({"tree": "t1", "n": "n1", "sq": "s1"})
     b = dealt("y", "x").withColumnsRenamed({"tree": "t2", "n": "n2", "sq": "s2"})
     pairs = a.join(b, ["x", "y"]).where("t1 < t2").join(shared, ["t1", "t2"], "left")
@@ -78,7 +80,7 @@ def extended_majority(support: DataFrame, n_taxa: int) -> DataFrame:
     ``SPLITS_AT_ONCE`` first of the rest, until there is none.
     """
     full = (1 << n_taxa) - 1
-    support = support.cache()
+    support = cut(support)
     taken: list[int] = []
     size = F.bit_count("split")
     while len(taken) < max(0, n_taxa - 3):

@@ -11,6 +11,7 @@ from ..operators import resampling as R
 from ..operators import splits as P
 from ..operators.genetic_code import AMINO, steps, steps_sql
 from .book import add
+from .sequence import REGION_SITES_SQL, region_sites
 
 TAXA = 25
 GAMMA_RATES = tuple(round(float(r), 4) for r in gamma_rates(0.5, 4))
@@ -281,6 +282,37 @@ add(
 )
 
 
+def _region_rows(s, d):
+    """The regions' own sequences and the tree of regions alone."""
+    tree = E.tree(s, d).where("level < 2")
+    return tree, region_sites(s, d).select((F.col("taxon") + 100).alias("node"), "site", "state")
+
+
+def _pattern_lnl(s, d):
+    """Likelihood of the regions' sequences, one site of each pattern folded."""
+    tree, leaves = _region_rows(s, d)
+    return T.over_patterns(leaves, lambda chosen: T.site_likelihoods(tree, chosen)).select("site", "lnl")
+
+
+def _pattern_weights(s, d):
+    return T.patterns(_region_rows(s, d)[1])[1]
+
+
+_RB = "exp(-4e0 / 3 * (0.05e0 + 0.01e0 * (taxon % 7)))"
+add(
+    "pattern_lnl",
+    _pattern_lnl,
+    f"""WITH {REGION_SITES_SQL}, l AS (SELECT site, x, product(0.25e0 * (1 - {_RB}) + CASE WHEN state = x THEN {_RB} ELSE 0 END) AS l FROM regions, (SELECT unnest([0, 1, 2, 3]) AS x) GROUP BY ALL)
+    SELECT site, round(ln(sum(0.25e0 * l)), 6) AS lnl FROM l GROUP BY site""",
+)
+add(
+    "pattern_weights",
+    _pattern_weights,
+    f"""WITH {REGION_SITES_SQL}, c AS (SELECT site, string_agg(taxon || ':' || state, ',' ORDER BY taxon) AS own FROM regions GROUP BY site)
+    SELECT min(site) AS pattern, count(*) AS weight FROM c GROUP BY own""",
+)
+
+
 def _by_tree(s, d):
     """Site likelihoods of the tree, and of a star of all nations."""
     tree = E.tree(s, d)

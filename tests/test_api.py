@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from cladespark import api
@@ -54,3 +56,21 @@ def test_streams(spark, tmp_path):
     query.stop()
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("windows").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
     assert base_counts(spark.createDataFrame([("A", 1, 0), ("A", 2, 0)], "taxon string, site int, state int")).first().n == 2
+
+
+def test_json_calls(sequences):
+    tree = "((Alpha:0.1,Beta:0.1):0.1,Gamma:0.2,(Delta:0.1,Epsilon:0.1):0.1);"
+    told = lambda call, **options: {r.aln_id: json.loads(r.json) for r in api.json_call(call, sequences, **options).collect()}
+    assert set(told("neighbor_joining")["x"]) == {"newick"} and told("parsimony")["y"]["steps"] == 13
+    assert told("likelihood", tree=tree, optimize=False)["x"]["lnl"] < 0
+    assert all(0 < s["support"] <= 1 for s in told("bootstrap", reps=3)["x"]["splits"])
+    one = sequences.where("aln_id = 'x'")
+    assert len(json.loads(api.json_call("quartets", one).first().json)["quartets"]) == 5
+    for bad in ("quartets", "other"):
+        with pytest.raises(ValueError):
+            api.json_call(bad, sequences)
+
+
+def test_taxa_that_differ(sequences):
+    with pytest.raises(Exception, match="only in the tree or only in the alignment"):
+        api.evaluate(sequences, "((Alpha,Beta),Gamma,(Delta,Zeta));").collect()
