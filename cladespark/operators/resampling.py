@@ -61,7 +61,8 @@ def sliding_windows(lnl: DataFrame, size: int, step: int, threshold: float) -> D
     windows = windows.withColumn("delta", F.col("total") - F.col("n") / F.col("n_all") * F.col("all"))
     spread = windows.agg(F.avg("delta").alias("m"), F.stddev_samp("delta").alias("s"))
     z = F.try_divide(F.col("delta") - F.col("m"), F.col("s"))
-    return windows.join(F.broadcast(spread)).select("start", "n", F.round("total", 4).alias("total"), F.round("delta", 4).alias("delta"), F.round(z, 4).alias("z"), (F.abs(F.round(z, 4)) > threshold).alias("anomaly"))
+    rounded = [F.round(c, 4).alias(n) for c, n in ((F.col("total"), "total"), (F.col("delta"), "delta"), (z, "z"))]
+    return windows.join(F.broadcast(spread)).select("start", "n", *rounded, (F.abs(F.round(z, 4)) > threshold).alias("anomaly"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -94,8 +95,10 @@ def resampled_support(lnl: DataFrame, weights: DataFrame) -> DataFrame:
 def information_criteria(models: DataFrame) -> DataFrame:
     """``model, lnl, k, aic, aicc, bic, weight`` of ``model, lnl, k, n``; weights are Akaike's."""
     aic = 2 * F.col("k") - 2 * F.col("lnl")
-    scored = models.select("model", "lnl", "k", aic.alias("aic"), (aic + 2 * F.col("k") * (F.col("k") + 1) / (F.col("n") - F.col("k") - 1)).alias("aicc"), (F.col("k") * F.log("n") - 2 * F.col("lnl")).alias("bic"))
+    aicc = aic + 2 * F.col("k") * (F.col("k") + 1) / (F.col("n") - F.col("k") - 1)
+    scored = models.select("model", "lnl", "k", aic.alias("aic"), aicc.alias("aicc"), (F.col("k") * F.log("n") - 2 * F.col("lnl")).alias("bic"))
     least = scored.agg(F.min("aic").alias("low"))
     scored = scored.join(F.broadcast(least)).withColumn("e", F.exp(-(F.col("aic") - F.col("low")) / 2))
     total = scored.agg(F.sum("e").alias("t"))
-    return scored.join(F.broadcast(total)).select("model", F.round("lnl", 4).alias("lnl"), "k", F.round("aic", 4).alias("aic"), F.round("aicc", 4).alias("aicc"), F.round("bic", 4).alias("bic"), F.round(F.col("e") / F.col("t"), 6).alias("weight"))
+    lnl, *rounded = (F.round(c, 4).alias(c) for c in ("lnl", "aic", "aicc", "bic"))
+    return scored.join(F.broadcast(total)).select("model", lnl, "k", *rounded, F.round(F.col("e") / F.col("t"), 6).alias("weight"))

@@ -42,10 +42,12 @@ def _area_sql() -> str:
     for k in range(1, FOREST_HEIGHT + 1):
         out.append(f"up{k} AS (SELECT tree, i, above AS mask, min(cost + step) AS cost FROM h{k - 1} JOIN change ON below = mask GROUP BY ALL)")
         whole = f"SELECT tree, i // 2 AS i, mask, sum(cost)::BIGINT AS cost FROM up{k} GROUP BY tree, i // 2, mask"
-        parts = f"SELECT x.tree, x.i // 2 AS i, x.mask | y.mask AS mask, x.cost + y.cost AS cost FROM up{k} x JOIN up{k} y ON x.tree = y.tree AND x.i // 2 = y.i // 2 AND x.i <> y.i AND x.mask & y.mask = 0"
+        met = "x.tree = y.tree AND x.i // 2 = y.i // 2 AND x.i <> y.i AND x.mask & y.mask = 0"
+        parts = f"SELECT x.tree, x.i // 2 AS i, x.mask | y.mask AS mask, x.cost + y.cost AS cost FROM up{k} x JOIN up{k} y ON {met}"
         out.append(f"h{k} AS (SELECT tree, i, mask, min(cost) AS cost FROM ({whole} UNION ALL {parts}) GROUP BY ALL)")
     every = " UNION ALL ".join(f"SELECT tree, {k} * {1 << 32} + i AS node, mask, cost FROM h{k}" for k in range(1, FOREST_HEIGHT + 1))
-    return ",\n".join(out) + f"""\nSELECT tree, node::BIGINT AS node, cost, string_agg(mask::VARCHAR, ',' ORDER BY mask) AS best FROM (SELECT *, min(cost) OVER (PARTITION BY tree, node) AS least FROM ({every}))
+    best = f"SELECT *, min(cost) OVER (PARTITION BY tree, node) AS least FROM ({every})"
+    return ",\n".join(out) + f"""\nSELECT tree, node::BIGINT AS node, cost, string_agg(mask::VARCHAR, ',' ORDER BY mask) AS best FROM ({best})
     WHERE cost = least GROUP BY tree, node, cost"""
 
 

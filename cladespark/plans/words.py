@@ -8,9 +8,10 @@ from .. import encode as E
 from ..functions.newick import lateral_trees
 from ..operators import cognates as C
 from ..operators import folds as T
+from ..operators import splits as P
 from ..operators.newick_text import newick_texts
 from .book import add
-from .trees import EXTENDED_SQL, TAXA, _extended, P, _forest
+from .trees import EXTENDED_SQL, TAXA, _extended, _forest
 
 
 def _classes(s, d):
@@ -29,7 +30,8 @@ reached AS (SELECT word AS node, word AS root FROM every UNION SELECT b, root FR
 class AS (SELECT node AS word, min(root) AS class FROM reached GROUP BY node)"""
 add("cognate_classes", _classes, f"WITH RECURSIVE {WORDS_SQL} SELECT lang, word, class FROM words JOIN class USING (word)")
 MATRIX_SQL = f"""{WORDS_SQL}, has AS (SELECT DISTINCT lang, class FROM words JOIN class USING (word)),
-matrix AS (SELECT l.lang AS taxon, c.class AS char, (h.lang IS NOT NULL)::INTEGER AS state FROM (SELECT DISTINCT lang FROM has) l CROSS JOIN (SELECT DISTINCT class FROM has) c LEFT JOIN has h ON h.lang = l.lang AND h.class = c.class)"""
+matrix AS (SELECT l.lang AS taxon, c.class AS char, (h.lang IS NOT NULL)::INTEGER AS state
+  FROM (SELECT DISTINCT lang FROM has) l CROSS JOIN (SELECT DISTINCT class FROM has) c LEFT JOIN has h ON h.lang = l.lang AND h.class = c.class)"""
 add("cognate_matrix", lambda s, d: C.cognate_matrix(_classes(s, d)), f"WITH RECURSIVE {MATRIX_SQL} SELECT * FROM matrix")
 
 #: The three trees of four languages.
@@ -76,7 +78,8 @@ def _consensus_newick_sql() -> str:
     out = [
         f"""WITH RECURSIVE {EXTENDED_SQL}, nodes AS (SELECT (1::BIGINT << n_nationkey::INTEGER) AS node, replace(n_name, ' ', '_') AS label, NULL::DOUBLE AS bl FROM nation
         UNION ALL SELECT split, printf('%.2f', support), bl FROM accepted), above AS (SELECT split AS a FROM accepted UNION ALL SELECT {full}),
-        up AS (SELECT node, arg_min(a, bit_count(a) * {1 << (TAXA + 1)} + a) AS parent, any_value(label) || any_value({LENGTH_SQL}) AS own FROM nodes JOIN above ON a <> node AND a & node = node GROUP BY node
+        up AS (SELECT node, arg_min(a, bit_count(a) * {1 << (TAXA + 1)} + a) AS parent, any_value(label) || any_value({LENGTH_SQL}) AS own
+          FROM nodes JOIN above ON a <> node AND a & node = node GROUP BY node
           UNION ALL SELECT {full}, NULL, ''),
         depth AS (SELECT node, parent, own, 0 AS level FROM up WHERE parent IS NULL UNION ALL SELECT up.node, up.parent, up.own, level + 1 FROM up JOIN depth ON up.parent = depth.node),
         t{TAXA} AS (SELECT NULL::BIGINT AS node, NULL::BIGINT AS parent, NULL::VARCHAR AS txt WHERE false)"""

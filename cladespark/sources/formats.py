@@ -2,7 +2,7 @@
 
 ``register(spark)`` adds the formats ``fasta``, ``phylip``, ``distmat`` and ``binarymat`` to ``spark.read.format`` and ``write.format``. One file is one
 alignment. Files are read in parallel, and large FASTA files, and PHYLIP files with a line for each taxon, by several tasks, each from the first record that begins in its
-range of bytes. Files are reached by Spark itself (``binaryFiles`` through :func:`read`, a file a row), so any store that Spark reads will do; the registered formats
+range of bytes. :func:`read` (a file a row) and :func:`read_fasta` (a record a row) go through Spark's own readers, so any store that Spark reads will do; the registered formats
 read and write local and mounted paths, which all executors must share.
 """
 
@@ -176,6 +176,31 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, schema)
 
 
+def read_fasta(spark: SparkSession, path: str, protein: bool = False) -> DataFrame:
+    """``aln_id, taxon, seq`` of FASTA files in any store that Spark reads, as :func:`fasta` gives them; a file of any size is read by as many tasks as it has splits.
+
+    A row of Spark's text reader is a record here (its lines end where a name begins). Lengths are compared by one aggregation, before the rows are returned; bases are
+    checked as rows are read. A file without sequences has no rows.
+    """
+    pieces = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_name").alias("aln_id"), F.ltrim("value").alias("piece"))
+    lines = F.transform(F.split("piece", "\r?\n"), lambda x: F.trim(x))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
+    first = F.regexp_replace(lines[0], "^>", "")
+    own = F.upper(F.regexp_replace(F.array_join(F.filter(F.slice(lines, 2, 1 << 30), lambda x: ~x.startswith("#")), ""), r"[\s\d]", ""))
+    rows = pieces.where(F.size(kept) > 0).select("aln_id", F.coalesce(F.regexp_extract(F.trim(first), r"^(\S+)", 1), F.lit("")).alias("taxon"), own.alias("seq"))
+    if protein:
+        rows = rows.withColumn("seq", F.regexp_replace("seq", rf"[^{AMINO}\-]", "X"))
+    else:
+        bad = F.regexp_extract("seq", rf"([^{re.escape(IUPAC)}])", 1)
+        said = F.raise_error(F.concat(F.col("aln_id"), F.lit(": no base: "), bad, F.lit(" in "), F.col("taxon"))).cast("string")
+        rows = rows.withColumn("seq", F.when(bad != "", said).otherwise(F.col("seq")))
+    size = F.length("seq")
+    unequal = rows.groupBy("aln_id").agg(F.min(size).alias("low"), F.max(size).alias("high")).where("low <> high or low = 0").limit(1).collect()
+    if unequal:
+        raise FormatError(f"{unequal[0].aln_id}: sequences of unequal lengths, or a sequence before any name")
+    return rows
+
+
 def to_sites(sequences: DataFrame) -> DataFrame:
     """``aln_id, taxon, site, state``: one row per known base of sequence rows; ambiguous bases and gaps have none."""
     base = F.instr(F.lit("ACGT"), F.translate(F.col("base"), "U", "T")) - 1

@@ -56,6 +56,7 @@ def test_upgma_and_kitsch_on_ultrametric_distances():
         assert comparative.is_ultrametric(tree) and np.allclose(distances_of(tree, NAMES[:4]), d)
 
 
+# Published distances of seven primates.
 def test_least_squares_on_primates():
     names = ["Bovine", "Mouse", "Gibbon", "Orang", "Gorilla", "Chimp", "Human"]
     low = [[1.6866], [1.7198, 1.5232], [1.6606, 1.4841, 0.7115], [1.5243, 1.4465, 0.5958, 0.4631], [1.6043, 1.4389, 0.6179, 0.5061, 0.3484], [1.5905, 1.4629, 0.5583, 0.4710, 0.3083, 0.2692]]

@@ -127,3 +127,28 @@ def test_ambiguous_bases_from_a_file(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">x\nARN-u\n>y\nacgtb\n")
     found = {(r.taxon, r.site): r["mask"] for r in S.to_masks(S.read(spark, "fasta", str(tmp_path))).collect()}
     assert found == {("x", 0): 1, ("x", 1): 5, ("x", 4): 8, ("y", 0): 1, ("y", 1): 2, ("y", 2): 4, ("y", 3): 8, ("y", 4): 14}
+
+
+def test_records_by_the_text_reader(spark, tmp_path):
+    text = "# note\n\n" + "".join(f">name{k} more\r\n{'ACGT' * 5} 20\n# inside\n\nttgca{'TTGCA' * 3}\n" for k in range(40))
+    (tmp_path / "a.fasta").write_text(text)
+    (tmp_path / "b.fasta").write_text(FASTA)
+    (tmp_path / "c.fasta").write_text(FASTA.removeprefix("# note\n"))
+    want = sorted([("a.fasta", *r) for r in S.fasta(text)] + [(f, *r) for f in ("b.fasta", "c.fasta") for r in S.fasta(FASTA)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("100", "777", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = S.read_fasta(spark, str(tmp_path))
+            assert sorted(map(tuple, rows.collect())) == want
+            assert rows.rdd.getNumPartitions() > 10 or size != "100"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.fasta").write_text(">a\nmk*j\n")
+    assert [tuple(r) for r in S.read_fasta(spark, str(tmp_path / "p"), protein=True).collect()] == [("x.fasta", "a", "MKXX")]
+    for k, bad in enumerate(("ACGT", ">a\nAC!\n", ">a\nAC\n>b\nA\n")):
+        (tmp_path / f"bad{k}").mkdir()
+        (tmp_path / f"bad{k}" / "x.fasta").write_text(bad)
+        with pytest.raises(Exception, match="unequal|no base"):
+            S.read_fasta(spark, str(tmp_path / f"bad{k}")).collect()
