@@ -110,7 +110,8 @@ FREQUENCIES_SQL = """freqs AS (SELECT pop, locus, allele, n / sum(n) OVER (PARTI
   SELECT c_nationkey AS pop, 'segment' AS locus, c_mktsegment AS allele, count(*)::DOUBLE AS n FROM customer GROUP BY ALL
   UNION ALL SELECT c_nationkey, 'priority', o_orderpriority, count(*)::DOUBLE FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))"""
 CHARACTERS_SQL = f"""{SALES_SQL},
-chars AS (SELECT taxon, char, (q > avg(q) OVER (PARTITION BY char))::INTEGER AS state FROM (SELECT taxon, p_brand AS char, sum(q)::DOUBLE AS q FROM sales JOIN part ON site = p_partkey GROUP BY ALL))"""
+chars AS (SELECT taxon, char, (q > avg(q) OVER (PARTITION BY char))::INTEGER AS state FROM (SELECT taxon, p_brand AS char, sum(q)::DOUBLE AS q FROM sales JOIN part ON site = p_partkey
+      GROUP BY ALL))"""
 TRAITS_SQL = """traits AS (SELECT label AS taxon, i - 1 AS char, avg(embedding[i]::DOUBLE) AS value FROM embeddings, (SELECT unnest(generate_series(1, 64))::INTEGER AS i) GROUP BY ALL)"""
 
 
@@ -129,8 +130,10 @@ def clades(spark: SparkSession, sf_dir: str, by: str = "concat_ws(':', o_orderpr
 def splits_sql(name: str, by: str = "o_orderpriority || ':' || o_orderstatus", n_taxa: int = 25) -> str:
     full = (1 << n_taxa) - 1
     return f"""{name} AS (SELECT tree, split, sum(bl) AS bl FROM (SELECT tree, CASE WHEN mask & 1 = 1 THEN {full} - mask ELSE mask END AS split, bl FROM (
-    SELECT tree, size, slot // size AS node, bit_or(1::BIGINT << taxon)::BIGINT AS mask, 0.01e0 * size AS bl FROM (SELECT tree, taxon, row_number() OVER (PARTITION BY tree ORDER BY v DESC, taxon) - 1 AS slot
-      FROM (SELECT {by} AS tree, c_nationkey::BIGINT AS taxon, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)), (SELECT unnest([2, 4, 8, 16]) AS size) GROUP BY ALL))
+    SELECT tree, size, slot // size AS node, bit_or(1::BIGINT << taxon)::BIGINT AS mask, 0.01e0 * size AS bl
+      FROM (SELECT tree, taxon, row_number() OVER (PARTITION BY tree ORDER BY v DESC, taxon) - 1 AS slot
+      FROM (SELECT {by} AS tree, c_nationkey::BIGINT AS taxon, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey
+      GROUP BY ALL)), (SELECT unnest([2, 4, 8, 16]) AS size) GROUP BY ALL))
   WHERE bit_count(split) > 1 AND bit_count(split) < {n_taxa - 1} GROUP BY ALL)"""
 
 

@@ -155,8 +155,10 @@ add(
     "matched_names",
     lambda s, d: Q.matched_names(_anchors(s, d), E.table(s, d, "part").select(F.col("p_name").alias("name"))),
     """WITH a AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(upper(p_name), ' ', '_') WHEN 2 THEN replace(p_name, ' ', '-') ELSE p_name || '?' END AS anchor FROM part),
-    k AS (SELECT lower(p_name) AS key, min(p_name) AS name FROM part GROUP BY 1), f AS (SELECT anchor, 0 AS rank, anchor AS form FROM a UNION ALL SELECT anchor, 1, replace(anchor, '_', ' ') FROM a UNION ALL SELECT anchor, 2, replace(anchor, '-', ' ') FROM a),
-    m AS (SELECT anchor, arg_min(name, rank) AS name, min(rank)::INTEGER AS rank FROM f JOIN k ON lower(form) = key GROUP BY anchor) SELECT a.anchor, name, rank FROM a LEFT JOIN m ON a.anchor = m.anchor""",
+    k AS (SELECT lower(p_name) AS key, min(p_name) AS name FROM part GROUP BY 1), f AS (SELECT anchor, 0 AS rank, anchor AS form FROM a
+      UNION ALL SELECT anchor, 1, replace(anchor, '_', ' ') FROM a UNION ALL SELECT anchor, 2, replace(anchor, '-', ' ') FROM a),
+    m AS (SELECT anchor, arg_min(name, rank) AS name, min(rank)::INTEGER AS rank FROM f JOIN k ON lower(form) = key GROUP BY anchor) SELECT a.anchor, name, rank FROM a LEFT
+      JOIN m ON a.anchor = m.anchor""",
 )
 add(
     "faceted_search",
@@ -203,7 +205,8 @@ NOTICES_SQL = """notices AS (SELECT entry, [
   'the group of nobody',
   'Dr. Eve ' || w || ' of Paris made a Ruby and Visual Basic program at the Museum of ' || w || ' History Museum. It needs Matlab.',
   w || ' of the Institute for Trees, ' || w || ' College has Delphi and Java code.'][1 + entry % 6] AS text
-  FROM (SELECT s_suppkey AS entry, list_aggregate(list_transform(string_split(n_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey))"""
+  FROM (SELECT s_suppkey AS entry, list_aggregate(list_transform(string_split(n_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS w FROM supplier
+      JOIN nation ON s_nationkey = n_nationkey))"""
 add(
     "entry_people",
     lambda s, d: _notices(s, d).select("entry", Q.authors(F.col("text")).alias("authors"), Q.institution(F.col("text")).alias("institution"), F.array_join(Q.languages(F.col("text")), ",").alias("langs")),

@@ -50,7 +50,8 @@ add(
     dollo_and_fitch,
     f"""WITH {BINARY_SQL}, low AS (SELECT region + 100 AS node, site, list_reduce(list((1 + state)::BIGINT ORDER BY taxon), lambda a, x: CASE WHEN (a & 3 & x) > 0 THEN a - (a & 3) + (a & 3 & x) ELSE a - (a & 3) + 4 + ((a & 3) | x) END) AS c FROM b GROUP BY ALL),
     top AS (SELECT site, list_reduce(list((c & 3)::BIGINT ORDER BY node), lambda a, x: CASE WHEN (a & 3 & x) > 0 THEN a - (a & 3) + (a & 3 & x) ELSE a - (a & 3) + 4 + ((a & 3) | x) END) AS c, sum(c >> 2) AS below FROM low GROUP BY site),
-    r AS (SELECT region, site, sum(state) AS ones, count(*) FILTER (state = 0) AS zeros FROM b GROUP BY ALL), t AS (SELECT site, sum(ones) AS total, count(*) FILTER (ones > 0) AS with_ones, count(*) FILTER (ones = 0) AS without,
+    r AS (SELECT region, site, sum(state) AS ones, count(*) FILTER (state = 0) AS zeros FROM b GROUP BY ALL),
+      t AS (SELECT site, sum(ones) AS total, count(*) FILTER (ones > 0) AS with_ones, count(*) FILTER (ones = 0) AS without,
     sum(CASE WHEN ones > 0 THEN zeros ELSE 0 END) AS inner_losses FROM r GROUP BY site)
     SELECT top.site, ((c >> 2) + below)::BIGINT AS fitch, (CASE WHEN total > 0 THEN 1 ELSE 0 END + CASE WHEN total <= 1 THEN 0 WHEN with_ones = 1 THEN inner_losses ELSE inner_losses + without END)::BIGINT AS dollo FROM top JOIN t ON top.site = t.site""",
 )
@@ -80,8 +81,10 @@ def lake_by_sites(s, d) -> DataFrame:
 add(
     "lake_by_sites",
     lake_by_sites,
-    f"""WITH {REGIONS_SQL.replace("d.state AS s4 FROM", "d.state AS s4, a.site AS site FROM")}, n AS (SELECT k::BIGINT AS sites, t1, t2, t3, t4, count(*) FILTER (s1 = s2 AND s3 = s4 AND s1 % 2 <> s3 % 2) AS n1,
-    count(*) FILTER (s1 = s3 AND s2 = s4 AND s1 % 2 <> s2 % 2) AS n2, count(*) FILTER (s1 = s4 AND s2 = s3 AND s1 % 2 <> s2 % 2) AS n3 FROM quartets JOIN (SELECT (SELECT count(*) FROM part) * unnest({list(EIGHTHS)}) // 8 AS k) ON site < k GROUP BY ALL)
+    f"""WITH {REGIONS_SQL.replace("d.state AS s4 FROM", "d.state AS s4, a.site AS site FROM")},
+      n AS (SELECT k::BIGINT AS sites, t1, t2, t3, t4, count(*) FILTER (s1 = s2 AND s3 = s4 AND s1 % 2 <> s3 % 2) AS n1,
+    count(*) FILTER (s1 = s3 AND s2 = s4 AND s1 % 2 <> s2 % 2) AS n2, count(*) FILTER (s1 = s4 AND s2 = s3 AND s1 % 2 <> s2 % 2) AS n3 FROM quartets JOIN (SELECT (SELECT count(*)
+      FROM part) * unnest({list(EIGHTHS)}) // 8 AS k) ON site < k GROUP BY ALL)
     SELECT sites, t1, t2, t3, t4, (CASE WHEN n1 >= n2 AND n1 >= n3 THEN 1 WHEN n2 >= n3 THEN 2 ELSE 3 END)::INTEGER AS best,
     CASE WHEN n1 + n2 + n3 > 0 THEN round(3e0 * (n1 * n1 + n2 * n2 + n3 * n3) / (n1 + n2 + n3) - (n1 + n2 + n3), 6) END AS chi_square FROM n""",
 )
@@ -114,9 +117,12 @@ add(
     f"""WITH amino AS (SELECT substr('{POLAR_ORDER}', k::INTEGER + 1, 1) AS aa, k FROM (SELECT unnest(generate_series(0, 19)) AS k)), reps AS (SELECT unnest(generate_series(0, 200)) AS rep),
     ranked AS (SELECT rep, aa, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(k::VARCHAR, 2, '0') ELSE md5('code:' || rep || ':' || aa) END) AS r FROM amino, reps),
     v AS (SELECT rep, aa, ([{", ".join(f"{p}e0" for p in POLAR)}])[r] AS p FROM ranked), codon AS ({_CODON_SQL}),
-    steps AS (SELECT x.aa AS x, y.aa AS y, count(*) AS n FROM codon x, codon y WHERE x.aa <> '*' AND y.aa <> '*' AND x.aa <> y.aa AND (x.b0 <> y.b0)::INTEGER + (x.b1 <> y.b1)::INTEGER + (x.b2 <> y.b2)::INTEGER = 1 GROUP BY ALL),
-    m AS (SELECT a.rep, round(sum(n * (a.p - b.p) * (a.p - b.p)) / sum(n), 9) AS m FROM steps JOIN v a ON a.aa = x JOIN v b ON b.aa = y AND a.rep = b.rep GROUP BY a.rep), r AS (SELECT m AS real FROM m WHERE rep = 0)
-    SELECT round(real, 6) AS real, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, round((real - avg(m)) / stddev_samp(m), 4) AS z, count(*) FILTER (m <= real) AS better FROM m, r WHERE rep > 0 GROUP BY real""",
+    steps AS (SELECT x.aa AS x, y.aa AS y, count(*) AS n FROM codon x, codon y
+      WHERE x.aa <> '*' AND y.aa <> '*' AND x.aa <> y.aa AND (x.b0 <> y.b0)::INTEGER + (x.b1 <> y.b1)::INTEGER + (x.b2 <> y.b2)::INTEGER = 1 GROUP BY ALL),
+    m AS (SELECT a.rep, round(sum(n * (a.p - b.p) * (a.p - b.p)) / sum(n), 9) AS m FROM steps JOIN v a ON a.aa = x JOIN v b ON b.aa = y AND a.rep = b.rep GROUP BY a.rep),
+      r AS (SELECT m AS real FROM m WHERE rep = 0)
+    SELECT round(real, 6) AS real, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, round((real - avg(m)) / stddev_samp(m), 4) AS z, count(*) FILTER (m <= real) AS better
+      FROM m, r WHERE rep > 0 GROUP BY real""",
 )
 
 

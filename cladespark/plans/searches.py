@@ -114,7 +114,8 @@ for name, query in (("dollo", dollo_search), ("camin_sokal", camin_sokal_search)
     add(f"{name}_search", query)
 
 
-MULTI_SQL = f"""{E.SALES_SQL}, multi AS (SELECT taxon, region, char, (q % 5)::INTEGER AS state FROM (SELECT taxon, region, p_size % 12 AS char, sum(q) AS q FROM sales JOIN part ON site = p_partkey GROUP BY ALL)),
+MULTI_SQL = f"""{E.SALES_SQL}, multi AS (SELECT taxon, region, char, (q % 5)::INTEGER AS state FROM (SELECT taxon, region, p_size % 12 AS char, sum(q) AS q FROM sales
+      JOIN part ON site = p_partkey GROUP BY ALL)),
 low AS (SELECT region + 100 AS node, char, list_reduce(list((1 << state)::BIGINT ORDER BY taxon), lambda a, x: CASE WHEN (a & 31 & x) > 0 THEN a - (a & 31) + (a & 31 & x) ELSE a - (a & 31) + 32 + ((a & 31) | x) END) AS c FROM multi GROUP BY ALL),
 top AS (SELECT char, list_reduce(list((c & 31)::BIGINT ORDER BY node), lambda a, x: CASE WHEN (a & 31 & x) > 0 THEN a - (a & 31) + (a & 31 & x) ELSE a - (a & 31) + 32 + ((a & 31) | x) END) AS c, sum(c >> 5) AS below FROM low GROUP BY char)"""
 

@@ -140,7 +140,8 @@ add(
 
 REGION_SITES_SQL = f"""{E.SALES_SQL}, regions AS (SELECT DISTINCT region AS taxon, site, ((site + CASE WHEN rq % 4 = 0 THEN 1 + (rq // 4) % 3 ELSE 0 END) % 4)::INTEGER AS state FROM sales)"""
 REGIONS_SQL = f"""{REGION_SITES_SQL},
-quartets AS (SELECT a.taxon AS t1, b.taxon AS t2, c.taxon AS t3, d.taxon AS t4, a.state AS s1, b.state AS s2, c.state AS s3, d.state AS s4 FROM regions a JOIN regions b ON a.site = b.site AND a.taxon < b.taxon
+quartets AS (SELECT a.taxon AS t1, b.taxon AS t2, c.taxon AS t3, d.taxon AS t4, a.state AS s1, b.state AS s2, c.state AS s3, d.state AS s4 FROM regions a
+      JOIN regions b ON a.site = b.site AND a.taxon < b.taxon
   JOIN regions c ON b.site = c.site AND b.taxon < c.taxon JOIN regions d ON c.site = d.site AND c.taxon < d.taxon)"""
 
 

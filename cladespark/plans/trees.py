@@ -24,7 +24,8 @@ def _splits(spark, sf_dir, **by):
 SPLITS_SQL = E.splits_sql("splits")
 SUPPORT_SQL = f"{SPLITS_SQL}, support AS (SELECT split, count(*) AS n, round(count(*) / (SELECT count(DISTINCT tree) FROM splits)::DOUBLE, 6) AS support, round(avg(bl), 6) AS bl FROM splits GROUP BY split)"
 PAIRS_SQL = f"""{SPLITS_SQL}, t AS (SELECT DISTINCT tree FROM splits), p AS (SELECT a.tree AS t1, b.tree AS t2 FROM t a, t b WHERE a.tree < b.tree),
-u AS (SELECT t1, t2, split, sum(l1) AS l1, sum(l2) AS l2, count(*) AS k FROM (SELECT t1, t2, split, bl AS l1, 0e0 AS l2 FROM p JOIN splits ON tree = t1 UNION ALL SELECT t1, t2, split, 0e0, bl FROM p JOIN splits ON tree = t2) GROUP BY ALL)"""
+u AS (SELECT t1, t2, split, sum(l1) AS l1, sum(l2) AS l2, count(*) AS k FROM (SELECT t1, t2, split, bl AS l1, 0e0 AS l2 FROM p JOIN splits ON tree = t1
+      UNION ALL SELECT t1, t2, split, 0e0, bl FROM p JOIN splits ON tree = t2) GROUP BY ALL)"""
 add("splits", lambda s, d: _splits(s, d).select("tree", "split", F.round("bl", 6).alias("bl")), f"WITH {SPLITS_SQL} SELECT tree, split, round(bl, 6) AS bl FROM splits")
 add(
     "tree_distances",
@@ -35,7 +36,8 @@ add("split_support", lambda s, d: P.split_support(_splits(s, d)), f"WITH {SUPPOR
 for method, rule in (("strict", "support >= 1"), ("majority", "support > 0.5"), ("threshold", "support >= 0.2")):
     add(f"consensus_{method}", lambda s, d, m=method: P.consensus(_splits(s, d), m, 0.2), f"WITH {SUPPORT_SQL} SELECT * FROM support WHERE {rule}")
 EXTENDED_SQL = f"""{SUPPORT_SQL}, o AS (SELECT split, n, support, bl, row_number() OVER (ORDER BY n DESC, bit_count(split), split) AS k FROM support),
-    x AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT o.k, CASE WHEN len(list_filter(x.taken, lambda t: t & o.split > 0 AND t & ~o.split > 0 AND o.split & ~t > 0 AND ({(1 << TAXA) - 1} & ~(t | o.split)) > 0)) = 0 THEN list_append(x.taken, o.split) ELSE x.taken END
+    x AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken
+      UNION ALL SELECT o.k, CASE WHEN len(list_filter(x.taken, lambda t: t & o.split > 0 AND t & ~o.split > 0 AND o.split & ~t > 0 AND ({(1 << TAXA) - 1} & ~(t | o.split)) > 0)) = 0 THEN list_append(x.taken, o.split) ELSE x.taken END
       FROM x JOIN o ON o.k = x.k + 1),
     accepted AS (SELECT o.split, n, support, bl FROM o WHERE o.split IN (SELECT unnest(taken) FROM x WHERE k = (SELECT max(k) FROM x)))"""
 
@@ -48,9 +50,11 @@ add("consensus_extended", _extended, f"WITH RECURSIVE {EXTENDED_SQL} SELECT * FR
 add(
     "consensus_tree",
     lambda s, d: P.consensus_tree(_extended(s, d), TAXA),
-    f"""WITH RECURSIVE {EXTENDED_SQL}, nodes AS (SELECT (1::BIGINT << k) AS node, NULL::DOUBLE AS support, NULL::DOUBLE AS bl FROM (SELECT unnest(generate_series(0, {TAXA - 1}))::INTEGER AS k) UNION ALL SELECT split, support, bl FROM accepted),
+    f"""WITH RECURSIVE {EXTENDED_SQL}, nodes AS (SELECT (1::BIGINT << k) AS node, NULL::DOUBLE AS support, NULL::DOUBLE AS bl
+      FROM (SELECT unnest(generate_series(0, {TAXA - 1}))::INTEGER AS k) UNION ALL SELECT split, support, bl FROM accepted),
     above AS (SELECT split AS a FROM accepted UNION ALL SELECT {(1 << TAXA) - 1})
-    SELECT node, arg_min(a, bit_count(a) * {1 << (TAXA + 1)} + a) AS parent, bit_count(node)::INTEGER AS taxa, any_value(support) AS support, any_value(bl) AS bl FROM nodes JOIN above ON a <> node AND a & node = node GROUP BY node
+    SELECT node, arg_min(a, bit_count(a) * {1 << (TAXA + 1)} + a) AS parent, bit_count(node)::INTEGER AS taxa, any_value(support) AS support, any_value(bl) AS bl FROM nodes
+      JOIN above ON a <> node AND a & node = node GROUP BY node
     UNION ALL SELECT {(1 << TAXA) - 1}, NULL, {TAXA}, NULL, NULL""",
 )
 add(
@@ -80,7 +84,8 @@ add(
 add(
     "fitch_ancestors",
     lambda s, d: T.fitch_ancestors(E.tree(s, d), T.fitch(E.tree(s, d), _masks(s, d))),
-    f"""WITH {FITCH_SQL}, r AS (SELECT site, (c & 15)::INTEGER AS f FROM top), m AS (SELECT node, low.site, CASE WHEN (c & 15 & f) > 0 THEN c & 15 & f ELSE c & 15 END::INTEGER AS f FROM low JOIN r ON low.site = r.site),
+    f"""WITH {FITCH_SQL}, r AS (SELECT site, (c & 15)::INTEGER AS f FROM top), m AS (SELECT node, low.site, CASE WHEN (c & 15 & f) > 0 THEN c & 15 & f ELSE c & 15 END::INTEGER AS f
+      FROM low JOIN r ON low.site = r.site),
     l AS (SELECT taxon, sites.site, CASE WHEN ((1 << state) & f) > 0 THEN (1 << state) & f ELSE 1 << state END::INTEGER AS f FROM sites JOIN m ON m.site = sites.site AND m.node = region + 100)
     SELECT -1 AS node, site, f AS final FROM r UNION ALL SELECT node, site, f FROM m UNION ALL SELECT taxon, site, f FROM l""",
 )
@@ -135,7 +140,8 @@ add(
 add(
     "dollo",
     lambda s, d: T.dollo(E.tree(s, d), _binary(s, d)),
-    f"""WITH {BINARY_SQL}, r AS (SELECT region, site, sum(state) AS ones, count(*) FILTER (state = 0) AS zeros FROM b GROUP BY ALL), t AS (SELECT site, sum(ones) AS total, count(*) FILTER (ones > 0) AS with_ones, count(*) FILTER (ones = 0) AS without,
+    f"""WITH {BINARY_SQL}, r AS (SELECT region, site, sum(state) AS ones, count(*) FILTER (state = 0) AS zeros FROM b GROUP BY ALL),
+      t AS (SELECT site, sum(ones) AS total, count(*) FILTER (ones > 0) AS with_ones, count(*) FILTER (ones = 0) AS without,
     sum(CASE WHEN ones > 0 THEN zeros ELSE 0 END) AS inner_losses FROM r GROUP BY site)
     SELECT site, (total > 0)::INTEGER::BIGINT AS gains, CASE WHEN total <= 1 THEN 0 WHEN with_ones = 1 THEN inner_losses ELSE inner_losses + without END::BIGINT AS losses FROM t""",
 )
@@ -178,7 +184,8 @@ def _likelihood_sql(name: str, rates: tuple[float, ...]) -> str:
     bl = "0.05e0 + 0.01e0 * ({} % 7)"
     return f"""{name}_rates AS (SELECT unnest([{listed}]) AS rate), {name}_x AS (SELECT unnest([0, 1, 2, 3]) AS x),
 {name}_low AS (SELECT rate, region, site, x, product(0.25e0 * (1 - exp(-4e0 / 3 * rate * ({bl.format("taxon")}))) + CASE WHEN state = x THEN exp(-4e0 / 3 * rate * ({bl.format("taxon")})) ELSE 0 END) AS l FROM sites, {name}_rates, {name}_x GROUP BY ALL),
-{name}_top AS (SELECT rate, site, x, product(0.25e0 * (1 - exp(-4e0 / 3 * rate * ({bl.format("region")}))) * total + exp(-4e0 / 3 * rate * ({bl.format("region")})) * l) AS l FROM (SELECT *, sum(l) OVER (PARTITION BY rate, region, site) AS total FROM {name}_low) GROUP BY ALL),
+{name}_top AS (SELECT rate, site, x, product(0.25e0 * (1 - exp(-4e0 / 3 * rate * ({bl.format("region")}))) * total + exp(-4e0 / 3 * rate * ({bl.format("region")})) * l) AS l
+      FROM (SELECT *, sum(l) OVER (PARTITION BY rate, region, site) AS total FROM {name}_low) GROUP BY ALL),
 {name} AS (SELECT site, round(ln(sum(0.25e0 * l) / {len(rates)}), 6) AS lnl FROM {name}_top GROUP BY site)"""
 
 
@@ -194,7 +201,8 @@ POISSON = (0.05,) * 20
 def _protein_sql(frequencies: tuple[float, ...]) -> str:
     pi = f"([{', '.join(f'{f!r}e0' for f in frequencies)}])[x + 1]"
     e = "exp(-(0.05e0 + 0.01e0 * ({} % 7)))"
-    return f"""WITH {E.RESIDUES_SQL}, x AS (SELECT unnest(generate_series(0, 19))::INTEGER AS x), seen AS (SELECT taxon, region, site, state, ([{", ".join(f"{f!r}e0" for f in frequencies)}])[state + 1] AS f FROM residues),
+    return f"""WITH {E.RESIDUES_SQL}, x AS (SELECT unnest(generate_series(0, 19))::INTEGER AS x),
+      seen AS (SELECT taxon, region, site, state, ([{", ".join(f"{f!r}e0" for f in frequencies)}])[state + 1] AS f FROM residues),
     low AS (SELECT region, site, x, product((1 - {e.format("taxon")}) * f + CASE WHEN state = x THEN {e.format("taxon")} ELSE 0 END) AS l FROM seen, x GROUP BY ALL),
     top AS (SELECT site, x, product((1 - {e.format("region")}) * m + {e.format("region")} * l) AS l FROM (SELECT *, sum(l * {pi}) OVER (PARTITION BY region, site) AS m FROM low) GROUP BY ALL)
     SELECT site, round(ln(sum(l * {pi})), 6) AS lnl FROM top GROUP BY site"""
@@ -216,7 +224,8 @@ add(
 add(
     "tree_heights",
     lambda s, d: T.heights(E.tree(s, d)),
-    f"""WITH {E.TREE_SQL}, n AS (SELECT t.node, t.parent, t.bl, p.bl AS pb FROM tree t JOIN tree p ON t.parent = p.node WHERE t.level = 2), r AS (SELECT parent AS node, max(bl) AS h, max(pb) AS pb FROM n GROUP BY parent)
+    f"""WITH {E.TREE_SQL}, n AS (SELECT t.node, t.parent, t.bl, p.bl AS pb FROM tree t JOIN tree p ON t.parent = p.node WHERE t.level = 2),
+      r AS (SELECT parent AS node, max(bl) AS h, max(pb) AS pb FROM n GROUP BY parent)
     SELECT node, 0e0 AS height, round(bl + pb, 6) AS to_root FROM n UNION ALL SELECT node, round(h, 6), round(pb, 6) FROM r UNION ALL SELECT -1, round(max(h + pb), 6), 0e0 FROM r""",
 )
 add(
@@ -234,7 +243,8 @@ def _contrasts_sql() -> str:
     for level in range(LABEL_HEIGHT, -1, -1):
         below = f"""SELECT parent AS node, char, max(x) FILTER (ord = 0) AS x0, max(x) FILTER (ord = 1) AS x1, max(bl + extra) FILTER (ord = 0) AS v, max(bl + extra) FILTER (ord = 1) AS w
           FROM up_{level + 1} u JOIN label_tree t ON u.node = t.node GROUP BY ALL"""
-        out.append(f"""up_{level} AS (SELECT t.node, char::INTEGER AS char, value AS x, 0e0 AS extra, NULL::DOUBLE AS contrast, NULL::DOUBLE AS variance FROM label_tree t JOIN traits ON t.label = taxon WHERE level = {level}
+        out.append(f"""up_{level} AS (SELECT t.node, char::INTEGER AS char, value AS x, 0e0 AS extra, NULL::DOUBLE AS contrast, NULL::DOUBLE AS variance FROM label_tree t
+      JOIN traits ON t.label = taxon WHERE level = {level}
           UNION ALL SELECT node, char, (x0 / v + x1 / w) / (1 / v + 1 / w), v * w / (v + w), (x0 - x1) / sqrt(v + w), v + w FROM ({below}))""")
     every = " UNION ALL ".join(f"SELECT char, node AS k, contrast, variance FROM up_{level} WHERE contrast IS NOT NULL" for level in range(LABEL_HEIGHT + 1))
     return ", ".join(out) + f", c AS ({every})"
@@ -322,27 +332,34 @@ def _by_tree(s, d):
     return own.unionByName(T.site_likelihoods(star, leaves).withColumn("tree", F.lit("star"))).select("tree", F.col("site").alias("pos"), "lnl")
 
 
-STAR_SQL = """star_x AS (SELECT unnest([0, 1, 2, 3]) AS x), star_l AS (SELECT site, x, product(0.25e0 * (1 - exp(-4e0 / 3 * (0.05e0 + 0.01e0 * (taxon % 7)))) + CASE WHEN state = x THEN exp(-4e0 / 3 * (0.05e0 + 0.01e0 * (taxon % 7))) ELSE 0 END) AS l FROM sites, star_x GROUP BY ALL),
+STAR_SQL = """star_x AS (SELECT unnest([0, 1, 2, 3]) AS x),
+      star_l AS (SELECT site, x, product(0.25e0 * (1 - exp(-4e0 / 3 * (0.05e0 + 0.01e0 * (taxon % 7)))) + CASE WHEN state = x THEN exp(-4e0 / 3 * (0.05e0 + 0.01e0 * (taxon % 7))) ELSE 0 END) AS l FROM sites, star_x GROUP BY ALL),
 lnl AS (SELECT 'regions' AS tree, site AS pos, lnl FROM one UNION ALL SELECT 'star', site, round(ln(sum(0.25e0 * l)), 6) FROM star_l GROUP BY site)"""
 TAIL = "exp(-z * z / 2) / 2.5066282746310002e0 * t * (0.319381530e0 + t * (-0.356563782e0 + t * (1.781477937e0 + t * (-1.821255978e0 + t * 1.330274429e0))))"
 add(
     "kh_test",
     lambda s, d: R.paired_test(_by_tree(s, d)),
-    f"""WITH {E.SITES_SQL}, {ONE_SQL}, {STAR_SQL}, s AS (SELECT a.tree AS t1, b.tree AS t2, sum(a.lnl - b.lnl) AS diff, avg(a.lnl - b.lnl) AS m, var_samp(a.lnl - b.lnl) AS v, count(*) AS n FROM lnl a JOIN lnl b ON a.pos = b.pos AND a.tree < b.tree GROUP BY ALL),
-    q AS (SELECT t1, t2, diff, m / sqrt(v / n) AS z0 FROM s), r AS (SELECT *, abs(z0) AS z, 1 / (1 + 0.2316419e0 * abs(z0)) AS t FROM q) SELECT t1, t2, round(diff, 4) AS diff, round(z0, 4) AS z, round(2 * ({TAIL}), 4) AS p FROM r""",
+    f"""WITH {E.SITES_SQL}, {ONE_SQL}, {STAR_SQL},
+      s AS (SELECT a.tree AS t1, b.tree AS t2, sum(a.lnl - b.lnl) AS diff, avg(a.lnl - b.lnl) AS m, var_samp(a.lnl - b.lnl) AS v, count(*) AS n FROM lnl a
+      JOIN lnl b ON a.pos = b.pos AND a.tree < b.tree GROUP BY ALL),
+    q AS (SELECT t1, t2, diff, m / sqrt(v / n) AS z0 FROM s), r AS (SELECT *, abs(z0) AS z, 1 / (1 + 0.2316419e0 * abs(z0)) AS t
+      FROM q) SELECT t1, t2, round(diff, 4) AS diff, round(z0, 4) AS z, round(2 * ({TAIL}), 4) AS p FROM r""",
 )
 add(
     "resampled_support",
     lambda s, d: R.resampled_support(_by_tree(s, d), R.bootstrap_weights(_positions(s, d), 20)),
-    f"""WITH {E.SITES_SQL}, {ONE_SQL}, {STAR_SQL}, {BOOT_SQL}, s AS (SELECT rep, tree, round(sum(lnl * w), 6) AS l FROM lnl JOIN w ON lnl.pos = w.pos GROUP BY ALL), b AS (SELECT rep, arg_min(tree, -l) AS tree FROM s GROUP BY rep)
+    f"""WITH {E.SITES_SQL}, {ONE_SQL}, {STAR_SQL}, {BOOT_SQL}, s AS (SELECT rep, tree, round(sum(lnl * w), 6) AS l FROM lnl JOIN w ON lnl.pos = w.pos GROUP BY ALL),
+      b AS (SELECT rep, arg_min(tree, -l) AS tree FROM s GROUP BY rep)
     SELECT t.tree, count(b.rep) AS wins, round(count(b.rep) / 20e0, 6) AS share FROM (SELECT DISTINCT tree FROM lnl) t LEFT JOIN b ON t.tree = b.tree GROUP BY t.tree""",
 )
 add(
     "plato_windows",
     lambda s, d: R.sliding_windows(T.site_likelihoods(E.tree(s, d), _leaves(s, d)).select(F.col("site").alias("pos"), "lnl"), 50, 10, 2.0),
     f"""WITH {E.SITES_SQL}, {ONE_SQL}, a AS (SELECT sum(lnl) AS total, count(*) AS n, max(site) AS e FROM one), k AS (SELECT unnest(generate_series(0, (SELECT e + 1 - 50 FROM a), 10)) AS start),
-    w AS (SELECT start, count(*) AS n, sum(lnl) AS total, sum(lnl) - count(*) / (SELECT n FROM a)::DOUBLE * (SELECT total FROM a) AS delta FROM k JOIN one ON site >= start AND site < start + 50 GROUP BY start),
-    z AS (SELECT *, round((delta - avg(delta) OVER ()) / stddev_samp(delta) OVER (), 4) AS z FROM w) SELECT start, n, round(total, 4) AS total, round(delta, 4) AS delta, z, abs(z) > 2 AS anomaly FROM z""",
+    w AS (SELECT start, count(*) AS n, sum(lnl) AS total, sum(lnl) - count(*) / (SELECT n FROM a)::DOUBLE * (SELECT total FROM a) AS delta FROM k
+      JOIN one ON site >= start AND site < start + 50 GROUP BY start),
+    z AS (SELECT *, round((delta - avg(delta) OVER ()) / stddev_samp(delta) OVER (), 4) AS z
+      FROM w) SELECT start, n, round(total, 4) AS total, round(delta, 4) AS delta, z, abs(z) > 2 AS anomaly FROM z""",
 )
 
 
@@ -356,7 +373,8 @@ def _models(s, d):
 add(
     "information_criteria",
     lambda s, d: R.information_criteria(_models(s, d)),
-    f"""WITH {E.SITES_SQL}, {ONE_SQL}, {GAMMA_SQL}, m AS (SELECT 'jc69' AS model, sum(lnl) AS lnl, 30::BIGINT AS k, count(*) AS n FROM one UNION ALL SELECT 'jc69+gamma', sum(lnl), 31, count(*) FROM four),
+    f"""WITH {E.SITES_SQL}, {ONE_SQL}, {GAMMA_SQL}, m AS (SELECT 'jc69' AS model, sum(lnl) AS lnl, 30::BIGINT AS k, count(*) AS n FROM one
+      UNION ALL SELECT 'jc69+gamma', sum(lnl), 31, count(*) FROM four),
     a AS (SELECT *, 2 * k - 2 * lnl AS aic FROM m), w AS (SELECT *, exp(-(aic - min(aic) OVER ()) / 2) AS e FROM a)
     SELECT model, round(lnl, 4) AS lnl, k, round(aic, 4) AS aic, round(aic + 2e0 * k * (k + 1) / (n - k - 1), 4) AS aicc, round(k * ln(n) - 2 * lnl, 4) AS bic, round(e / sum(e) OVER (), 6) AS weight FROM w""",
 )
