@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from cladespark.llm import jaccard_join
 from cladespark.llm.components import components
 from cladespark.llm.jaccard_join import jaccard_components
 
@@ -89,6 +90,22 @@ def test_one_large_group_of_near_copies(spark):
         assert (got[d] != d or min([d, *linked]) == d) and all(got[e] == got[d] for e in linked)
 
 
+def test_pairs_asked_in_portions(spark, monkeypatch):
+    """However many pairs there are, texts meet by broadcasts of bounded portions and only those in a pair are shuffled."""
+    monkeypatch.setattr(jaccard_join, "ASKED_ROWS", 40)
+    docs = [(d, t or "") for d, t in corpus(4)[:60]]
+    pairs = [(a, b) for a, _ in docs for b, _ in docs if a < b and (a + b) % 7 == 0]
+    rows = spark.createDataFrame(docs, "key long, text string").repartition(3)
+    found = jaccard_join.verified(spark.createDataFrame(pairs, "a long, b long"), rows).collect()
+    sets = {d: shingles(t) for d, t in docs}
+    want = {}
+    for a, b in pairs:
+        shared, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        want[a, b] = (round(1 - shared / union, 9) if union else 0.0, 100 * shared >= 75 * union)
+    assert len(found) == len(pairs)
+    assert {(r.a, r.b): (round(r.distance, 9), r.linked) for r in found} == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 130)] + [(7, 1000 + k) for k in range(60)] + [(5, 5), (2000, 1005)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
