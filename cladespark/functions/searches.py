@@ -1,12 +1,12 @@
 """Tree searches under any parsimony score, in NumPy: a score is a function of a tree, over all character columns at once.
 
-``hill_climb`` scores whole trees, so it takes any score; ``step_matrix_search`` keeps the costs of every directed branch, so a regraft
-costs one addition of arrays, and takes any symmetric matrix of steps between states.
+``hill_climb`` scores whole trees, so it takes any score. ``step_matrix_moves`` takes any symmetric matrix of steps between states: it asks for the costs of moves, which are sums over
+columns, so blocks of columns can be scored apart; ``StepCosts`` keeps the costs of every directed branch, so a regraft costs one addition of arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 
@@ -126,119 +126,160 @@ def sankoff_costs(root: Node, leaves: dict[str, np.ndarray], steps: np.ndarray)
     return own[root].min(1)
 
 
-class _Branches:
-    """An unrooted tree of numbered nodes with the costs that each end of a branch sends to the other."""
+Near = dict[int, list[int]]  #: an unrooted tree: the neighbours of each node; tips have the least numbers
+Question = tuple[Near, int | None]  #: a tree, and the tip that goes to each of its branches; without one, each of its parts goes to each other branch
 
-    def __init__(self, leaves: list[np.ndarray], steps: np.ndarray) -> None:
-        self.leaves, self.steps = leaves, steps.astype(np.int16)
-        self.near: dict[int, list[int]] = {}
-        self.fresh = len(leaves)
-        self.sent: dict[tuple[int, int], np.ndarray] = {}
 
-    def link(self, a: int, b: int) -> None:
-        self.near.setdefault(a, []).append(b)
-        self.near.setdefault(b, []).append(a)
+def _link(near: Near, a: int, b: int) -> None:
+    near.setdefault(a, []).append(b)
+    near.setdefault(b, []).append(a)
 
-    def unlink(self, a: int, b: int) -> None:
-        self.near[a].remove(b)
-        self.near[b].remove(a)
 
-    def branches(self) -> list[tuple[int, int]]:
-        return [(a, b) for a in sorted(self.near) for b in self.near[a] if a < b]
+def _unlink(near: Near, a: int, b: int) -> None:
+    near[a].remove(b)
+    near[b].remove(a)
 
-    def costs(self, a: int, b: int) -> np.ndarray:
-        """Costs at the far end ``b`` of what lies on the side of ``a``. Kept until the tree changes."""
-        stack = [(a, b)]
+
+def _insert(near: Near, a: int, b: int, top: int, joint: int) -> None:
+    _unlink(near, a, b)
+    for end in (a, b, top):
+        _link(near, joint, end)
+
+
+def _branches(near: Near) -> list[tuple[int, int]]:
+    return [(a, b) for a in sorted(near) for b in near[a] if a < b]
+
+
+def _prunings(near: Near, n: int) -> Iterator[tuple[int, int, int, int, Near, list[tuple[int, int]]]]:
+    """``joint, top, a, b``: the part that hangs from ``joint`` at ``top`` is cut off, and the branch it hung on is from ``a`` to ``b``; what is left, and the branches to try."""
+    for joint, top in [(x, y) for x in sorted(near) if x >= n for y in near[x]]:
+        left = {k: list(v) for k, v in near.items()}
+        a, b = (z for z in near[joint] if z != top)
+        for end in (top, a, b):
+            _unlink(left, joint, end)
+        _link(left, a, b)
+        del left[joint]
+        stack = [top]
         while stack:
-            x, y = stack[-1]
-            if (x, y) in self.sent:
-                stack.pop()
-                continue
-            waiting = [(z, x) for z in self.near[x] if z != y and (z, x) not in self.sent]
-            if waiting:
-                stack += waiting
-                continue
-            stack.pop()
-            own = self.leaves[x] if x < len(self.leaves) else sum(self.sent[z, x] for z in self.near[x] if z != y)
-            self.sent[x, y] = _cheapest(np.minimum(own, FAR).astype(np.int16), self.steps)
-        return self.sent[a, b]
-
-    def insert(self, a: int, b: int, top: int) -> None:
-        joint, self.fresh = self.fresh, self.fresh + 1
-        self.unlink(a, b)
-        for end in (a, b, top):
-            self.link(joint, end)
-        self.sent = {}
-
-    def best_place(self, moved: np.ndarray, weights: np.ndarray, skip: tuple[int, int] | None = None) -> tuple[int, tuple[int, int]]:
-        found = None
-        for a, b in self.branches():
-            cost = int((self.costs(a, b) + self.costs(b, a) + moved).min(1) @ weights)
-            if (a, b) != skip and (found is None or cost < found[0]):
-                found = cost, (a, b)
-        return found
-
-    def as_node(self, names: list[str]) -> Node:
-        start = self.near[0][0]
-        made: dict[int, Node] = {}
-        order, stack = [], [(start, -1)]
+            stack += left.pop(stack.pop(), [])
+        if len(left) > 2:
+            yield joint, top, a, b, left, [place for place in _branches(left) if place != (min(a, b), max(a, b))]
+
+
+def as_node(near: Near, names: list[str]) -> Node:
+    start = near[0][0]
+    made: dict[int, Node] = {}
+    order, stack = [], [(start, -1)]
+    while stack:
+        x, up = stack.pop()
+        order.append((x, up))
+        stack += [(z, x) for z in sorted(near[x], reverse=True) if z != up]
+    for x, up in reversed(order):
+        made[x] = Node(names[x]) if x < len(names) else Node(children=[made[z] for z in sorted(near[x]) if z != up])
+    return made[start]
+
+
+class StepCosts:
+    """Costs of trees over some columns. ``tips``: what the branch of each tip sends to its other end, rows of costs by state."""
+
+    def __init__(self, tips: list[np.ndarray], steps: np.ndarray) -> None:
+        self.tips = tips
+        self.steps = steps.astype(tips[0].dtype)[:, :, None]
+
+    def _cheapest(self, cost: np.ndarray) -> np.ndarray:
+        return (self.steps + cost).min(1)
+
+    def _send(self, x: int, below: list[np.ndarray]) -> np.ndarray:
+        return self.tips[x] if x < len(self.tips) else self._cheapest(sum(below[1:], below[0]))
+
+    def _sent(self, near: Near) -> dict[tuple[int, int], np.ndarray]:
+        """What each end of a branch sends to the other."""
+        order, stack = [], [(min(near), -1)]
         while stack:
             x, up = stack.pop()
             order.append((x, up))
-            stack += [(z, x) for z in sorted(self.near[x], reverse=True) if z != up]
-        for x, up in reversed(order):
-            made[x] = Node(names[x]) if x < len(names) else Node(children=[made[z] for z in sorted(self.near[x]) if z != up])
-        return made[start]
+            stack += [(z, x) for z in near[x] if z != up]
+        sent: dict[tuple[int, int], np.ndarray] = {}
+        for x, up in reversed(order[1:]):
+            sent[x, up] = self._send(x, [sent[z, x] for z in near[x] if z != up])
+        for x, up in order:
+            for z in near[x]:
+                if z != up:
+                    sent[x, z] = self._send(x, [sent[w, x] for w in near[x] if w != z])
+        return sent
+
+    def __call__(self, question: Question, weights: np.ndarray) -> np.ndarray:
+        """The cost of each answer."""
+        near, tip = question
+        total = lambda *parts: int(sum(parts[1:], parts[0]).min(0).astype(np.int64) @ weights)
+        if tip is None and len(self.tips) < 4:
+            return np.array([total(*self.tips)])
+        sent = self._sent(near)
+        if tip is not None:
+            return np.array([total(sent[a, b], sent[b, a], self.tips[tip]) for a, b in _branches(near)])
+        found = []
+        for joint, top, a, b, left, places in _prunings(near, len(self.tips)):
+            fresh = {(a, b): sent[a, joint], (b, a): sent[b, joint]}  # only what is sent away from the cut changes
+            at = lambda x, y, fresh=fresh: fresh[x, y] if (x, y) in fresh else sent[x, y]
+            stack = [(a, b), (b, a)]
+            while stack:
+                x, up = stack.pop()
+                for z in left[x]:
+                    if z != up:
+                        fresh[x, z] = self._send(x, [at(w, x) for w in left[x] if w != z])
+                        stack.append((z, x))
+            found += [total(at(x, y), at(y, x), sent[top, joint]) for x, y in places]
+        return np.array(found, np.int64)
+
+
+def cost_type(n: int, steps: np.ndarray) -> type:
+    """The least type that holds all costs of trees with ``n`` tips."""
+    most = 2 * n * int(steps.max())
+    return np.uint8 if most < 1 << 8 else np.int16 if most < 1 << 15 else np.int64
+
+
+def step_matrix_moves(n: int) -> Generator[Question, tuple[int, int], tuple[Near, int]]:
+    """Stepwise addition, then the best of all regrafts as long as one gains: the tree and its steps. Each question is answered by the place of the first of the least costs, and that cost."""
+    near: Near = {}
+    for k in range(min(n, 3)):
+        _link(near, n, k)
+    if n < 4:
+        return near, (yield near, None)[1]
+    length, fresh = 0, n + 1
+    for k in range(3, n):
+        at, length = yield near, k
+        _insert(near, *_branches(near)[at], k, fresh)
+        fresh += 1
+    while True:
+        at, cost = yield near, None
+        if cost >= length:
+            return near, length
+        for joint, top, a, b, _, places in _prunings(near, n):
+            if at < len(places):
+                break
+            at -= len(places)
+        for end in (top, a, b):
+            _unlink(near, joint, end)
+        del near[joint]
+        _link(near, a, b)
+        _insert(near, *places[at], top, fresh)
+        length, fresh = cost, fresh + 1
 
 
 def step_matrix_search(names: list[str], leaves: dict[str, np.ndarray], steps: np.ndarray, weights: np.ndarray | None = None) -> tuple[Node, int]:
-    """A tree and its steps: stepwise addition, then the best of all regrafts as long as one gains. ``steps`` must be symmetric."""
-    own = [leaves[n] for n in names]
-    weights = np.ones(len(own[0]), np.int64) if weights is None else weights.astype(np.int64)
-    if len(names) < 4:
-        tree = Node(children=[Node(n) for n in names])
-        return tree, int(sankoff_costs(tree, leaves, steps) @ weights)
-    tree = _Branches(own, steps)
-    joint, tree.fresh = tree.fresh, tree.fresh + 1
-    for k in range(3):
-        tree.link(joint, k)
-    length = 0
-    for k in range(3, len(names)):
-        length, (a, b) = tree.best_place(_cheapest(own[k], tree.steps), weights)
-        tree.near[k] = []
-        tree.insert(a, b, k)
+    """A tree and its steps, from all columns at once. ``steps`` must be symmetric."""
+    kind = cost_type(len(names), steps)
+    costs = StepCosts([np.ascontiguousarray(_cheapest(leaves[n].astype(np.int64), steps.astype(np.int64)).T.astype(kind)) for n in names], steps)
+    weights = np.ones(len(leaves[names[0]]), np.int64) if weights is None else weights.astype(np.int64)
+    moves = step_matrix_moves(len(names))
+    question = next(moves)
     while True:
-        best = (length, None)
-        for joint, top in [(x, y) for x in sorted(tree.near) if x >= len(names) for y in list(tree.near[x])]:
-            moved = tree.costs(top, joint)
-            kept, sent = {k: list(v) for k, v in tree.near.items()}, tree.sent
-            a, b = (z for z in tree.near[joint] if z != top)
-            tree.unlink(joint, top)
-            tree.unlink(joint, a)
-            tree.unlink(joint, b)
-            tree.link(a, b)
-            side, stack = {top}, [top]
-            while stack:
-                for z in tree.near[stack.pop()]:
-                    if z not in side:
-                        side.add(z)
-                        stack.append(z)
-            below = {x: tree.near.pop(x) for x in side | {joint}}
-            tree.sent = {}
-            if len(tree.near) > 1:
-                cost, place = tree.best_place(moved, weights, (min(a, b), max(a, b)))  if len(tree.near) > 2 else (length, None)
-                if place is not None and cost < best[0]:
-                    best = cost, (joint, top, a, b, place)
-            tree.near, tree.sent = kept, sent
-            del below
-        if best[1] is None:
-            return tree.as_node(names), length
-        length, (joint, top, a, b, place) = best
-        for end in (top, a, b):
-            tree.unlink(joint, end)
-        del tree.near[joint]
-        tree.link(a, b)
-        tree.insert(*place, top)
+        found = costs(question, weights)
+        try:
+            question = moves.send((int(found.argmin()), int(found.min())))
+        except StopIteration as done:
+            near, length = done.value
+            return as_node(near, names), length
 
 
 def tree_of_splits(splits: list[int], names: list[str], label: Callable[[int], str | None] = lambda _: None, length: Callable[[int], float | None] = lambda _: None) -> Node:

@@ -22,7 +22,9 @@ from ..functions import stats
 from ..functions.newick import Node, parse, robinson_foulds, split_sets, write
 from ..operators import folds as T
 from ..operators import resampling as R
+from ..operators.sides import tasks_for
 from ..operators.sitewise import compatible_pairs
+from ..session import cut, workers_see_package
 from .book import add
 from .kernels import _patterns
 from .models import _data, _start
@@ -95,19 +97,69 @@ def multistate_search(s, d):
     return _best_of_starts(multistate(s, d), lambda names, v: X.step_matrix_search(names, {t: X.leaf_costs(m, 5) for t, m in _bits(v, 5).items()}, steps))
 
 
+COLUMNS = 1 << 13  #: columns in a task of a search by blocks
+BLOCK = 1 << 12  #: columns that are scored at once
+
+
+def step_search(columns: DataFrame, steps: np.ndarray, starts: int = STARTS, most: int = COLUMNS) -> DataFrame:
+    """``newick, score`` of the best start (ties: the least) by a symmetric matrix of steps. ``columns``: ``taxon, char, state``, null or absent where unknown.
+
+    Distinct columns and their numbers are dealt out by rows. Each round of all starts is one job: a task sums the costs of every move over its columns, and the
+    driver gets the least sum of each start. Taxa are those of one tree.
+    """
+    s, columns = columns.sparkSession, cut(columns)
+    ordered = addition_orders(columns, starts).orderBy("start", "place").collect()
+    orders: dict[int, list] = {}
+    for r in ordered:
+        orders.setdefault(r.start, []).append(r.taxon)
+    if not orders:
+        return s.createDataFrame([(None, None)], "newick string, score long")
+    taxa = sorted(orders[0])
+    names = [f"t{k}" for k in range(len(taxa))]
+    wide = columns.groupBy("char").agg(*(F.max(F.when(F.col("taxon") == t, F.col("state"))).cast("byte").alias(c) for t, c in zip(taxa, names, strict=True)))
+    known = cut(wide.groupBy(*names).agg(F.count("*").alias("w")))
+    dealt = cut(known.repartition(tasks_for(s, known.count(), most)))
+    own = np.column_stack([steps, steps.min(1)]).astype(X.cost_type(len(taxa), steps))  # the last one: of an unknown state
+    place = {start: [taxa.index(t) for t in order] for start, order in orders.items()}
+    workers_see_package(s)
+
+    def least(asked: dict[int, X.Question]) -> dict[int, tuple[int, int]]:
+        def score(batches):
+            sums: dict[int, np.ndarray] = {}
+            for rows in batches:
+                states = rows[names].fillna(len(steps)).to_numpy(np.int64)
+                for first in range(0, len(rows), BLOCK):
+                    weights = rows["w"].to_numpy(np.int64)[first : first + BLOCK]
+                    tips = [np.ascontiguousarray(own[:, k]) for k in states[first : first + BLOCK].T]
+                    for start, question in asked.items():
+                        sums[start] = sums.get(start, 0) + X.StepCosts([tips[k] for k in place[start]], steps)(question, weights)
+            for start, costs in sums.items():
+                yield pd.DataFrame({"start": start, "at": np.arange(len(costs)), "cost": costs})
+
+        found = dealt.mapInPandas(score, "start int, at long, cost long").groupBy("start", "at").agg(F.sum("cost").alias("cost"))
+        return {r.start: (r.b["at"], r.b["cost"]) for r in found.groupBy("start").agg(F.min(F.struct("cost", "at")).alias("b")).collect()}
+
+    moves = {start: X.step_matrix_moves(len(taxa)) for start in orders}
+    asked, done = {start: next(m) for start, m in moves.items()}, []
+    while asked:
+        answers, questions = least(asked), {}
+        for start in asked:
+            try:
+                questions[start] = moves[start].send(answers[start])
+            except StopIteration as end:
+                near, length = end.value
+                done.append((length, start, write(X.as_node(near, [str(t) for t in orders[start]]))))
+        asked = questions
+    score, _, newick = min(done)
+    return s.createDataFrame([(newick, score)], "newick string, score long")
+
+
 def protein_search(s, d):
     """A tree of the nations' residues with fewest base changes by the genetic code: stepwise addition and regrafts until none gains."""
-    steps = _protein_costs(s).select("s", "r", "step").collect()  # 400 rows of the code
     table = np.zeros((20, 20), np.int64)
-    for r in steps:
+    for r in _protein_costs(s).select("s", "r", "step").collect():  # 400 rows of the code
         table[r.s, r.r] = r.step
-
-    def search(names, v):
-        masks = _bits(v, 20)
-        columns, weights = np.unique(np.stack([masks[n] for n in names]), axis=1, return_counts=True)
-        return X.step_matrix_search(names, {n: X.leaf_costs(columns[k], 20) for k, n in enumerate(names)}, table, weights)
-
-    return _best_of_starts(E.residues(s, d).withColumnRenamed("site", "char"), search)
+    return step_search(E.residues(s, d).withColumnRenamed("site", "char"), table)
 
 
 for name, query in (("dollo", dollo_search), ("camin_sokal", camin_sokal_search), ("compatibility", compatibility_search), ("multistate", multistate_search), ("protein_parsimony", protein_search)):

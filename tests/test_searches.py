@@ -10,7 +10,7 @@ from cladespark.functions.newick import Node, parse, split_sets, write
 from cladespark.functions.searches import _places
 from cladespark.operators import splits as P
 from cladespark.plans.scenarios import resistance
-from cladespark.plans.searches import addition_orders, random_tree
+from cladespark.plans.searches import addition_orders, random_tree, step_search
 
 
 def every_tree(names, rooted=False):
@@ -41,6 +41,22 @@ def test_searches_against_all_trees(seed):
     assert best - 1 <= -most == X.compatible_columns(found, masks).sum() <= best
 
 
+def test_search_by_blocks_of_columns(spark):
+    """Tasks of a few columns each find the kernel's trees, and the same where some states are unknown and columns repeat."""
+    rng = np.random.default_rng(7)
+    steps = np.abs(np.subtract.outer(np.arange(4), np.arange(4)))
+    for n in (2, 7):
+        states = {t: rng.integers(-1, 4, 90) for t in range(n)}
+        states[0][:30] = -1  # no row at all
+        rows = [(t, c, int(v)) for t, own in states.items() for c, v in enumerate(own) if v >= 0]
+        found = step_search(spark.createDataFrame(rows, "taxon long, char long, state int"), steps, most=8).collect()
+        masks = {str(t): np.where(v < 0, 15, 1 << np.maximum(v, 0)) for t, v in states.items()}
+        orders = [[str(t) for t in range(n)]] + [[str(r.taxon) for r in addition_orders(spark.range(n).toDF("taxon")).where("start = 1").orderBy("place").collect()]]
+        want = [X.step_matrix_search(order, {t: X.leaf_costs(m, 4) for t, m in masks.items()}, steps) for order in orders]
+        best = min(range(2), key=lambda k: (want[k][1], k))
+        assert [tuple(r) for r in found] == [(write(want[best][0]), want[best][1])]
+
+
 def test_binary_scores_by_enumeration():
     """Dollo: the best node for the gain; irreversible: every set of branches that gain."""
     rng = np.random.default_rng(4)
