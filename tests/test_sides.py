@@ -26,3 +26,17 @@ def test_draws_are_dealt_out_before_they_are_counted(spark, monkeypatch):
         want = Counter((rep, (draw(rep, pos) + k) % n) for rep in range(1, 6) for pos in range(n // size) for k in range(size))
         assert {(r.rep, r.pos): r.w for r in found.collect()} == want
         assert found.rdd.getNumPartitions() == -(-5 * n // 100)
+
+
+def test_joins_of_sales_are_dealt_out_by_rows(spark, monkeypatch):
+    """However few partitions a shuffle has, a task gets a bounded number of rows, and the rows are the same."""
+    sf, columns = "/root/testdata/sf0.001", ["taxon", "region", "site", "q", "rq"]
+    want = sorted(map(tuple, encode.sales(spark, sf).select(columns).collect()))
+    monkeypatch.setattr(encode, "JOIN_ROWS", 100)
+    monkeypatch.setattr(encode, "SALES_ROWS", 500)
+    assert sorted(map(tuple, encode.sales(spark, sf).select(columns).collect())) == want
+    line = encode.table(spark, sf, "lineitem").select("l_orderkey")
+    order = encode.table(spark, sf, "orders").select("o_orderkey")
+    sizes = line.count(), order.count()
+    found = encode.dealt_join(line, order, "l_orderkey", "o_orderkey", sizes)
+    assert found.rdd.getNumPartitions() == -(-sizes[0] // 100) and found.count() == sizes[0]
