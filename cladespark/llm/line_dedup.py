@@ -5,7 +5,7 @@ their signatures. A line's set of character shingles gets a one-permutation MinH
 Links are pairs of a bucket whose shingle sets have the threshold's Jaccard similarity, computed exactly from the lines. They are looked for up to connectivity:
 first each line is compared with its bucket's first line and with its predecessor. Buckets whose lines are then in different components go
 on as regions (module ``cells``): lines outside the main component, around pivots of their own, and at last every pair of different components
-that windows leave. The window that matters in families of templates counts a line's shingles that no other line of such buckets has: they can't be shared.
+that windows leave, block by block inside tasks. The window that matters in families of templates counts a line's shingles that no other line of such buckets has: they can't be shared.
 So no link between components is missed, and pairs in one component aren't listed. Connected components are found on the distributed edges,
 and of each component the occurrence with the least document id and line number stays.
 """
@@ -27,6 +27,8 @@ from .words import mix, power_tables
 
 SHINGLE = 8
 BANDS, ROWS = 12, 4
+BLOCK_LINES, BLOCK_CHARS = 256, 1 << 17  #: most lines and characters of a block, on average
+COLUMNS = 1 << 12  #: shingles whose lines are multiplied at a time
 SEEN_LINES = 1 << 20  #: keys of lines that a task remembers; beyond them it starts again, and lines may be written twice
 _BINS = BANDS * ROWS
 _VALUE_BITS = 40
@@ -218,6 +220,69 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
     return single.groupBy("key").agg(F.count("*").alias("own"))
 
 
+def _between(lines: list[str], cells: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A linked pair of lines for each two cells that have one; if both blocks have lines, of different blocks. ``low``: whether a line is of the lower block."""
+    hashes, row = shingle_hashes(lines)
+    _, shingle = np.unique(hashes, return_inverse=True)
+    both = np.unique(shingle.astype(np.int64) * len(lines) + row)
+    shingle, row = both // len(lines), both % len(lines)
+    sizes = np.bincount(row, minlength=len(lines))
+    x, y = np.flatnonzero(low), np.flatnonzero(~low)
+    if len(y):
+        here, there = (np.bincount(shingle[low[row] == side], minlength=int(shingle[-1]) + 1) > 0 for side in (True, False))
+        kept = (here & there)[shingle]
+    else:
+        y, kept = x, np.bincount(shingle)[shingle] > 1
+    shingle, row = shingle[kept], row[kept]
+    shingle = np.cumsum(np.diff(shingle, prepend=shingle[:1]) > 0)
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for first in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, COLUMNS):
+        part = slice(*np.searchsorted(shingle, (first, first + COLUMNS)))
+        table = np.zeros((len(lines), int(shingle[part.stop - 1]) + 1 - first), np.float32)
+        table[row[part], shingle[part] - first] = 1
+        shared += table[x] @ table[y].T
+    at, to = np.nonzero(links(sizes[x][:, None], sizes[y][None, :], shared.astype(np.int64)) & (cells[x][:, None] != cells[y][None, :]))
+    x, y = x[at], y[to]
+    _, fresh = np.unique(np.sort(np.stack([cells[x], cells[y]], 1), 1), axis=0, return_index=True)
+    return x[fresh], y[fresh]
+
+
+def _linked_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Linked pairs ``a, b`` of lines of a region that are in different cells, enough to connect these. ``members``: ``region, key, c``.
+
+    A region is cut into blocks of bounded numbers of lines and characters; each two blocks, and each one, are a group of rows whose lines are compared inside a task. So no
+    pair is a row: a line is sent as often as its region has blocks.
+    """
+    own = members.select("region", "key", "c").join(texts, "key")
+    sizes = own.groupBy("region").agg(F.count("*").alias("many"), F.sum(F.length("line").cast("long")).alias("chars"), F.min("c").alias("low"), F.max("c").alias("high"))
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK_LINES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    cut_up = small_side(sizes.where("low < high").select("region", blocks.alias("blocks")))
+    own = own.join(cut_up, "region").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    placed = sent.select(group.alias("group"), "key", "c", (F.col("block") <= F.col("other")).alias("low"), "line").repartition("group").sortWithinPartitions("group")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(rows: list[tuple]) -> pa.RecordBatch:
+            _, keys, cells, low, lines = zip(*rows, strict=True)
+            keys, cells, low = np.array(keys), np.array(cells), np.array(low)
+            x, y = _between(list(lines), cells, low) if (cells != cells[0]).any() else (np.empty(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[x], keys[y])), pa.array(np.maximum(keys[x], keys[y]))], names=["a", "b"])
+
+        current, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != current and rows:
+                    yield met(rows)
+                    rows = []
+                current = row[0]
+                rows.append(row)
+        if rows:
+            yield met(rows)
+
+    return placed.mapInArrow(compare, "a long, b long")
+
+
 def line_links(scanned: DataFrame) -> DataFrame:
     """Edges ``a, b`` between keys of lines whose components are those of all links. ``scanned``: what one pass wrote."""
     lines = scanned.where("is_line")
@@ -244,8 +309,8 @@ def line_links(scanned: DataFrame) -> DataFrame:
     def linked(pairs: DataFrame) -> DataFrame:
         return _compared(pairs, texts).where("linked").select("a", "b")
 
-    edges, left = close(placed, edges, cells, linked)
-    return cut(edges.unionByName(linked(left.join(met.select("a", "b"), ["a", "b"], "left_anti"))))
+    edges, left = close(placed, edges, cells, linked, pairs=False)
+    return cut(edges.unionByName(_linked_in_blocks(left, texts)))
 
 
 def dropped_lines(rows: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from cladespark.llm.line_dedup import band_keys, line_dedup, normal, similarity
+import cladespark.llm.line_dedup as module
+from cladespark.llm.line_dedup import band_keys, key_of, line_dedup, normal, similarity
 
 
 def shingles(line):
@@ -99,3 +100,22 @@ def test_large_family_of_templates(spark):
     rng.shuffle(lines)
     docs = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(100)]
     assert sorted(map(tuple, line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())) == brute(docs)
+
+
+def test_pairs_of_cells_are_compared_in_blocks(spark):
+    """Links between cells of a region of many blocks, of which no pair of lines is ever a row."""
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, foot = some(50), some(57)
+    lines = []
+    for _ in range(300):
+        field = some(11)
+        lines += [head + field + foot, head + field[:7] + some(4) + foot]
+    lines += [head + foot, "z" * 70000, "z" * 70000 + some(9)]
+    key = {key_of(x): x for x in lines}
+    rows = [(r, k, k) for r in (1, 2) for k in key]
+    members, texts = spark.createDataFrame(rows, "region long, key long, c long"), spark.createDataFrame(list(key.items()), "key long, line string")
+    got = {tuple(r) for r in module._linked_in_blocks(members, texts).collect()}
+    sets = {k: shingles(x) for k, x in key.items()}
+    want = {(a, b) for a in key for b in key if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    assert got == want and len(want) >= 300
