@@ -20,14 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import cells_of, close, in_cells, links, whole_regions
+from .cells import DENOMINATOR, NUMERATOR, cells_of, close, in_cells, links, whole_regions
 from .components import components
-from .runtime import BROADCAST_ROWS, cut, forget, keyed, new_path, prepare, small_side, stored
+from .runtime import BROADCAST_ROWS, counted, cut, dealt, few_files, forget, keyed, new_path, packed, prepare, small_side, stored, tidy
 from .words import mix, power_tables
 
 SHINGLE = 8
 BANDS, ROWS = 12, 4
 BLOCK_LINES, BLOCK_CHARS = 256, 1 << 17  #: most lines and characters of a block, on average
+FEW_LINES, AT_ONCE = 16, 1 << 17  #: groups of at most so many lines are compared many at a time, up to so many characters
 COLUMNS = 1 << 12  #: shingles whose lines are multiplied at a time
 SEEN_LINES = 1 << 20  #: keys of lines that a task remembers; beyond them it starts again, and lines may be written twice
 _BINS = BANDS * ROWS
@@ -247,38 +248,86 @@ def _between(lines: list[str], cells: np.ndarray, low: np.ndarray) -> tuple[np.n
     return x[fresh], y[fresh]
 
 
+def _between_few(lines: list[str], many: list[int], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of lines of different cells of one group, for groups of ``many`` lines each: all groups' pairs together."""
+    hashes, row = shingle_hashes(lines)
+    mark = mix(hashes ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(mark)
+    mark = mark[order]
+    fresh = np.concatenate(([True], mark[1:] != mark[:-1]))
+    mark, order = mark[fresh], order[fresh]
+    order = order[np.argsort(row[order], kind="stable")]
+    hashes, sizes = hashes[order], np.bincount(row[order], minlength=len(lines))
+    starts, group = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(many)), many)
+    pairs, step, live = [], 1, np.arange(len(lines))
+    while len(live := live[live + step < len(lines)]) and len(live := live[group[live] == group[live + step]]):
+        x, y = live, live + step
+        fits = (cells[x] != cells[y]) & (DENOMINATOR * np.minimum(sizes[x], sizes[y]) >= NUMERATOR * np.maximum(sizes[x], sizes[y]))
+        pairs.append(np.stack([x[fits], y[fits]]))
+        step += 1
+    x, y = np.concatenate(pairs, 1) if pairs else np.empty((2, 0), np.int64)
+    x, y = np.where(sizes[x] <= sizes[y], x, y), np.where(sizes[x] <= sizes[y], y, x)
+    linked = np.zeros(len(x), bool)
+    for part in _portions(sizes[x].tolist()):
+        n = sizes[x[part]]
+        owner = np.repeat(np.arange(len(n)), n)
+        asked = hashes[np.arange(int(n.sum())) + np.repeat(starts[x[part]] - np.cumsum(n) + n, n)] ^ mix(y[part].astype(np.uint64) + np.uint64(1))[owner]
+        asked = mix(asked)
+        found = mark[np.minimum(np.searchsorted(mark, asked), len(mark) - 1)] == asked
+        linked[part] = links(n, sizes[y[part]], np.bincount(owner[found], minlength=len(n)))
+    return x[linked], y[linked]
+
+
 def _linked_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Linked pairs ``a, b`` of lines of a region that are in different cells, enough to connect these. ``members``: ``region, key, c``.
 
     A region is cut into blocks of bounded numbers of lines and characters; each two blocks, and each one, are a group of rows whose lines are compared inside a task. So no
-    pair is a row: a line is sent as often as its region has blocks.
+    pair is a row: a line is sent as often as its region has blocks. Of regions with equal lines one is compared.
     """
     own = members.select("region", "key", "c").join(texts, "key")
-    sizes = own.groupBy("region").agg(F.count("*").alias("many"), F.sum(F.length("line").cast("long")).alias("chars"), F.min("c").alias("low"), F.max("c").alias("high"))
+    sizes = own.groupBy("region").agg(F.count("*").alias("many"), F.sum(F.length("line").cast("long")).alias("chars"), F.min("c").alias("low"), F.max("c").alias("high"), *(F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"mark{k}") for k in (1, 2)))
     blocks = F.greatest(F.ceil(F.col("many") / BLOCK_LINES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    cut_up = small_side(sizes.where("low < high").select("region", blocks.alias("blocks")))
+    cut_up = small_side(sizes.where("low < high").groupBy("many", "mark1", "mark2").agg(F.min("region").alias("region"), F.first(blocks).alias("blocks")).select("region", "blocks"))
     own = own.join(cut_up, "region").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
     placed = sent.select(group.alias("group"), "key", "c", (F.col("block") <= F.col("other")).alias("low"), "line").repartition("group").sortWithinPartitions("group")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def met(rows: list[tuple]) -> pa.RecordBatch:
+        def met(rows: list[tuple], few: list[int] | None = None) -> pa.RecordBatch:
             _, keys, cells, low, lines = zip(*rows, strict=True)
             keys, cells, low = np.array(keys), np.array(cells), np.array(low)
-            x, y = _between(list(lines), cells, low) if (cells != cells[0]).any() else (np.empty(0, np.int64),) * 2
+            if few:
+                x, y = _between_few(list(lines), few, cells)
+            else:
+                x, y = _between(list(lines), cells, low) if (cells != cells[0]).any() else (np.empty(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[x], keys[y])), pa.array(np.maximum(keys[x], keys[y]))], names=["a", "b"])
 
-        current, rows = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != current and rows:
-                    yield met(rows)
-                    rows = []
-                current = row[0]
-                rows.append(row)
-        if rows:
-            yield met(rows)
+        def groups() -> Iterator[list[tuple]]:
+            current, rows = None, []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if row[0] != current and rows:
+                        yield rows
+                        rows = []
+                    current = row[0]
+                    rows.append(row)
+            if rows:
+                yield rows
+
+        waiting, many, chars = [], [], 0
+        for rows in groups():
+            if len(rows) > FEW_LINES or not all(r[3] for r in rows):
+                yield met(rows)
+                continue
+            waiting += rows
+            many.append(len(rows))
+            chars += sum(len(r[4]) for r in rows)
+            if chars > AT_ONCE:
+                yield met(waiting, many)
+                waiting, many, chars = [], [], 0
+        if waiting:
+            yield met(waiting, many)
 
     return placed.mapInArrow(compare, "a long, b long")
 
@@ -287,29 +336,34 @@ def line_links(scanned: DataFrame) -> DataFrame:
     """Edges ``a, b`` between keys of lines whose components are those of all links. ``scanned``: what one pass wrote."""
     lines = scanned.where("is_line")
     buckets = cut(_buckets(lines.select(F.explode("keys").alias("band"), F.col("id").alias("key"))))
+    tidy(lines.sparkSession)
     ask = buckets.select("key", F.explode(F.array("first", "before")).alias("other")).where("key <> other")
-    ask = cut(ask.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+    ask = cut(few_files(ask.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()))
     wanted = small_side(buckets.select("key").distinct())
     texts = cut(lines.select(F.col("id").alias("key"), "line").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    met = cut(_compared(ask, texts))
-    edges = cut(met.where("linked").select("a", "b"))
+    many = counted(ask)
+    tidy(lines.sparkSession)
+    met = dealt(cut(_compared(dealt(ask, many), texts)), many)
+    tidy(lines.sparkSession)
+    edges = packed(met.where("linked").select("a", "b"))
     cells = cells_of(edges)
 
     named = in_cells(buckets.select("band", "key"), cells)
     mixed = small_side(named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"))
-    members = cut(buckets.select("band", "key").join(mixed, "band", "left_semi"))
+    members = packed(buckets.select("band", "key").join(mixed, "band", "left_semi"))
     if members.isEmpty():
         return edges
     sizes = met.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("na").alias("n")), F.struct(F.col("b").alias("key"), F.col("nb").alias("n")))).alias("s")).select("s.*").dropDuplicates(["key"])
     keys = small_side(members.select("key").distinct())
     own = _own_shingles(texts.join(keys, "key", "left_semi"))
     known = small_side(keys.join(sizes, "key").join(own, "key", "left").select("key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("full")))
-    placed = cut(members.join(known, "key").select(F.col("band").alias("region"), "key", "n", "full", F.lit(None).cast("double").alias("d")))
+    placed = packed(members.join(known, "key").select(F.col("band").alias("region"), "key", "n", "full", F.lit(None).cast("double").alias("d")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return _compared(pairs, texts).where("linked").select("a", "b")
 
     edges, left = close(placed, edges, cells, linked, pairs=False)
+    tidy(lines.sparkSession)
     return cut(edges.unionByName(_linked_in_blocks(left, texts)))
 
 
@@ -325,8 +379,10 @@ def dropped_lines(rows: DataFrame, key: str) -> DataFrame:
     groups = cut(firsts.join(found, "key", "left").where("n > 1 or c is not null").select("key", F.coalesce("c", "key").alias("group"), "first"))
     winners = groups.groupBy("group").agg(F.min("first").alias("winner"))
     known = small_side(groups.join(winners, "group").select("key", "group", "winner"))
+    tidy(spark)
     out = cut(occurrences.join(known, "key").where(F.struct("doc", "line") != F.col("winner")).select("doc", "line", "group"))
     forget(spark, path)
+    tidy(spark)
     return out
 
 
@@ -340,7 +396,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, key = keyed(own, "doc_id", nulls_last=True)
     gone = dropped_lines(rows, key)
-    few = gone.count() <= BROADCAST_ROWS
+    few = counted(gone) <= BROADCAST_ROWS
     gone = gone.groupBy("doc").agg(F.collect_list("line").alias("gone"))
     joined = rows.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("doc"), "left").select("doc_id", "text", "gone")
 

@@ -119,3 +119,18 @@ def test_pairs_of_cells_are_compared_in_blocks(spark):
     sets = {k: shingles(x) for k, x in key.items()}
     want = {(a, b) for a in key for b in key if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
     assert got == want and len(want) >= 300
+
+
+def test_small_groups_are_compared_together():
+    rng = random.Random(11)
+    lines, many = [], []
+    for _ in range(50):
+        base = "".join(rng.choice("abcdef ") for _ in range(rng.randint(9, 150)))
+        own = list(dict.fromkeys(base[: (at := rng.randrange(len(base)))] + rng.choice("XYZ") * rng.randint(0, 3) + base[at:] for _ in range(rng.randint(1, 16))))
+        lines += own
+        many.append(len(own))
+    cells = np.array([rng.randrange(3) for _ in lines])
+    x, y = module._between_few(lines, many, cells)
+    group, sets = np.repeat(np.arange(len(many)), many), [shingles(v) for v in lines]
+    want = {(i, j) for i in range(len(lines)) for j in range(i) if group[i] == group[j] and cells[i] != cells[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])}
+    assert {(max(p), min(p)) for p in zip(x.tolist(), y.tolist(), strict=True)} == want and len(want) > 50
